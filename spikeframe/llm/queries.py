@@ -10,8 +10,23 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
+from .line_dedup import dedup_lines
+from .mixing import mix_sources
+from .quality import judge_quality
 from .simhash import simhash_components
 from .substring_dedup import dedup_substrings
+from .topk import top_inner_products
+from .toxicity import score_toxicity
+from .url_rules import judge_urls
+
+#: host, path, verdict, name
+URL_RULES = [
+    ("com", "/en/", "block", "com/en/"),
+    ("example.com", "/en/7", "allow", "example.com/en/7"),
+    ("net", "/de/", "block", "net/de/"),
+    ("example.net", "/de/8", "allow", "example.net/de/8"),
+    ("org", "/es/", "block", "org/es/"),
+]
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +34,44 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    out = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string, rule string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", "block", "slot", "position")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +79,68 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op8_bpe, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_rules": r"""
+        WITH after AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS a FROM pages),
+        parts AS (
+            SELECT page_id,
+                translate(coalesce(regexp_extract(a, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                coalesce(regexp_extract(a, '^[^/?#]*([^?#]*)', 1), '') AS path
+            FROM after),
+        rules(rhost, rpath, rverdict, rname) AS (VALUES
+            ('com', '/en/', 'block', 'com/en/'), ('example.com', '/en/7', 'allow', 'example.com/en/7'), ('net', '/de/', 'block', 'net/de/'),
+            ('example.net', '/de/8', 'allow', 'example.net/de/8'), ('org', '/es/', 'block', 'org/es/'))
+        SELECT p.page_id, p.host, p.path, b.rname AS rule, coalesce(b.rverdict, 'allow') AS verdict
+        FROM parts p LEFT JOIN LATERAL (
+            SELECT rname, rverdict FROM rules
+            WHERE (p.host = rhost OR suffix(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
+            ORDER BY length(rname) DESC LIMIT 1) b ON true""",
+    "op5_mixing": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce('=' || source, '') AS src FROM documents),
+        sized AS (SELECT src, count(*) AS n FROM docs GROUP BY src),
+        bound AS (SELECT floor(quantile_cont(n, 0.5) * 4.0)::BIGINT AS b FROM sized),
+        targets AS (SELECT src, least(n, greatest(b, 1)) AS k FROM sized, bound),
+        block AS (SELECT ceil(sum(k) / 2000)::BIGINT AS size FROM targets),
+        blocks AS (SELECT src, k, (k + size - 1) // size AS m FROM targets, block),
+        plan AS (SELECT list(src ORDER BY src) AS srcs, list(k ORDER BY src) AS ks, list(m ORDER BY src) AS ms, sum(m)::BIGINT AS total FROM blocks),
+        run(slot, done, i) AS (
+            SELECT -1::BIGINT, list_transform(ms, lambda x: 0::BIGINT), 0::BIGINT FROM plan
+            UNION ALL
+            SELECT slot + 1, list_transform(range(1, len(ms) + 1), lambda q: done[q] + CASE WHEN q = pick THEN 1 ELSE 0 END), pick
+            FROM (
+                SELECT slot, done, ms, list_min(list_transform(range(1, len(ms) + 1), lambda q:
+                    CASE WHEN done[q] < ms[q] AND (done[q] * total) // ms[q] <= slot + 1
+                    THEN (((done[q] + 1) * total + ms[q] - 1) // ms[q]) * 1000000 + q END)) % 1000000 AS pick
+                FROM run, plan WHERE slot + 1 < total)),
+        slots AS (
+            SELECT slot, srcs[i] AS src, ks[i] AS k, ms[i] AS m, done[i] - 1 AS j FROM run, plan WHERE slot >= 0),
+        begun AS (SELECT *, (j * k + m - 1) // m AS b, ((j + 1) * k + m - 1) // m - (j * k + m - 1) // m AS size FROM slots),
+        placed AS (SELECT *, coalesce(sum(size) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM begun),
+        ranked AS (SELECT doc_id, source, src, row_number() OVER (PARTITION BY src ORDER BY md5(doc_id::VARCHAR)) - 1 AS r FROM docs)
+        SELECT doc_id, source, j AS block, slot, (start + r - b)::BIGINT AS position
+        FROM ranked JOIN placed USING (src) WHERE r < k AND (r * m) // k = j""",
+    "op6_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+            FROM documents),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+        often AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (SELECT l.*, o.k IS NOT NULL AND o.keeper <> l.doc_id AS gone FROM keyed l LEFT JOIN often o USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op7_topk": r"""
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
+            FROM vectors q JOIN vectors p ON q.vec_id % 20 = 0 AND p.vec_id <> q.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20""",
+}
