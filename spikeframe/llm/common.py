@@ -67,6 +67,35 @@ def shown_id(col: str = "_id"):
     return F.when(F.col(col) != F.lit(NULL_ID), F.col(col))
 
 
+#: Bits of the map that only_marked() sends to every task: a fixed 4 MB.
+MARKS = 1 << 25
+
+
+def only_marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of (_id, _th, _text) that may be in `marked`, so that a join need not move the other texts.
+
+    Tasks get a bitmap of fixed size; with ever more marked rows it lets ever more others pass, but loses none.
+    """
+    spark = rows.sparkSession
+    bit = F.pmod(F.xxhash64("_id", "_th"), F.lit(MARKS))
+    maps = marked.select(F.bitmap_bucket_number(bit).alias("n"), F.bitmap_bit_position(bit).alias("b")).groupBy("n").agg(F.bitmap_construct_agg("b").alias("map"))
+    bits = np.zeros(MARKS // 8 + 4096, np.uint8)
+    for r in maps.collect():  # at most MARKS / 32768 rows of 4 KB
+        at = (r["n"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["map"], np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_bit").to_numpy()
+            hit = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            if len(hit):
+                yield batch.select(["_id", "_th", "_text"]).take(pa.array(hit))
+
+    # bit positions count from the first bit of a bucket's map; bucket n covers (n - 1) * 32768 + 1 to n * 32768
+    return rows.withColumn("_bit", (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)).mapInArrow(run, "_id long, _th long, _text string")
+
+
 def byte_column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, one behind the other, and the rows' offsets in them; null: empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .quality import judge_quality
 from .simhash import simhash_components
 from .substring_dedup import dedup_substrings
+from .suffix_dedup import dedup_suffixes
 from .topk import top_inner_products
 from .toxicity import score_toxicity
 from .url_rules import judge_urls
@@ -34,6 +35,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_suffixes(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -81,7 +87,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash)
+    for f in (op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
