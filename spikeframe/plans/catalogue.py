@@ -1,4 +1,511 @@
-"""All queries of the engine's own operators by name, and the SQL that gives the same rows."""
+"""All queries of the engine's own operators by name, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
+The test tables stand in for recordings: events are spike and stimulus trains (unit: user or type; time: seconds since
+2024-01-01; value: a sampled signal; props: a marker field), embeddings are waveforms with cluster labels, orders and
+their line items are intervals.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import EPSILON, dequantise_i16, l2, marker_number, quantise_i16, seconds_to_ticks, ticks_to_seconds
+from ..operators import signals, spikes
+from ..operators import sorting as spike_sorting
+from ..session import diff_summaries, export_names, invalid_intervals
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+SECONDS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 1e6D"
+#: The same in the oracle's SQL.
+SQL_T = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def trains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", F.expr(SECONDS).alias("t"))
+
+
+def of_type(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return trains(spark, sf_dir).where(F.col("event_type") == kind)
+
+
+P = f"WITH p AS (SELECT event_id, user_id, event_type, value, props, {SQL_T} AS t FROM events)"
+
+# PSTH, raster, correlograms ------------------------------------------------------------------------------------------
+
+PSTH_SQL = P + """,
+    n AS (SELECT count(*) AS n_events FROM p WHERE event_type = 'signup'),
+    hits AS (
+        SELECT floor((s.t - e.t - -3600e0) / 300e0)::BIGINT AS bin FROM p s JOIN p e
+        ON s.event_type = 'view' AND e.event_type = 'signup' AND s.t >= e.t + -3600e0 AND s.t <= e.t + 7200e0
+        WHERE s.t - e.t >= -3600e0 AND s.t - e.t < 7200e0),
+    c AS (SELECT bin, count(*) AS n FROM hits GROUP BY bin)
+    SELECT b.bin::BIGINT AS bin, -3600e0 + b.bin * 300e0 AS bin_start, coalesce(c.n, 0) AS count,
+        coalesce(c.n, 0) / (n_events * 300e0) AS rate_hz, n_events
+    FROM range(36) b(bin) CROSS JOIN n LEFT JOIN c USING (bin)"""
+
+
+@query(PSTH_SQL)
+def q_psth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.psth(of_type(spark, sf_dir, "view"), of_type(spark, sf_dir, "signup"), -3600.0, 7200.0, 300.0)
+
+
+@query(P + """,
+    n AS (SELECT user_id, count(*) AS n_events FROM p WHERE event_type = 'signup' GROUP BY user_id),
+    c AS (
+        SELECT s.user_id, floor((s.t - e.t - -86400e0) / 21600e0)::BIGINT AS bin, count(*) AS n FROM p s JOIN p e
+        ON s.user_id = e.user_id AND s.event_type = 'view' AND e.event_type = 'signup' AND s.t >= e.t + -86400e0 AND s.t <= e.t + 86400e0
+        WHERE s.t - e.t >= -86400e0 AND s.t - e.t < 86400e0 GROUP BY ALL)
+    SELECT n.user_id, b.bin::BIGINT AS bin, -86400e0 + b.bin * 21600e0 AS bin_start, coalesce(c.n, 0) AS count,
+        coalesce(c.n, 0) / (n_events * 21600e0) AS rate_hz, n_events
+    FROM n CROSS JOIN range(8) b(bin) LEFT JOIN c USING (user_id, bin)""")
+def q_psth_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.psth(of_type(spark, sf_dir, "view"), of_type(spark, sf_dir, "signup"), -86400.0, 86400.0, 21600.0, ["user_id"])
+
+
+@query(P + """
+    SELECT e.user_id, e.event_id, s.t - e.t AS rel FROM p e LEFT JOIN p s
+    ON s.user_id = e.user_id AND s.event_type = 'view' AND s.t >= e.t + -86400e0 AND s.t <= e.t + 86400e0
+    WHERE e.event_type = 'signup'""")
+def q_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = spikes.raster(of_type(spark, sf_dir, "view"), of_type(spark, sf_dir, "signup"), -86400.0, 86400.0, ["user_id"], "event_id")
+    return trials.select("user_id", "event_id", F.explode_outer("trial").alias("rel"))
+
+
+@query(P + """,
+    c AS (
+        SELECT floor((a.t - b.t + 600e0) / 60e0)::BIGINT AS bin, count(*) AS n FROM p a JOIN p b
+        ON a.event_type = 'click' AND b.event_type = 'view' AND a.t BETWEEN b.t - 601e0 AND b.t + 601e0
+        WHERE abs(a.t - b.t) <= 600e0 GROUP BY ALL)
+    SELECT b.bin::BIGINT AS bin, -600e0 + b.bin * 60e0 AS bin_start, coalesce(c.n, 0) AS count FROM range(20) b(bin) LEFT JOIN c USING (bin)""")
+def q_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.cross_correlogram(of_type(spark, sf_dir, "click"), of_type(spark, sf_dir, "view"), 600.0, 60.0)
+
+
+@query(P + """,
+    c AS (
+        SELECT floor((a.t - b.t + 600e0) / 60e0)::BIGINT AS bin, count(*) AS n FROM p a JOIN p b
+        ON a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.t BETWEEN b.t - 601e0 AND b.t + 601e0
+        WHERE abs(a.t - b.t) <= 600e0 GROUP BY ALL)
+    SELECT b.bin::BIGINT AS bin, -600e0 + b.bin * 60e0 AS bin_start, coalesce(c.n, 0) AS count FROM range(20) b(bin) LEFT JOIN c USING (bin)""")
+def q_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = of_type(spark, sf_dir, "purchase")
+    return spikes.cross_correlogram(train, train, 600.0, 60.0)
+
+
+# Intervals between spikes, rates ---------------------------------------------------------------------------------------
+
+ISI_SQL = P + """
+    SELECT user_id, event_id, isi FROM (SELECT user_id, event_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS isi FROM p) WHERE isi IS NOT NULL"""
+
+
+@query(ISI_SQL)
+def q_isi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.intervals_between(trains(spark, sf_dir), ["user_id"], ["t", "event_id"]).select("user_id", "event_id", "isi")
+
+
+@query(P + """,
+    i AS (SELECT * FROM (SELECT event_type, t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) AS isi FROM p) WHERE isi IS NOT NULL),
+    g AS (SELECT event_type, ceil(max(isi) / 600e0)::BIGINT + 1 AS n FROM i GROUP BY event_type),
+    c AS (SELECT event_type, floor(isi / 600e0)::BIGINT AS bin, count(*) AS k FROM i GROUP BY ALL)
+    SELECT g.event_type, b.bin::BIGINT AS bin, b.bin * 600e0 AS bin_start, coalesce(c.k, 0) AS count
+    FROM g CROSS JOIN LATERAL (SELECT unnest(range(g.n)) AS bin) b LEFT JOIN c ON c.event_type = g.event_type AND c.bin = b.bin""")
+def q_isi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.isi_histogram(trains(spark, sf_dir), 600.0, ["event_type"], ["t", "event_id"])
+
+
+def _smooth_sql() -> str:
+    w = spikes.gaussian_weights(2.0)
+    r = len(w) // 2
+    terms = [(f"coalesce(lag(count, {r - k}) OVER (ORDER BY bin), 0)" if k < r else "count" if k == r else f"coalesce(lead(count, {k - r}) OVER (ORDER BY bin), 0)") + f" * {x!r}::DOUBLE" for k, x in enumerate(w)]
+    total = "0e0"
+    for term in terms:
+        total = f"({total} + {term})"
+    return P + f""",
+        c AS (SELECT floor(t / 3600e0)::BIGINT AS bin, count(*) AS n FROM p WHERE event_type = 'view' GROUP BY ALL),
+        b AS (SELECT r.bin::BIGINT AS bin, coalesce(c.n, 0) AS count FROM range(720) r(bin) LEFT JOIN c USING (bin))
+        SELECT bin, count, {total} / 3600e0 AS rate FROM b"""
+
+
+@query(_smooth_sql())
+def q_smooth_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = of_type(spark, sf_dir, "view").groupBy(F.floor(F.col("t") / 3600.0).alias("bin")).agg(F.count("*").alias("n"))
+    bins = spark.range(720).withColumnRenamed("id", "bin").join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("count"))
+    return spikes.smooth_rate(bins, 3600.0, 2.0)
+
+
+@query(P + """,
+    v AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS var_index FROM (SELECT DISTINCT user_id FROM p)),
+    r AS (SELECT v.var_index, p.user_id::VARCHAR AS var_name, count(*) AS n_spikes, count(*) / 2592000e0 AS rate_hz FROM p JOIN v USING (user_id) GROUP BY ALL)
+    SELECT var_name, n_spikes, rate_hz, row_number() OVER (ORDER BY rate_hz DESC, var_index)::INTEGER AS rank FROM r""")
+def q_units_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = trains(spark, sf_dir).select(F.col("user_id").cast("string").alias("var_name"), "user_id")
+    variables = points.distinct().select("var_name", F.lit("neuron").alias("kind"), F.row_number().over(Window.orderBy("user_id")).alias("var_index"))
+    return spikes.units_by_rate(variables, points, 0.0, 2592000.0)
+
+
+# Filters and ranges ----------------------------------------------------------------------------------------------------
+
+
+@query(P + " SELECT event_id, t FROM p WHERE event_type = 'view' AND t BETWEEN 86400e0 AND 172800e0")
+def q_time_filter_neuron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.in_range(of_type(spark, sf_dir, "view"), 86400.0, 172800.0).select("event_id", "t")
+
+
+@query(P + " SELECT event_id, t FROM p WHERE event_type = 'signup' AND t BETWEEN 86400e0 AND 864000e0")
+def q_time_filter_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.in_range(of_type(spark, sf_dir, "signup"), 86400.0, 864000.0).select("event_id", "t")
+
+
+@query(P + " SELECT event_id, t, row_number() OVER (ORDER BY t, event_id)::BIGINT - 1 AS place FROM p WHERE event_type = 'error'")
+def q_sort_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")).cast("long") - 1
+    return spikes.sorted_points(of_type(spark, sf_dir, "error").withColumn("place", place)).select("event_id", "t", "place")
+
+
+INDEXED = P + ", i AS (SELECT event_type, event_id, t, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx FROM p)"
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trains(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")).cast("long") - 1)
+
+
+@query(INDEXED + " SELECT event_type, idx, t FROM i WHERE idx < 25")
+def q_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.first_points(indexed(spark, sf_dir), 25).select("event_type", "idx", "t")
+
+
+@query(INDEXED + " SELECT event_type, idx, t FROM i WHERE idx >= 100 AND idx < 150")
+def q_idx_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.point_range(indexed(spark, sf_dir), 100, 50).select("event_type", "idx", "t")
+
+
+@query(INDEXED + " SELECT event_type, idx // 256 AS chunk, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM i GROUP BY ALL")
+def q_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunk = F.floor(F.col("idx") / 256).alias("chunk")
+    return indexed(spark, sf_dir).groupBy("event_type", chunk).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+# Sessions --------------------------------------------------------------------------------------------------------------
+
+#: Two variables of each type: spikes of even users are a neuron, of odd users an event.
+SESSION_SQL = P + """,
+    points AS (SELECT event_type || '_' || (user_id % 2) AS var_name, CASE WHEN user_id % 2 = 0 THEN 'neuron' ELSE 'event' END AS kind, t FROM p),
+    vars AS (SELECT var_name, kind, count(*) AS count, greatest(0, max(t)) AS max_t FROM points GROUP BY ALL)"""
+
+
+def session_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("user_id") % 2 == 0, "neuron").otherwise("event")
+    return trains(spark, sf_dir).select(F.concat("event_type", F.lit("_"), F.col("user_id") % 2).alias("var_name"), kind.alias("kind"), "t")
+
+
+def summaries(points: DataFrame) -> DataFrame:
+    return points.groupBy("var_name", "kind").agg(F.count("*").alias("count"), F.greatest(F.lit(0.0), F.max("t")).alias("max_t"))
+
+
+@query(SESSION_SQL + " SELECT count(*) FILTER (kind = 'neuron') AS n_neuron, count(*) FILTER (kind = 'event') AS n_event, 0::BIGINT AS n_continuous, 0::BIGINT AS n_interval, 0e0 AS beg_seconds, max(max_t) AS end_seconds FROM vars")
+def q_session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = summaries(session_points(spark, sf_dir))
+    kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("neuron", "event", "continuous", "interval")]
+    return s.agg(*kinds, F.lit(0.0).alias("beg_seconds"), F.max("max_t").alias("end_seconds"))
+
+
+@query(SESSION_SQL + " SELECT kind, var_name, row_number() OVER (PARTITION BY kind ORDER BY var_name)::INTEGER - 1 AS place FROM vars")
+def q_variable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = session_points(spark, sf_dir).select("kind", "var_name").distinct()
+    return names.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("var_name")) - 1)
+
+
+@query(SESSION_SQL + " SELECT DISTINCT var_name FROM vars WHERE kind IN ('neuron', 'event') ORDER BY var_name")
+def q_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export_names(session_points(spark, sf_dir))
+
+
+@query(SESSION_SQL + """
+    SELECT var_name, kind, max_t FROM vars
+    UNION ALL SELECT 'wave_' || label, 'waveform', greatest(0, max(vec_id / 1000e0 + 63 / 30000e0)) FROM embeddings GROUP BY label""")
+def q_max_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waves = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.greatest(F.lit(0.0), F.max(F.col("vec_id") / 1000.0 + F.lit(63) / F.lit(30000.0))).alias("max_t"))
+    wave = waves.select(F.concat(F.lit("wave_"), "label").alias("var_name"), F.lit("waveform").alias("kind"), "max_t")
+    return summaries(session_points(spark, sf_dir)).select("var_name", "kind", "max_t").unionByName(wave)
+
+
+@query(SESSION_SQL + " SELECT var_name, t FROM points WHERE var_name IN ('view_0', 'click_1')")
+def q_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_points(spark, sf_dir).where(F.col("var_name").isin("view_0", "click_1")).select("var_name", "t")
+
+
+@query(SESSION_SQL + " SELECT CASE WHEN var_name = 'view_0' THEN 'unit_a' ELSE var_name END AS var_name, count(*) AS count FROM points GROUP BY ALL")
+def q_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    renamed = F.when(F.col("var_name") == "view_0", "unit_a").otherwise(F.col("var_name"))
+    return session_points(spark, sf_dir).withColumn("var_name", renamed).groupBy("var_name").agg(F.count("*").alias("count"))
+
+
+@query(SESSION_SQL + " SELECT var_name, count FROM vars WHERE var_name <> 'view_0'")
+def q_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(session_points(spark, sf_dir).where(F.col("var_name") != "view_0")).select("var_name", "count")
+
+
+@query(SESSION_SQL + " SELECT var_name, kind, count FROM vars WHERE kind = 'neuron' UNION ALL SELECT var_name, kind, count FROM vars WHERE kind = 'event'")
+def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = session_points(spark, sf_dir)
+    return summaries(points.where("kind = 'neuron'").unionByName(points.where("kind = 'event'"))).select("var_name", "kind", "count")
+
+
+@query(SESSION_SQL + f""",
+    a AS (SELECT * FROM vars WHERE var_name <> 'click_0'),
+    b AS (SELECT var_name, kind, count(*) AS count, max(t) AS max_t FROM points WHERE var_name <> 'click_1' AND NOT (var_name = 'view_0' AND t < 86400) GROUP BY ALL)
+    SELECT * FROM (SELECT var_name, CASE WHEN b.kind IS NULL THEN 'only_in_a' WHEN a.kind IS NULL THEN 'only_in_b'
+        WHEN a.kind <> b.kind OR a.count <> b.count OR abs(a.max_t - b.max_t) > {EPSILON!r}::DOUBLE THEN 'changed' END AS status FROM a FULL JOIN b USING (var_name))
+    WHERE status IS NOT NULL""")
+def q_session_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = session_points(spark, sf_dir)
+    a = points.where("var_name <> 'click_0'")
+    b = points.where("var_name <> 'click_1' AND NOT (var_name = 'view_0' AND t < 86400)")
+    return diff_summaries(summaries(a), summaries(b))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, datediff('second', o_orderdate, l_shipdate)::BIGINT AS seconds
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")
+def q_intervals_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("o_orderdate").alias("t_start"), F.col("l_shipdate").alias("t_end"))
+    return invalid_intervals(both).select("l_orderkey", "l_linenumber", F.expr("timestampdiff(SECOND, t_start, t_end)").alias("seconds"))
+
+
+@query("""
+    WITH s AS (SELECT var_index, bytes FROM (SELECT label AS var_index, count(*) * (8 + 64 * 4) AS bytes FROM embeddings GROUP BY label))
+    SELECT var_index, bytes, (coalesce(sum(bytes) OVER (ORDER BY var_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 356)::BIGINT AS data_offset FROM s""")
+def q_write_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import write_offsets
+
+    sizes = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("var_index")).agg((F.count("*") * (8 + 64 * 4)).alias("bytes"))
+    return write_offsets(sizes, 356)
+
+
+# Fragments and markers -------------------------------------------------------------------------------------------------
+
+FRAGMENTS_SQL = P + """,
+    h AS (SELECT DISTINCT user_id, floor(t / 3600e0)::BIGINT AS tick FROM p),
+    m AS (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN lag(tick) OVER w IS NULL OR tick <> lag(tick) OVER w + 1 THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY user_id ORDER BY tick)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY tick) - 1 AS fragment FROM m)"""
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trains(spark, sf_dir).select("user_id", F.floor(F.col("t") / 3600.0).alias("tick")).distinct()
+
+
+@query(FRAGMENTS_SQL + " SELECT user_id, fragment::BIGINT AS fragment, min(tick) AS first_tick, min(i)::BIGINT AS first_index, count(*) AS count FROM r GROUP BY ALL")
+def q_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.fragments(hourly(spark, sf_dir), 1, ["user_id"])
+
+
+@query(FRAGMENTS_SQL + """, f AS (SELECT user_id, fragment, min(i)::BIGINT AS first_index FROM r GROUP BY ALL), n AS (SELECT user_id, count(*) AS n_samples FROM h GROUP BY user_id)
+    SELECT user_id, first_index, n_samples, (coalesce(lead(first_index) OVER (PARTITION BY user_id ORDER BY first_index), n_samples) - first_index)::BIGINT AS count FROM f JOIN n USING (user_id)""")
+def q_fragment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = hourly(spark, sf_dir)
+    n = ticks.groupBy("user_id").agg(F.count("*").alias("n_samples"))
+    starts = signals.fragments(ticks, 1, ["user_id"]).select("user_id", "first_index").join(n, "user_id")
+    return signals.fragment_counts(starts, "n_samples", ["user_id"])
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS num FROM events")
+def q_marker_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", marker_number(F.get_json_object("props", "$.k")).alias("num"))
+
+
+@query("SELECT event_type, 'k' AS field_name, bool_and(regexp_full_match(props->>'$.k', '\\+?[0-9]+')) AS numeric, greatest(6, max(strlen(props->>'$.k')) + 1) AS cell_bytes FROM events GROUP BY event_type")
+def q_marker_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.first(F.lit("k")).alias("field_name"), F.bool_and(marker_number(k).isNotNull()).alias("numeric"), F.greatest(F.lit(6), F.max(F.octet_length(k)) + 1).cast("long").alias("cell_bytes"))
+
+
+# Waveforms and templates -----------------------------------------------------------------------------------------------
+
+TEMPLATES_SQL = """
+    WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+    m AS (SELECT label, pos, list_reduce(list_prepend(0e0, list(x ORDER BY vec_id)), lambda a, b: a + b) / count(*) AS mean FROM x GROUP BY ALL),
+    t AS (SELECT label, list(mean ORDER BY pos) AS template FROM m GROUP BY label),
+    w AS (SELECT vec_id, label AS own, list_transform(embedding, lambda v: v::DOUBLE) AS s FROM embeddings),
+    d AS (
+        SELECT vec_id, own, t.label AS template_label,
+            list_reduce(list_prepend(0e0, list_transform(list_zip(s, template), lambda z: z[1] * z[2])), lambda a, b: a + b) AS st,
+            list_reduce(list_prepend(0e0, list_transform(s, lambda z: z * z)), lambda a, b: a + b) AS ss,
+            list_reduce(list_prepend(0e0, list_transform(template, lambda z: z * z)), lambda a, b: a + b) AS tt,
+            list_reduce(list_prepend(0e0, list_transform(list_zip(s, template), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), lambda a, b: a + b) AS dd
+        FROM w CROSS JOIN t),
+    c AS (SELECT *, CASE WHEN ss <= 1e-12 OR tt <= 1e-12 THEN 0e0 ELSE st / (sqrt(ss) * sqrt(tt)) END AS corr FROM d)"""
+
+
+def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "label", F.col("embedding").alias("samples"))
+
+
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.mean_waveforms(waveforms(spark, sf_dir))
+
+
+@query(TEMPLATES_SQL + " SELECT label, pos::INTEGER AS pos, mean FROM m")
+def q_mean_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates(spark, sf_dir).select("label", F.posexplode("template").alias("pos", "mean"))
+
+
+@query(TEMPLATES_SQL + " SELECT vec_id AS idx, template_label, corr FROM c")
+def q_template_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.template_correlations(waveforms(spark, sf_dir), templates(spark, sf_dir))
+
+
+@query(TEMPLATES_SQL + " SELECT idx, template_label, corr FROM (SELECT vec_id AS idx, template_label, corr, row_number() OVER (PARTITION BY vec_id ORDER BY corr DESC, template_label DESC) AS r FROM c) WHERE r = 1")
+def q_nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.nearest_template(waveforms(spark, sf_dir), templates(spark, sf_dir))
+
+
+@query(TEMPLATES_SQL + """,
+    e AS (SELECT own, list_reduce(list_prepend(0e0, list(dd ORDER BY vec_id)), lambda a, b: a + b) AS sq, count(*) * 64 AS n FROM d WHERE own = template_label GROUP BY own)
+    SELECT own AS label, list_max(list_transform(template, lambda z: abs(z))) / greatest(sqrt(sq / n), 1e-9::DOUBLE) AS snr FROM e JOIN t ON t.label = own""")
+def q_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.cluster_snr(waveforms(spark, sf_dir), templates(spark, sf_dir))
+
+
+@query(TEMPLATES_SQL + " SELECT vec_id AS idx, sqrt(dd) AS distance FROM d WHERE own = template_label")
+def q_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waveforms(spark, sf_dir).join(templates(spark, sf_dir), "label").select("idx", l2(F.col("samples"), F.col("template")).alias("distance"))
+
+
+@query("SELECT vec_id AS idx, label, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id = 42")
+def q_waveform_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waveforms(spark, sf_dir).where("idx = 42").select("idx", "label", F.posexplode("samples").alias("pos", "x"))
+
+
+@query("""
+    SELECT vec_id AS unit, peak AS sample, embedding[greatest(peak - 4, 0) + 1 : greatest(peak - 4, 0) + 10] AS snippet
+    FROM (SELECT vec_id, embedding, list_position(embedding, list_max(embedding)) - 1 AS peak FROM embeddings) WHERE greatest(peak - 4, 0) + 10 <= 64""")
+def q_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = waveforms(spark, sf_dir).select(F.col("idx").alias("unit"), F.col("samples").alias("values"))
+    peaks = w.select("unit", (F.array_position("values", F.array_max("values")) - 1).cast("int").alias("sample"))
+    return signals.snippets(w, peaks, 4, 10).select("unit", "sample", "snippet")
+
+
+@query("""
+    WITH f AS (SELECT label, min(vec_id) AS f FROM embeddings GROUP BY label), r AS (SELECT label, row_number() OVER (ORDER BY f)::INTEGER - 1 AS new_label FROM f)
+    SELECT vec_id AS idx, label, new_label FROM embeddings JOIN r USING (label)""")
+def q_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.relabel_contiguous(waveforms(spark, sf_dir).select("idx", "label"))
+
+
+@query("""
+    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM embeddings WHERE vec_id < 16)
+    SELECT pos, max(x) FILTER (vec_id = 0) - list_reduce(list_prepend(0e0, list(x ORDER BY vec_id)), lambda a, b: a + b) / count(*) AS value FROM x GROUP BY pos""")
+def q_car(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channels = waveforms(spark, sf_dir).where("idx < 16").select(F.col("idx").alias("channel"), F.posexplode("samples").alias("pos", "value"))
+    return signals.common_average_reference(channels)
+
+
+@query("SELECT 'unit_' || label AS var_name, row_number() OVER (PARTITION BY label ORDER BY vec_id)::BIGINT - 1 AS idx, vec_id / 30000e0 AS t FROM embeddings WHERE label <> 0")
+def q_phy_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.phy import cluster_points
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("double").alias("sample"), F.col("label").alias("cluster"))
+    return cluster_points(rows, 30000.0, session_id="phy").select("var_name", "idx", "t")
+
+
+# Sampled signal --------------------------------------------------------------------------------------------------------
+
+SIGMA_SQL = P + """,
+    n AS (SELECT count(*) AS n FROM p),
+    s AS (SELECT value AS x FROM (SELECT value, row_number() OVER (ORDER BY t, event_id) - 1 AS i FROM p) , n WHERE n <= 50000 OR i % (n // 50000) = 0),
+    m AS (SELECT x AS median FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r, count(*) OVER () AS k FROM s) WHERE r = k // 2),
+    d AS (SELECT median, abs(x - median) AS d FROM s, m)
+    SELECT median, greatest(d, 1e-9::DOUBLE) * 1.4826e0 AS sigma FROM (SELECT *, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS k FROM d) WHERE r = k // 2"""
+
+
+@query(SIGMA_SQL)
+def q_robust_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.robust_sigma(trains(spark, sf_dir), (), "value", ["t", "event_id"])
+
+
+PEAKS_SQL = P + """,
+    k AS (SELECT user_id, event_id, value, row_number() OVER w - 1 AS sample, abs(value) AS x, abs(lag(value) OVER w) AS b, abs(lead(value) OVER w) AS a FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    peaks AS (SELECT * FROM k WHERE x > 100e0 AND x >= b AND x >= a)"""
+
+
+def peaks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.local_peaks(trains(spark, sf_dir), 100.0, ["user_id"], ["t", "event_id"])
+
+
+@query(PEAKS_SQL + " SELECT user_id, event_id, value, sample::BIGINT AS sample FROM peaks")
+def q_local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks_of(spark, sf_dir).select("user_id", "event_id", "value", "sample")
+
+
+@query("WITH RECURSIVE" + PEAKS_SQL.removeprefix("WITH") + """,
+    g(user_id, sample) AS (
+        SELECT user_id, min(sample) FROM peaks GROUP BY user_id
+        UNION ALL SELECT user_id, nxt FROM (SELECT g.user_id, (SELECT min(q.sample) FROM peaks q WHERE q.user_id = g.user_id AND q.sample >= g.sample + 5) AS nxt FROM g) WHERE nxt IS NOT NULL)
+    SELECT user_id, sample::BIGINT AS sample FROM g""")
+def q_refractory_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.suppress_refractory(peaks_of(spark, sf_dir), 5, ["user_id"])
+
+
+@query("""
+    WITH q AS (SELECT event_id, value, greatest(-32768e0, least(32767e0, CASE WHEN (value - 0.2e0) / 0.015e0 >= 0 THEN
+        floor((value - 0.2e0) / 0.015e0) + CASE WHEN (value - 0.2e0) / 0.015e0 - floor((value - 0.2e0) / 0.015e0) >= 0.5 THEN 1 ELSE 0 END ELSE
+        ceil((value - 0.2e0) / 0.015e0) - CASE WHEN ceil((value - 0.2e0) / 0.015e0) - (value - 0.2e0) / 0.015e0 >= 0.5 THEN 1 ELSE 0 END END))::INTEGER AS raw FROM events)
+    SELECT event_id, raw, raw * 0.015e0 + 0.2e0 AS restored FROM q""")
+def q_quantise_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select("event_id", quantise_i16(F.col("value"), 0.015, 0.2).alias("raw"))
+    return raw.withColumn("restored", dequantise_i16(F.col("raw"), 0.015, 0.2))
+
+
+@query(P + ", k AS (SELECT event_id, floor(t * 100000e0 + 0.5)::BIGINT AS tick FROM p) SELECT event_id, tick, tick / 100000e0 AS seconds FROM k")
+def q_ticks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = trains(spark, sf_dir).select("event_id", seconds_to_ticks(F.col("t"), 100000.0).alias("tick"))
+    return k.withColumn("seconds", ticks_to_seconds(F.col("tick"), 100000.0))
+
+
+@query()
+def q_iir_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-order filters keep their state from sample to sample; the tests hold them against a plain loop."""
+    signal = trains(spark, sf_dir).select("user_id", "t", "event_id", "value")
+    return spike_sorting.bandpass(signal, 1000.0, 10.0, 300.0, ["user_id"], ["t", "event_id"])
+
+
+@query()
+def q_sort_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spike sorting of each user's samples as one electrode; clustering is iterative."""
+    signal = trains(spark, sf_dir).select("user_id", "t", "event_id", "value")
+    options = spike_sorting.SortOptions(sampling_rate=1000.0, highpass=10.0, lowpass=300.0, threshold=1.0, length=9, pre=3, max_clusters=4, min_snr=0.5)
+    return spike_sorting.sort_signals(signal, options, ["user_id"], ["t", "event_id"])
+
+
+@query(ISI_SQL)
+def q_streaming_isi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals as a stream yields them, read from the table's files in one go."""
+    from ..streaming import running_intervals, run_to_end
+
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    points = stream.select("user_id", "event_id", F.expr(SECONDS).alias("t"))
+    return run_to_end(running_intervals(points, "user_id"), spark).select("user_id", "event_id", "isi")
