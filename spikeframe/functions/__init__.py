@@ -13,8 +13,8 @@ def ticks_to_seconds(tick: Column, frequency) -> Column:
 
 
 def round_half_away(x: Column) -> Column:
-    """To whole numbers, halves away from zero, as a double."""
-    return F.when(x >= 0, F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)).otherwise(F.ceil(x) - F.when(F.ceil(x) - x >= 0.5, 1).otherwise(0)).cast("double")
+    """To whole numbers, halves away from zero, as a double; NaN stays."""
+    return F.when(F.isnan(x), x).when(x >= 0, F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)).otherwise(F.ceil(x) - F.when(F.ceil(x) - x >= 0.5, 1).otherwise(0)).cast("double")
 
 
 def saturate(x: Column, low: int, high: int) -> Column:
