@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, keyed, pack, pieces, shown_id, span_hash, text_bytes, unpack, window_hash, word_spans
+from .common import byte_column, cut, keyed, only_marked, pack, pieces, shown_id, span_hash, text_bytes, unpack, window_hash, word_spans
 
 #: Text bytes hashed at once, and text bytes for each hash range.
-CHUNK, RANGE = 16 << 20, 16 << 20
+CHUNK, RANGE = 6 << 20, 8 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -173,8 +173,8 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     than a window keep all. Other columns are left aside.
     """
     rows = keyed(docs, id_col, text_col)
-    found = repeated_windows(docs, width, id_col, text_col)
-    cleaned = rows.join(found, ["_id", "_th"]).mapInArrow(_removed(width), "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["_id", "_th"])
+    found = cut(repeated_windows(docs, width, id_col, text_col))
+    cleaned = only_marked(rows, found).join(found, ["_id", "_th"]).mapInArrow(_removed(width), "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["_id", "_th"])
     every = rows.mapInArrow(_plain, "_id long, _th long, n_words long, plain_sha256 string")
     return every.join(cleaned, ["_id", "_th"], "left").select(
         shown_id().alias(id_col),
