@@ -22,6 +22,8 @@ BUCKET, FOCUS, HIGH = 1024, 16, 0.5
 QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCKS = 20_000, 50_000, 16
 #: Numbers in a block of products.
 PRODUCTS = 4_000_000
+#: A length from which squares may overflow.
+LONGEST = 1e150
 
 
 def quantized(col: pa.ChunkedArray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -40,9 +42,14 @@ def quantized(col: pa.ChunkedArray, scale: float) -> tuple[np.ndarray, np.ndarra
     return out[~bad], np.flatnonzero(~bad)
 
 
+def small(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no product of a row of one and a row of the other can reach 2**53."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], b.shape[0]) < 2**53
+
+
 def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b of whole numbers: in doubles if no sum can reach 2**53, else in Python's integers, held within a long."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2**53:
+    if small(a, b):
         return (a @ b).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     return np.clip(whole(a).dot(whole(b)), -(2**63), 2**63 - 1).astype(np.int64)
@@ -58,7 +65,7 @@ class Best:
 
     def add(self, query: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
         q, s, i = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.id, ident])
-        by = np.lexsort((i, -s, q))
+        by = np.lexsort((i, ~s, q))  # ~s falls as s rises, at every value
         q, s, i = q[by], s[by], i[by]
         new = np.ones(len(q), bool)
         new[1:] = q[1:] != q[:-1]
@@ -79,23 +86,27 @@ def _search(k: int, scale: float) -> Callable[[pa.Table], pa.Table]:
         p_id = candidates.column("id").to_numpy()[rows]
         width = max(q.shape[1], p.shape[1])
         q, p = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, p))
-        p_len, q_len = np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1)
+        with np.errstate(over="ignore"):
+            p_len, q_len = np.minimum(np.linalg.norm(p, axis=1), LONGEST), np.minimum(np.linalg.norm(q, axis=1), LONGEST)
         by = np.argsort(-p_len, kind="stable")
         p, p_id, p_len = p[by], p_id[by], p_len[by]
         best, slack = Best(len(q), k), 1 + 1e-9
         for lo in range(0, len(p), BUCKET):
             vec, ident, length = p[lo : lo + BUCKET], p_id[lo : lo + BUCKET], p_len[lo : lo + BUCKET]
             reach = q_len * length[0] * slack
-            focus = np.argsort(-vec.var(axis=0), kind="stable")[:FOCUS]
-            rest = np.sqrt(np.maximum(length**2 - (vec[:, focus] ** 2).sum(axis=1), 0))
-            live = np.flatnonzero(reach >= best.least)
+            # beyond what doubles can square, nothing is pruned
+            prune = length[0] < LONGEST
+            focus = np.argsort(-vec.var(axis=0), kind="stable")[:FOCUS] if prune else np.arange(min(FOCUS, width))
+            rest = np.sqrt(np.maximum(length**2 - (vec[:, focus] ** 2).sum(axis=1), 0)) if prune else length
+            live = np.flatnonzero((reach >= best.least) | (q_len == LONGEST) | (not prune))
             for some in np.array_split(live, max(1, math.ceil(len(live) * len(vec) / PRODUCTS))):
                 if not len(some):
                     continue
                 least = best.least[some]
                 cosine = np.where(reach[some] > 0, least / np.maximum(reach[some], 1e-300), -np.inf)
                 bound = np.outer(q_len[some], length) * slack
-                high = cosine >= HIGH
+                high = (cosine >= HIGH) & (q_len[some] < LONGEST) & prune
+                bound[(q_len[some] == LONGEST) | (not prune)] = np.inf
                 if high.any():
                     qh = q[some[high]]
                     q_rest = np.sqrt(np.maximum(q_len[some[high]] ** 2 - (qh[:, focus] ** 2).sum(axis=1), 0))
@@ -107,7 +118,7 @@ def _search(k: int, scale: float) -> Callable[[pa.Table], pa.Table]:
                     score = score[at, which]
                 else:
                     at, which = np.nonzero(may)
-                    if np.abs(q[some]).max(initial=0) * np.abs(vec).max(initial=0) * width < 2**53:
+                    if small(q[some], vec.T):
                         score = np.einsum("ij,ij->i", q[some][at], vec[which]).astype(np.int64)
                     else:
                         score = np.array([exact_product(q[some[a]][None], vec[w][:, None])[0, 0] for a, w in zip(at, which)], np.int64)
