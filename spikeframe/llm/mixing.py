@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
+#: The plan (one row a block, under 100 bytes each) is broadcast up to so many rows.
+PLAN_ROWS = 100_000
+
 
 def source_targets(docs: DataFrame, weights: DataFrame | None, source_col: str, most: float) -> DataFrame:
     """(_src, n, k): documents of each source and how many of them the mix takes."""
@@ -70,10 +75,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, slots: int =
     before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_src", "_b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     targets = source_targets(docs.select(_source(source_col).alias("_src")), weights, source_col, most)
-    plan = schedule(targets, slots)
+    plan = cut(schedule(targets, slots))
+    small = (lambda df: F.broadcast(df)) if plan.count() <= PLAN_ROWS else (lambda df: df)
     share = plan.groupBy("_src").agg(F.first("k").alias("k"), F.first("m").alias("m"))
     within = Window.partitionBy("_src", "_b").orderBy("_o", F.xxhash64("_row"))
     ranked = rows.withColumn("_r", F.row_number().over(within) - 1).join(offsets, ["_src", "_b"]).withColumn("_r", F.col("_r") + F.col("offset"))
-    taken = ranked.join(share, "_src").where("_r < k").withColumn("j", F.expr("(_r * m) div k"))
-    placed = taken.join(plan.select("_src", "j", "slot", "begin", "start"), ["_src", "j"])
+    taken = ranked.join(small(share), "_src").where("_r < k").withColumn("j", F.expr("(_r * m) div k"))
+    placed = taken.join(small(plan.select("_src", "j", "slot", "begin", "start")), ["_src", "j"])
     return placed.select("_row.*", F.col("j").alias("block"), "slot", (F.col("start") + F.col("_r") - F.col("begin")).cast("long").alias("position"))
