@@ -20,44 +20,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, mix, pieces
 from .components import connected_components
 
 #: Shingles whose bits are counted at once; ball words handled at once, and aimed at for each range.
 BLOCK, MOST, AIM = 1 << 15, 3_000_000, 2_000_000
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bit i is 1 if set in over half of the shingles' XXH64 (seed 42); no words: 0."""
+def fingerprint(text: bytes, shingle: int, tables: int = 1) -> list[int]:
+    """Of each table, bit i is 1 if set in over half of the shingles' hashes; no words: 0.
+
+    The first table's hash is XXH64 (seed 42), the others' are mixed from it.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * tables
     joined = b" ".join(words)
     size = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, len(words))
     ends = (size[k - 1 :] - 1).tolist()
     starts = [0, *size[: len(size) - k].tolist()]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((tables, 64), np.int64)
     for lo in range(0, len(starts), BLOCK):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[lo : lo + BLOCK], ends[lo : lo + BLOCK])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > len(starts)).tolist())
+        for k in range(tables):
+            own = mix(h + np.uint64(k)) if k else h
+            ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [sum(1 << i for i in np.flatnonzero(2 * x > len(starts)).tolist()) for x in ones]
 
 
-def _fingerprints(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _fingerprints(shingle: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_text", 8 << 20):
-            fp = np.array([fingerprint(t.encode(), shingle) for t in piece.column("_text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(fp.view(np.int64))], ["_id", "fp"])
+            fp = np.array([fingerprint(t.encode(), shingle, tables) for t in piece.column("_text").to_pylist()], np.uint64).view(np.int64)
+            more = pa.ListArray.from_arrays(np.arange(len(fp) + 1, dtype=np.int32) * (tables - 1), pa.array(fp[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(np.ascontiguousarray(fp[:, 0])), more], ["_id", "fp", "more"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, fp): the 64-bit fingerprint of every row's text, as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
+    """(_id, fp, more): the 64-bit fingerprint of every row's text, as a signed long, and those of further tables."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return rows.mapInArrow(_fingerprints(shingle), "_id long, fp long")
+    return rows.mapInArrow(_fingerprints(shingle, tables), "_id long, fp long, more array<long>")
 
 
 def _split(fp: np.ndarray, left: np.ndarray, bit: int, value: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,18 +175,31 @@ def near_fingerprints(distinct: DataFrame, differing_bits: int = 4) -> DataFrame
     return reached.groupBy("head").applyInArrow(_links(bits, MOST, differing_bits), "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, shingle: int = 4, differing_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 4, differing_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """(`id_col`, fp, component_id) of every row: fingerprint as a signed long, smallest id reachable over links.
 
+    With more than one table, texts are linked if the fingerprints of any table are near; fp is the first table's.
     Texts are split at ASCII white space and lower-cased in A-Z; texts of fewer words than a shingle are one shingle,
     texts without words, null ones too, have fingerprint 0 and are linked like any others. A null id takes part but
     names a component only if the component has no other (then it is null). Repeated rows each get a row.
     """
-    fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("_id").alias("low")))
-    links = cut(near_fingerprints(distinct, differing_bits))
+    fps = cut(fingerprints(docs, shingle, id_col, text_col, tables).withColumn("node", F.col("fp") if tables == 1 else F.xxhash64("fp", "more")))
+    distinct = cut(fps.groupBy("node").agg(F.min("_id").alias("low"), F.first("fp").alias("fp"), F.first("more").alias("more")))
+    if tables == 1:
+        links = cut(near_fingerprints(distinct, differing_bits))
+    else:
+        parts = []
+        for k in range(tables):
+            own = distinct.select("node", (F.col("fp") if k == 0 else F.element_at("more", k)).alias("own"))
+            near = connected_components(cut(near_fingerprints(own.select(F.col("own").alias("fp")).distinct(), differing_bits)))
+            group = own.join(near.withColumnRenamed("node", "own"), "own", "left").select("node", F.coalesce("root", "own").alias("group"))
+            least = group.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+            parts.append(cut(group.join(least, "group").where("node <> b").select(F.col("node").alias("a"), "b")))
+        links = parts[0]
+        for part in parts[1:]:
+            links = links.union(part)
     root = connected_components(links)
-    named = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(root, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = named.join(lows, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    of_node = named.join(lows, "root").select("node", "component_id")
+    return fps.select("_id", "fp", "node").join(of_node, "node").select(F.col("_id").alias(id_col), "fp", "component_id")

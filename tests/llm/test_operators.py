@@ -415,6 +415,16 @@ def test_simhash(docs, texts, shingle, bits):
     assert {i: (f % 2**64, c) for i, (f, c) in got.items()} == brute_simhash(list(enumerate(texts)), shingle, bits)
 
 
+def test_more_tables_find_more(docs, texts):
+    one, four = (rows(simhash_components(docs, 5, 4, tables=t), "component_id") for t in (1, 4))
+    groups = collections.defaultdict(set)
+    for i, c in one.items():
+        groups[c].add(four[i])
+    assert all(len(g) == 1 for g in groups.values()) and all(four[i] <= one[i] for i in one)
+    fp = rows(simhash_components(docs, 5, 4, tables=4), "fp")
+    assert {i: f[0] % 2**64 for i, f in fp.items()} == {i: f for i, (f, _) in brute_simhash(list(enumerate(texts)), 5, 4).items()}
+
+
 def test_links_within_full_radius(spark, monkeypatch):
     from spikeframe.llm import simhash
 
