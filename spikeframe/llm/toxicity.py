@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
 1. A bounded sample of labelled texts, half of each label where there are enough, gives the examples. Terms (words and the
-   first five letters of longer words) whose presence goes with the label, by a z-score, make up the vocabulary.
+   first five letters of longer words) make up the vocabulary if their presence goes with label 1, by a z-score, and
+   raises its odds several times; so words that are merely more usual in one language or in longer texts stay out.
 2. All documents are read once: each becomes the counts of vocabulary terms in its whole text. Document frequencies are
    counted over all of them.
 3. Examples with equal vectors become one entry with the weight of each label. An inverted index holds, for each term,
@@ -200,7 +201,7 @@ class Model:
         return float(np.clip(np.interp(raw, self.at, self.level), 0, 1)), near
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8_000, max_terms: int = 4_096, min_z: float = 5.0, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8_000, max_terms: int = 4_096, min_z: float = 5.0, min_odds: float = 4.0, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`id_col`, score, evidence) of every row.
 
     `labels` has `id_col` and toxic (0 or 1; anything else says nothing); all of it may be learned from. At most
@@ -222,8 +223,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8_000
     by_term = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("c"))
     n1, n0 = max(room[1], 1), max(room[0], 1)
     mean = F.col("c") / (n1 + n0)
+    in1, in0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("c") - F.col("a") + 0.5) / (n0 + 1)
     z = (F.col("a") / n1 - (F.col("c") - F.col("a")) / n0) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
-    picked = by_term.where(F.col("c") >= min_docs).withColumn("z", F.abs(z)).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    telling = (F.col("c") >= min_docs) & (in1 * (1 - in0) >= min_odds * in0 * (1 - in1))
+    picked = by_term.where(telling).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(picked)}
     hits = cut(rows.mapInArrow(_hits(spark.sparkContext.broadcast(vocabulary)), "_id long, which array<int>, count array<int>"))
     total, df = hits.count(), np.zeros(len(vocabulary))
