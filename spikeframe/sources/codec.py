@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from ..errors import IncompleteRead, InvalidFrequency, InvalidHeader, InvalidMetadata, InvalidValues, PayloadTooLarge, TickOverflow
 from ..schema import KIND_NAMES, KINDS
@@ -246,36 +247,47 @@ def session_row(session_id: str, path: str, h: Header, metadata: dict) -> dict:
     return {"session_id": session_id, "path": path, "format": h.layout, "file_version": h.version, "comment": h.comment, "timestamp_frequency_hz": h.frequency, "beg_seconds": h.beg_seconds, "end_seconds": h.end_seconds, "metadata": json.dumps(metadata)}
 
 
-#: Values of a long signal go into rows of so many.
-VALUES_PER_ROW = 65_536
+#: Values of a long signal go into rows of so many; rows into batches of so many.
+VALUES_PER_ROW, ROWS_PER_BATCH = 65_536, 50_000
 TABLE_OF = {"neuron": "points", "event": "points", "interval": "intervals", "marker": "markers", "waveform": "waveforms", "continuous": "continuous", "population": "population"}
 
 
-def payload_rows(session_id: str, v: dict, p: dict) -> Iterator[dict]:
-    """The rows of one variable in the table of its kind."""
-    key = {"session_id": session_id, "var_name": v["var_name"]}
+def payload_batches(session_id: str, v: dict, p: dict) -> Iterator[pa.RecordBatch]:
+    """One variable as Arrow batches in the columns of its kind's table."""
     kind = v["kind"]
-    if kind in ("neuron", "event"):
-        for i, (tick, t) in enumerate(zip(p["tick"].tolist(), p["t"].tolist())):
-            yield key | {"kind": kind, "idx": i, "tick": tick, "t": t}
-    elif kind == "interval":
-        for i, (a, b) in enumerate(zip(p["t_start"].tolist(), p["t_end"].tolist())):
-            yield key | {"idx": i, "t_start": a, "t_end": b}
-    elif kind == "population":
-        for i, w in enumerate(p["weight"].tolist()):
-            yield key | {"idx": i, "weight": w}
-    elif kind == "marker":
-        for f, (name, cells) in enumerate(p["fields"]):
-            for i, (t, c) in enumerate(zip(p["t"].tolist(), cells)):
-                yield key | {"idx": i, "t": t, "field_index": f, "field_name": name, "num": c if isinstance(c, int) else None, "str": c if isinstance(c, str) else None}
-    elif kind == "waveform":
-        for i, (t, s) in enumerate(zip(p["t"].tolist(), p["samples"])):
-            yield key | {"idx": i, "t": t, "samples": s.tolist()}
-    else:
+    if kind == "continuous":
         ends = [*p["first"][1:].tolist(), len(p["values"])]
-        for i, (t, a, b) in enumerate(zip(p["t"].tolist(), p["first"].tolist(), ends)):
-            for lo in range(a, b, VALUES_PER_ROW):
-                yield key | {"fragment": i, "t0": t + (lo - a) / v["sampling_rate"], "first_sample": lo, "sampling_rate": v["sampling_rate"], "values": p["values"][lo : min(b, lo + VALUES_PER_ROW)].tolist()}
+        parts = [(i, t + (lo - a) / v["sampling_rate"], lo, min(b, lo + VALUES_PER_ROW)) for i, (t, a, b) in enumerate(zip(p["t"].tolist(), p["first"].tolist(), ends)) for lo in range(a, b, VALUES_PER_ROW)]
+        for i, t0, lo, hi in parts:
+            values = pa.ListArray.from_arrays(np.array([0, hi - lo], np.int32), pa.array(p["values"][lo:hi]))
+            yield _batch(session_id, v, 1, fragment=pa.array([i], pa.int32()), t0=pa.array([t0]), first_sample=pa.array([lo], pa.int64()), sampling_rate=pa.array([v["sampling_rate"]], pa.float64()), values=values)
+        return
+    fields = enumerate(p["fields"]) if kind == "marker" else [(0, ("", []))]
+    n = len(p["weight"] if kind == "population" else p["t_start"] if kind == "interval" else p["t"])
+    for f, (name, cells) in fields:
+        for lo in range(0, n, ROWS_PER_BATCH):
+            hi = min(n, lo + ROWS_PER_BATCH)
+            idx = pa.array(np.arange(lo, hi))
+            part = lambda key: pa.array(np.ascontiguousarray(p[key][lo:hi], np.float64))  # noqa: B023, E731
+            if kind in ("neuron", "event"):
+                yield _batch(session_id, v, hi - lo, kind=pa.repeat(kind, hi - lo), idx=idx, tick=pa.array(p["tick"][lo:hi]), t=part("t"))
+            elif kind == "interval":
+                yield _batch(session_id, v, hi - lo, idx=idx, t_start=part("t_start"), t_end=part("t_end"))
+            elif kind == "population":
+                yield _batch(session_id, v, hi - lo, idx=idx, weight=part("weight"))
+            elif kind == "waveform":
+                samples = p["samples"][lo:hi]
+                lists = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * samples.shape[1], pa.array(np.ascontiguousarray(samples, np.float32).ravel()))
+                yield _batch(session_id, v, hi - lo, idx=idx, t=part("t"), samples=lists)
+            else:
+                some = cells[lo:hi]
+                yield _batch(
+                    session_id, v, hi - lo, idx=idx, t=part("t"), field_index=pa.array(np.full(hi - lo, f, np.int32)), field_name=pa.repeat(name, hi - lo),
+                    num=pa.array([c if isinstance(c, int) else None for c in some], pa.int64()), str=pa.array([c if isinstance(c, str) else None for c in some], pa.string()))
+
+
+def _batch(session_id: str, v: dict, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"session_id": pa.repeat(session_id, n), "var_name": pa.repeat(v["var_name"], n)} | columns)
 
 
 def _scaling(v: dict, values: np.ndarray, layout: str) -> tuple[int, float, float]:

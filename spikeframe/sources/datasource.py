@@ -13,14 +13,13 @@ import json
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import TABLES
 from ..session import Session
-from .codec import TABLE_OF, Reader, ReadOptions, payload_rows, session_row, variable_row
+from .codec import TABLE_OF, Reader, ReadOptions, payload_batches, session_row, variable_row
 
 #: Payload bytes that one partition reads, as far as variables allow.
 PARTITION_BYTES = 64 << 20
@@ -49,22 +48,23 @@ def open_reader(path: str, options: ReadOptions) -> Reader:
     return Reader(read, os.path.getsize(path), options)
 
 
-def table_rows(reader: Reader, path: str, table: str, indexes: list[int] | None = None) -> Iterator[dict]:
-    sid = path
-    if table == "sessions":
-        yield session_row(sid, path, reader.header, reader.metadata())
-        return
-    if table == "variables":
-        reader.metadata()
-        yield from (variable_row(sid, v) for v in reader.header.variables)
+def head_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a table of plain columns."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
+
+def table_batches(reader: Reader, path: str, table: str, indexes: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """The table's rows of one file, in Arrow batches; of `indexes` only, if given."""
+    if table in ("sessions", "variables"):
+        meta = reader.metadata()
+        rows = [session_row(path, path, reader.header, meta)] if table == "sessions" else [variable_row(path, v) for v in reader.header.variables]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, head_schema(TABLES[table]))
         return
     for v in sorted(reader.header.variables, key=lambda v: v["data_offset"]):
         if TABLE_OF[v["kind"]] == table and reader.wanted(v) and (indexes is None or v["var_index"] in indexes):
-            yield from payload_rows(sid, v, reader.payload(v))
-
-
-def columns(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
+            yield from payload_batches(path, v, reader.payload(v))
 
 
 class SessionReader(DataSourceReader):
@@ -93,10 +93,8 @@ class SessionReader(DataSourceReader):
                 out.append(FilePart(p, part))
         return out or [FilePart(paths[0], [])]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        names = columns(TABLES[self.table])
-        for row in table_rows(open_reader(partition.path, read_options(self.options)), partition.path, self.table, partition.indexes):
-            yield tuple(row.get(c) for c in names)
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        yield from table_batches(open_reader(partition.path, read_options(self.options)), partition.path, self.table, partition.indexes)
 
 
 class SessionSource(DataSource):
@@ -120,18 +118,11 @@ def read_session(spark: SparkSession, path: str, **options) -> Session:
 
 def decode_files(files: DataFrame, table: str, **options) -> DataFrame:
     """The same table from rows of Spark's binaryFile source (path, content), wherever the files are."""
-    names, opts = columns(TABLES[table]), read_options({k: json.dumps(v) if isinstance(v, list | tuple) else str(v) for k, v in options.items()})
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"]):
-                rows: list[dict] = []
-                for row in table_rows(Reader.of_bytes(bytes(raw), opts), path, table):
-                    rows.append(row)
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return files.select(F.col("path"), F.col("content")).mapInPandas(decode, TABLES[table])
+    opts = read_options({k: json.dumps(v) if isinstance(v, list | tuple) else str(v) for k, v in options.items()})
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                yield from table_batches(Reader.of_bytes(raw, opts), path, table)
+
+    return files.select("path", "content").mapInArrow(decode, TABLES[table])

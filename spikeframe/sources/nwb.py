@@ -66,6 +66,26 @@ def write_nwb(s: Session, path: str, identifier: str = "session") -> None:
             rows = s.payload(name, "interval").orderBy("idx").collect()
             series(name + START, [r["t_start"] for r in rows], np.ones(len(rows)))
             series(name + END, [r["t_end"] for r in rows], np.ones(len(rows)))
+        for name in s.names("marker"):
+            rows = s.payload(name, "marker").orderBy("field_index", "idx").collect()
+            fields: dict[tuple[int, str], list] = {}
+            for r in rows:
+                fields.setdefault((r["field_index"], r["field_name"]), []).append(r)
+            first = next(iter(fields.values()), [])
+            series(name + TIMES, [r["t"] for r in first], np.ones(len(first)))
+            for (i, label), cells in fields.items():
+                text = cells[0]["str"] is not None
+                data = np.array([r["str"] if text else r["num"] for r in cells], dtype=h5py.string_dtype() if text else np.int64)
+                g = acquisition.create_group(sanitize(f"{name}{FIELD}{i}"))
+                g.attrs["name"], g.attrs["field"] = f"{name}{FIELD}{i}", label
+                g["data"] = data
+        rates = {r["var_name"]: r["sampling_rate"] for r in s.variables.where("kind = 'waveform'").collect()}
+        for name in s.names("waveform"):
+            rows = s.payload(name, "waveform").orderBy("idx").collect()
+            series(name + TIMES, [r["t"] for r in rows], np.ones(len(rows)))
+            g = acquisition.create_group(sanitize(name + SAMPLES))
+            g.attrs["name"], g.attrs["rate"] = name + SAMPLES, rates[name]
+            g["data"] = np.array([r["samples"] for r in rows], np.float32)
         for name in s.names("continuous"):
             rows = s.payload(name, "continuous").orderBy("first_sample").collect()
             if rows:
@@ -85,10 +105,18 @@ def read_nwb(spark: SparkSession, path: str, frequency: float = 100_000.0) -> Se
             names = [n.decode() for n in u["unit_name"]] if "unit_name" in u else [f"unit_{i}" for i in range(len(cuts) - 1)]
             for n, lo, hi in zip(names, cuts, cuts[1:]):
                 b.neuron(n, np.asarray(u["spike_times"][lo:hi]).tolist())
-        ends = {}
+        ends, times, fields, waves = {}, {}, {}, {}
         for key, g in f.get("acquisition", {}).items():
             name = g.attrs.get("name", key)
-            if name.endswith(START) or name.endswith(END):
+            if name.endswith(TIMES):
+                times[name.removesuffix(TIMES)] = np.asarray(g["timestamps"]).tolist()
+            elif FIELD in name:
+                base, i = name.rsplit(FIELD, 1)
+                data = [x.decode() if isinstance(x, bytes) else int(x) for x in g["data"][()]]
+                fields.setdefault(base, {})[int(i)] = (g.attrs["field"], data)
+            elif name.endswith(SAMPLES):
+                waves[name.removesuffix(SAMPLES)] = (float(g.attrs["rate"]), np.asarray(g["data"]).tolist())
+            elif name.endswith(START) or name.endswith(END):
                 base = name.removesuffix(START).removesuffix(END)
                 ends.setdefault(base, {})[name[len(base) :]] = np.asarray(g["timestamps"]).tolist()
             elif "timestamps" in g and looks_like_event(g["data"]):
@@ -100,4 +128,9 @@ def read_nwb(spark: SparkSession, path: str, frequency: float = 100_000.0) -> Se
         for base, x in ends.items():
             if START in x and END in x:
                 b.interval(base, list(zip(x[START], x[END])))
+        for base, t in times.items():
+            if base in waves:
+                b.waveform(base, waves[base][0], t, waves[base][1])
+            else:
+                b.marker(base, t, {label: cells for _, (label, cells) in sorted(fields.get(base, {}).items())})
         return b.build()
