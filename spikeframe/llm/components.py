@@ -25,14 +25,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     pairs = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # large star: each node passes its neighbours above it to the smallest neighbour
-        both = cut(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        if both.isEmpty():
-            break
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
         # small star: each node passes its neighbours below it, and itself, to the smallest of them
         low = _lowest(large)
-        small = large.join(low, "u")
-        new = cut(small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v"))).where("u <> v").distinct())
+        both_ends = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v"))
+        new = cut(both_ends.where("u <> v").distinct())
         before, pairs = _signature(pairs), new
         if _signature(pairs) == before:
             break

@@ -79,10 +79,10 @@ def _ranges(bits: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy()
+            fp, table = batch.column("fp").to_numpy(), batch.column("table")
             head = (fp.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             for mask, k in flips:
-                yield pa.RecordBatch.from_arrays([pa.array((head ^ mask).astype(np.int32)), pa.array(fp), pa.array(np.full(len(fp), radius - k, np.int8))], ["head", "fp", "left"])
+                yield pa.RecordBatch.from_arrays([table, pa.array((head ^ mask).astype(np.int32)), pa.array(fp), pa.array(np.full(len(fp), radius - k, np.int8))], ["table", "head", "fp", "left"])
 
     return run
 
@@ -156,23 +156,27 @@ def _links(bits: int, most: int, limit: int) -> Callable[[pa.Table], pa.Table]:
         pairs = _forest(np.concatenate(found), len(fp))
         a, b = fp[pairs[:, 0]], fp[pairs[:, 1]]
         near = np.bitwise_count(a ^ b) <= limit
-        return pa.table({"a": pa.array(a[near].view(np.int64)), "b": pa.array(b[near].view(np.int64))})
+        table = pa.array(np.full(int(near.sum()), group.column("table")[0].as_py(), np.int32))
+        return pa.table({"table": table, "a": pa.array(a[near].view(np.int64)), "b": pa.array(b[near].view(np.int64))})
 
     return run
 
 
 def near_fingerprints(distinct: DataFrame, differing_bits: int = 4) -> DataFrame:
-    """(a, b): verified links between distinct fingerprints, enough of them to connect all that are within reach.
+    """(table, a, b): verified links between fingerprints of a table, enough of them to connect all within reach.
 
-    `distinct` has a column fp without repeats. Only even `differing_bits` have a half to meet in.
+    `distinct` has a column fp (repeats do no harm) and may have table, an int. Only even `differing_bits` have a half
+    to meet in.
     """
     if differing_bits < 0 or differing_bits % 2:
         raise ValueError("differing_bits must be even")
+    if "table" not in distinct.columns:
+        distinct = distinct.withColumn("table", F.lit(0))
     radius = differing_bits // 2
     words = distinct.count() * ball_size(64, radius)
     bits = min(20, max(6, math.ceil(math.log2(max(1, words / AIM)))))
-    reached = distinct.select("fp").mapInArrow(_ranges(bits, radius), "head int, fp long, left tinyint")
-    return reached.groupBy("head").applyInArrow(_links(bits, MOST, differing_bits), "a long, b long").distinct()
+    reached = distinct.select("table", "fp").mapInArrow(_ranges(bits, radius), "table int, head int, fp long, left tinyint")
+    return reached.groupBy("table", "head").applyInArrow(_links(bits, MOST, differing_bits), "table int, a long, b long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, differing_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
@@ -186,18 +190,14 @@ def simhash_components(docs: DataFrame, shingle: int = 4, differing_bits: int =
     fps = cut(fingerprints(docs, shingle, id_col, text_col, tables).withColumn("node", F.col("fp") if tables == 1 else F.xxhash64("fp", "more")))
     distinct = cut(fps.groupBy("node").agg(F.min("_id").alias("low"), F.first("fp").alias("fp"), F.first("more").alias("more")))
     if tables == 1:
-        links = cut(near_fingerprints(distinct, differing_bits))
-    else:
-        parts = []
-        for k in range(tables):
-            own = distinct.select("node", (F.col("fp") if k == 0 else F.element_at("more", k)).alias("own"))
-            near = connected_components(cut(near_fingerprints(own.select(F.col("own").alias("fp")).distinct(), differing_bits)))
-            group = own.join(near.withColumnRenamed("node", "own"), "own", "left").select("node", F.coalesce("root", "own").alias("group"))
-            least = group.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-            parts.append(cut(group.join(least, "group").where("node <> b").select(F.col("node").alias("a"), "b")))
-        links = parts[0]
-        for part in parts[1:]:
-            links = links.union(part)
+        links = near_fingerprints(distinct, differing_bits)
+    else:  # one graph of texts and of all tables' fingerprints: those that are linked, or that several texts have
+        key = lambda fp: F.xxhash64("table", fp)
+        every = distinct.select("node", F.posexplode(F.concat(F.array("fp"), "more")).alias("table", "fp"))
+        near = cut(near_fingerprints(every, differing_bits)).select(key("a").alias("a"), key("b").alias("b"))
+        own = every.select("node", key("fp").alias("key"))
+        used = own.select("key").union(near.select("a")).union(near.select("b")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        links = near.union(own.join(used, "key").select("node", "key"))
     root = connected_components(links)
     named = distinct.join(root, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
