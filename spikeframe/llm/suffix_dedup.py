@@ -29,9 +29,9 @@ from .suffix_array import suffix_array
 
 GRAM = 32
 #: Occurrences from which a gram's strings are hashed one by one; text bytes handled at once; starts in a block.
-HOT, CHUNK, BLOCK = 1000, 8 << 20, 1 << 21
-#: Text bytes for each part; bytes whose suffixes are sorted at once.
-PART, SORTED = 16 << 20, 2_000_000
+HOT, CHUNK, BLOCK = 1000, 2 << 20, 1 << 19
+#: Text bytes for each part of grams; parts of pieces for each of these; bytes whose suffixes are sorted at once.
+PART, FINER, SORTED = 16 << 20, 8, 200_000
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -96,16 +96,19 @@ def _send(h: np.ndarray, at: np.ndarray, ids: np.ndarray, th: np.ndarray, first:
     h, at = h[by], at[by]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
+    doc = np.searchsorted(first, at, "right") - 1  # of empty texts at one place, the last, which is the one that has the byte
+    at = at - first[doc]
     cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)])):
         if lo == hi:
             continue
         fresh = new[lo:hi]
         of = np.cumsum(fresh) - 1
+        used, own = np.unique(doc[lo:hi], return_inverse=True)
         yield b, pack(
             h=np.diff(h[lo:hi][fresh], prepend=np.uint64(0)), at=at[lo:hi][fresh].astype(np.uint32), n=np.bincount(of).astype(np.uint32),
-            more=at[lo:hi][~fresh].astype(np.uint32), of=of[~fresh].astype(np.uint32),
-            ids=np.diff(ids, prepend=0), th=th, first=np.diff(first, prepend=0).astype(np.uint32),
+            more=at[lo:hi][~fresh].astype(np.uint32), of=of[~fresh].astype(np.uint32), ids=np.diff(ids[used], prepend=0), th=th[used],
+            doc=own[fresh].astype(np.uint32), doc_more=own[~fresh].astype(np.uint32),
         )
 
 
@@ -129,27 +132,34 @@ def _met(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         count = total[lo : lo + len(own)]
         lo += len(own)
         at = np.concatenate([x["at"][count > 1], x["more"]]).astype(np.int64)
+        doc = np.concatenate([x["doc"][count > 1], x["doc_more"]])
         count = np.concatenate([count[count > 1], count[x["of"]]])
-        first, ids = np.cumsum(x["first"].astype(np.int64)), np.cumsum(x["ids"])
-        doc = np.searchsorted(first, at, "right") - 1
-        # of empty texts at the same place, the last one is found, which is the one that has the byte
-        out.append((ids[doc], x["th"][doc].astype(np.int64), at - first[doc], count))
+        out.append((np.cumsum(x["ids"])[doc], x["th"][doc].astype(np.int64), at, count))
     return tuple(np.concatenate(a) for a in zip(*out))
 
 
-def _by_document(ids: np.ndarray, th: np.ndarray, **columns: np.ndarray) -> pa.Table:
-    """One row for each document, its columns packed, in the order of the first."""
-    names = list(columns)
-    by = np.lexsort((columns[names[0]], th, ids))
-    ids, th = ids[by], th[by]
+FOUND = "_id long, _th long, found array<struct<x:int,y:int>>"
+
+
+def _by_document(ids: np.ndarray, th: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    """One row for each document with its (x, y), in the order of x."""
+    by = np.lexsort((x, th, ids))
+    ids, th, x, y = ids[by], th[by], x[by].astype(np.int32), y[by].astype(np.int32)
     cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(ids))
-    blobs = [pack(**{k: columns[k][by[a:b]].astype(np.uint32) for k in names}) for a, b in zip(cuts, ends)]
-    return pa.table({"_id": pa.array(ids[cuts], pa.int64()), "_th": pa.array(th[cuts], pa.int64()), "found": pa.array(blobs, pa.binary())})
+    offsets = np.append(cuts, len(ids)).astype(np.int32)
+    found = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+    return pa.table({"_id": pa.array(ids[cuts], pa.int64()), "_th": pa.array(th[cuts], pa.int64()), "found": found})
+
+
+def _found(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y) of all rows, one behind the other, and the number of each row."""
+    flat = col.flatten()
+    return *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("x", "y")), col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _chunks(batches: Batches) -> Iterator[tuple]:
     for piece in pieces(batches, "_text", CHUNK):
+        pa.default_memory_pool().release_unused()
         data, offsets = byte_column(piece.column("_text"))
         yield piece, piece.column("_id").to_numpy(), piece.column("_th").to_numpy().astype(np.uint32), data, offsets
 
@@ -172,7 +182,7 @@ def _grams(length: int, bits: int) -> Callable[[Batches], Batches]:
 def _repeated_grams(hot: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         ids, th, at, count = _met(group.column("entries").to_pylist())
-        return _by_document(ids, th, at=at, hot=count >= hot)
+        return _by_document(ids, th, at, count >= hot)
 
     return run
 
@@ -182,12 +192,8 @@ def _cut_pieces(length: int, bits: int) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for piece, ids, th, data, offsets in _chunks(batches):
-            told, hot = [], []
-            for start, blobs in zip(offsets[:-1].tolist(), piece.column("found").to_pylist()):
-                for x in map(unpack, blobs):
-                    told.append(x["at"].astype(np.int64) + start)
-                    hot.append(x["hot"])
-            told, hot = np.concatenate(told), np.concatenate(hot)
+            told, hot, size = _found(piece.column("found"))
+            told += np.repeat(offsets[:-1], size)
             by = np.argsort(told, kind="stable")
             told, hot = told[by], hot[by]
             gram, at, lo, hi = anchors(data, offsets, length)
@@ -294,12 +300,12 @@ def _runs(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa
     by = np.lexsort((lo, th, ids))
     ids, th, lo, hi = ids[by], th[by], lo[by], hi[by]
     if not len(lo):
-        return _by_document(ids, th, lo=lo, hi=hi)
+        return _by_document(ids, th, lo, hi)
     doc = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])]))
     far = np.maximum.accumulate(hi + (doc << np.int64(33))) - (doc << np.int64(33))
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] > far[:-1])])
     last = np.append(np.flatnonzero(new)[1:], len(lo)) - 1
-    return _by_document(ids[new], th[new], lo=lo[new], hi=far[last])
+    return _by_document(ids[new], th[new], lo[new], far[last])
 
 
 def merge_intervals(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -313,15 +319,16 @@ def merge_intervals(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _remove(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in pieces(batches, "_text", CHUNK):
         out = []
-        for text, blobs in zip(batch.column("_text").to_pylist(), batch.column("found").to_pylist()):
-            raw, xs = text.encode(), [unpack(b) for b in blobs]
-            spans = merge_intervals(np.concatenate([x["lo"] for x in xs]), np.concatenate([x["hi"] for x in xs]))
+        lo, hi, size = _found(batch.column("found"))
+        stop = np.cumsum(size)
+        for text, a, b in zip(batch.column("_text").to_pylist(), (stop - size).tolist(), stop.tolist()):
+            raw, spans = text.encode(), merge_intervals(lo[a:b], hi[a:b])
             kept, end = [], 0
-            for a, b in spans:
-                kept.append(raw[end:a])
-                end = b
+            for first, last in spans:
+                kept.append(raw[end:first])
+                end = last
             kept = b"".join([*kept, raw[end:]])
             out.append((len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
         yield pa.RecordBatch.from_arrays(
@@ -345,11 +352,12 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     bits = min(24, max(6, math.ceil(math.log2(max(1, text_bytes(docs, text_col) / PART)))))
     grams = rows.dropDuplicates(["_id", "_th"]) if _has_copies(docs, id_col) else rows
     sent = grams.mapInArrow(_grams(length, bits), "part int, entries binary")
-    told = sent.groupBy("part").applyInArrow(_repeated_grams(hot), "_id long, _th long, found binary")
-    anchored = cut(told.groupBy("_id", "_th").agg(F.collect_list("found").alias("found")))
-    cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, bits), "kind int, part int, entries binary")
-    covered = cut_up.groupBy("kind", "part").applyInArrow(_covered(length), "_id long, _th long, found binary")
-    spans = cut(covered.groupBy("_id", "_th").agg(F.collect_list("found").alias("found")))
+    told = sent.groupBy("part").applyInArrow(_repeated_grams(hot), FOUND)
+    anchored = cut(told.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
+    finer = min(24, bits + FINER.bit_length() - 1)
+    cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, finer), "kind int, part int, entries binary")
+    covered = cut_up.groupBy("kind", "part").applyInArrow(_covered(length), FOUND)
+    spans = cut(covered.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
     cleaned = only_marked(grams, spans).join(spans, ["_id", "_th"]).mapInArrow(_remove, "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     every = rows.select("_id", "_th", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("plain"))
     return every.join(cleaned, ["_id", "_th"], "left").select(
