@@ -247,14 +247,22 @@ def repeated_starts(text: np.ndarray, cuts: np.ndarray, length: int) -> np.ndarr
     return back[hit]
 
 
-def _covered(length: int) -> Callable[[pa.Table], pa.Table]:
-    """(_id, _th, found): covered byte intervals of each document."""
+def _covered(length: int, docs: int) -> Callable[[pa.Table], pa.Table]:
+    """(part, entries): covered byte intervals, packed for each of `docs` parts of the documents."""
+
+    def sent(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+        ids, th, lo, hi = _runs(ids, th, lo, hi)
+        to = (mix(ids.view(np.uint64) ^ mix(th.astype(np.uint64))) % np.uint64(docs)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) > 0])) if len(by) else by
+        rows = [pack(ids=ids[k], th=th[k].astype(np.uint32), lo=lo[k].astype(np.uint32), hi=hi[k].astype(np.uint32)) for k in np.split(by, first[1:])] if len(by) else []
+        return pa.table({"part": pa.array(to[by][first], pa.int32()), "entries": pa.array(rows, pa.binary())})
 
     def run(group: pa.Table) -> pa.Table:
         blobs = group.column("entries").to_pylist()
         if group.column("kind")[0].as_py() == 1:
             ids, th, at, _ = _met(blobs)
-            return _runs(ids, th, at, at + length)
+            return sent(ids, th, at, at + length)
         xs = [unpack(b) for b in blobs]
         gram, ids, lo, size, text = (np.concatenate([x[k] for x in xs]) for k in ("gram", "id", "lo", "size", "text"))
         th = np.concatenate([x["th"] for x in xs]).astype(np.int64)
@@ -290,22 +298,28 @@ def _covered(length: int) -> Callable[[pa.Table], pa.Table]:
             k = some[which]
             out.append((ids[k], th[k], lo[k] + at - cuts[which], lo[k] + at - cuts[which] + length))
             a = b
-        return _runs(*(np.concatenate(x) for x in zip(*out)))
+        return sent(*(np.concatenate(x) for x in zip(*out)))
 
     return run
 
 
-def _runs(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+def _runs(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
     """Overlapping and touching intervals of a document merged."""
     by = np.lexsort((lo, th, ids))
     ids, th, lo, hi = ids[by], th[by], lo[by], hi[by]
     if not len(lo):
-        return _by_document(ids, th, lo, hi)
+        return ids, th, lo, hi
     doc = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])]))
     far = np.maximum.accumulate(hi + (doc << np.int64(33))) - (doc << np.int64(33))
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] > far[:-1])])
     last = np.append(np.flatnonzero(new)[1:], len(lo)) - 1
-    return _by_document(ids[new], th[new], lo[new], far[last])
+    return ids[new], th[new], lo[new], far[last]
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    """(_id, _th, found): the merged intervals of the documents of one part."""
+    xs = [unpack(b) for b in group.column("entries").to_pylist()]
+    return _by_document(*_runs(*(np.concatenate([x[k].astype(np.int64) for x in xs]) for k in ("ids", "th", "lo", "hi"))))
 
 
 def merge_intervals(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -356,8 +370,8 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     anchored = cut(told.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
     finer = min(24, bits + FINER.bit_length() - 1)
     cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, finer), "kind int, part int, entries binary")
-    covered = cut_up.groupBy("kind", "part").applyInArrow(_covered(length), FOUND)
-    spans = cut(covered.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
+    covered = cut_up.groupBy("kind", "part").applyInArrow(_covered(length, 1 << bits), "part int, entries binary")
+    spans = cut(covered.groupBy("part").applyInArrow(_joined, FOUND))
     cleaned = only_marked(grams, spans).join(spans, ["_id", "_th"]).mapInArrow(_remove, "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     every = rows.select("_id", "_th", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("plain"))
     return every.join(cleaned, ["_id", "_th"], "left").select(
