@@ -9,6 +9,7 @@ anchors, so only pieces around the same gram can share a string. Each start of a
    dealt by gram. In a part, equal pieces are one; where a gram has several different pieces, these are concatenated and
    their suffixes sorted (sorted triples, recursion on names, merge of the remaining suffixes), and neighbours in that
    order are compared over the whole length of a string.
+   What repeats within the texts that a task holds is covered there, and one of its places stands for all.
 3. A gram with very many occurrences (a passage in a third of the documents) would fill one part. Its strings are hashed
    one by one instead, and repeats found by hash range, every task sending a hash once.
 4. Covered bytes go back to their documents, where they merge into maximal runs.
@@ -187,8 +188,32 @@ def _repeated_grams(hot: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _cut_pieces(length: int, bits: int) -> Callable[[Batches], Batches]:
-    """Pieces around repeated grams by gram (kind 0), and string hashes of hot grams by hash (kind 1)."""
+def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of entries equal in all keys, in the order of the last key, and whether an entry has an equal one."""
+    by = np.lexsort(keys)
+    new = np.ones(len(by), bool)
+    new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
+    kind = np.empty(len(by), np.int64)
+    kind[by] = np.cumsum(new) - 1
+    return by[new], (np.bincount(kind) > 1)[kind]
+
+
+def _spans_by_part(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray, docs: int) -> Iterator[tuple[int, bytes]]:
+    """Covered intervals, merged and packed for each of `docs` parts of the documents."""
+    ids, th, lo, hi = _runs(ids, th, lo, hi)
+    if not len(ids):
+        return
+    to = (mix(ids.view(np.uint64) ^ mix(th.astype(np.uint64))) % np.uint64(docs)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    for k in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
+        yield int(to[k[0]]), pack(ids=ids[k], th=th[k].astype(np.uint32), lo=lo[k].astype(np.uint32), hi=hi[k].astype(np.uint32))
+
+
+def _cut_pieces(length: int, bits: int, docs: int) -> Callable[[Batches], Batches]:
+    """Pieces around repeated grams by gram (kind 0), string hashes of hot grams by hash (kind 1), covered intervals (kind 2).
+
+    What repeats within the texts at hand is covered at once, and one of the equal pieces or hashes stands for all.
+    """
 
     def run(batches: Batches) -> Batches:
         for piece, ids, th, data, offsets in _chunks(batches):
@@ -202,14 +227,21 @@ def _cut_pieces(length: int, bits: int) -> Callable[[Batches], Batches]:
             where = np.minimum(np.searchsorted(told, at), len(told) - 1)
             known = told[where] == at
             often = known & (hot[where] > 0)
-            rows = []
+            rows, seen = [], []
             if often.any():
                 some = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[often], hi[often])])
                 h = np.concatenate([string_hash(data[a : b + length], length) for a, b in zip(lo[often], hi[often])])
-                rows += [(1, b, blob) for b, blob in _send(h, some, ids, th, offsets[:-1], bits)]
+                first, twice = _equal(h)
+                rows += [(1, b, blob) for b, blob in _send(h[first], some[first], ids, th, offsets[:-1], bits)]
+                doc = np.searchsorted(offsets, some[twice], "right") - 1
+                seen.append((ids[doc], th[doc], some[twice] - offsets[doc], some[twice] - offsets[doc] + length))
             sel = np.flatnonzero(known & ~often)
             if len(sel):
-                sel = sel[np.argsort(gram[sel], kind="stable")]
+                first, twice = _equal(span_hash(data, lo[sel], hi[sel] + length), gram[sel])
+                k = sel[twice]
+                doc = np.searchsorted(offsets, lo[k], "right") - 1
+                seen.append((ids[doc], th[doc], lo[k] - offsets[doc], hi[k] + length - offsets[doc]))
+                sel = sel[first]
                 part = (gram[sel] >> np.uint64(64 - bits)).astype(np.int64)
                 doc = np.searchsorted(offsets, lo[sel], "right") - 1
                 for p in np.unique(part).tolist():
@@ -218,6 +250,8 @@ def _cut_pieces(length: int, bits: int) -> Callable[[Batches], Batches]:
                     size = hi[k] + length - lo[k]
                     text = np.concatenate([data[a:b] for a, b in zip(lo[k], hi[k] + length)])
                     rows.append((0, p, pack(gram=gram[k], id=ids[d], th=th[d], lo=(lo[k] - offsets[d]).astype(np.uint32), size=size.astype(np.uint32), text=text)))
+            if seen:
+                rows += [(2, p, blob) for p, blob in _spans_by_part(*(np.concatenate(x) for x in zip(*seen)), docs)]
             for i in range(0, len(rows), 64):
                 yield _rows(rows[i : i + 64], ["kind", "part", "entries"])
 
@@ -251,12 +285,8 @@ def _covered(length: int, docs: int) -> Callable[[pa.Table], pa.Table]:
     """(part, entries): covered byte intervals, packed for each of `docs` parts of the documents."""
 
     def sent(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
-        ids, th, lo, hi = _runs(ids, th, lo, hi)
-        to = (mix(ids.view(np.uint64) ^ mix(th.astype(np.uint64))) % np.uint64(docs)).astype(np.int32)
-        by = np.argsort(to, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) > 0])) if len(by) else by
-        rows = [pack(ids=ids[k], th=th[k].astype(np.uint32), lo=lo[k].astype(np.uint32), hi=hi[k].astype(np.uint32)) for k in np.split(by, first[1:])] if len(by) else []
-        return pa.table({"part": pa.array(to[by][first], pa.int32()), "entries": pa.array(rows, pa.binary())})
+        rows = list(_spans_by_part(ids, th, lo, hi, docs))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "entries": pa.array([r[1] for r in rows], pa.binary())})
 
     def run(group: pa.Table) -> pa.Table:
         blobs = group.column("entries").to_pylist()
@@ -264,6 +294,8 @@ def _covered(length: int, docs: int) -> Callable[[pa.Table], pa.Table]:
             ids, th, at, _ = _met(blobs)
             return sent(ids, th, at, at + length)
         xs = [unpack(b) for b in blobs]
+        if group.column("kind")[0].as_py() == 2:
+            return sent(*(np.concatenate([x[k].astype(np.int64) for x in xs]) for k in ("ids", "th", "lo", "hi")))
         gram, ids, lo, size, text = (np.concatenate([x[k] for x in xs]) for k in ("gram", "id", "lo", "size", "text"))
         th = np.concatenate([x["th"] for x in xs]).astype(np.int64)
         lo, size = lo.astype(np.int64), size.astype(np.int64)
@@ -271,15 +303,8 @@ def _covered(length: int, docs: int) -> Callable[[pa.Table], pa.Table]:
         starts = ends - size
         # equal pieces of a gram are one; if there are two, all of both is covered
         h = span_hash(text, starts, ends)
-        by = np.lexsort((h, gram))
-        new = np.ones(len(by), bool)
-        new[1:] = (gram[by][1:] != gram[by][:-1]) | (h[by][1:] != h[by][:-1])
-        kind = np.empty(len(by), np.int64)
-        kind[by] = np.cumsum(new) - 1
-        many = np.bincount(kind) > 1
-        twice = many[kind]
+        reps, twice = _equal(h, gram)
         out = [(ids[twice], th[twice], lo[twice], lo[twice] + size[twice])]
-        reps = by[new]
         fresh = np.ones(len(reps), bool)
         fresh[1:] = gram[reps][1:] != gram[reps][:-1]
         per_gram = np.bincount(np.cumsum(fresh) - 1)
@@ -369,7 +394,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     told = sent.groupBy("part").applyInArrow(_repeated_grams(hot), FOUND)
     anchored = cut(told.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
     finer = min(24, bits + FINER.bit_length() - 1)
-    cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, finer), "kind int, part int, entries binary")
+    cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, finer, 1 << bits), "kind int, part int, entries binary")
     covered = cut_up.groupBy("kind", "part").applyInArrow(_covered(length, 1 << bits), "part int, entries binary")
     spans = cut(covered.groupBy("part").applyInArrow(_joined, FOUND))
     cleaned = only_marked(grams, spans).join(spans, ["_id", "_th"]).mapInArrow(_remove, "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
