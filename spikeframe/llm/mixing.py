@@ -20,9 +20,11 @@ from .common import cut
 PLAN_ROWS = 100_000
 
 
-def source_targets(docs: DataFrame, weights: DataFrame | None, source_col: str, most: float) -> DataFrame:
+def source_targets(docs: DataFrame, weights: DataFrame | None, source_col: str, most: float | None) -> DataFrame:
     """(_src, n, k): documents of each source and how many of them the mix takes."""
     n = docs.groupBy("_src").agg(F.count("*").alias("n"))
+    if weights is None and most is None:
+        return n.select("_src", "n", F.col("n").alias("k"))
     if weights is None:
         bound = n.agg(F.floor(F.percentile("n", F.lit(0.5)) * most).alias("bound"))
         return n.join(F.broadcast(bound)).select("_src", "n", F.least("n", F.greatest("bound", F.lit(1))).alias("k"))  # bound: one row
@@ -58,11 +60,12 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, slots: int = 2000, most: float = 4.0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, slots: int = 2000, most: float | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents of the mix, all columns of `docs` and block, slot, position (replaced if there were such).
 
     `weights` has `source_col` and weight; as many documents are taken as allow every source its share of the whole.
-    Without it, sources are weighted by size, but none by more than `most` times the median size. Within a source, the
+    Without it, sources are weighted by size and every document is placed; only if the caller gives `most`, no source
+    takes more than that many times the median size. Within a source, the
     order is that of the ids' MD5. `position` counts from 0 over the whole mix; sorting by it gives the interleaved order.
     Rows without a source form one source; rows that share an id are rows of their own, in the order of their hashes.
     An empty table gives an empty result. Tables of sources, buckets and slots are held small: their size depends on the
