@@ -77,7 +77,7 @@ def only_marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
     Tasks get a bitmap of fixed size; with ever more marked rows it lets ever more others pass, but loses none.
     """
     spark = rows.sparkSession
-    bit = F.pmod(F.xxhash64("_id", "_th"), F.lit(MARKS))
+    bit = F.pmod(F.xxhash64("_id", "_th"), F.lit(MARKS)) + 1  # bucket 0 would hold the position 0 alone
     maps = marked.select(F.bitmap_bucket_number(bit).alias("n"), F.bitmap_bit_position(bit).alias("b")).groupBy("n").agg(F.bitmap_construct_agg("b").alias("map"))
     bits = np.zeros(MARKS // 8 + 4096, np.uint8)
     for r in maps.collect():  # at most MARKS / 32768 rows of 4 KB
