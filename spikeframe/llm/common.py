@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -26,10 +27,12 @@ NULL_ID = -(2**63)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only if there is none, a temporary one."""
+    """The folder that the session names in spark.checkpoint.dir; if there is none, a temporary one on a single machine only."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spikeframe-"))
     return named or sc.getCheckpointDir()
 
@@ -49,17 +52,25 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, _text) of every row: id as long (null: NULL_ID), 32 hash bits of the text, text (null: empty).
+def keys_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column, Column]:
+    """Columns of a row's id as long (null: NULL_ID), 32 hash bits of its text, and the text (null: empty).
 
-    Rows that share an id are told apart by their texts; rows that share both are one document.
+    Rows that share an id are told apart by their texts; rows that share both are one document. Where every row has an id
+    of its own, the hash bits are 0.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_th"),
-        text.alias("_text"),
-    )
+    th = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)) if has_copies(docs, id_col) else F.lit(0).cast("long")
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), th, text
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _th, _text) of every row, by keys_of()."""
+    return docs.select(*(c.alias(n) for c, n in zip(keys_of(docs, id_col, text_col), ("_id", "_th", "_text"))))
+
+
+def has_copies(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether any id, or none, stands in more than one row."""
+    return not docs.groupBy(F.col(id_col).cast("long")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def shown_id(col: str = "_id"):
@@ -204,3 +215,38 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
         planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1)
         out[k] = np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
     return out
+
+
+def deal(ids: np.ndarray, th: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, entries): places in documents, packed for each of `parts` parts of the documents; dealt() gives them back."""
+    to = (mix(ids.view(np.uint64) ^ mix(th.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((at, th, ids, to))
+    for k in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else ():
+        new = np.ones(len(k), bool)
+        new[1:] = (ids[k][1:] != ids[k][:-1]) | (th[k][1:] != th[k][:-1])
+        own, some = k[new], np.diff(np.append(np.flatnonzero(new), len(k)))
+        yield int(to[k[0]]), pack(ids=np.diff(ids[own], prepend=0), th=th[own].astype(np.uint32), n=some.astype(np.uint32), at=np.diff(at[k].astype(np.uint32), prepend=np.uint32(0)))
+
+
+def dealt(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, th, places) of deal()."""
+    x = unpack(blob)
+    return np.repeat(np.cumsum(x["ids"]), x["n"]), np.repeat(x["th"], x["n"]), np.cumsum(x["at"], dtype=np.uint32)
+
+
+def rows_of(rows: Iterator[tuple], names: list[str], together: int = 64) -> Iterator[pa.RecordBatch]:
+    """Rows of whole numbers and, last, bytes, as batches of a few rows each."""
+    kinds = [pa.int32()] * (len(names) - 1) + [pa.binary()]
+    while some := list(itertools.islice(rows, together)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names)
+
+
+def carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The same rows under column names that no operator uses inside, and these names, in the order of the columns."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def restored(rows: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of `docs` from rows that hold them under `names`."""
+    return rows.select(*(F.col(c).alias(name) for c, name in zip(names, docs.columns)))

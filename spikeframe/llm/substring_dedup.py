@@ -1,10 +1,12 @@
 """Substring deduplication by Rabin-Karp hashes of every fixed-length token window.
 
-1. Each task hashes all windows of its documents and keeps, for every hash, the first occurrence in the task; the
-   others are repeats at once. So a passage that a third of the documents share sends one entry a task.
-2. The entries are dealt by the leading hash bits: one compressed row for each task and hash range. For each range,
-   equal hashes of all tasks meet; all but the earliest occurrence, by (document, position), are repeats.
-3. Repeats go back to their documents, where the windows' words merge into maximal removal intervals.
+1. Each task hashes all windows of its documents, some million at a time, and keeps of every hash the first place; the
+   others are repeats at once. So a passage that a third of the documents share sends one place for some million windows.
+2. The places are dealt by the leading hash bits, one compressed row for each hash range, which names the documents
+   that it uses and no others: what is sent grows with the text, not with the number of ranges. In each range, equal hashes
+   of all tasks meet; all but the earliest place, by (document, position), are repeats.
+3. Repeats, those of step 1 directly, go to their documents' parts, where the windows' words merge into maximal removal
+   intervals.
 
 Windows are compared by a 64-bit hash.
 """
@@ -19,94 +21,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, cut, keyed, only_marked, pack, pieces, shown_id, span_hash, text_bytes, unpack, window_hash, word_spans
+from .common import byte_column, cut, deal, dealt, keyed, only_marked, pack, pieces, rows_of, shown_id, span_hash, text_bytes, unpack, window_hash, word_spans
 
-#: Text bytes hashed at once, and text bytes for each hash range.
-CHUNK, RANGE = 6 << 20, 8 << 20
+#: Text bytes hashed at once, windows sorted at once, text bytes for each hash range; hash ranges for each part of the documents.
+CHUNK, SORTED, RANGE, COARSER = 6 << 20, 4_000_000, 16 << 20, 4
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def _entries(width: int, bits: int) -> Callable[[Batches], Batches]:
+def split_repeats(h: np.ndarray, i: np.ndarray, t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (id, th, position) with hashes: the earliest of each hash, in the order of hashes, and those that repeat one.
+
+    The same place given twice, as by a document that stands twice in the table, does not repeat itself.
+    """
+    by = np.argsort(h)
+    s = h[by]
+    equal = s[1:] == s[:-1]
+    several = np.zeros(len(h), bool)
+    several[1:] |= equal
+    several[:-1] |= equal
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), ~equal]))
+    some = by[several]
+    some = some[np.lexsort((p[some], t[some], i[some], h[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = h[some][1:] != h[some][:-1]
+    lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))] if len(some) else some
+    late = some[(i[some] != i[lead]) | (t[some] != t[lead]) | (p[some] != p[lead])]
+    first = by[starts]
+    first[several[starts]] = some[new]
+    return first, late
+
+
+def _send(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, th: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, part, entries): earliest places by hash range (kind 0), the others by their documents' part (kind 1)."""
+    order = np.lexsort((th, ids))
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    ids, th, doc = ids[order], th[order], place[doc]
+    first, late = split_repeats(h, ids[doc], th[doc], pos)
+    yield from ((1, part, blob) for part, blob in deal(ids[doc[late]], th[doc[late]], pos[late], parts))
+    h, doc, pos = h[first], doc[first], pos[first]
+    cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)])):
+        if lo < hi:
+            used, own = np.unique(doc[lo:hi], return_inverse=True)
+            yield 0, b, pack(h=np.diff(h[lo:hi], prepend=np.uint64(0)), doc=own.astype(np.uint32), pos=pos[lo:hi], ids=np.diff(ids[used], prepend=0), th=th[used])
+
+
+def _entries(width: int, bits: int, parts: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        held: list[tuple] = []
+        size = docs = 0
+
+        def sent() -> Batches:
+            h, doc, pos, ids, th = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            yield from rows_of(_send(h, doc, pos, ids, th, bits, parts), ["kind", "part", "entries"])
+
         for piece in pieces(batches, "_text", CHUNK):
-            ids, th = piece.column("_id").to_numpy(), piece.column("_th").to_numpy()
-            order = np.lexsort((th, ids))
-            piece, ids, th = piece.take(pa.array(order)), ids[order], th[order].astype(np.uint32)
             data, offsets = byte_column(piece.column("_text"))
             starts, ends, first = word_spans(data, offsets)
-            words = span_hash(data, starts, ends)
-            h = window_hash(words, width)
+            h = window_hash(span_hash(data, starts, ends), width)
             last = np.repeat(first[1:], np.diff(first))[: len(h)]
             at = np.flatnonzero(np.arange(len(h)) + width <= last)
-            h = h[at]
-            if not len(h):
-                continue
-            by = np.argsort(h, kind="stable")
-            h, at = h[by], at[by].astype(np.uint32)
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = h[1:] != h[:-1]
-            # an exact copy with the same id is the same occurrence, not a repeat
-            group = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
             doc = np.searchsorted(first, at, "right") - 1
-            same = (ids[doc] == ids[doc[group]]) & (th[doc] == th[doc[group]]) & (at - first[doc] == at[group] - first[doc[group]])
-            cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-            rows = []
-            for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)])):
-                if lo == hi:
-                    continue
-                new, twice = fresh[lo:hi], ~fresh[lo:hi] & ~same[lo:hi]
-                rows.append((b, pack(
-                    h=np.diff(h[lo:hi][new], prepend=np.uint64(0)), at=at[lo:hi][new], twice=at[lo:hi][twice],
-                    ids=np.diff(ids, prepend=0), th=th, first=np.diff(first[:-1], prepend=0).astype(np.uint32),
-                )))
-                if len(rows) >= 64:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
+            held.append((h[at], (doc + docs).astype(np.uint32), (at - first[doc]).astype(np.uint32), piece.column("_id").to_numpy(), piece.column("_th").to_numpy().astype(np.uint32)))
+            size, docs = size + len(at), docs + piece.num_rows
+            if size >= SORTED:
+                yield from sent()
+                size = docs = 0
+        if size:
+            yield from sent()
 
     return run
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """(_id, _th, at) for each document with repeats in this hash range; at: first words of the windows."""
-    hs, ids, ths, pos, done = [], [], [], [], []
-    for blob in group.column("entries").to_pylist():
-        x = unpack(blob)
-        first = np.cumsum(x["first"].astype(np.int64))
-        doc_ids = np.cumsum(x["ids"])
-        for name in ("at", "twice"):
-            at = x[name].astype(np.int64)
-            doc = np.searchsorted(first, at, "right") - 1
-            if name == "at":
-                hs.append(np.cumsum(x["h"]))
-                ids.append(doc_ids[doc])
-                ths.append(x["th"][doc])
-                pos.append((at - first[doc]).astype(np.uint32))
-            else:
-                done.append((doc_ids[doc], x["th"][doc], (at - first[doc]).astype(np.uint32)))
-    h, i, t, p = (np.concatenate(a) for a in (hs, ids, ths, pos))
-    by = np.argsort(h)
-    sorted_h = h[by]
-    equal = sorted_h[1:] == sorted_h[:-1]
-    shared = np.zeros(len(h), bool)
-    shared[1:] |= equal
-    shared[:-1] |= equal
-    by = by[shared]
-    h, i, t, p = h[by], i[by], t[by], p[by]
-    by = np.lexsort((p, t, i, h))
-    h, i, t, p = h[by], i[by], t[by], p[by]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = h[1:] != h[:-1]
-    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    late = ~((i == i[lead]) & (t == t[lead]) & (p == p[lead]))
-    i, t, p = (np.concatenate([a[late], *(d[k] for d in done)]) for k, a in enumerate((i, t, p)))
-    by = np.lexsort((p, t, i))
-    i, t, p = i[by], t[by], p[by]
-    cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])) if len(i) else np.zeros(0, np.int64)
-    at = [pack(at=np.diff(x, prepend=np.uint32(0))) for x in np.split(p, cut[1:])] if len(i) else []
-    return pa.table({"_id": pa.array(i[cut], pa.int64()), "_th": pa.array(t[cut].astype(np.int64), pa.int64()), "at": pa.array(at, pa.binary())})
+def _repeats(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """(part, entries): the repeated windows of a hash range, by their documents' part; what is dealt so already passes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        if group.column("kind")[0].as_py() == 1:
+            return group.select(["part", "entries"])
+        hs, ids, ths, pos = [], [], [], []
+        for blob in group.column("entries").to_pylist():
+            x = unpack(blob)
+            hs.append(np.cumsum(x["h"]))
+            ids.append(np.cumsum(x["ids"])[x["doc"]])
+            ths.append(x["th"][x["doc"]])
+            pos.append(x["pos"])
+        h, i, t, p = (np.concatenate(a) for a in (hs, ids, ths, pos))
+        late = split_repeats(h, i, t, p)[1]
+        rows = list(deal(i[late], t[late], p[late], parts))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "entries": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
 
 
 def merge_windows(at: np.ndarray, width: int) -> np.ndarray:
@@ -118,28 +126,38 @@ def merge_windows(at: np.ndarray, width: int) -> np.ndarray:
     return np.stack([at[new], np.concatenate([at[new[1:] - 1], at[-1:]]) + width], axis=1)
 
 
-def _removed(width: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            out = []
-            for text, blobs in zip(batch.column("_text").to_pylist(), batch.column("at").to_pylist()):
-                words = text.encode().split()
-                at = np.concatenate([np.cumsum(unpack(b)["at"].astype(np.int64)) for b in blobs])
-                spans = merge_windows(at, width)
-                kept, end = [], 0
-                for a, b in spans.tolist():
-                    kept += words[end:a]
-                    end = b
-                kept += words[end:]
-                out.append((len(words) - len(kept), [{"start": a, "end": b} for a, b in spans.tolist()], b" ".join(kept).decode()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_th"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[2] for o in out], pa.string())],
-                ["_id", "_th", "n_removed", "spans", "kept"],
-            )
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def _merged(width: int) -> Callable[[pa.Table], pa.Table]:
+    """(_id, _th, spans) of each document of a part that has repeated windows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, t, p = (np.concatenate(x) for x in zip(*(dealt(b) for b in group.column("entries").to_pylist())))
+        by = np.lexsort((p, t, i))
+        i, t, p = i[by], t[by], p[by].astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]))
+        spans = [[{"start": a, "end": b} for a, b in merge_windows(x, width).tolist()] for x in np.split(p, cuts[1:])]
+        return pa.table({"_id": pa.array(i[cuts], pa.int64()), "_th": pa.array(t[cuts].astype(np.int64), pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     return run
 
 
+def _removed(batches: Batches) -> Batches:
+    for batch in batches:
+        n, texts = [], []
+        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
+            words = text.encode().split()
+            kept, end = [], 0
+            for span in spans:
+                kept += words[end : span["start"]]
+                end = span["end"]
+            kept += words[end:]
+            n.append(len(words) - len(kept))
+            texts.append(b" ".join(kept).decode())
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(n, pa.int64()), batch.column("spans"), pa.array(texts, pa.string())], ["_id", "_th", "n_removed", "spans", "kept"])
+
+
 def _plain(batches: Batches) -> Batches:
     import hashlib
 
@@ -152,14 +170,17 @@ def _plain(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["_id", "_th", "n_words", "plain_sha256"])
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, blobs): for each document with repeated windows, packed lists of the windows' first words."""
-    if width < 1:
-        raise ValueError("width must be positive")
-    bits = min(24, max(6, math.ceil(math.log2(max(1, text_bytes(docs, text_col) / RANGE)))))
-    entries = keyed(docs, id_col, text_col).mapInArrow(_entries(width, bits), "bucket int, entries binary")
-    found = entries.groupBy("bucket").applyInArrow(_repeats, "_id long, _th long, at binary")
-    return found.groupBy("_id", "_th").agg(F.collect_list("at").alias("at"))
+def hash_ranges(size: int) -> int:
+    """Leading hash bits that deal `size` bytes of text into ranges."""
+    return min(24, max(6, math.ceil(math.log2(max(1, size / RANGE)))))
+
+
+def repeated_windows(rows: DataFrame, width: int, bits: int) -> DataFrame:
+    """(_id, _th, spans): of each document of (_id, _th, _text) with repeated windows, the intervals of words that they cover."""
+    parts = max(16, (1 << bits) // COARSER)
+    entries = rows.mapInArrow(_entries(width, bits, parts), "kind int, part int, entries binary")
+    found = entries.groupBy("kind", "part").applyInArrow(_repeats(parts), "part int, entries binary")
+    return found.groupBy("part").applyInArrow(_merged(width), f"_id long, _th long, spans {SPANS}")
 
 
 def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,15 +193,17 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     hashes give the order; rows that share id and text are one document and get the same result. Texts of fewer words
     than a window keep all. Other columns are left aside.
     """
+    if width < 1:
+        raise ValueError("width must be positive")
     rows = keyed(docs, id_col, text_col)
-    found = cut(repeated_windows(docs, width, id_col, text_col))
-    cleaned = only_marked(rows, found).join(found, ["_id", "_th"]).mapInArrow(_removed(width), "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["_id", "_th"])
+    found = cut(repeated_windows(rows, width, hash_ranges(text_bytes(docs, text_col))))
+    cleaned = only_marked(rows, found).join(found, ["_id", "_th"]).mapInArrow(_removed, f"_id long, _th long, n_removed long, spans {SPANS}, kept string").dropDuplicates(["_id", "_th"])
     every = rows.mapInArrow(_plain, "_id long, _th long, n_words long, plain_sha256 string")
     return every.join(cleaned, ["_id", "_th"], "left").select(
         shown_id().alias(id_col),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
+        F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
         "kept",
         F.coalesce(F.sha2("kept", 256), "plain_sha256").alias("kept_sha256"),
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, byte_column, cut, keyed, mix, only_marked, pack, pieces, shown_id, span_hash, text_bytes, unpack
+from .common import BASE, byte_column, cut, has_copies, keyed, mix, only_marked, pack, pieces, shown_id, span_hash, text_bytes, unpack
 from .suffix_array import suffix_array
 
 GRAM = 32
@@ -389,7 +389,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         raise ValueError("length must be at least 64")
     rows = keyed(docs, id_col, text_col)
     bits = min(24, max(6, math.ceil(math.log2(max(1, text_bytes(docs, text_col) / PART)))))
-    grams = rows.dropDuplicates(["_id", "_th"]) if _has_copies(docs, id_col) else rows
+    grams = rows.dropDuplicates(["_id", "_th"]) if has_copies(docs, id_col) else rows
     sent = grams.mapInArrow(_grams(length, bits), "part int, entries binary")
     told = sent.groupBy("part").applyInArrow(_repeated_grams(hot), FOUND)
     anchored = cut(told.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
@@ -408,7 +408,3 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         F.coalesce(F.sha2("kept", 256), "plain").alias("kept_sha256"),
     )
 
-
-def _has_copies(docs: DataFrame, id_col: str) -> bool:
-    """Whether any id, or none, stands in more than one row."""
-    return not docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
