@@ -4,7 +4,9 @@
    up before it meets itself, then by hash, with the largest document that holds it.
 2. Hashes found in enough documents (no other line can ever go) are dealt into shards. Each shard gets a minimal perfect
    hash: levels of bits, a key's place being the rank of its bit; fingerprints, counts and keepers stand in arrays by place.
-3. Documents are read past the arrays of one block of shards at a time, broadcast, of bounded bytes; lines are never joined.
+3. Arrays of up to BLOCK_BYTES in all are broadcast, and documents probe them as they are read; no line moves. Larger
+   ones stay where they are: each task deals its lines' hashes, packed, to the shards that own them, which probe and send
+   the numbers of the lines that go back to their documents. The texts are read once for that, however many shards.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WHITE, cut, keyed, mix, pieces
+from .common import LOWER, UPPER, WHITE, cut, deal, dealt, keys_of, mix, pack, pieces, rows_of, text_bytes, unpack
 
-#: Keys of a shard; bytes of arrays broadcast at once; text bytes probed at once.
-SHARD_KEYS, BLOCK_BYTES, CHUNK = 50_000, 64 << 20, 4 << 20
+#: Keys of a shard; bytes of arrays that are broadcast; text bytes probed at once; packs of lines that one task probes.
+SHARD_KEYS, BLOCK_BYTES, CHUNK, DEALT = 50_000, 64 << 20, 4 << 20, 2_000
 
 
 class PerfectHash:
@@ -82,10 +84,10 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
-def line_counts(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+def line_counts(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(h, n, keeper): hash of each line key that enough documents hold, their number, the largest of them."""
     hashes = F.transform(F.split("_text", "\n", -1), lambda x: F.when(F.length(line_key(x)) >= min_chars, F.xxhash64(line_key(x))))
-    held = keyed(docs, id_col, text_col).select("_id", F.explode(F.array_distinct(F.array_compact(hashes))).alias("h")).distinct()
+    held = rows.select("_id", F.explode(F.array_distinct(F.array_compact(hashes))).alias("h")).distinct()
     return held.groupBy("h").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs)
 
 
@@ -112,20 +114,64 @@ def _dropped(lines: list[str], doc: int, min_chars: int, index: dict[int, Shard]
     return sorted(out)
 
 
-def _probe(shared, shards: int, min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Drops the lines that this block of shards tells of; marks go on to the next block."""
+def _lines(min_chars: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(shard, entries): hashes, document and line number of all lines long enough, packed for each shard; some million bytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {s: pickle.loads(b) for s, b in shared.value}
         for piece in pieces(batches, "_text", CHUNK):
-            out = [_dropped(t.split("\n"), i, min_chars, index, shards) for i, t in zip(piece.column("_id").to_pylist(), piece.column("_text").to_pylist())]
-            hit = [k for k, x in enumerate(out) if x]
-            yield pa.RecordBatch.from_arrays([piece.column("_id").take(pa.array(hit, pa.int64())), piece.column("_th").take(pa.array(hit, pa.int64())), pa.array([out[k] for k in hit], pa.list_(pa.int32()))], ["_id", "_th", "lines"])
+            h, doc, number = [], [], []
+            for d, text in enumerate(piece.column("_text").to_pylist()):
+                for i, line in enumerate(text.split("\n")):
+                    key = line.strip(WHITE)
+                    if len(key) >= min_chars:
+                        h.append(xxhash.xxh64_intdigest(key.encode().lower(), 42))
+                        doc.append(d)
+                        number.append(i)
+            if h:
+                yield from rows_of(_by_shard(np.array(h, np.uint64), np.array(doc), np.array(number, np.uint32), piece.column("_id").to_numpy(), piece.column("_th").to_numpy(), shards), ["shard", "entries"])
 
     return run
 
 
-def _clean(shared, shards: int, min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _by_shard(h: np.ndarray, doc: np.ndarray, number: np.ndarray, ids: np.ndarray, th: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    shard = h.view(np.int64) % shards
+    by = np.lexsort((doc, shard))
+    for k in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+        used, own = np.unique(doc[k], return_inverse=True)
+        yield int(shard[k[0]]), pack(h=h[k], line=number[k], doc=own.astype(np.uint32), ids=np.diff(ids[used], prepend=0), th=th[used].astype(np.uint32))
+
+
+def _probe(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(part, entries): the lines of a shard that go, by their documents' part."""
+
+    def run(lines: pa.Table, arrays: pa.Table) -> pa.Table:
+        rows: list[tuple[int, bytes]] = []
+        if lines.num_rows and arrays.num_rows:
+            shard: Shard = pickle.loads(arrays.column("arrays")[0].as_py())
+            found = []
+            for blob in lines.column("entries").to_pylist():
+                x = unpack(blob)
+                ids, th = np.cumsum(x["ids"])[x["doc"]], x["th"][x["doc"]]
+                hit, keeper = shard.probe(x["h"])
+                gone = np.flatnonzero(hit)[keeper != ids[hit]]
+                found.append((ids[gone], th[gone], x["line"][gone]))
+            rows = list(deal(*(np.concatenate(x) for x in zip(*found)), parts))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "entries": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _marks(group: pa.Table) -> pa.Table:
+    """(_id, _th, gone): the numbers of the lines that go, for each document of a part."""
+    i, t, line = (np.concatenate(x) for x in zip(*(dealt(b) for b in group.column("entries").to_pylist())))
+    by = np.lexsort((line, t, i))
+    i, t, line = i[by], t[by], line[by]
+    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]))
+    gone = pa.ListArray.from_arrays(pa.array(np.append(new, len(i)).astype(np.int32)), pa.array(line.astype(np.int32)))
+    return pa.table({"_id": pa.array(i[new], pa.int64()), "_th": pa.array(t[new].astype(np.int64), pa.int64()), "gone": gone})
+
+
+def _clean(shared, shards: int, min_chars: int, kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Whole texts without the lines in `gone` and those that the shards in `shared` tell of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +184,36 @@ def _clean(shared, shards: int, min_chars: int) -> Callable[[Iterator[pa.RecordB
                 texts.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
                 n.append(len(lines))
                 gone.append(len(drop))
-            rest = [c for c in piece.schema.names if c not in ("_id", "_th", "_text", "gone")]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*rest, "_kept", "_n_lines", "_n_dropped"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*kept, "_kept", "_n_lines", "_n_dropped"])
 
     return run
 
 
+def lines_dropped(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """Every row of `docs` under private column names with _kept, _n_lines and _n_dropped, and the names to give back."""
+    spark = docs.sparkSession
+    ident, th, text = keys_of(docs, id_col, text_col)
+    every = docs.select(ident.alias("_id"), th.alias("_th"), text.alias("_text"))
+    found = cut(line_counts(every, min_chars, min_docs))
+    shards = max(1, -(-found.count() // SHARD_KEYS))
+    built = cut(found.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, "shard int, arrays binary"))
+    kept = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)), ident.alias("_id"), th.alias("_th"), text.alias("_text"))
+    rest = [k for c, k in zip(docs.columns, kept) if c != text_col]
+    if (built.agg(F.sum(F.length("arrays")).alias("size")).first()["size"] or 0) <= block_bytes:
+        arrays = [(r["shard"], r["arrays"]) for r in built.collect()]  # at most block_bytes
+        rows = rows.withColumn("gone", F.lit(None).cast("array<int>"))
+    else:
+        arrays, parts = [], max(16, shards)
+        deals = max(1, -(-text_bytes(every, "_text") // (CHUNK * DEALT)))
+        told = every.mapInArrow(_lines(min_chars, shards), "shard int, entries binary").withColumn("deal", F.pmod(F.xxhash64("entries"), F.lit(deals)).cast("int"))
+        copies = built.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        gone = told.groupBy("shard", "deal").cogroup(copies.groupBy("shard", "deal")).applyInArrow(_probe(parts), "part int, entries binary")
+        rows = rows.join(cut(gone.groupBy("part").applyInArrow(_marks, "_id long, _th long, gone array<int>")), ["_id", "_th"], "left")
+    schema = ", ".join([*(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(docs.columns, kept) if k in rest), "_kept string, _n_lines long, _n_dropped long"])
+    return rows.mapInArrow(_clean(spark.sparkContext.broadcast(arrays), shards, min_chars, rest), schema), kept
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of `docs` with the text's repeated lines dropped, and n_lines, n_dropped (replaced if there were such).
 
@@ -152,40 +222,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     Texts are split at line feeds; a null or empty text is one empty line and stays as it is. Documents are told apart
     by id: rows that share an id count as one document, rows without an id too, which comes before all others.
     """
-    spark = docs.sparkSession
-    found = cut(line_counts(docs, min_chars, min_docs, id_col, text_col))
-    shards = max(1, -(-found.count() // SHARD_KEYS))
-    built = cut(found.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, "shard int, arrays binary"))
-    sizes = built.select("shard", F.length("arrays").alias("size")).orderBy("shard").collect()  # two numbers a shard
-    blocks: list[list[int]] = [[]]
-    filled = 0
-    for r in sizes:
-        if blocks[-1] and filled + r["size"] > block_bytes:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append(r["shard"])
-        filled += r["size"]
-
-    def share(block: list[int]):
-        return spark.sparkContext.broadcast([(r["shard"], r["arrays"]) for r in built.where(F.col("shard").isin(block)).collect()])
-
-    every = keyed(docs, id_col, text_col)
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(rest)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_th"), text.alias("_text"))
-    if len(blocks) > 1:  # all blocks but the last tell beforehand which lines go
-        marks = None
-        for block in blocks[:-1]:
-            shared = share(block)
-            told = cut(every.mapInArrow(_probe(shared, shards, min_chars), "_id long, _th long, lines array<int>"))
-            shared.unpersist()
-            marks = told if marks is None else marks.union(told)
-        gone = marks.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
-        rows = rows.join(gone, ["_id", "_th"], "left")
-    else:
-        rows = rows.withColumn("gone", F.lit(None).cast("array<int>"))
-    schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(rest)), "_kept string, _n_lines long, _n_dropped long"])
-    out = rows.mapInArrow(_clean(share(blocks[-1]), shards, min_chars), schema)
-    name = {c: f"c{k}" for k, c in enumerate(rest)}
-    shown = [F.col("_kept").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in docs.columns if c in name or c == text_col]
+    out, kept = lines_dropped(docs, min_chars, min_docs, id_col, text_col, block_bytes)
+    shown = [F.col("_kept" if c == text_col else k).alias(c) for c, k in zip(docs.columns, kept) if c not in ("n_lines", "n_dropped")]
     return out.select(*shown, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
