@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-1. A bounded sample of labelled texts, half of each label where there are enough, gives the examples. Terms (words and the
-   first five letters of longer words) make up the vocabulary if their presence goes with label 1, by a z-score, and
-   raises its odds several times; so words that are merely more usual in one language or in longer texts stay out.
-2. All documents are read once: each becomes the counts of vocabulary terms in its whole text. Document frequencies are
-   counted over all of them.
-3. Examples with equal vectors become one entry with the weight of each label. An inverted index holds, for each term,
-   the entries and their weights, and the largest weight in each block of entries. A query adds up block maxima; blocks
-   are scored in the order of that bound until no other block can reach the k-th best cosine: the k nearest are exact.
-4. Neighbours vote by their distance; the vote is calibrated by isotonic regression on the examples' own votes, each
-   made without the example itself. Labels weigh as much as they do among all labelled rows.
+1. A bounded sample of labelled texts, half of each label where there are enough, gives the examples. Every word in them,
+   and the first five letters of every longer one, is a term.
+2. Document frequencies of the terms are counted over all documents. A term weighs (1 + ln count) * idf * (|z| + 0.1) in a
+   text, z being the two-sample z-score of its presence by label: supervised TF-IDF, in which a term that says nothing
+   about the label still counts, but little. Vectors have length 1.
+3. Examples with equal vectors become one entry with the weight of each label. An inverted index holds, for each term, the
+   entries and their weights, and the largest weight in each block of entries. The terms of many entries give every
+   entry a first part of its product; with the block maxima of the others, that bounds each block, and only blocks whose
+   bound reaches the k-th best first part are scored: the k nearest are exact.
+4. Neighbours vote by their distance; the vote is calibrated by isotonic regression on the examples' own votes, each made
+   without the example itself. Labels weigh as much as they do among all labelled rows.
 
 Labels enter only through the training rows given; language, source and id are no inputs of a score.
 """
@@ -17,21 +18,25 @@ Labels enter only through the training rows given; language, source and id are n
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, pieces
+from .common import carried, cut, pack, pieces, restored, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
-#: Entries of an index block; neighbours; weight of the prior in a vote; power of the cosine in a vote.
-BLOCK, NEIGHBOURS, PRIOR, POWER = 64, 25, 0.05, 4.0
-CHUNK = 4 << 20
+#: Entries of an index block; neighbours; weight of the prior in a vote; weight of a term that says nothing.
+BLOCK, NEIGHBOURS, PRIOR, FLOOR = 32, 25, 0.05, 0.1
+#: Text bytes handled at once; terms in a row of document frequencies; queries multiplied at once; words that a task keeps.
+CHUNK, SLICE, TOGETHER, KEPT_WORDS = 4 << 20, 1 << 13, 64, 500_000
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def terms(text: str) -> list[str]:
@@ -40,94 +45,173 @@ def terms(text: str) -> list[str]:
     return words + ["^" + w[:STEM] for w in words if len(w) > STEM]
 
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms_of(batches: Batches) -> Batches:
     for piece in pieces(batches, "_text", CHUNK):
-        found = [list(set(terms(t))) for t in piece.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "terms"])
+        found = [terms(t) for t in piece.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["_id", "toxic", "terms"])
+
+
+class Lookup(dict):
+    """Numbers of terms: of a word, its own and its stem's, each from 1 (0: no term), in one number. Keeps what it has looked up."""
+
+    def __init__(self, vocabulary: pa.Array):
+        names = vocabulary.to_pylist()
+        self.words = {w: i + 1 for i, w in enumerate(names) if w[0] != "^"}
+        self.stems = {w[1:]: i + 1 for i, w in enumerate(names) if w[0] == "^"}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        code = self[word] = self.words.get(word, 0) | (self.stems.get(word[:STEM], 0) << 32 if len(word) > STEM else 0)
+        return code
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that occur in the text, in order, and how often."""
+        code = np.array(list(map(self.__getitem__, WORD.findall(text.lower()))), np.int64)
+        found = np.concatenate([code & 0xFFFFFFFF, code >> 32])
+        t, count = np.unique(found, return_counts=True)
+        return (t[1:] - 1, count[1:]) if len(t) and not t[0] else (t - 1, count)
+
 
+def vectors(lookup: Lookup, texts: list[str | None], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, its terms in order and their weights, of length 1."""
+    for text in texts:
+        t, count = lookup(text or "")
+        yield t, unit((1 + np.log(count)) * weight[t])
 
-def _hits(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[str, int] = shared.value
-        words = {w: i for w, i in of.items() if w[0] != "^"}
-        stems = {w[1:]: i for w, i in of.items() if w[0] == "^"}
+
+def unit(w: np.ndarray) -> np.ndarray:
+    return w / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def _frequencies(shared) -> Callable[[Batches], Batches]:
+    """(slice, counts): in how many of a task's texts each term occurs."""
+
+    def run(batches: Batches) -> Batches:
+        lookup = Lookup(shared.value)
+        total, n = np.zeros(len(shared.value) + 1, np.int64), 0
         for piece in pieces(batches, "_text", CHUNK):
-            which, count = [], []
             for text in piece.column("_text").to_pylist():
-                found = WORD.findall(text.lower())
-                hits = Counter(words[w] for w in found if w in words)
-                if stems:
-                    hits.update(stems[w[:STEM]] for w in found if len(w) > STEM and w[:STEM] in stems)
-                got = sorted(hits.items())
-                which.append([t for t, _ in got])
-                count.append([c for _, c in got])
-            yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(which, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], ["_id", "which", "count"])
+                total[lookup(text)[0]] += 1
+                n += 1
+        if n:
+            total[-1] = n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(0, len(total), SLICE), pa.int32()), pa.array([pack(n=total[lo : lo + SLICE]) for lo in range(0, len(total), SLICE)], pa.binary())], ["slice", "counts"])
 
     return run
 
 
-def vectorise(which: list[int], count: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights (1 + ln count) * idf, of length 1."""
-    t = np.array(which, np.int64)
-    w = (1 + np.log(np.array(count, np.float64))) * idf[t]
-    return t, w / np.linalg.norm(w) if len(w) else w
+def _summed(group: pa.Table) -> pa.Table:
+    total = 0
+    for blob in group.column("counts").to_pylist():
+        total = total + unpack(blob)["n"]
+    return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([pack(n=total)], pa.binary())})
+
+
+def document_frequencies(rows: DataFrame, shared) -> tuple[int, np.ndarray]:
+    """Number of documents, and in how many of them each term of the vocabulary occurs. The driver gets as many numbers as there are terms."""
+    found = rows.select("_text").mapInArrow(_frequencies(shared), "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
+    out = np.zeros(len(shared.value) + 1, np.int64)
+    for r in found.collect():
+        part = unpack(r["counts"])["n"]
+        out[r["slice"] : r["slice"] + len(part)] = part
+    return int(out[-1]), out[:-1]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + n[i] - 1, one range behind the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
 class BlockMaxIndex:
-    """Entries (distinct vectors) with the weight of both labels, and their inverted index."""
+    """Entries (distinct vectors) with the weight of both labels, and their inverted index with the maxima of blocks.
+
+    A term of a sixteenth of the entries or more has its postings in full, as a row of a matrix.
+    """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray, docs: list, n_terms: int):
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray, docs: list, n_terms: int):
         self.toxic, self.weight, self.docs = toxic, weight, docs
-        n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        at = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        value = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+        self.n, self.blocks = len(entries), -(-len(entries) // BLOCK)
+        # by entry, for whole products
+        self.start = np.cumsum([0, *(len(t) for t, _ in entries)])
+        self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in entries)])
+        self.value = np.concatenate([np.zeros(0), *(w for _, w in entries)])
+        at = np.repeat(np.arange(self.n), np.diff(self.start))
+        often = np.bincount(self.term, minlength=n_terms) * 16 >= max(self.n, 1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        full = often[self.term]
+        self.rows[self.row[self.term[full]], at[full]] = self.value[full]
+        # by term, for the others
+        at, term, value = at[~full], self.term[~full], self.value[~full]
         by = np.lexsort((at, term))
-        at, term, value = at[by].astype(np.int64), term[by], value[by]
-        cuts = np.searchsorted(term, np.arange(n_terms + 1))
-        self.postings = [(at[a:b], value[a:b]) for a, b in zip(cuts, cuts[1:])]
-        self.tops = []
-        for a, v in self.postings:
-            block, first = np.unique(a // BLOCK, return_index=True)
-            self.tops.append((block, np.maximum.reduceat(v, first) if len(v) else v))
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of largest positive cosine, and the cosines; ties go to the lower entry."""
-        bound = np.zeros(self.blocks)
-        for term, x in zip(t.tolist(), w.tolist()):
-            block, top = self.tops[term]
-            bound[block] += x * top
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        entry, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(order):
-            if len(cos) >= k and bound[order[done]] < cos[k - 1] - 1e-12:
-                break
-            take = order[done : done + step]
-            active = np.zeros(self.blocks, bool)
-            active[take] = True
-            dot = np.zeros(self.blocks * BLOCK)
-            for term, x in zip(t.tolist(), w.tolist()):
-                at, value = self.postings[term]
-                sel = active[at // BLOCK]
-                dot[at[sel]] += x * value[sel]
-            hit = np.flatnonzero(dot > 0)
-            entry, cos = np.concatenate([entry, hit]), np.concatenate([cos, dot[hit]])
-            by = np.lexsort((entry, -cos))[:k]
-            entry, cos = entry[by], cos[by]
-            done, step = done + len(take), step * 4
-        return entry, cos
-
-    def vote(self, t: np.ndarray, w: np.ndarray, base: float, own: tuple[int, float, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        at, term, self.posted = at[by], term[by], value[by]
+        self.entry = at.astype(np.int32)
+        key = term * np.int64(max(self.blocks, 1)) + at // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.top_first = np.append(first, len(key))
+        self.top_block = (at[first] // BLOCK).astype(np.int32)
+        self.top = np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0)
+        self.of_term = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.query = np.zeros(n_terms)
+
+    def often(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The products of each query with every entry over the terms that are rows."""
+        x = np.zeros((len(queries), len(self.rows)))
+        for i, (t, w) in enumerate(queries):
+            row = self.row[t]
+            x[i, row[row >= 0]] = w[row >= 0]
+        return x @ self.rows
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, dot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k entries of largest positive cosine, the cosines, and the blocks scored; ties go to the lower entry.
+
+        `dot`: what often() gives for this query. Weights are positive, so a part of a product is a lower bound of it.
+        """
+        dot = self.often([(t, w)])[0] if dot is None else dot
+        rare = self.row[t] < 0
+        first = self.of_term[t[rare]]
+        n = self.of_term[t[rare] + 1] - first
+        at, x = _ranges(first, n), np.repeat(w[rare], n)
+        block = self.top_block[at]
+        bound = dot.reshape(self.blocks, BLOCK).max(axis=1, initial=0) + np.bincount(block, x * self.top[at], self.blocks)
+        # sums of the same products in another order differ by less than this
+        least = max(np.partition(dot, len(dot) - k)[len(dot) - k] if len(dot) >= k else 0.0, 0.0) - 1e-9
+        active = (bound >= least) & (bound > 0)
+        some = np.flatnonzero(active[block])
+        lo = self.top_first[at[some]]
+        m = self.top_first[at[some] + 1] - lo
+        p = _ranges(lo, m)
+        about = (dot + np.bincount(self.entry[p], np.repeat(x[some], m) * self.posted[p], len(dot)))[: self.n]
+        able = np.flatnonzero((about > 0) & active[np.arange(self.n) // BLOCK])
+        if len(able) > k:
+            able = able[about[able] >= np.partition(about[able], len(able) - k)[len(able) - k] - 1e-9]
+        cos = self.products(t, w, able)
+        by = np.lexsort((able, -cos))[:k]
+        return able[by], cos[by], int(active.sum())
+
+    def products(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Whole products, each added up in the order of the entry's terms."""
+        if not len(entries):
+            return np.zeros(0)
+        n = self.start[entries + 1] - self.start[entries]
+        p = _ranges(self.start[entries], n)
+        self.query[t] = w
+        out = np.add.reduceat(self.query[self.term[p]] * self.value[p], np.cumsum(n) - n)
+        self.query[t] = 0.0
+        return out
+
+    def vote(self, t: np.ndarray, w: np.ndarray, base: float, own: tuple[int, float, float] | None = None, dot: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, int]:
         """Share of toxic weight among the neighbours; own: an entry, and the weights of it to leave out."""
-        entry, cos = self.nearest(t, w, NEIGHBOURS + (own is not None))
+        entry, cos, scored = self.nearest(t, w, NEIGHBOURS + (own is not None), dot)
         toxic, weight = self.toxic[entry].copy(), self.weight[entry].copy()
         if own is not None:
             same = entry == own[0]
             toxic[same] -= own[1]
             weight[same] -= own[2]
-        near = cos**POWER
-        return float(((near * toxic).sum() + PRIOR * base) / (np.maximum(near * weight, 0).sum() + PRIOR)), entry, cos
+        return float(((cos * toxic).sum() + PRIOR * base) / (np.maximum(cos * weight, 0).sum() + PRIOR)), entry, cos, scored
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,96 +228,159 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return at, np.array([v for p in pools for v in (p[0], p[0])])
 
 
-def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        memo: dict = {}
-        for batch in batches:
-            out = []
-            for which, count in zip(batch.column("which").to_pylist(), batch.column("count").to_pylist()):
-                key = (tuple(which), tuple(count))
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[key] = model.score(which, count)
-                out.append(memo[key])
-            evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s for s, _ in out], pa.float64()), evidence], ["_id", "score", "evidence"])
-
-    return run
-
-
 class Model:
-    """Vocabulary weights, index and calibration. Its size is bounded by the examples and terms taken."""
+    """Term weights, index and calibration. Its size is bounded by the examples taken."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], weight: dict[int, float]):
-        self.idf = idf
+    def __init__(self, weight: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], mass: dict[int, float]):
+        """examples: (document, terms, counts, label)."""
+        self.term_weight, self.mass = weight, mass
         of: dict[tuple, list] = {}
-        for doc, which, count, y in examples:
-            of.setdefault((tuple(which), tuple(count)), []).append((y, doc))
-        total = sum(weight[y] for *_, y in examples)
-        self.base = sum(weight[1] for *_, y in examples if y) / total if total else 0.0
-        none = of.pop(((), ()), [])
-        n = sum(weight[y] for y, _ in none)
-        self.empty = (sum(weight[1] for y, _ in none if y) + self.base) / (n + 1)
-        keys = sorted(of)
-        vectors = [vectorise(*k, idf) for k in keys]
-        toxic = np.array([sum(weight[1] for y, _ in of[k] if y) for k in keys])
-        mass = np.array([sum(weight[y] for y, _ in of[k]) for k in keys])
-        self.index = BlockMaxIndex(vectors, toxic, mass, [min(d for _, d in of[k]) for k in keys], len(idf))
-        x, y, w = [self.empty], [self.empty], [max(n, 1.0)]
-        for i, k in enumerate(keys):
-            for label in {y for y, _ in of[k]}:
-                share = sum(y == label for y, _ in of[k])
-                x.append(self.index.vote(*vectors[i], self.base, (i, weight[1] * label, weight[label]))[0])
-                y.append(float(label))
-                w.append(weight[label] * share)
+        for doc, t, count, y in examples:
+            of.setdefault((t.tobytes(), count.tobytes()), []).append((doc, t, count, y))
+        total = sum(mass[y] for *_, y in examples)
+        self.base = sum(mass[1] for *_, y in examples if y) / total if total else 0.0
+        none = of.pop((b"", b""), [])
+        n = sum(mass[y] for *_, y in none)
+        self.empty = (sum(mass[1] for *_, y in none if y) + self.base) / (n + 1)
+        self.none = n
+        groups = [(group, group[0][1], unit((1 + np.log(group[0][2])) * weight[group[0][1]])) for group in of.values()]
+        # entries that share their heaviest terms stand in the same blocks, which keeps the maxima telling
+        groups.sort(key=lambda g: (*g[1][np.argsort(-g[2], kind="stable")[:4]].tolist(), min(d for d, *_ in g[0])))
+        self.groups = [([(doc, y) for doc, _, _, y in group], t, w) for group, t, w in groups]
+        toxic = np.array([sum(mass[1] for _, y in g if y) for g, *_ in self.groups])
+        every = np.array([sum(mass[y] for _, y in g) for g, *_ in self.groups])
+        self.index = BlockMaxIndex([(t, w) for _, t, w in self.groups], toxic, every, [min(d for d, _ in g) for g, *_ in self.groups], len(weight))
+        self.at, self.level = np.zeros(1), np.zeros(1)
+
+    def own_votes(self, entries: list[int]) -> list[tuple[float, float, float]]:
+        """(vote without the example, its label, weight) of the examples in the given entries; equal ones together."""
+        out = []
+        for i in entries:
+            group, t, w = self.groups[i]
+            for y in sorted({y for _, y in group}):
+                vote = self.index.vote(t, w, self.base, (i, self.mass[1] * y, self.mass[y]))[0]
+                out.append((vote, float(y), self.mass[y] * sum(y == label for _, label in group)))
+        return out
+
+    def calibrate(self, votes: list[tuple[float, float, float]]) -> None:
+        x, y, w = zip(*sorted([(self.empty, self.empty, max(self.none, 1.0)), *votes]))
         self.at, self.level = isotonic(np.array(x), np.array(y), np.array(w))
+        self.groups = []  # scores need the index alone
 
-    def score(self, which: list[int], count: list[int]) -> tuple[float, list[tuple[int, float, float]]]:
-        """Calibrated score, and up to three neighbours: (document, cosine, share of toxic labels)."""
-        if not which:
-            raw, entry, cos = self.empty, np.zeros(0, np.int64), np.zeros(0)
-        else:
-            raw, entry, cos = self.index.vote(*vectorise(which, count, self.idf), self.base)
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float, float]], int]]:
+        """score() of each."""
+        for lo in range(0, len(queries), TOGETHER):
+            some = queries[lo : lo + TOGETHER]
+            for (t, w), dot in zip(some, self.index.often(some)):
+                yield self.score(t, w, dot)
+
+    def score(self, t: np.ndarray, w: np.ndarray, dot: np.ndarray | None = None) -> tuple[float, list[tuple[int, float, float]], int]:
+        """Calibrated score, up to three neighbours (document, cosine, share of toxic labels), and the blocks scored."""
         index = self.index
+        raw, entry, cos, scored = index.vote(t, w, self.base, dot=dot) if len(t) else (self.empty, np.zeros(0, np.int64), np.zeros(0), 0)
         near = [(index.docs[e], float(c), float(index.toxic[e] / index.weight[e])) for e, c in zip(entry[:3].tolist(), cos[:3])]
-        return float(np.clip(np.interp(raw, self.at, self.level), 0, 1)), near
+        return float(np.clip(np.interp(raw, self.at, self.level), 0, 1)), near, scored
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8_000, max_terms: int = 4_096, min_z: float = 5.0, min_odds: float = 4.0, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(`id_col`, score, evidence) of every row.
+def label_z(which: np.ndarray, toxic: np.ndarray, n_terms: int, n: dict[int, int]) -> np.ndarray:
+    """The two-sample z-score of each term's presence; `which` has a term once for each example, `toxic` its label."""
+    a, c = np.bincount(which[toxic == 1], minlength=n_terms), np.bincount(which, minlength=n_terms)
+    n1, n0 = max(n[1], 1), max(n[0], 1)
+    p = c / (n1 + n0)
+    return (a / n1 - (c - a) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
 
-    `labels` has `id_col` and toxic (0 or 1; anything else says nothing); all of it may be learned from. At most
-    `max_examples` labelled documents are examples: those of the smallest hashed ids, half of each label if there are
-    enough. `evidence` has up to three nearest examples with cosine and label. Null and empty texts, and texts without
-    a term of the vocabulary, score as such examples do; without any labels, all score 0. Null ids have no labels but a
-    score; repeated rows score alike; a document with both labels takes part with the higher one.
+
+EVIDENCE = "array<struct<doc_id:long,cosine:double,toxic:double>>"
+
+
+def _scored(model, vocabulary, kept: list[str]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        lookup, own = Lookup(vocabulary.value), model.value
+        shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
+        for piece in pieces(batches, "_text", CHUNK):
+            out = list(own.scores(list(vectors(lookup, piece.column("_text").to_pylist(), own.term_weight))))
+            evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e, _ in out], shape)
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array([s for s, *_ in out], pa.float64()), evidence, pa.array([b for *_, b in out], pa.int32())], [*kept, "_score", "_evidence", "_blocks"])
+
+    return run
+
+
+def _voted(model) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            x, y, w = zip(*(v for v in model.value.own_votes(batch.column("id").to_pylist()))) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64()), pa.array(w, pa.float64())], ["x", "y", "w"])
+
+    return run
+
+
+def take_examples(rows: DataFrame, labels: DataFrame, id_col: str, max_examples: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """(_id, toxic, _text) of the examples, and the number of labelled ids of each label.
+
+    Of each label, the smallest hashed ids, half of `max_examples` each if there are enough, up to half of `max_bytes` of
+    text (one at least). Of rows that share an id, the one whose text has the smallest hash.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     lab = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).where("_id IS NOT NULL")
-    n = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = {y: 0 for y in (0, 1)} | {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     half = max_examples // 2
-    room = {y: min(n.get(y, 0), max(half, max_examples - n.get(1 - y, 0))) for y in (0, 1)}
+    room = {y: min(n[y], max(half, max_examples - n[1 - y])) for y in (0, 1)}
     parts = [lab.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(room[y]) for y in (0, 1)]
     sample = cut(parts[0].union(parts[1]))
-    chosen = rows.join(F.broadcast(sample), "_id")  # at most max_examples rows
-    seen = chosen.select("toxic", "_text").mapInArrow(_presence, "toxic int, terms array<string>")
-    by_term = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("c"))
-    n1, n0 = max(room[1], 1), max(room[0], 1)
-    mean = F.col("c") / (n1 + n0)
-    in1, in0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("c") - F.col("a") + 0.5) / (n0 + 1)
-    z = (F.col("a") / n1 - (F.col("c") - F.col("a")) / n0) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
-    telling = (F.col("c") >= min_docs) & (in1 * (1 - in0) >= min_odds * in0 * (1 - in1))
-    picked = by_term.where(telling).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(picked)}
-    hits = cut(rows.mapInArrow(_hits(spark.sparkContext.broadcast(vocabulary)), "_id long, which array<int>, count array<int>"))
-    total, df = hits.count(), np.zeros(len(vocabulary))
-    for r in hits.select(F.explode("which").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # at most max_terms rows
-        df[r["t"]] = r["df"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    weight = {y: n.get(y, 0) / max(room[y], 1) for y in (0, 1)}
-    examples = [(r["_id"], r["which"], r["count"], r["toxic"]) for r in hits.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()]  # at most max_examples
-    model = spark.sparkContext.broadcast(Model(idf, examples, weight))
-    return hits.select("_id", "which", "count").mapInArrow(_score(model), "_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:double>>").withColumnRenamed("_id", id_col)
+    text = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))
+    chosen = rows.join(F.broadcast(sample), "_id").groupBy("_id", "toxic").agg(text.alias("_s")).select("_id", "toxic", F.col("_s.t").alias("_text"))  # sample: at most max_examples rows
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.octet_length("_text")).over(before), F.lit(0))  # over at most max_examples rows
+    return cut(chosen.withColumn("_filled", filled).where((F.col("_filled") == 0) | (F.col("_filled") + F.octet_length("_text") <= max_bytes // 2)).drop("_filled")), n
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """Every row of `docs` under private column names with _score, _evidence and _blocks, and the names to give back."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    sample, n = take_examples(rows, labels, id_col, max_examples, max_bytes)
+    seen = sample.mapInArrow(_terms_of, "_id long, toxic int, terms array<string>").toArrow().sort_by("_id")  # the words of at most max_bytes of text
+    spread = seen.column("terms").combine_chunks()
+    names = pc.unique(spread.flatten())
+    names = names.take(pc.sort_indices(names))
+    flat = pc.index_in(spread.flatten(), names).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(spread.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    found = [np.unique(x, return_counts=True) for x in np.split(flat, ends[:-1])] if len(ends) else []
+    toxic = seen.column("toxic").to_numpy()
+    took = {y: int((toxic == y).sum()) for y in (0, 1)}
+    vocabulary = spark.sparkContext.broadcast(names)
+    total, df = document_frequencies(rows, vocabulary)
+    sizes = [len(t) for t, _ in found]
+    z = label_z(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.repeat(toxic, sizes), len(names), took)
+    weight = (np.log((1 + total) / (1 + df)) + 1) * (np.abs(z) + FLOOR)
+    scale = sum(took.values()) / max(sum(n.values()), 1)
+    mass = {y: n[y] / max(took[y], 1) * scale for y in (0, 1)}
+    model = Model(weight, [(i, t, c, int(y)) for i, (t, c), y in zip(seen.column("_id").to_pylist(), found, toxic)], mass)
+    first = spark.sparkContext.broadcast(model)
+    votes = spark.range(len(model.groups)).repartition(16).mapInArrow(_voted(first), "x double, y double, w double").collect()  # at most two an example
+    model.calibrate([tuple(v) for v in votes])
+    first.unpersist()
+    private, kept = carried(docs)
+    out = private.withColumn("_text", F.coalesce(F.col(kept[docs.columns.index(text_col)]).cast("string"), F.lit("")))
+    schema = ", ".join(f"{c} {private.schema[c].dataType.simpleString()}" for c in kept)
+    return out.mapInArrow(_scored(spark.sparkContext.broadcast(model), vocabulary, kept), f"{schema}, _score double, _evidence {EVIDENCE}, _blocks int"), kept
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(`id_col`, score, evidence) of every row.
+
+    `labels` has `id_col` and toxic (0 or 1; anything else says nothing); all of it may be learned from. At most
+    `max_examples` labelled documents are examples, of at most `max_bytes` of text: those of the smallest hashed ids,
+    half of each label if there are enough. Every word of theirs is a term; a text's other words take no part. `evidence`
+    has up to three nearest examples with cosine and label. Null and empty texts, and texts without a term, score as
+    such examples do; without any labels, all score 0. Null ids have no labels but a score; repeated rows score alike;
+    a document with both labels takes part with the higher one; of rows that share an id, one is the example.
+    """
+    out, kept = toxicity_scores(docs.select(id_col, text_col), labels, max_examples, max_bytes, id_col, text_col)
+    return out.select(F.col(kept[0]).cast("long").alias(id_col), F.col("_score").alias("score"), F.col("_evidence").alias("evidence"))
+
+
+def drop_toxic_rows(docs: DataFrame, labels: DataFrame, least: float = 0.7, **options) -> DataFrame:
+    """The rows of `docs`, all their columns, that score under `least`; each row is judged by its own text."""
+    out, kept = toxicity_scores(docs, labels, **options)
+    return restored(out.where(F.col("_score") < least), docs, kept)
