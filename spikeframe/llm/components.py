@@ -13,6 +13,21 @@ def _lowest(pairs: DataFrame) -> DataFrame:
     return cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("low")))
 
 
+#: Tasks that a component's nodes are dealt to.
+SALT = 32
+
+
+def lowest_of_component(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, low) of every row of `nodes` (node, low): the smallest `low` of its component; `roots` has (node, root) of linked nodes.
+
+    A component with a third of all nodes meets its one smallest value in SALT tasks, which get a copy of it each.
+    """
+    named = nodes.join(roots, "node", "left")
+    linked = named.where("root IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALT)))
+    least = linked.groupBy("root").agg(F.min("low").alias("_least")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return linked.join(least, ["root", "_salt"]).select("node", F.col("_least").alias("low")).union(named.where("root IS NULL").select("node", "low"))
+
+
 def _signature(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 

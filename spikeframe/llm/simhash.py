@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, pieces
-from .components import connected_components
+from .components import connected_components, lowest_of_component
 
 #: Shingles whose bits are counted at once; ball words handled at once, and aimed at for each range.
 BLOCK, MOST, AIM = 1 << 15, 3_000_000, 2_000_000
@@ -199,7 +199,5 @@ def simhash_components(docs: DataFrame, shingle: int = 4, differing_bits: int =
         used = own.select("key").union(near.select("a")).union(near.select("b")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         links = near.union(own.join(used, "key").select("node", "key"))
     root = connected_components(links)
-    named = distinct.join(root, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = named.join(lows, "root").select("node", "component_id")
+    of_node = lowest_of_component(distinct.select("node", "low"), root).withColumnRenamed("low", "component_id")
     return fps.select("_id", "fp", "node").join(of_node, "node").select(F.col("_id").alias(id_col), "fp", "component_id")
