@@ -108,9 +108,7 @@ ORACLE_SQL: dict[str, str] = {
             ORDER BY length(rname) DESC LIMIT 1) b ON true""",
     "op5_mixing": r"""
         WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce('=' || source, '') AS src FROM documents),
-        sized AS (SELECT src, count(*) AS n FROM docs GROUP BY src),
-        bound AS (SELECT floor(quantile_cont(n, 0.5) * 4.0)::BIGINT AS b FROM sized),
-        targets AS (SELECT src, least(n, greatest(b, 1)) AS k FROM sized, bound),
+        targets AS (SELECT src, count(*) AS k FROM docs GROUP BY src),
         block AS (SELECT ceil(sum(k) / 2000)::BIGINT AS size FROM targets),
         blocks AS (SELECT src, k, (k + size - 1) // size AS m FROM targets, block),
         plan AS (SELECT list(src ORDER BY src) AS srcs, list(k ORDER BY src) AS ks, list(m ORDER BY src) AS ms, sum(m)::BIGINT AS total FROM blocks),

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, queries, toxicity
+from spikeframe.llm import line_dedup, queries, substring_dedup, toxicity
 from spikeframe.llm.bpe import Encoder, Vocabulary, encode_decode, merge_many, merge_one
 from spikeframe.llm.components import connected_components
 from spikeframe.llm.line_dedup import PerfectHash, dedup_lines
@@ -67,6 +67,26 @@ def test_substrings(docs, texts, width):
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and len(r["kept"].split()) == r["n_words"] - r["n_removed"]
 
 
+def test_entries_grow_with_the_text_and_not_with_the_ranges():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_pydict({"_id": pa.array(range(len(texts)), pa.int64()), "_th": pa.array([0] * len(texts), pa.int64()), "_text": pa.array(texts)})
+    sent = lambda bits: sum(len(e) for b in substring_dedup._entries(20, bits, 16)(iter([batch])) for e in b.column("entries").to_pylist())
+    # a task sorts SORTED windows at once; with fewer of them, proportionally fewer ranges give rows of the same size
+    assert sent(11) <= 1.2 * sent(6)
+
+
+def test_places_in_many_ranges_and_small_sorts(docs, texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RANGE", 20)
+    want = brute_substrings(list(enumerate(texts)), 4)
+    assert rows(dedup_substrings(docs, 4), "n_words", "n_removed", "kept_sha256") == want
+    h = np.array([5, 5, 5, 1], np.uint64)
+    first, late = substring_dedup.split_repeats(h, np.array([2, 1, 1, 9]), np.zeros(4, int), np.array([0, 7, 7, 3]))
+    assert sorted(first.tolist()) in ([1, 3], [2, 3]) and late.tolist() == [0]
+
+
 def test_substrings_odd(odd, nothing):
     assert dedup_substrings(nothing).count() == 0
     found = dedup_substrings(odd).select("doc_id", "n_words", "n_removed").collect()
@@ -134,11 +154,89 @@ def test_nearest_is_exact():
         t = np.array(sorted(rng.sample(range(40), 3)))
         q = np.zeros(40)
         q[t] = np.array([0.5, 0.7, 0.5])
-        entry, cos = index.nearest(t, q[t], 10)
+        entry, cos, _ = index.nearest(t, q[t], 10)
         want = np.sort(dense @ q)[::-1][:10]
         assert np.allclose(cos, want[want > 0]) and np.allclose((dense @ q)[entry], cos)
 
 
+def test_blocks_that_cannot_reach_the_best_are_not_scored():
+    entries = [(np.array([k // 64, 50 + k]), np.array([0.999, 0.0447])) for k in range(64 * 20)]
+    index = BlockMaxIndex(entries, np.zeros(len(entries)), np.ones(len(entries)), list(range(len(entries))), 2000)
+    entry, _, scored = index.nearest(np.array([3, 300]), np.array([0.9, 0.4]), 10)
+    assert entry[0] == 250 and set(entry[1:]) <= set(range(192, 256)) and scored < index.blocks / 2
+
+
+def brute_toxicity(docs, labels, k=25):
+    """Scores of all documents: dense vectors, all cosines sorted, isotonic means by their min-max formula."""
+    tf = {i: collections.Counter(toxicity.terms(t or "")) for i, t in docs}
+    known = {i: y for i, y in labels.items() if i in tf}
+    voc = sorted({w for i in known for w in tf[i]})
+    n = {y: sum(v == y for v in known.values()) for y in (0, 1)}
+    df = np.array([sum(w in c for c in tf.values()) for w in voc])
+    a = np.array([sum(w in tf[i] for i in known if known[i]) for w in voc])
+    c = np.array([sum(w in tf[i] for i in known) for w in voc])
+    p = c / len(known)
+    z = (a / n[1] - (c - a) / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[1] + 1 / n[0]))
+    weight = (np.log((1 + len(tf)) / (1 + df)) + 1) * (abs(z) + 0.1)
+
+    def vector(counter):
+        v = np.array([(1 + np.log(counter[w])) if counter[w] else 0.0 for w in voc]) * weight
+        return v / np.linalg.norm(v) if v.any() else v
+
+    vec = {i: vector(tf[i]) for i in tf}
+    groups = collections.defaultdict(list)
+    for i in known:
+        groups[tuple(sorted((w, m) for w, m in tf[i].items()))].append(i)
+    none = groups.pop((), [])
+    base = n[1] / len(known)
+    empty = (sum(known[i] for i in none) + base) / (len(none) + 1)
+    entries = [(vec[g[0]], g) for g in groups.values()]
+
+    def vote(v, without=None):
+        near = sorted(((float(e @ v), g) for e, g in entries), key=lambda x: -x[0])
+        near = [x for x in near if x[0] > 0][: k + (without is not None)]
+        toxic = sum(cos * (sum(known[i] for i in g) - (known[without] if without in g else 0)) for cos, g in near)
+        every = sum(cos * (len(g) - (without in g)) for cos, g in near)
+        return (toxic + 0.05 * base) / (every + 0.05)
+
+    points = [(empty, empty, max(len(none), 1.0))] + [(vote(vec[i], i), known[i], 1.0) for i in known if i not in none]
+    xs = sorted({round(x, 12) for x, _, _ in points})
+    y = [sum(v * w for x, v, w in points if round(x, 12) == at) for at in xs]
+    w = [sum(w for x, _, w in points if round(x, 12) == at) for at in xs]
+    level = [max(min(sum(y[lo : hi + 1]) / sum(w[lo : hi + 1]) for hi in range(i, len(xs))) for lo in range(i + 1)) for i in range(len(xs))]
+    return {i: float(np.interp(vote(vec[i]) if vec[i].any() else empty, xs, level)) for i in tf}
+
+
+def test_whole_score_against_brute_force(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(150)]
+    docs, labels = [], {}
+    for i in range(120):
+        bad = i % 4 == 0
+        text = [rng.choice(words) for _ in range(rng.randint(5, 40))] + [rng.choice(["vile", "nastiest", "nastily"]) for _ in range(2 * bad)]
+        rng.shuffle(text)
+        docs.append((i, " ".join(text)))
+        if i < 90:
+            labels[i] = int(bad if rng.random() > 0.1 else not bad)
+    docs += [(200, docs[3][1]), (201, None), (202, ""), (203, "123 !"), (204, "unseenword"), (205, docs[8][1])]
+    labels |= {200: 1 - labels[3], 202: 0, 205: labels[8]}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want = brute_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(df, lab).collect()}
+    assert got.keys() == want.keys() and len(set(got.values())) > 5
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def test_examples_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 10) for i in range(100)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 20)) for i in range(100)], "doc_id long, toxic int")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    found, n = toxicity.take_examples(rows, lab, "doc_id", 40, 1 << 20)
+    assert collections.Counter(r["toxic"] for r in found.collect()) == {0: 20, 1: 20} and n == {0: 80, 1: 20}
+    assert 0 < toxicity.take_examples(rows, lab, "doc_id", 40, 400)[0].count() < 10
+
+
 def test_isotonic():
     x, y = isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert np.interp([0, 1, 2, 3], x, y).tolist() == [0, 0.5, 0.5, 1]
