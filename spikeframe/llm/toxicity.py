@@ -32,9 +32,10 @@ from .common import carried, cut, pack, pieces, restored, unpack
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
 #: Entries of an index block; neighbours; weight of the prior in a vote; weight of a term that says nothing.
-BLOCK, NEIGHBOURS, PRIOR, FLOOR = 32, 25, 0.05, 0.1
-#: Text bytes handled at once; terms in a row of document frequencies; queries multiplied at once; words that a task keeps.
-CHUNK, SLICE, TOGETHER, KEPT_WORDS = 4 << 20, 1 << 13, 64, 500_000
+BLOCK, NEIGHBOURS, PRIOR, FLOOR = 64, 25, 0.05, 0.1
+#: Text bytes handled at once; terms in a row of document frequencies; queries multiplied at once; words that a process keeps;
+#: share of the entries, as one in so many, from which a term has a row.
+CHUNK, SLICE, TOGETHER, KEPT_WORDS, OFTEN = 4 << 20, 1 << 13, 64, 1_000_000, 32
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -51,26 +52,47 @@ def _terms_of(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["_id", "toxic", "terms"])
 
 
+class Vocabulary:
+    """The terms by number. A process looks words up in one table, which it makes once and keeps."""
+
+    def __init__(self, names: pa.Array):
+        self.names, self.table = names, None
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "table": None}
+
+    def lookup(self) -> Lookup:
+        if self.table is None:
+            self.table = Lookup(self.names.to_pylist())
+        return self.table
+
+
 class Lookup(dict):
     """Numbers of terms: of a word, its own and its stem's, each from 1 (0: no term), in one number. Keeps what it has looked up."""
 
-    def __init__(self, vocabulary: pa.Array):
-        names = vocabulary.to_pylist()
+    def __init__(self, names: list[str]):
         self.words = {w: i + 1 for i, w in enumerate(names) if w[0] != "^"}
         self.stems = {w[1:]: i + 1 for i, w in enumerate(names) if w[0] == "^"}
 
     def __missing__(self, word: str) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
-        code = self[word] = self.words.get(word, 0) | (self.stems.get(word[:STEM], 0) << 32 if len(word) > STEM else 0)
+        code = self.words.get(word, 0) | (self.stems.get(word[:STEM], 0) << 32 if len(word) > STEM else 0)
+        if len(word) < 32:
+            self[word] = code
         return code
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms that occur in the text, in order, and how often."""
-        code = np.array(list(map(self.__getitem__, WORD.findall(text.lower()))), np.int64)
-        found = np.concatenate([code & 0xFFFFFFFF, code >> 32])
-        t, count = np.unique(found, return_counts=True)
-        return (t[1:] - 1, count[1:]) if len(t) and not t[0] else (t - 1, count)
+        words = WORD.findall(text.lower())
+        code = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = np.sort(np.concatenate([code & 0xFFFFFFFF, code >> 32]))
+        found = found[np.searchsorted(found, 1) :]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(found), 1), bool), found[1:] != found[:-1]]))
+        return found[first] - 1, np.diff(np.append(first, len(found)))
 
 
 def vectors(lookup: Lookup, texts: list[str | None], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,7 +110,7 @@ def _frequencies(shared) -> Callable[[Batches], Batches]:
     """(slice, counts): in how many of a task's texts each term occurs."""
 
     def run(batches: Batches) -> Batches:
-        lookup = Lookup(shared.value)
+        lookup = shared.value.lookup()
         total, n = np.zeros(len(shared.value) + 1, np.int64), 0
         for piece in pieces(batches, "_text", CHUNK):
             for text in piece.column("_text").to_pylist():
@@ -128,24 +150,25 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Entries (distinct vectors) with the weight of both labels, and their inverted index with the maxima of blocks.
 
-    A term of a sixteenth of the entries or more has its postings in full, as a row of a matrix.
+    A term of one in OFTEN entries or more has its postings in full, as a row of a matrix, in single precision too.
     """
 
     def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray, docs: list, n_terms: int):
         self.toxic, self.weight, self.docs = toxic, weight, docs
         self.n, self.blocks = len(entries), -(-len(entries) // BLOCK)
-        # by entry, for whole products
-        self.start = np.cumsum([0, *(len(t) for t, _ in entries)])
-        self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in entries)])
-        self.value = np.concatenate([np.zeros(0), *(w for _, w in entries)])
-        at = np.repeat(np.arange(self.n), np.diff(self.start))
-        often = np.bincount(self.term, minlength=n_terms) * 16 >= max(self.n, 1)
+        at = np.repeat(np.arange(self.n), [len(t) for t, _ in entries])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in entries)])
+        value = np.concatenate([np.zeros(0), *(w for _, w in entries)])
+        often = np.bincount(term, minlength=n_terms) * OFTEN >= max(self.n, 1)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
-        full = often[self.term]
-        self.rows[self.row[self.term[full]], at[full]] = self.value[full]
+        full = often[term]
+        self.rows[self.row[term[full]], at[full]] = value[full]
+        self.single = self.rows.astype(np.float32)
+        # products of vectors of length 1, added up in single precision, are off by less than this
+        self.slack = (len(self.rows) + 8) * 2.0**-23
         # by term, for the others
-        at, term, value = at[~full], self.term[~full], self.value[~full]
+        at, term, value = at[~full], term[~full], value[~full]
         by = np.lexsort((at, term))
         at, term, self.posted = at[by], term[by], value[by]
         self.entry = at.astype(np.int32)
@@ -155,15 +178,14 @@ class BlockMaxIndex:
         self.top_block = (at[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0)
         self.of_term = np.searchsorted(term[first], np.arange(n_terms + 1))
-        self.query = np.zeros(n_terms)
 
     def often(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The products of each query with every entry over the terms that are rows."""
-        x = np.zeros((len(queries), len(self.rows)))
+        """The products of each query with every entry over the terms that are rows, in single precision."""
+        x = np.zeros((len(queries), len(self.rows)), np.float32)
         for i, (t, w) in enumerate(queries):
             row = self.row[t]
             x[i, row[row >= 0]] = w[row >= 0]
-        return x @ self.rows
+        return x @ self.single
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, dot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """The k entries of largest positive cosine, the cosines, and the blocks scored; ties go to the lower entry.
@@ -171,38 +193,30 @@ class BlockMaxIndex:
         `dot`: what often() gives for this query. Weights are positive, so a part of a product is a lower bound of it.
         """
         dot = self.often([(t, w)])[0] if dot is None else dot
-        rare = self.row[t] < 0
+        row = self.row[t]
+        rare = row < 0
         first = self.of_term[t[rare]]
         n = self.of_term[t[rare] + 1] - first
         at, x = _ranges(first, n), np.repeat(w[rare], n)
         block = self.top_block[at]
         bound = dot.reshape(self.blocks, BLOCK).max(axis=1, initial=0) + np.bincount(block, x * self.top[at], self.blocks)
-        # sums of the same products in another order differ by less than this
-        least = max(np.partition(dot, len(dot) - k)[len(dot) - k] if len(dot) >= k else 0.0, 0.0) - 1e-9
+        least = max(np.partition(dot, len(dot) - k)[len(dot) - k] if len(dot) >= k else 0.0, 0.0) - 2 * self.slack
         active = (bound >= least) & (bound > 0)
         some = np.flatnonzero(active[block])
         lo = self.top_first[at[some]]
         m = self.top_first[at[some] + 1] - lo
         p = _ranges(lo, m)
-        about = (dot + np.bincount(self.entry[p], np.repeat(x[some], m) * self.posted[p], len(dot)))[: self.n]
-        able = np.flatnonzero((about > 0) & active[np.arange(self.n) // BLOCK])
+        rest = np.bincount(self.entry[p], np.repeat(x[some], m) * self.posted[p], len(dot))
+        about = dot + rest
+        about[np.repeat(~active, BLOCK)] = 0.0
+        able = np.flatnonzero(about > 0)
         if len(able) > k:
-            able = able[about[able] >= np.partition(about[able], len(able) - k)[len(able) - k] - 1e-9]
-        cos = self.products(t, w, able)
+            able = able[about[able] >= np.partition(about[able], len(able) - k)[len(able) - k] - 2 * self.slack]
+        # exact for those that may be among the k: in double precision, in the order of the terms
+        cos = rest[able] + (self.rows[row[~rare][:, None], able] * w[~rare][:, None]).sum(axis=0)
         by = np.lexsort((able, -cos))[:k]
         return able[by], cos[by], int(active.sum())
 
-    def products(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        """Whole products, each added up in the order of the entry's terms."""
-        if not len(entries):
-            return np.zeros(0)
-        n = self.start[entries + 1] - self.start[entries]
-        p = _ranges(self.start[entries], n)
-        self.query[t] = w
-        out = np.add.reduceat(self.query[self.term[p]] * self.value[p], np.cumsum(n) - n)
-        self.query[t] = 0.0
-        return out
-
     def vote(self, t: np.ndarray, w: np.ndarray, base: float, own: tuple[int, float, float] | None = None, dot: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, int]:
         """Share of toxic weight among the neighbours; own: an entry, and the weights of it to leave out."""
         entry, cos, scored = self.nearest(t, w, NEIGHBOURS + (own is not None), dot)
@@ -295,7 +309,7 @@ EVIDENCE = "array<struct<doc_id:long,cosine:double,toxic:double>>"
 
 def _scored(model, vocabulary, kept: list[str]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        lookup, own = Lookup(vocabulary.value), model.value
+        lookup, own = vocabulary.value.lookup(), model.value
         shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
         for piece in pieces(batches, "_text", CHUNK):
             out = list(own.scores(list(vectors(lookup, piece.column("_text").to_pylist(), own.term_weight))))
@@ -333,7 +347,7 @@ def take_examples(rows: DataFrame, labels: DataFrame, id_col: str, max_examples:
     return cut(chosen.withColumn("_filled", filled).where((F.col("_filled") == 0) | (F.col("_filled") + F.octet_length("_text") <= max_bytes // 2)).drop("_filled")), n
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 1_600, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """Every row of `docs` under private column names with _score, _evidence and _blocks, and the names to give back."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -348,7 +362,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 2_00
     found = [np.unique(x, return_counts=True) for x in np.split(flat, ends[:-1])] if len(ends) else []
     toxic = seen.column("toxic").to_numpy()
     took = {y: int((toxic == y).sum()) for y in (0, 1)}
-    vocabulary = spark.sparkContext.broadcast(names)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(names))
     total, df = document_frequencies(rows, vocabulary)
     sizes = [len(t) for t, _ in found]
     z = label_z(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.repeat(toxic, sizes), len(names), took)
@@ -366,7 +380,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 2_00
     return out.mapInArrow(_scored(spark.sparkContext.broadcast(model), vocabulary, kept), f"{schema}, _score double, _evidence {EVIDENCE}, _blocks int"), kept
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 1_600, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`id_col`, score, evidence) of every row.
 
     `labels` has `id_col` and toxic (0 or 1; anything else says nothing); all of it may be learned from. At most
