@@ -244,7 +244,7 @@ def rows_of(rows: Iterator[tuple], names: list[str], together: int = 64) -> Iter
 def carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """The same rows under column names that no operator uses inside, and these names, in the order of the columns."""
     names = [f"c{k}" for k in range(len(docs.columns))]
-    return docs.toDF(*names), names
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))), names
 
 
 def restored(rows: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import carried, cut, pack, pieces, restored, unpack
+from .common import cut, pack, pieces, restored, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -95,29 +95,38 @@ class Lookup(dict):
         return found[first] - 1, np.diff(np.append(first, len(found)))
 
 
-def vectors(lookup: Lookup, texts: list[str | None], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each text, its terms in order and their weights, of length 1."""
-    for text in texts:
-        t, count = lookup(text or "")
-        yield t, unit((1 + np.log(count)) * weight[t])
-
-
 def unit(w: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
-def _frequencies(shared) -> Callable[[Batches], Batches]:
-    """(slice, counts): in how many of a task's texts each term occurs."""
+def _counted(vocabulary, kept: list[str]) -> Callable[[Batches], Batches]:
+    """The rows' columns `kept`, and the terms of their texts, packed."""
 
     def run(batches: Batches) -> Batches:
-        lookup = shared.value.lookup()
-        total, n = np.zeros(len(shared.value) + 1, np.int64), 0
+        lookup = vocabulary.value.lookup()
         for piece in pieces(batches, "_text", CHUNK):
-            for text in piece.column("_text").to_pylist():
-                total[lookup(text)[0]] += 1
-                n += 1
-        if n:
-            total[-1] = n
+            found = [lookup(t) for t in piece.column("_text").to_pylist()]
+            packed = [pack(t=np.diff(t, prepend=0).astype(np.uint32), n=n.astype(np.uint32)) for t, n in found]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(packed, pa.binary())], [*kept, "_terms"])
+
+    return run
+
+
+def _terms(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = unpack(blob)
+    return np.cumsum(x["t"], dtype=np.int64), x["n"]
+
+
+def _frequencies(size: int) -> Callable[[Batches], Batches]:
+    """(slice, counts): in how many of a task's texts each of `size` terms occurs, and last, the number of texts."""
+
+    def run(batches: Batches) -> Batches:
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for blob in batch.column("_terms").to_pylist():
+                total[_terms(blob)[0]] += 1
+                total[-1] += 1
+        if total[-1]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(0, len(total), SLICE), pa.int32()), pa.array([pack(n=total[lo : lo + SLICE]) for lo in range(0, len(total), SLICE)], pa.binary())], ["slice", "counts"])
 
@@ -131,10 +140,10 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([pack(n=total)], pa.binary())})
 
 
-def document_frequencies(rows: DataFrame, shared) -> tuple[int, np.ndarray]:
-    """Number of documents, and in how many of them each term of the vocabulary occurs. The driver gets as many numbers as there are terms."""
-    found = rows.select("_text").mapInArrow(_frequencies(shared), "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
-    out = np.zeros(len(shared.value) + 1, np.int64)
+def document_frequencies(counted: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Number of documents, and in how many of them each of `size` terms occurs. The driver gets as many numbers as there are terms."""
+    found = counted.select("_terms").mapInArrow(_frequencies(size), "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
+    out = np.zeros(size + 1, np.int64)
     for r in found.collect():
         part = unpack(r["counts"])["n"]
         out[r["slice"] : r["slice"] + len(part)] = part
@@ -307,14 +316,15 @@ def label_z(which: np.ndarray, toxic: np.ndarray, n_terms: int, n: dict[int, int
 EVIDENCE = "array<struct<doc_id:long,cosine:double,toxic:double>>"
 
 
-def _scored(model, vocabulary, kept: list[str]) -> Callable[[Batches], Batches]:
+def _scored(model, kept: list[str]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        lookup, own = vocabulary.value.lookup(), model.value
+        own = model.value
         shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
-        for piece in pieces(batches, "_text", CHUNK):
-            out = list(own.scores(list(vectors(lookup, piece.column("_text").to_pylist(), own.term_weight))))
+        for batch in batches:
+            found = [_terms(blob) for blob in batch.column("_terms").to_pylist()]
+            out = list(own.scores([(t, unit((1 + np.log(n)) * own.term_weight[t])) for t, n in found]))
             evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e, _ in out], shape)
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array([s for s, *_ in out], pa.float64()), evidence, pa.array([b for *_, b in out], pa.int32())], [*kept, "_score", "_evidence", "_blocks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s for s, *_ in out], pa.float64()), evidence, pa.array([b for *_, b in out], pa.int32())], [*kept, "_score", "_evidence", "_blocks"])
 
     return run
 
@@ -347,12 +357,11 @@ def take_examples(rows: DataFrame, labels: DataFrame, id_col: str, max_examples:
     return cut(chosen.withColumn("_filled", filled).where((F.col("_filled") == 0) | (F.col("_filled") + F.octet_length("_text") <= max_bytes // 2)).drop("_filled")), n
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 1_600, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """Every row of `docs` under private column names with _score, _evidence and _blocks, and the names to give back."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of `docs`, `columns` of it under the names c0, c1, ... with _score, _evidence and _blocks (scored for it)."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
-    sample, n = take_examples(rows, labels, id_col, max_examples, max_bytes)
+    ident, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sample, n = take_examples(docs.select(ident.alias("_id"), text.alias("_text")), labels, id_col, max_examples, max_bytes)
     seen = sample.mapInArrow(_terms_of, "_id long, toxic int, terms array<string>").toArrow().sort_by("_id")  # the words of at most max_bytes of text
     spread = seen.column("terms").combine_chunks()
     names = pc.unique(spread.flatten())
@@ -362,10 +371,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 1_60
     found = [np.unique(x, return_counts=True) for x in np.split(flat, ends[:-1])] if len(ends) else []
     toxic = seen.column("toxic").to_numpy()
     took = {y: int((toxic == y).sum()) for y in (0, 1)}
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(names))
-    total, df = document_frequencies(rows, vocabulary)
-    sizes = [len(t) for t, _ in found]
-    z = label_z(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.repeat(toxic, sizes), len(names), took)
+    kept = [f"c{k}" for k in range(len(columns))]
+    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(columns, kept))
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)), text.alias("_text"))
+    # texts are read once; counts of terms are what the two passes after it read
+    counted = cut(rows.mapInArrow(_counted(spark.sparkContext.broadcast(Vocabulary(names)), kept), f"{schema}, _terms binary"))
+    total, df = document_frequencies(counted, len(names))
+    z = label_z(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.repeat(toxic, [len(t) for t, _ in found]), len(names), took)
     weight = (np.log((1 + total) / (1 + df)) + 1) * (np.abs(z) + FLOOR)
     scale = sum(took.values()) / max(sum(n.values()), 1)
     mass = {y: n[y] / max(took[y], 1) * scale for y in (0, 1)}
@@ -374,13 +386,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 1_60
     votes = spark.range(len(model.groups)).repartition(16).mapInArrow(_voted(first), "x double, y double, w double").collect()  # at most two an example
     model.calibrate([tuple(v) for v in votes])
     first.unpersist()
-    private, kept = carried(docs)
-    out = private.withColumn("_text", F.coalesce(F.col(kept[docs.columns.index(text_col)]).cast("string"), F.lit("")))
-    schema = ", ".join(f"{c} {private.schema[c].dataType.simpleString()}" for c in kept)
-    return out.mapInArrow(_scored(spark.sparkContext.broadcast(model), vocabulary, kept), f"{schema}, _score double, _evidence {EVIDENCE}, _blocks int"), kept
+    return counted.mapInArrow(_scored(spark.sparkContext.broadcast(model), kept), f"{schema}, _score double, _evidence {EVIDENCE}, _blocks int")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 1_600, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`id_col`, score, evidence) of every row.
 
     `labels` has `id_col` and toxic (0 or 1; anything else says nothing); all of it may be learned from. At most
@@ -390,11 +399,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 1_600
     such examples do; without any labels, all score 0. Null ids have no labels but a score; repeated rows score alike;
     a document with both labels takes part with the higher one; of rows that share an id, one is the example.
     """
-    out, kept = toxicity_scores(docs.select(id_col, text_col), labels, max_examples, max_bytes, id_col, text_col)
-    return out.select(F.col(kept[0]).cast("long").alias(id_col), F.col("_score").alias("score"), F.col("_evidence").alias("evidence"))
+    out = toxicity_scores(docs, labels, [id_col], max_examples, max_bytes, id_col, text_col)
+    return out.select(F.col("c0").cast("long").alias(id_col), F.col("_score").alias("score"), F.col("_evidence").alias("evidence"))
 
 
 def drop_toxic_rows(docs: DataFrame, labels: DataFrame, least: float = 0.7, **options) -> DataFrame:
     """The rows of `docs`, all their columns, that score under `least`; each row is judged by its own text."""
-    out, kept = toxicity_scores(docs, labels, **options)
-    return restored(out.where(F.col("_score") < least), docs, kept)
+    out = toxicity_scores(docs, labels, docs.columns, **options)
+    return restored(out.where(F.col("_score") < least), docs, [f"c{k}" for k in range(len(docs.columns))])
