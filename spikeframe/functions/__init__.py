@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
@@ -69,3 +69,9 @@ def marker_number(text: Column) -> Column:
     digits = F.regexp_like(text, F.lit(r"^\+?[0-9]{1,18}$"))
     n = F.when(digits, F.expr("1") * F.regexp_replace(text, r"^\+", "").cast("long"))
     return F.when(n <= 2**32 - 1, n)
+
+
+def marker_fields(cells: DataFrame) -> DataFrame:
+    """(var_name, field_name, numeric, cell_bytes) of text cells (var_name, field_name, cell): whether all are numbers, and the bytes a cell takes."""
+    size = F.greatest(F.lit(6), F.max(F.octet_length("cell")) + 1).cast("long")
+    return cells.groupBy("var_name", "field_name").agg(F.bool_and(marker_number(F.col("cell")).isNotNull()).alias("numeric"), size.alias("cell_bytes"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import InvalidValues
 from ..functions import normalized_correlation, ordered_sum
 
 
@@ -37,16 +40,29 @@ def local_peaks(samples: DataFrame, threshold: float, by: Sequence[str] = ("unit
 def suppress_refractory(peaks: DataFrame, refractory: int, by: Sequence[str] = ("unit",), sample: str = "sample", most: int | None = None) -> DataFrame:
     """(by, sample): each peak at least `refractory` samples after the last one kept, up to `most` of them.
 
-    One fold over each train's sorted peaks. A train is one electrode's recording; long ones come in chunks by `by`.
+    A peak that far behind its predecessor is kept whatever came before, so trains are cut there, and each run is folded
+    for itself: one step a peak, in a grouped Arrow function whose group is a run of close peaks.
     """
-    fold = F.aggregate(
-        F.sort_array(F.collect_list(F.col(sample).cast("long"))), F.array().cast("array<bigint>"),
-        lambda kept, p: F.when((F.size(kept) == 0) | (p >= F.element_at(kept, -1) + refractory), F.array_append(kept, p)).otherwise(kept),
-    )
-    kept = peaks.groupBy(*by).agg(fold.alias("_kept"))
+    train = Window.partitionBy(*by).orderBy(sample)
+    gap = F.col(sample) - F.lag(sample).over(train)
+    runs = peaks.select(*by, F.col(sample).cast("long").alias(sample)).withColumn("_new", F.when(gap.isNull() | (gap >= refractory), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(train.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.count("*").over(Window.partitionBy(*by, "_run"))
+    several = runs.withColumn("_n", alone)
+    kinds = ", ".join(f"{c} {peaks.schema[c].dataType.simpleString()}" for c in by)
+
+    def fold(group: pa.Table) -> pa.Table:
+        kept, last = [], None
+        for i in np.sort(group.column(sample).to_numpy()).tolist():
+            if last is None or i >= last + refractory:
+                kept.append(i)
+                last = i
+        return pa.table({c: pa.array([group.column(c)[0].as_py()] * len(kept), group.schema.field(c).type) for c in by} | {sample: pa.array(kept, pa.int64())})
+
+    folded = several.where("_n > 1").select(*by, "_run", sample).groupBy(*by, "_run").applyInArrow(fold, f"{kinds}{', ' if by else ''}{sample} long")
+    kept = several.where("_n = 1").select(*by, sample).unionByName(folded)
     if most is not None:
-        kept = kept.withColumn("_kept", F.slice("_kept", 1, most))
-    return kept.select(*by, F.explode("_kept").alias(sample))
+        kept = kept.withColumn("_r", F.row_number().over(train)).where(F.col("_r") <= most).drop("_r")
+    return kept
 
 
 def snippets(signals: DataFrame, peaks: DataFrame, pre: int, length: int, by: Sequence[str] = ("unit",), sample: str = "sample", values: str = "values") -> DataFrame:
@@ -56,67 +72,105 @@ def snippets(signals: DataFrame, peaks: DataFrame, pre: int, length: int, by: Se
     return both.withColumn("snippet", F.slice(values, (first + 1).cast("int"), length)).drop(values)
 
 
+#: Waveforms added up in order before partial sums are, also in order.
+SUMMED = 4_096
+
+
+def _block_sums(rows: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    """(by, _s, _n): sum and number of values: in the order of `order` within blocks of SUMMED numbers, then block by block.
+
+    No row gathers more than a block, or the sums of all blocks; the result does not depend on how rows are dealt.
+    """
+    blocks = rows.withColumn("_block", F.floor(F.col(order) / SUMMED)).groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_v"))
+    sums = blocks.select(*by, "_block", ordered_sum(F.transform("_v", lambda v: v["v"])).alias("s"), F.size("_v").cast("long").alias("n"))
+    every = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "s", "n"))).alias("_b"))
+    return every.select(*by, ordered_sum(F.transform("_b", lambda b: b["s"])).alias("_s"), F.aggregate("_b", F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("_n"))
+
+
 def mean_waveforms(waves: DataFrame, label: str = "label", samples: str = "samples", order: str = "idx") -> DataFrame:
-    """(label, template): the mean of each sample over a label's waveforms, added up in the order of `order`."""
-    points = waves.select(label, order, F.posexplode(samples).alias("pos", "x"))
-    means = points.groupBy(label, "pos").agg(F.sort_array(F.collect_list(F.struct(order, F.col("x").cast("double").alias("x")))).alias("_x"))
-    mean = means.select(label, "pos", (ordered_sum(F.transform("_x", lambda v: v["x"])) / F.size("_x")).alias("mean"))
+    """(label, template): the mean of each sample over a label's waveforms, added up in blocks by `order`, a whole number."""
+    points = waves.select(label, order, F.posexplode(samples).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    mean = _block_sums(points, [label, "pos"], order, "x").select(label, "pos", (F.col("_s") / F.col("_n")).alias("mean"))
     return mean.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda v: v["mean"]).alias("template"))
 
 
+#: Templates that may sit in one broadcast row.
+MOST_TEMPLATES = 10_000
+
+
+def _with_templates(waves: DataFrame, templates: DataFrame, key: str, samples: str) -> DataFrame:
+    """(key, samples, _t): each waveform with all templates; their number is checked before they are broadcast."""
+    if (n := templates.count()) > MOST_TEMPLATES:
+        raise InvalidValues(f"{n} templates; at most {MOST_TEMPLATES} are compared with every waveform")
+    row = templates.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("label"), F.col("template")))).alias("_t"))
+    return waves.select(key, samples).join(F.broadcast(row))
+
+
 def template_correlations(waves: DataFrame, templates: DataFrame, key: str = "idx", samples: str = "samples") -> DataFrame:
-    """(key, template_label, corr) for each waveform and template; the set of templates is small and sits in one row."""
-    all_templates = templates.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("label"), F.col("template")))).alias("_t"))
-    # one row of templates: at most as many as a sorter may make clusters
-    each = waves.select(key, samples).join(F.broadcast(all_templates)).select(key, samples, F.explode("_t").alias("_t"))
+    """(key, template_label, corr) for each waveform and template."""
+    each = _with_templates(waves, templates, key, samples).select(key, samples, F.explode("_t").alias("_t"))
     return each.select(key, F.col("_t.label").alias("template_label"), normalized_correlation(F.col(samples), F.col("_t.template")).alias("corr"))
 
 
 def nearest_template(waves: DataFrame, templates: DataFrame, key: str = "idx", samples: str = "samples") -> DataFrame:
-    """(key, template_label, corr): the best-correlated template; of equal ones the last."""
-    best = template_correlations(waves, templates, key, samples).groupBy(key).agg(F.max(F.struct("corr", "template_label")).alias("_b"))
-    return best.select(key, F.col("_b.template_label").alias("template_label"), F.col("_b.corr").alias("corr"))
+    """(key, template_label, corr): the best-correlated template, found within the waveform's row; of equal ones the last."""
+    best = F.array_max(F.transform("_t", lambda t: F.struct(normalized_correlation(F.col(samples), t["template"]).alias("corr"), t["label"].alias("label"))))
+    found = _with_templates(waves, templates, key, samples).where(F.size("_t") > 0).select(key, best.alias("_b"))
+    return found.select(key, F.col("_b.label").alias("template_label"), F.col("_b.corr").alias("corr"))
 
 
 def cluster_snr(waves: DataFrame, templates: DataFrame, label: str = "label", samples: str = "samples", order: str = "idx") -> DataFrame:
     """(label, snr): the template's largest size over the root mean square of the residuals."""
-    both = waves.join(templates, label)
     sq = ordered_sum(F.zip_with(samples, "template", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)))
-    sums = both.groupBy(label).agg(
-        F.sort_array(F.collect_list(F.struct(order, sq.alias("sq"), F.size(samples).alias("n")))).alias("_s"), F.first("template").alias("template"))
-    rmse = F.sqrt(ordered_sum(F.transform("_s", lambda v: v["sq"])) / F.aggregate("_s", F.lit(0), lambda a, v: a + v["n"]))
-    return sums.select(label, (F.array_max(F.transform("template", lambda x: F.abs(x))) / F.greatest(rmse, F.lit(1e-9))).alias("snr"))
+    both = waves.join(templates, label).select(label, order, sq.alias("sq"), F.size(samples).alias("n"))
+    length = both.groupBy(label).agg(F.sum("n").alias("_m"))
+    rmse = F.sqrt(F.col("_s") / F.col("_m"))
+    return _block_sums(both, [label], order, "sq").join(length, label).join(templates, label).select(label, (F.array_max(F.transform("template", lambda x: F.abs(x))) / F.greatest(rmse, F.lit(1e-9))).alias("snr"))
+
+
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their number from 0 within `by`, in the order of `order`; no task holds a whole group.
+
+    Rows are range-partitioned by (by, order) and counted by partition; a number is the count before plus the place within.
+    """
+    keys = [*by, *order]
+    dealt = rows.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    counts = dealt.groupBy("_p", *by).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition and group
+    offsets = counts.select("_p", *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    within = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)) - 1
+    return dealt.withColumn("_w", within).join(offsets.withColumnRenamed("_p", "_q"), same).withColumn(name, (F.col("_w") + F.col("_before")).cast("long")).drop("_p", "_q", "_w", "_before", *(f"_k{i}" for i in range(len(by))))
 
 
 def robust_sigma(samples: DataFrame, by: Sequence[str] = (), value: str = "value", order: Sequence[str] = ("t",), most: int = 50_000) -> DataFrame:
     """(by, median, sigma): 1.4826 times the median distance from the median, both upper medians.
 
-    Of more than `most` samples, every (n div most)-th counts. At least 1e-9 times the factor.
+    Of more than `most` samples, every (n div most)-th counts, so medians are of fewer than twice `most` values each. At
+    least 1e-9 times the factor.
     """
-    train = Window.partitionBy(*by).orderBy(*order)
     n = samples.groupBy(*by).agg(F.count("*").alias("_n"))
-    numbered = samples.withColumn("_i", F.row_number().over(train) - 1)
-    both = numbered.join(F.broadcast(n)) if not by else numbered.join(n, list(by))  # n: one row
-    taken = both.where((F.col("_n") <= most) | (F.col("_i") % F.floor(F.col("_n") / most) == 0)).select(*by, F.col(value).cast("double").alias("_x"))
-
-    def upper_median(rows: DataFrame, x: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*by)
-        placed = rows.withColumn("_p", F.row_number().over(w.orderBy(x)) - 1).withColumn("_m", F.count("*").over(w))
-        return placed.where(F.col("_p") == F.floor(F.col("_m") / 2)).select(*by, F.col(x).alias(name))
-
-    median = upper_median(taken, "_x", "median")
-    off = (taken.join(F.broadcast(median)) if not by else taken.join(median, list(by))).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
-    mad = upper_median(off, "_d", "_mad")
-    out = median.join(F.broadcast(mad)) if not by else median.join(mad, list(by))
-    return out.select(*by, "median", (F.greatest("_mad", F.lit(1e-9)) * F.lit(1.4826)).alias("sigma"))
+    placed = numbered(samples.select(*by, *order, F.col(value).cast("double").alias("_x")), by, order, "_i")
+    both = placed.join(F.broadcast(n)) if not by else placed.join(n, list(by))  # n: one row without `by`
+    taken = both.where((F.col("_n") <= most) | (F.col("_i") % F.floor(F.col("_n") / most) == 0)).select(*by, "_x")
+    lists = taken.groupBy(*by).agg(F.sort_array(F.collect_list("_x")).alias("_x"))  # of at most 2 * most values
+    middle = lists.withColumn("median", F.element_at("_x", (F.floor(F.size("_x") / 2) + 1).cast("int")))
+    mad = F.element_at(F.sort_array(F.transform("_x", lambda x: F.abs(x - F.col("median")))), (F.floor(F.size("_x") / 2) + 1).cast("int"))
+    return middle.select(*by, "median", (F.greatest(mad, F.lit(1e-9)) * F.lit(1.4826)).alias("sigma"))
 
 
 def common_average_reference(channels: DataFrame, channel: str = "channel", pos: str = "pos", value: str = "value", first: int = 0) -> DataFrame:
-    """(pos, value): the first channel less the mean of all at each sample; a single channel stays as it is."""
-    at = channels.groupBy(pos).agg(F.sort_array(F.collect_list(F.struct(channel, F.col(value).cast("double").alias("x")))).alias("_c"))
-    own = F.element_at(F.filter("_c", lambda v: v[channel] == first), 1)["x"]
-    mean = ordered_sum(F.transform("_c", lambda v: v["x"])) / F.size("_c")
-    return at.select(pos, F.when(F.size("_c") > 1, own - mean).otherwise(own).alias("value"))
+    """(pos, value): the first channel less the mean of all at each sample; a single channel stays as it is.
+
+    Channels, numbered by whole numbers, are added up in blocks, so that a sample of very many channels fills no row.
+    """
+    x = channels.select(pos, channel, F.col(value).cast("double").alias("_x"))
+    sums = _block_sums(x, [pos], channel, "_x")
+    own = x.where(F.col(channel) == first).select(pos, F.col("_x").alias("_own"))
+    mean = F.col("_s") / F.col("_n")
+    return sums.join(own, pos, "left").select(pos, F.when(F.col("_n") > 1, F.col("_own") - mean).otherwise(F.col("_own")).alias("value"))
 
 
 def relabel_contiguous(labels: DataFrame, label: str = "label", order: str = "idx") -> DataFrame:

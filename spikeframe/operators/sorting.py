@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import InvalidValues
+
 
 @dataclass(frozen=True)
 class SortOptions:
@@ -110,9 +112,10 @@ def kmeans(points: np.ndarray, max_clusters: int, rounds: int = 30) -> np.ndarra
     return label
 
 
-def correlation(a: np.ndarray, b: np.ndarray) -> float:
-    ea, eb = float(a @ a), float(b @ b)
-    return 0.0 if ea <= 1e-12 or eb <= 1e-12 else float(a @ b) / (math.sqrt(ea) * math.sqrt(eb))
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a with each row of b; 0 where either has no energy."""
+    ea, eb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
+    return np.where((ea <= 1e-12) | (eb <= 1e-12), 0.0, a @ b.T / np.maximum(np.sqrt(ea) * np.sqrt(eb), 1e-300))
 
 
 def snr(waves: np.ndarray) -> float:
@@ -128,11 +131,9 @@ def prune(waves: np.ndarray, label: np.ndarray, min_snr: float) -> np.ndarray:
     strong = [c for c, w in own.items() if snr(w) >= min_snr]
     if len(strong) <= 1:
         return label
-    means = {c: own[c].mean(axis=0) for c in strong}
-    out = label.copy()
-    for i, c in enumerate(label.tolist()):
-        if c not in means:
-            out[i] = max(strong, key=lambda s: (correlation(waves[i], means[s]), -s))
+    out, weak = label.copy(), ~np.isin(label, strong)
+    if weak.any():
+        out[weak] = np.array(strong)[correlations(waves[weak], np.stack([own[c].mean(axis=0) for c in strong])).argmax(axis=1)]
     return out
 
 
@@ -155,12 +156,10 @@ def sort_filtered(x: np.ndarray, o: SortOptions) -> tuple[np.ndarray, np.ndarray
         return peaks, peaks
     waves = np.stack([x[a : a + o.length] for a in first]).astype(np.float64)
     label = relabel(prune(waves, kmeans(features(waves, o.n_pca, o.pca), o.max_clusters), o.min_snr))
-    templates = [waves[label == c].mean(axis=0).astype(np.float32).astype(np.float64) for c in range(label.max() + 1)]
-    for i, w in enumerate(waves):
-        best, at = max((correlation(w, t), c) for c, t in enumerate(templates))
-        if best >= o.min_correlation:
-            label[i] = at
-    return peaks, label
+    templates = np.stack([waves[label == c].mean(axis=0).astype(np.float32).astype(np.float64) for c in range(label.max() + 1)])
+    found = correlations(waves, templates)
+    best = found.shape[1] - 1 - found[:, ::-1].argmax(axis=1)  # of equal ones the last
+    return peaks, np.where(found[np.arange(len(found)), best] >= o.min_correlation, best, label)
 
 
 def _grouped(signal: DataFrame, by: Sequence[str], order: Sequence[str], value: str, run, extra: str, columns) -> DataFrame:
@@ -199,6 +198,9 @@ def sort_signals(signal: DataFrame, options: SortOptions, by: Sequence[str], ord
 def sort_channels(channels: DataFrame, options: SortOptions, by: Sequence[str] = ("session_id",), channel: str = "channel", pos: str = "pos", value: str = "value", per_channel: bool = False) -> DataFrame:
     """Sorts several channels: the first less the mean of all, or each for itself less that mean."""
     filtered = bandpass(channels, options.sampling_rate, options.highpass, options.lowpass, [*by, channel], [pos], value)
+    lengths = filtered.groupBy(*by, channel).agg(F.count("*").alias("_n")).groupBy(*by).agg(F.min("_n").alias("least"), F.max("_n").alias("most"))
+    if not lengths.where("least <> most").isEmpty():
+        raise InvalidValues("channels of one recording differ in length")
     mean = filtered.groupBy(*by, "sample").agg(F.avg("filtered").alias("_mean"), F.min(channel).alias("_first"), F.count("*").alias("_n"))
     own = filtered.join(mean, [*by, "sample"])
     if not per_channel:

@@ -7,16 +7,24 @@ their line items are intervals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import EPSILON, dequantise_i16, l2, marker_number, quantise_i16, seconds_to_ticks, ticks_to_seconds
+from ..functions import EPSILON, dequantise_i16, l2, marker_fields, marker_number, quantise_i16, seconds_to_ticks, ticks_to_seconds
 from ..operators import signals, spikes
 from ..operators import sorting as spike_sorting
-from ..session import diff_summaries, export_names, invalid_intervals
+from ..operators.analysis import analyse
+from ..schema import TABLES, VARIABLES
+from ..session import Session, diff, export_names, invalid_intervals, maximum_timestamps
+from ..sources.codec import WriteOptions
+from ..sources.datasource import decode_files
+from ..sources.detected import channel_neurons
+from ..sources.writers import encode_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,8 +195,8 @@ def q_sort_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 INDEXED = P + ", i AS (SELECT event_type, event_id, t, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx FROM p)"
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trains(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")).cast("long") - 1)
+def indexed(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    return trains(spark, sf_dir).select("event_type", "event_id", "t", *also).withColumn("idx", F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")).cast("long") - 1)
 
 
 @query(INDEXED + " SELECT event_type, idx, t FROM i WHERE idx < 25")
@@ -209,68 +217,110 @@ def q_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sessions --------------------------------------------------------------------------------------------------------------
 
-#: Two variables of each type: spikes of even users are a neuron, of odd users an event.
+#: Two variables of each type: spikes of even users are a neuron, of odd users an event. Ticks are microseconds.
 SESSION_SQL = P + """,
-    points AS (SELECT event_type || '_' || (user_id % 2) AS var_name, CASE WHEN user_id % 2 = 0 THEN 'neuron' ELSE 'event' END AS kind, t FROM p),
-    vars AS (SELECT var_name, kind, count(*) AS count, greatest(0, max(t)) AS max_t FROM points GROUP BY ALL)"""
+    points AS (
+        SELECT event_type || '_' || (user_id % 2) AS var_name, CASE WHEN user_id % 2 = 0 THEN 'neuron' ELSE 'event' END AS kind, t, user_id,
+            row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY t, event_id)::BIGINT - 1 AS idx FROM p),
+    vars AS (
+        SELECT *, row_number() OVER (ORDER BY var_name)::INTEGER - 1 AS var_index
+        FROM (SELECT var_name, kind, count(*) AS count, greatest(0, max(t)) AS max_t FROM points GROUP BY var_name, kind))"""
 
 
 def session_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("user_id") % 2 == 0, "neuron").otherwise("event")
-    return trains(spark, sf_dir).select(F.concat("event_type", F.lit("_"), F.col("user_id") % 2).alias("var_name"), kind.alias("kind"), "t")
+    name = F.concat("event_type", F.lit("_"), F.col("user_id") % 2)
+    idx = F.row_number().over(Window.partitionBy("var_name").orderBy("t", "event_id")).cast("long") - 1
+    return trains(spark, sf_dir).select(name.alias("var_name"), kind.alias("kind"), "t", "event_id", "user_id").withColumn("idx", idx)
 
 
-def summaries(points: DataFrame) -> DataFrame:
-    return points.groupBy("var_name", "kind").agg(F.count("*").alias("count"), F.greatest(F.lit(0.0), F.max("t")).alias("max_t"))
+def session(spark: SparkSession, frequency: float, **tables: DataFrame) -> Session:
+    """One session, "rec", of tables (var_name, ...) with the columns that matter; `variables` lists var_name, kind, count and what else differs."""
+    names = tables["variables"].withColumn("var_index", F.row_number().over(Window.orderBy("var_name")) - 1)  # one row a variable
+    tables["variables"] = _filled(names, VARIABLES, {"cont_data_type": 1, "ad_to_mv": 1.0, "version": 500, "metadata": "{}", "units": ""})
+    head = [{"session_id": "rec", "path": "", "format": "", "file_version": 0, "comment": "events", "timestamp_frequency_hz": frequency, "beg_seconds": 0.0, "end_seconds": 0.0, "metadata": "{}"}]
+    given = {t: _filled(tables[t], TABLES[t], {}) if t in tables and t != "variables" else spark.createDataFrame([], TABLES[t]) for t in TABLES if t not in ("sessions", "variables")}
+    return Session(sessions=spark.createDataFrame(head, TABLES["sessions"]), variables=tables["variables"], **given).with_end()
 
 
-@query(SESSION_SQL + " SELECT count(*) FILTER (kind = 'neuron') AS n_neuron, count(*) FILTER (kind = 'event') AS n_event, 0::BIGINT AS n_continuous, 0::BIGINT AS n_interval, 0e0 AS beg_seconds, max(max_t) AS end_seconds FROM vars")
+def _filled(rows: DataFrame, schema: str, defaults: dict) -> DataFrame:
+    """Rows with all columns of the schema: numbers not given are 0."""
+    out = []
+    for name, kind in (c.split(" ") for c in schema.split(", ")):
+        value = F.lit("rec") if name == "session_id" else F.col(name) if name in rows.columns else F.lit(defaults.get(name, None if kind == "string" else 0))
+        out.append(value.cast(kind).alias(name))
+    return rows.select(*out)
+
+
+def counted(points: DataFrame, *keys: str) -> DataFrame:
+    return points.groupBy("var_name", *keys).agg(F.count("*").alias("count"))
+
+
+def recording(spark: SparkSession, sf_dir: str, frequency: float = 1e6) -> Session:
+    points = session_points(spark, sf_dir)
+    return session(spark, frequency, variables=counted(points, "kind"), points=points.withColumn("tick", seconds_to_ticks(F.col("t"), frequency)))
+
+
+@query(SESSION_SQL + " SELECT 'rec' AS session_id, 'events' AS comment, 1e6::DOUBLE AS timestamp_frequency_hz, 0e0 AS beg_seconds, max(max_t) AS end_seconds, count(*) FILTER (kind = 'neuron') AS n_neuron, count(*) FILTER (kind = 'event') AS n_event, 0::BIGINT AS n_continuous, 0::BIGINT AS n_interval FROM vars")
 def q_session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = summaries(session_points(spark, sf_dir))
-    kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("neuron", "event", "continuous", "interval")]
-    return s.agg(*kinds, F.lit(0.0).alias("beg_seconds"), F.max("max_t").alias("end_seconds"))
+    return recording(spark, sf_dir).info()
 
 
-@query(SESSION_SQL + " SELECT kind, var_name, row_number() OVER (PARTITION BY kind ORDER BY var_name)::INTEGER - 1 AS place FROM vars")
+@query(SESSION_SQL + " SELECT 'rec' AS session_id, kind, var_name, row_number() OVER (PARTITION BY kind ORDER BY var_name)::INTEGER - 1 AS place FROM vars")
 def q_variable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = session_points(spark, sf_dir).select("kind", "var_name").distinct()
-    return names.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("var_name")) - 1)
+    return recording(spark, sf_dir).variable_names()
 
 
 @query(SESSION_SQL + " SELECT DISTINCT var_name FROM vars WHERE kind IN ('neuron', 'event') ORDER BY var_name")
 def q_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export_names(session_points(spark, sf_dir))
+    return export_names(recording(spark, sf_dir).variables)
+
+
+def waves_session(spark: SparkSession, sf_dir: str) -> Session:
+    """Each label's vectors as a waveform variable, float samples at 30 kHz."""
+    name = F.concat(F.lit("wave_"), "label")
+    idx = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
+    waves = table(spark, sf_dir, "embeddings").select(name.alias("var_name"), idx.alias("idx"), (F.col("vec_id") / 1000.0).alias("t"), F.col("embedding").alias("samples"))
+    variables = counted(waves).select("var_name", "count", F.lit("waveform").alias("kind"), F.lit(30000.0).alias("sampling_rate"), F.lit(64).alias("n_points_wave"))
+    return session(spark, 1000.0, variables=variables, waveforms=waves)
 
 
 @query(SESSION_SQL + """
-    SELECT var_name, kind, max_t FROM vars
-    UNION ALL SELECT 'wave_' || label, 'waveform', greatest(0, max(vec_id / 1000e0 + 63 / 30000e0)) FROM embeddings GROUP BY label""")
+    SELECT var_name, kind, count, max_t FROM vars
+    UNION ALL SELECT 'wave_' || label, 'waveform', count(*), greatest(0, max(vec_id / 1000e0 + 63 / 30000e0)) FROM embeddings GROUP BY label""")
 def q_max_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waves = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.greatest(F.lit(0.0), F.max(F.col("vec_id") / 1000.0 + F.lit(63) / F.lit(30000.0))).alias("max_t"))
-    wave = waves.select(F.concat(F.lit("wave_"), "label").alias("var_name"), F.lit("waveform").alias("kind"), "max_t")
-    return summaries(session_points(spark, sf_dir)).select("var_name", "kind", "max_t").unionByName(wave)
+    both = [maximum_timestamps(s) for s in (recording(spark, sf_dir), waves_session(spark, sf_dir))]
+    return both[0].unionByName(both[1]).drop("session_id")
 
 
-@query(SESSION_SQL + " SELECT var_name, t FROM points WHERE var_name IN ('view_0', 'click_1')")
+@query(SESSION_SQL + """, s AS (SELECT var_name, idx, t, max(t) OVER () AS end_seconds FROM points WHERE var_name IN ('view_0', 'click_1'))
+    SELECT var_name, idx, t, CASE var_name WHEN 'view_0' THEN 0 ELSE 1 END AS var_index, end_seconds FROM s""")
 def q_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_points(spark, sf_dir).where(F.col("var_name").isin("view_0", "click_1")).select("var_name", "t")
+    s = recording(spark, sf_dir).subset(["view_0", "click_1"])
+    return s.points.join(s.variables.select("var_name", "var_index"), "var_name").join(s.sessions.select("session_id", "end_seconds"), "session_id").select("var_name", "idx", "t", "var_index", "end_seconds")
 
 
 @query(SESSION_SQL + " SELECT CASE WHEN var_name = 'view_0' THEN 'unit_a' ELSE var_name END AS var_name, count(*) AS count FROM points GROUP BY ALL")
 def q_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    renamed = F.when(F.col("var_name") == "view_0", "unit_a").otherwise(F.col("var_name"))
-    return session_points(spark, sf_dir).withColumn("var_name", renamed).groupBy("var_name").agg(F.count("*").alias("count"))
+    return counted(recording(spark, sf_dir).rename("view_0", "unit_a").points)
 
 
-@query(SESSION_SQL + " SELECT var_name, count FROM vars WHERE var_name <> 'view_0'")
+@query(SESSION_SQL + " SELECT var_name, count(*) AS count, (SELECT max(t) FROM points) AS end_seconds FROM points WHERE var_name <> 'view_0' GROUP BY ALL")
 def q_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries(session_points(spark, sf_dir).where(F.col("var_name") != "view_0")).select("var_name", "count")
+    s = recording(spark, sf_dir).delete("view_0")
+    return counted(s.points).join(F.broadcast(s.sessions.select("end_seconds")))  # one session
 
 
-@query(SESSION_SQL + " SELECT var_name, kind, count FROM vars WHERE kind = 'neuron' UNION ALL SELECT var_name, kind, count FROM vars WHERE kind = 'event'")
-def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def halves(spark: SparkSession, sf_dir: str) -> list[Session]:
     points = session_points(spark, sf_dir)
-    return summaries(points.where("kind = 'neuron'").unionByName(points.where("kind = 'event'"))).select("var_name", "kind", "count")
+    return [session(spark, 1e6, variables=counted(points.where(F.col("kind") == k), "kind"), points=points.where(F.col("kind") == k)) for k in ("neuron", "event")]
+
+
+@query(SESSION_SQL + " SELECT var_name, kind, count, row_number() OVER (ORDER BY kind DESC, var_name)::INTEGER - 1 AS var_index, (SELECT max(t) FROM points) AS end_seconds FROM vars")
+def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    neurons, events = halves(spark, sf_dir)
+    s = neurons.merge(events)
+    return s.variables.join(s.sessions.select("session_id", "end_seconds"), "session_id").select("var_name", "kind", "count", "var_index", "end_seconds")
 
 
 @query(SESSION_SQL + f""",
@@ -280,10 +330,128 @@ def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN a.kind <> b.kind OR a.count <> b.count OR abs(a.max_t - b.max_t) > {EPSILON!r}::DOUBLE THEN 'changed' END AS status FROM a FULL JOIN b USING (var_name))
     WHERE status IS NOT NULL""")
 def q_session_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = session_points(spark, sf_dir)
-    a = points.where("var_name <> 'click_0'")
-    b = points.where("var_name <> 'click_1' AND NOT (var_name = 'view_0' AND t < 86400)")
-    return diff_summaries(summaries(a), summaries(b))
+    s = recording(spark, sf_dir)
+    b = s.delete("click_1")
+    return diff(s.delete("click_0"), replace(b, points=b.points.where("NOT (var_name = 'view_0' AND t < 86400)")))
+
+
+@query(SESSION_SQL + """,
+    n AS (SELECT count(*) AS n_events FROM points WHERE var_name = 'signup_1'),
+    c AS (
+        SELECT floor((s.t - e.t - -3600e0) / 300e0)::BIGINT AS bin, count(*) AS n FROM points s JOIN points e
+        ON s.var_name = 'view_0' AND e.var_name = 'signup_1' AND s.t >= e.t + -3600e0 AND s.t <= e.t + 7200e0
+        WHERE s.t BETWEEN 86400e0 AND 1728000e0 AND s.t - e.t >= -3600e0 AND s.t - e.t < 7200e0 GROUP BY ALL)
+    SELECT b.bin::BIGINT AS bin, -3600e0 + b.bin * 300e0 AS bin_start, coalesce(c.n, 0) AS count, coalesce(c.n, 0) / (n_events * 300e0) AS rate_hz, n_events
+    FROM range(36) b(bin) CROSS JOIN n LEFT JOIN c USING (bin)""")
+def q_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyse(recording(spark, sf_dir), "view_0", "signup_1", -3600.0, 7200.0, 300.0, spike_range=(86400.0, 1728000.0)).psth
+
+
+@query("SELECT 'ch_' || (user_id % 8) AS var_name, row_number() OVER (PARTITION BY user_id % 8 ORDER BY epoch_us(ts))::BIGINT - 1 AS idx, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e3::DOUBLE / 1000e0 AS t FROM events")
+def q_detected_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 1e3D")
+    return channel_neurons(table(spark, sf_dir, "events").select((F.col("user_id") % 8).cast("int").alias("channel"), ms.alias("time_ms"))).select("var_name", "idx", "t")
+
+
+# Session files: written to bytes and read back -----------------------------------------------------------------------------
+
+
+def files_of(s: Session, layout: str = "wide") -> DataFrame:
+    return encode_files(s, WriteOptions(layout=layout)).select(F.col("session_id").alias("path"), "content")
+
+
+@query(SESSION_SQL + " SELECT var_name, kind, idx, round(t * 1e6)::BIGINT AS tick, round(t * 1e6)::BIGINT / 1e6::DOUBLE AS t FROM points")
+def q_file_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(files_of(recording(spark, sf_dir)), "points").drop("session_id")
+
+
+@query(SESSION_SQL + " SELECT var_name, kind, idx, floor(t * 100e0 + 0.5e0)::BIGINT AS tick, floor(t * 100e0 + 0.5e0)::BIGINT / 100e0 AS t FROM points")
+def q_file_points_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(files_of(recording(spark, sf_dir, 100.0), "narrow"), "points").drop("session_id")
+
+
+@query(SESSION_SQL + " SELECT idx, round(t * 1e6)::BIGINT / 1e6::DOUBLE AS t FROM points WHERE var_name = 'view_0' AND idx BETWEEN 10 AND 39")
+def q_file_some_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One variable's rows 10 to 39; payload of others, and its other rows, are passed over."""
+    return decode_files(files_of(recording(spark, sf_dir)), "points", names=["view_0"], from_row=10, before_row=40).select("idx", "t")
+
+
+@query(SESSION_SQL + """
+    SELECT var_index, var_name, kind, count, 1 AS ts_data_type, 500 AS version,
+        (356 + 244 * (SELECT count(*) FROM vars) + 8 * coalesce(sum(count) OVER (ORDER BY var_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS data_offset FROM vars""")
+def q_file_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(files_of(recording(spark, sf_dir)), "variables").select("var_index", "var_name", "kind", "count", "ts_data_type", "version", "data_offset")
+
+
+@query(SESSION_SQL + " SELECT 'wide' AS format, 502 AS file_version, 'events' AS comment, 1e6::DOUBLE AS timestamp_frequency_hz, 0e0 AS beg_seconds, max(max_t) AS end_seconds FROM vars")
+def q_file_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(files_of(recording(spark, sf_dir)), "sessions").drop("session_id", "path", "metadata")
+
+
+@query(SESSION_SQL + " SELECT var_name, 0 AS unit, 0 AS wire, 0e0 AS x, 0e0 AS y FROM vars WHERE kind = 'neuron' UNION ALL SELECT var_name, NULL, NULL, NULL, NULL FROM vars WHERE kind = 'event'")
+def q_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = recording(spark, sf_dir)
+    return replace(s, variables=decode_files(files_of(s), "variables")).metadata().drop("session_id", "raw")
+
+
+@query(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx FROM p)
+    SELECT event_type AS var_name, idx, round(t * 1e6)::BIGINT / 1e6::DOUBLE AS t, 0 AS field_index, 'k' AS field_name, (props->>'$.k')::BIGINT AS num, NULL::VARCHAR AS str FROM i
+    UNION ALL SELECT event_type, idx, round(t * 1e6)::BIGINT / 1e6::DOUBLE, 1, 'user', NULL, 'u' || user_id FROM i""")
+def q_file_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text markers: cells that are numbers come back as numbers, those of the other field as texts."""
+    rows = indexed(spark, sf_dir, "props", "user_id").select(F.col("event_type").alias("var_name"), "idx", "t", F.get_json_object("props", "$.k").alias("k"), F.concat(F.lit("u"), "user_id").alias("u"))
+    cells = F.explode(F.array(F.struct(F.lit(0).alias("f"), F.lit("k").alias("n"), F.col("k").alias("s")), F.struct(F.lit(1).alias("f"), F.lit("user").alias("n"), F.col("u").alias("s"))))
+    markers = rows.select("var_name", "idx", "t", cells.alias("c")).select("var_name", "idx", "t", F.col("c.f").alias("field_index"), F.col("c.n").alias("field_name"), F.lit(None).cast("long").alias("num"), F.col("c.s").alias("str"))
+    variables = counted(rows).select("var_name", "count", F.lit("marker").alias("kind"), F.lit(2).alias("n_markers"))
+    return decode_files(files_of(session(spark, 1e6, variables=variables, markers=markers)), "markers").drop("session_id")
+
+
+WAVES_SQL = """WITH w AS (SELECT 'wave_' || label AS var_name, row_number() OVER (PARTITION BY label ORDER BY vec_id)::BIGINT - 1 AS idx, vec_id / 1000e0 AS t, embedding FROM embeddings),
+    x AS (SELECT var_name, idx, t, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos, unnest(embedding) AS x FROM w)"""
+
+
+@query(WAVES_SQL + " SELECT * FROM x")
+def q_file_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(files_of(waves_session(spark, sf_dir)), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
+
+
+@query(WAVES_SQL + """, s AS (SELECT var_name, max(abs(x::DOUBLE)) / 32767 AS scale FROM x GROUP BY var_name),
+    q AS (SELECT var_name, idx, t, pos, scale, x::DOUBLE / scale AS y FROM x JOIN s USING (var_name))
+    SELECT var_name, idx, t, pos, (greatest(-32768, least(32767, trunc(y + CASE WHEN y >= 0 THEN 0.5e0 ELSE -0.5e0 END))) * scale)::FLOAT AS x FROM q""")
+def q_file_waveforms_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 16 bits, scaled by the range of each variable."""
+    return decode_files(files_of(waves_session(spark, sf_dir), "narrow"), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
+
+
+@query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS value, 0 AS fragment FROM p")
+def q_file_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's values as a signal of one fragment, given in rows of 1,000 samples."""
+    rows = indexed(spark, sf_dir, "value").withColumn("_c", F.floor(F.col("idx") / 1000))
+    chunks = rows.groupBy(F.col("event_type").alias("var_name"), "_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda v: v["value"]).alias("values"))
+    signal = chunks.select("var_name", F.lit(0).alias("fragment"), (F.col("_c") * 1000 / 1000.0).alias("t0"), (F.col("_c") * 1000).alias("first_sample"), F.lit(1000.0).alias("sampling_rate"), "values")
+    variables = rows.groupBy(F.col("event_type").alias("var_name")).agg(F.count("*").alias("n_points_wave")).select("var_name", "n_points_wave", F.lit(1).alias("count"), F.lit("continuous").alias("kind"), F.lit(1000.0).alias("sampling_rate"))
+    back = decode_files(files_of(session(spark, 1e6, variables=variables, continuous=signal)), "continuous")
+    return back.select("var_name", "fragment", "first_sample", F.posexplode("values").alias("p", "value")).select("var_name", (F.col("first_sample") + F.col("p")).alias("sample"), "value", "fragment")
+
+
+@query("""
+    WITH i AS (SELECT 'line_' || l_linenumber AS var_name, l_orderkey, l_linenumber, datediff('second', TIMESTAMP '1990-01-01', o_orderdate)::DOUBLE AS a, datediff('second', TIMESTAMP '1990-01-01', l_shipdate)::DOUBLE AS b
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate)
+    SELECT var_name, row_number() OVER (PARTITION BY var_name ORDER BY a, l_orderkey, l_linenumber, b)::BIGINT - 1 AS idx, a AS t_start, b AS t_end FROM i""")
+def q_file_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1990-01-01 00:00:00', cast({c} as timestamp_ntz))").cast("double")
+    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
+    rows = both.select(F.concat(F.lit("line_"), "l_linenumber").alias("var_name"), "l_orderkey", "l_linenumber", since("o_orderdate").alias("t_start"), since("l_shipdate").alias("t_end"))
+    intervals = rows.withColumn("idx", F.row_number().over(Window.partitionBy("var_name").orderBy("t_start", "l_orderkey", "l_linenumber", "t_end")).cast("long") - 1)
+    s = session(spark, 1.0, variables=counted(intervals).withColumn("kind", F.lit("interval")), intervals=intervals)
+    return decode_files(files_of(s), "intervals").drop("session_id")
+
+
+@query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx, value AS weight FROM p")
+def q_file_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = indexed(spark, sf_dir, "value").select(F.col("event_type").alias("var_name"), "idx", F.col("value").alias("weight"))
+    s = session(spark, 1.0, variables=counted(weights).withColumn("kind", F.lit("population")), population=weights)
+    return decode_files(files_of(s), "population").drop("session_id")
 
 
 @query("""
@@ -336,18 +504,18 @@ def q_marker_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", marker_number(F.get_json_object("props", "$.k")).alias("num"))
 
 
-@query("SELECT event_type, 'k' AS field_name, bool_and(regexp_full_match(props->>'$.k', '\\+?[0-9]+')) AS numeric, greatest(6, max(strlen(props->>'$.k')) + 1) AS cell_bytes FROM events GROUP BY event_type")
+@query("SELECT event_type AS var_name, 'k' AS field_name, bool_and(regexp_full_match(props->>'$.k', '\\+?[0-9]+')) AS numeric, greatest(6, max(strlen(props->>'$.k')) + 1) AS cell_bytes FROM events GROUP BY event_type")
 def q_marker_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.first(F.lit("k")).alias("field_name"), F.bool_and(marker_number(k).isNotNull()).alias("numeric"), F.greatest(F.lit(6), F.max(F.octet_length(k)) + 1).cast("long").alias("cell_bytes"))
+    return marker_fields(table(spark, sf_dir, "events").select(F.col("event_type").alias("var_name"), F.lit("k").alias("field_name"), k.alias("cell")))
 
 
 # Waveforms and templates -----------------------------------------------------------------------------------------------
 
 TEMPLATES_SQL = """
     WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
-    m AS (SELECT label, pos, list_reduce(list_prepend(0e0, list(x ORDER BY vec_id)), lambda a, b: a + b) / count(*) AS mean FROM x GROUP BY ALL),
+    b AS (SELECT label, pos, vec_id // 4096 AS blk, list_reduce(list_prepend(0e0, list(x ORDER BY vec_id)), lambda a, b: a + b) AS s, count(*) AS n FROM x GROUP BY ALL),
+    m AS (SELECT label, pos, list_reduce(list_prepend(0e0, list(s ORDER BY blk)), lambda a, b: a + b) / sum(n) AS mean FROM b GROUP BY ALL),
     t AS (SELECT label, list(mean ORDER BY pos) AS template FROM m GROUP BY label),
     w AS (SELECT vec_id, label AS own, list_transform(embedding, lambda v: v::DOUBLE) AS s FROM embeddings),
     d AS (
@@ -384,7 +552,8 @@ def q_nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TEMPLATES_SQL + """,
-    e AS (SELECT own, list_reduce(list_prepend(0e0, list(dd ORDER BY vec_id)), lambda a, b: a + b) AS sq, count(*) * 64 AS n FROM d WHERE own = template_label GROUP BY own)
+    f AS (SELECT own, vec_id // 4096 AS blk, list_reduce(list_prepend(0e0, list(dd ORDER BY vec_id)), lambda a, b: a + b) AS s, count(*) * 64 AS k FROM d WHERE own = template_label GROUP BY ALL),
+    e AS (SELECT own, list_reduce(list_prepend(0e0, list(s ORDER BY blk)), lambda a, b: a + b) AS sq, sum(k) AS n FROM f GROUP BY own)
     SELECT own AS label, list_max(list_transform(template, lambda z: abs(z))) / greatest(sqrt(sq / n), 1e-9::DOUBLE) AS snr FROM e JOIN t ON t.label = own""")
 def q_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.cluster_snr(waveforms(spark, sf_dir), templates(spark, sf_dir))
@@ -417,10 +586,12 @@ def q_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM embeddings WHERE vec_id < 16)
-    SELECT pos, max(x) FILTER (vec_id = 0) - list_reduce(list_prepend(0e0, list(x ORDER BY vec_id)), lambda a, b: a + b) / count(*) AS value FROM x GROUP BY pos""")
+    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM embeddings),
+    b AS (SELECT pos, vec_id // 4096 AS blk, max(x) FILTER (vec_id = 0) AS own, list_reduce(list_prepend(0e0, list(x ORDER BY vec_id)), lambda a, b: a + b) AS s, count(*) AS n FROM x GROUP BY ALL)
+    SELECT pos, max(own) - list_reduce(list_prepend(0e0, list(s ORDER BY blk)), lambda a, b: a + b) / sum(n) AS value FROM b GROUP BY pos""")
 def q_car(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channels = waveforms(spark, sf_dir).where("idx < 16").select(F.col("idx").alias("channel"), F.posexplode("samples").alias("pos", "value"))
+    """Every vector is a channel."""
+    channels = waveforms(spark, sf_dir).select(F.col("idx").alias("channel"), F.posexplode("samples").alias("pos", "value"))
     return signals.common_average_reference(channels)
 
 
@@ -486,9 +657,21 @@ def q_ticks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.withColumn("seconds", ticks_to_seconds(F.col("tick"), 100000.0))
 
 
-@query()
+def _bandpass_sql(rate: float, low: float, high: float) -> str:
+    rc = [1.0 / (2 * math.pi * f) for f in (low, high)]
+    up, down = rc[0] / (rc[0] + 1.0 / rate), (1.0 / rate) / (rc[1] + 1.0 / rate)
+    return "WITH RECURSIVE" + P.removeprefix("WITH") + f""",
+        s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS x FROM p),
+        r AS (
+            SELECT user_id, sample, x, x AS y, x AS z FROM s WHERE sample = 0
+            UNION ALL SELECT user_id, sample, x, y, (z + {down!r}::DOUBLE * (y - z))::FLOAT::DOUBLE
+            FROM (SELECT s.user_id, s.sample, s.x, ({up!r}::DOUBLE * (r.y + s.x - r.x))::FLOAT::DOUBLE AS y, r.z FROM r JOIN s ON s.user_id = r.user_id AND s.sample = r.sample + 1))
+        SELECT user_id, sample, z::FLOAT AS filtered FROM r"""
+
+
+@query(_bandpass_sql(1000.0, 10.0, 300.0))
 def q_iir_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-order filters keep their state from sample to sample; the tests hold them against a plain loop."""
+    """First-order filters keep their state from sample to sample."""
     signal = trains(spark, sf_dir).select("user_id", "t", "event_id", "value")
     return spike_sorting.bandpass(signal, 1000.0, 10.0, 300.0, ["user_id"], ["t", "event_id"])
 

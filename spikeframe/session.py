@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .errors import DuplicateVariable, InvalidFrequency, InvalidValues, VariableNotFound, WrongKind
+from .errors import DuplicateVariable, IncompleteRead, InvalidFrequency, InvalidValues, VariableNotFound, WrongKind
 from .functions import EPSILON
 from .schema import KINDS, TABLES
 
+TABLE_OF_KIND = {"neuron": "points", "event": "points", "interval": "intervals", "marker": "markers", "waveform": "waveforms", "continuous": "continuous", "population": "population"}
 PAYLOADS = ("points", "intervals", "markers", "waveforms", "continuous", "population")
 
 
@@ -29,36 +30,96 @@ class Session:
     waveforms: DataFrame
     continuous: DataFrame
     population: DataFrame
+    #: Variables whose payload the tables hold; None: all.
+    loaded: frozenset[str] | None = None
+    #: For tables that still stand for files: (table, variable, first row, row behind the last) opened on its own.
+    reopen: Callable[[str, str, int, int | None], DataFrame] | None = None
+
+    def variable_names(self, kind: str | None = None) -> DataFrame:
+        """(session_id, kind, var_name, place): the variables of each session, `place` counting those of the kind in file order."""
+        rows = self.variables if kind is None else self.variables.where(F.col("kind") == kind)
+        order = Window.partitionBy("session_id", "kind").orderBy("var_index")
+        return rows.select("session_id", "kind", "var_name", (F.row_number().over(order) - 1).alias("place"))
 
     def names(self, kind: str | None = None) -> list[str]:
-        """Names in file order."""
+        """Names in file order, each once."""
         rows = self.variables if kind is None else self.variables.where(F.col("kind") == kind)
-        return [r["var_name"] for r in rows.orderBy("var_index").select("var_name").collect()]
+        return list(dict.fromkeys(r["var_name"] for r in rows.orderBy("session_id", "var_index").select("var_name").collect()))
 
     def _need(self, *names: str, kind: str | Sequence[str] | None = None) -> None:
-        have = {r["var_name"]: r["kind"] for r in self.variables.where(F.col("var_name").isin(*names)).select("var_name", "kind").collect()}
+        """Every session must have the variables, of one of the kinds."""
+        have: dict[str, dict[str, str]] = {}
+        for r in self.variables.where(F.col("var_name").isin(*names)).select("session_id", "var_name", "kind").collect():
+            have.setdefault(r["var_name"], {})[r["session_id"]] = r["kind"]
+        sessions = self.sessions.count()
         for name in names:
-            if name not in have:
+            if len(have.get(name, {})) < max(sessions, 1):
                 raise VariableNotFound(name)
-            if kind is not None and have[name] not in ([kind] if isinstance(kind, str) else kind):
-                raise WrongKind(f"{name} is of kind {have[name]}")
+            for sid, found in have[name].items():
+                if kind is not None and found not in ([kind] if isinstance(kind, str) else kind):
+                    raise WrongKind(f"{name} of {sid} is of kind {found}")
 
     def payload(self, name: str, kind: str) -> DataFrame:
-        """The rows of one variable of the given kind."""
+        """The rows of one variable of the given kind, of every session."""
         self._need(name, kind=kind)
-        table = "points" if kind in ("neuron", "event") else {"interval": "intervals", "marker": "markers", "waveform": "waveforms"}.get(kind, kind)
-        return getattr(self, table).where(F.col("var_name") == name)
+        if not self.is_loaded(name):
+            raise IncompleteRead(f"{name} was not among the variables to read")
+        return self._rows(TABLE_OF_KIND[kind], name)
+
+    def _rows(self, table: str, name: str, low: int = 0, high: int | None = None) -> DataFrame:
+        """A variable's rows, from files if they can be read in part; numbers below `low` or from `high` on may be left out."""
+        found = getattr(self, table) if self.reopen is None else self.reopen(table, name, low, high)
+        return found.where(F.col("var_name") == name)
+
+    def is_loaded(self, name: str) -> bool:
+        """Whether the variable's payload is in the tables, and not its header alone."""
+        return self.loaded is None or name in self.loaded
+
+    def neuron(self, name: str) -> DataFrame:
+        return self.payload(name, "neuron")
+
+    def event(self, name: str) -> DataFrame:
+        return self.payload(name, "event")
+
+    def interval(self, name: str) -> DataFrame:
+        return self.payload(name, "interval")
+
+    def marker(self, name: str) -> DataFrame:
+        return self.payload(name, "marker")
+
+    def waveform(self, name: str) -> DataFrame:
+        return self.payload(name, "waveform")
+
+    def signal(self, name: str) -> DataFrame:
+        return self.payload(name, "continuous")
+
+    def weights(self, name: str) -> DataFrame:
+        return self.payload(name, "population")
 
     def timestamps(self, name: str) -> DataFrame:
-        """(idx, t) of a neuron, event, marker or waveform."""
+        """(session_id, idx, t) of a neuron, event, marker or waveform."""
+        return self._timestamps(name)
+
+    def _timestamps(self, name: str, low: int = 0, high: int | None = None) -> DataFrame:
         self._need(name, kind=("neuron", "event", "marker", "waveform"))
-        return all_timestamps(self).where(F.col("var_name") == name).select("idx", "t")
+        parts = {t: self._rows(t, name, low, high) for t in ("points", "markers", "waveforms")}
+        return all_timestamps(replace(self, **parts)).select("session_id", "idx", "t")
+
+    def timestamp_range(self, name: str, start: int, count: int) -> DataFrame:
+        """`count` timestamps from number `start`; a range beyond those that a session has is an error."""
+        self._need(name, kind=("neuron", "event", "marker", "waveform"))
+        if start < 0 or count < 0:
+            raise IncompleteRead(f"{name}: {count} from {start}")
+        least = self.variables.where(F.col("var_name") == name).agg(F.min("count")).first()[0]
+        if start + count > least:
+            raise IncompleteRead(f"{name}: {count} from {start}, where there are {least}")
+        return self._timestamps(name, start, start + count).where((F.col("idx") >= start) & (F.col("idx") < start + count))
 
     def _map(self, f) -> Session:
-        return replace(self, variables=f(self.variables), **{p: f(getattr(self, p)) for p in PAYLOADS})
+        return replace(self, variables=f(self.variables), **{p: f(getattr(self, p)) for p in PAYLOADS}, reopen=None)
 
     def subset(self, names: Sequence[str]) -> Session:
-        """The named variables in the order asked for; the end is that of what remains."""
+        """The named variables of each session in the order asked for; a session's end is that of what remains of it."""
         if len(set(names)) < len(names):
             raise DuplicateVariable("a name is given twice")
         self._need(*names)
@@ -68,20 +129,24 @@ class Session:
         return out.with_end()
 
     def rename(self, old: str, new: str) -> Session:
-        """Only the variable's name changes; metadata keep the old one."""
+        """Only the variable's name changes, in every session; metadata keep the old one."""
         self._need(old)
         if new in self.names():
             raise DuplicateVariable(new)
-        return self._map(lambda df: df.withColumn("var_name", F.when(F.col("var_name") == old, new).otherwise(F.col("var_name"))))
+        named = self._map(lambda df: df.withColumn("var_name", F.when(F.col("var_name") == old, new).otherwise(F.col("var_name"))))
+        return named if self.loaded is None else replace(named, loaded=frozenset(new if n == old else n for n in self.loaded))
 
     def delete(self, name: str) -> Session:
-        """Without the variable; the session's end stays."""
+        """Every session without the variable; the ends stay."""
         self._need(name)
         return self._map(lambda df: df.where(F.col("var_name") != name))
 
     def merge(self, other: Session) -> Session:
-        """Other's variables behind this one's. Frequencies must agree, names must not clash; metadata stay this one's."""
-        a, b = self.sessions.first(), other.sessions.first()
+        """Other's variables behind this one's. Frequencies must agree, names must not clash; metadata stay this one's.
+
+        Both sides hold one session; sessions by the thousand are put side by side with union().
+        """
+        a, b = self._only(), other._only()
         if abs(a["timestamp_frequency_hz"] - b["timestamp_frequency_hz"]) > EPSILON:
             raise InvalidFrequency("the sessions' frequencies differ")
         if clash := set(self.names()) & set(other.names()):
@@ -91,11 +156,25 @@ class Session:
         mine = other._map(lambda df: df.withColumn("session_id", F.lit(sid)))
         moved = mine.variables.withColumn("var_index", (F.col("var_index") + n).cast("int"))
         head = self.sessions.withColumn("beg_seconds", F.lit(min(a["beg_seconds"], b["beg_seconds"]))).withColumn("end_seconds", F.lit(max(a["end_seconds"], b["end_seconds"]))).withColumn("comment", F.lit(a["comment"] or b["comment"]))
-        return replace(self, sessions=head, variables=self.variables.unionByName(moved), **{p: getattr(self, p).unionByName(getattr(mine, p)) for p in PAYLOADS})
+        return replace(self, sessions=head, variables=self.variables.unionByName(moved), **{p: getattr(self, p).unionByName(getattr(mine, p)) for p in PAYLOADS}, reopen=None)
+
+    def _only(self):
+        rows = self.sessions.limit(2).collect()
+        if len(rows) != 1:
+            raise InvalidValues("one session is wanted, and there are " + ("none" if not rows else "more"))
+        return rows[0]
+
+    def union(self, other: Session) -> Session:
+        """The sessions of both, whose ids must differ."""
+        if not self.sessions.join(other.sessions, "session_id", "left_semi").isEmpty():
+            raise DuplicateVariable("a session is on both sides")
+        return replace(self, **{name: getattr(self, name).unionByName(getattr(other, name)) for name in TABLES}, reopen=None)
 
     def with_end(self) -> Session:
-        end = maximum_timestamps(self).agg(F.greatest(F.lit(0.0), F.max("max_t"))).first()[0] or 0.0
-        return replace(self, sessions=self.sessions.withColumn("end_seconds", F.lit(float(end))))
+        """Each session's end set to the latest time in its variables."""
+        ends = maximum_timestamps(self).groupBy("session_id").agg(F.max("max_t").alias("_end"))
+        end = F.greatest(F.lit(0.0), F.coalesce("_end", F.lit(0.0)))
+        return replace(self, sessions=self.sessions.join(ends, "session_id", "left").withColumn("end_seconds", end).select(*self.sessions.columns))
 
     def info(self) -> DataFrame:
         """One row a session: header fields and the number of neurons, events, continuous signals and intervals."""
@@ -103,10 +182,10 @@ class Session:
         return self.sessions.join(counts, "session_id", "left").select("session_id", "comment", "timestamp_frequency_hz", "beg_seconds", "end_seconds", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in ("neuron", "event", "continuous", "interval")))
 
     def metadata(self) -> DataFrame:
-        """(var_name, unit, wire, x, y, raw) from each variable's JSON."""
+        """(session_id, var_name, unit, wire, x, y, raw) from each variable's JSON."""
         m = F.col("metadata")
         return self.variables.select(
-            "var_name", F.get_json_object(m, "$.unitNumber").cast("int").alias("unit"), F.get_json_object(m, "$.probe.wireNumber").cast("int").alias("wire"),
+            "session_id", "var_name", F.get_json_object(m, "$.unitNumber").cast("int").alias("unit"), F.get_json_object(m, "$.probe.wireNumber").cast("int").alias("wire"),
             F.get_json_object(m, "$.probe.position.x").cast("double").alias("x"), F.get_json_object(m, "$.probe.position.y").cast("double").alias("y"), m.alias("raw"))
 
     def to_json(self) -> str:
@@ -126,33 +205,40 @@ def all_timestamps(s: Session) -> DataFrame:
 
 
 def maximum_timestamps(s: Session) -> DataFrame:
-    """(var_name, kind, count, max_t) of every variable; 0 where there is nothing later.
+    """(session_id, var_name, kind, count, max_t) of every variable; 0 where there is nothing later.
 
     A waveform ends with its last sample, a fragment with its last value, an interval at its end.
     """
     rates = s.variables.select("session_id", "var_name", "sampling_rate", "n_points_wave")
-    waves = s.waveforms.join(rates, ["session_id", "var_name"]).select("var_name", (F.col("t") + F.greatest(F.col("n_points_wave") - 1, F.lit(0)) / F.col("sampling_rate")).alias("t"))
+    key = ["session_id", "var_name"]
+    waves = s.waveforms.join(rates, key).select(*key, (F.col("t") + F.coalesce(F.try_divide(F.greatest(F.col("n_points_wave") - 1, F.lit(0)), F.col("sampling_rate")), F.lit(0.0))).alias("t"))
     parts = [
-        s.points.select("var_name", "t"), s.intervals.select("var_name", F.col("t_end").alias("t")), s.markers.where("field_index = 0").select("var_name", "t"), waves,
-        s.continuous.select("var_name", (F.col("t0") + (F.size("values") - 1) / F.col("sampling_rate")).alias("t")), s.population.select("var_name", F.lit(0.0).alias("t")),
+        s.points.select(*key, "t"), s.intervals.select(*key, F.col("t_end").alias("t")), s.markers.where("field_index = 0").select(*key, "t"), waves,
+        s.continuous.select(*key, (F.col("t0") + F.coalesce(F.try_divide(F.size("values") - 1, F.col("sampling_rate")), F.lit(0.0))).alias("t")), s.population.select(*key, F.lit(0.0).alias("t")),
     ]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    ends = every.groupBy("var_name").agg(F.count("*").alias("count"), F.greatest(F.lit(0.0), F.max("t")).alias("max_t"))
-    return s.variables.select("var_name", "kind").join(ends, "var_name", "left").select("var_name", "kind", F.coalesce("count", F.lit(0).cast("long")).alias("count"), F.coalesce("max_t", F.lit(0.0)).alias("max_t"))
+    ends = every.groupBy(*key).agg(F.count("*").alias("count"), F.greatest(F.lit(0.0), F.max("t")).alias("max_t"))
+    return s.variables.select(*key, "kind").join(ends, key, "left").select(*key, "kind", F.coalesce("count", F.lit(0).cast("long")).alias("count"), F.coalesce("max_t", F.lit(0.0)).alias("max_t"))
 
 
 def diff(a: Session, b: Session) -> DataFrame:
-    """(var_name, status): only_in_a, only_in_b, or changed: kind or count differ, or the last times do. Values are not compared."""
-    return diff_summaries(maximum_timestamps(a), maximum_timestamps(b))
+    """(var_name, status): only_in_a, only_in_b, or changed: kind or count differ, or the last times do. Values are not compared.
+
+    Two single sessions are compared whatever their ids; of several, those of equal ids, and session_id comes first.
+    """
+    x, y = maximum_timestamps(a), maximum_timestamps(b)
+    if max(a.sessions.count(), b.sessions.count()) <= 1:
+        return diff_summaries(x, y)
+    return diff_summaries(x, y, ("session_id", "var_name"))
 
 
-def diff_summaries(a: DataFrame, b: DataFrame) -> DataFrame:
-    x, y = (df.select("var_name", F.struct("kind", "count", "max_t").alias(n)) for df, n in ((a, "_a"), (b, "_b")))
+def diff_summaries(a: DataFrame, b: DataFrame, key: Sequence[str] = ("var_name",)) -> DataFrame:
+    x, y = (df.select(*key, F.struct("kind", "count", "max_t").alias(n)) for df, n in ((a, "_a"), (b, "_b")))
     changed = (F.col("_a.kind") != F.col("_b.kind")) | (F.col("_a.count") != F.col("_b.count")) | (F.abs(F.col("_a.max_t") - F.col("_b.max_t")) > EPSILON)
     status = F.when(F.col("_b").isNull(), "only_in_a").when(F.col("_a").isNull(), "only_in_b").when(changed, "changed")
-    return x.join(y, "var_name", "full_outer").select("var_name", status.alias("status")).where("status IS NOT NULL")
+    return x.join(y, list(key), "full_outer").select(*key, status.alias("status")).where("status IS NOT NULL")
 
 
 def export_names(variables: DataFrame) -> DataFrame:

@@ -96,6 +96,13 @@ def padded(text: str, size: int) -> bytes:
     return text.encode()[:size].ljust(size, b"\0")
 
 
+def marker_value(cell: int | str) -> int | str:
+    """A text cell that is an unsigned 32-bit number as that number; any other as it is."""
+    if isinstance(cell, str) and (digits := cell.removeprefix("+")).isascii() and digits.isdigit() and len(digits) < 19 and int(digits) < 2**32:
+        return int(digits)
+    return cell
+
+
 class Reader:
     """Reads parts of one file through `read(offset, size)`."""
 
@@ -181,62 +188,68 @@ class Reader:
                     v |= {"unit": int(m.get("unitNumber", v["unit"])), "wire": int(probe.get("wireNumber", v["wire"])), "x_pos": float(place.get("x", v["x_pos"])), "y_pos": float(place.get("y", v["y_pos"]))}
         return meta
 
-    def payload(self, v: dict) -> dict:
-        """The arrays of one variable."""
+    def units(self, v: dict) -> int:
+        """What a range of a variable counts in: samples of a continuous signal, else its rows."""
+        return v["n_points_wave"] if v["kind"] == "continuous" else v["count"]
+
+    def payload(self, v: dict, lo: int = 0, hi: int | None = None) -> dict:
+        """The arrays of one variable, or of its rows (a continuous signal: samples) lo to hi, without hi."""
         size, at, n, f = self.payload_bytes(v), v["data_offset"], v["count"], self.header.frequency
-        if size > self.options.max_payload_bytes:
+        total = self.units(v)
+        hi = total if hi is None else hi
+        if not 0 <= lo <= hi <= total:
+            raise IncompleteRead(f"{v['var_name']}: {lo} to {hi} of {total}")
+        if total and size * (hi - lo) / total > self.options.max_payload_bytes:
             raise PayloadTooLarge(f"{v['var_name']}: {size} bytes")
         if self.options.validate_layout and n and (at > self.size or at + size > self.size):
             raise IncompleteRead(f"{v['var_name']}: its data pass the end of the file")
         tick_type = "<i8" if v["ts_data_type"] else "<i4"
+        tick_size = np.dtype(tick_type).itemsize
+        width, m, kind = n * tick_size, hi - lo, v["kind"]
 
-        def seconds(offset: int) -> tuple[np.ndarray, np.ndarray]:
-            ticks = self._array(offset, n, tick_type).astype(np.int64)
+        def seconds(offset: int, lo: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+            ticks = self._array(offset + lo * tick_size, m, tick_type).astype(np.int64)
             t = ticks / f
             return ticks, t.astype(np.float32).astype(np.float64) if self.options.compact_timestamps else t
 
-        width = n * np.dtype(tick_type).itemsize
-        kind = v["kind"]
         if kind in ("neuron", "event"):
-            tick, t = seconds(at)
+            tick, t = seconds(at, lo, m)
             return {"tick": tick, "t": t}
         if kind == "interval":
-            start, end = seconds(at)[1], seconds(at + width)[1]
+            start, end = seconds(at, lo, m)[1], seconds(at + width, lo, m)[1]
             if (bad := np.flatnonzero(end < start)).size:
-                raise InvalidValues(f"{v['var_name']}: interval {bad[0]} ends before it starts")
+                raise InvalidValues(f"{v['var_name']}: interval {lo + bad[0]} ends before it starts")
             return {"t_start": start, "t_end": end}
         if kind == "population":
-            return {"weight": self._array(at, n, "<f8")}
+            return {"weight": self._array(at + 8 * lo, m, "<f8")}
         if not n:
             return {"t": np.zeros(0)} | ({"fields": []} if kind == "marker" else {"samples": np.zeros((0, 0), np.float32)} if kind == "waveform" else {"first": np.zeros(0, np.int64), "values": np.zeros(0)})
-        t = seconds(at)[1]
-        at += width
-        if kind == "marker":
-            fields = []
-            for _ in range(v["n_markers"]):
-                name = clean(self._read(at, FIELD_NAME_BYTES))
-                at += FIELD_NAME_BYTES
-                if v["marker_data_type"]:
-                    cells: list = self._array(at, n, "<u4").tolist()
-                    at += 4 * n
-                else:
-                    length = v["marker_length"]
-                    raw = self._read(at, n * length)
-                    cells = [clean(raw[i * length : (i + 1) * length]) for i in range(n)]
-                    at += n * length
-                fields.append((name, cells))
-            text = [c for _, cells in fields for c in cells if isinstance(c, str)]
-            if self.options.numeric_strings and text and all(c.removeprefix("+").isascii() and c.removeprefix("+").isdigit() and int(c) < 2**32 for c in text):
-                fields = [(name, [int(c) for c in cells]) for name, cells in fields]
-            return {"t": t, "fields": fields}
         scale, offset = (v["ad_to_mv"], v["mv_offset"]) if not v["cont_data_type"] else (1.0, 0.0)
         sample_type = "<f4" if v["cont_data_type"] else "<i2"
+        sample_size = np.dtype(sample_type).itemsize
+        if kind == "continuous":
+            first = self._array(at + width, n, "<u4").astype(np.int64)
+            raw = self._array(at + width + 4 * n + lo * sample_size, m, sample_type).astype(np.float64)
+            return {"t": seconds(at, 0, n)[1], "first": first, "values": raw * scale + offset}
+        t = seconds(at, lo, m)[1]
+        at += width
         if kind == "waveform":
-            raw = self._array(at, n * v["n_points_wave"], sample_type)
-            return {"t": t, "samples": (raw * scale + offset if not v["cont_data_type"] else raw).astype(np.float32).reshape(n, -1)}
-        first = self._array(at, n, "<u4").astype(np.int64)
-        raw = self._array(at + 4 * n, v["n_points_wave"], sample_type).astype(np.float64)
-        return {"t": t, "first": first, "values": raw * scale + offset}
+            raw = self._array(at + lo * v["n_points_wave"] * sample_size, m * v["n_points_wave"], sample_type)
+            return {"t": t, "samples": (raw * scale + offset if not v["cont_data_type"] else raw).astype(np.float32).reshape(m, -1)}
+        fields = []
+        for _ in range(v["n_markers"]):
+            name = clean(self._read(at, FIELD_NAME_BYTES))
+            at += FIELD_NAME_BYTES
+            if v["marker_data_type"]:
+                cells: list = self._array(at + 4 * lo, m, "<u4").tolist()
+                at += 4 * n
+            else:
+                length = v["marker_length"]
+                raw = self._read(at + lo * length, m * length)
+                cells = [clean(raw[i * length : (i + 1) * length]) for i in range(m)]
+                at += n * length
+            fields.append((name, [marker_value(c) for c in cells] if self.options.numeric_strings else cells))
+        return {"t": t, "fields": fields}
 
 
 def variable_row(session_id: str, v: dict) -> dict:
@@ -252,22 +265,26 @@ VALUES_PER_ROW, ROWS_PER_BATCH = 65_536, 50_000
 TABLE_OF = {"neuron": "points", "event": "points", "interval": "intervals", "marker": "markers", "waveform": "waveforms", "continuous": "continuous", "population": "population"}
 
 
-def payload_batches(session_id: str, v: dict, p: dict) -> Iterator[pa.RecordBatch]:
-    """One variable as Arrow batches in the columns of its kind's table."""
+def payload_batches(session_id: str, v: dict, p: dict, base: int = 0) -> Iterator[pa.RecordBatch]:
+    """One variable as Arrow batches in the columns of its kind's table; `base`: the number of the first row, or sample, in p."""
     kind = v["kind"]
     if kind == "continuous":
-        ends = [*p["first"][1:].tolist(), len(p["values"])]
-        parts = [(i, t + (lo - a) / v["sampling_rate"], lo, min(b, lo + VALUES_PER_ROW)) for i, (t, a, b) in enumerate(zip(p["t"].tolist(), p["first"].tolist(), ends)) for lo in range(a, b, VALUES_PER_ROW)]
-        for i, t0, lo, hi in parts:
-            values = pa.ListArray.from_arrays(np.array([0, hi - lo], np.int32), pa.array(p["values"][lo:hi]))
-            yield _batch(session_id, v, 1, fragment=pa.array([i], pa.int32()), t0=pa.array([t0]), first_sample=pa.array([lo], pa.int64()), sampling_rate=pa.array([v["sampling_rate"]], pa.float64()), values=values)
+        end = base + len(p["values"])
+        ends = [*p["first"][1:].tolist(), v["n_points_wave"]]
+        for i, (t, a, b) in enumerate(zip(p["t"].tolist(), p["first"].tolist(), ends)):
+            for lo in range(max(a, base), min(b, end), VALUES_PER_ROW):
+                hi = min(b, end, lo + VALUES_PER_ROW)
+                values = pa.ListArray.from_arrays(np.array([0, hi - lo], np.int32), pa.array(p["values"][lo - base : hi - base]))
+                yield _batch(
+                    session_id, v, 1, fragment=pa.array([i], pa.int32()), t0=pa.array([t + (lo - a) / v["sampling_rate"]]), first_sample=pa.array([lo], pa.int64()),
+                    sampling_rate=pa.array([v["sampling_rate"]], pa.float64()), values=values)
         return
     fields = enumerate(p["fields"]) if kind == "marker" else [(0, ("", []))]
     n = len(p["weight"] if kind == "population" else p["t_start"] if kind == "interval" else p["t"])
     for f, (name, cells) in fields:
         for lo in range(0, n, ROWS_PER_BATCH):
             hi = min(n, lo + ROWS_PER_BATCH)
-            idx = pa.array(np.arange(lo, hi))
+            idx = pa.array(np.arange(base + lo, base + hi))
             part = lambda key: pa.array(np.ascontiguousarray(p[key][lo:hi], np.float64))  # noqa: B023, E731
             if kind in ("neuron", "event"):
                 yield _batch(session_id, v, hi - lo, kind=pa.repeat(kind, hi - lo), idx=idx, tick=pa.array(p["tick"][lo:hi]), t=part("t"))
@@ -290,6 +307,11 @@ def _batch(session_id: str, v: dict, n: int, **columns: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_pydict({"session_id": pa.repeat(session_id, n), "var_name": pa.repeat(v["var_name"], n)} | columns)
 
 
+def cell_text(cell: int | str) -> str:
+    """How a cell stands in a file of text markers: numbers of five digits at least."""
+    return f"{cell:05d}" if isinstance(cell, int) else cell
+
+
 def _scaling(v: dict, values: np.ndarray, layout: str) -> tuple[int, float, float]:
     """Sample type, scale and offset to write with; float data made 16-bit get the scale of their range."""
     if layout == "wide" and v["cont_data_type"] == 1 or not len(values):
@@ -302,51 +324,63 @@ def _scaling(v: dict, values: np.ndarray, layout: str) -> tuple[int, float, floa
     return 0, top / 32767 if top else 1.0, 0.0
 
 
-def encode_session(session: dict, variables: list[dict], payloads: dict[str, dict], options: WriteOptions | None = None) -> bytes:
-    """A file's bytes: headers, payloads without gaps, and metadata. `payloads` holds the arrays that Reader.payload gives."""
-    o = options or WriteOptions()
+def tick_type_of(last: float, frequency: float, layout: str) -> str:
+    """The type of ticks in a file whose latest time is `last`."""
+    if math.floor(last * frequency + 0.5) < 2**31:
+        return "<i4"
+    if layout != "wide":
+        raise TickOverflow(f"{last} s at {frequency} Hz")
+    return "<i8"
+
+
+def encode_variable(v: dict, p: dict, frequency: float, tick_type: str, layout: str) -> tuple[dict, bytes]:
+    """A variable's header fields but for its place, and its payload's bytes. `p` holds the arrays that Reader.payload gives."""
+    v = DEFAULTS | v
+    if not v["var_name"]:
+        raise InvalidValues("a variable needs a name")
+    body, changed = _encode(v, p, frequency, tick_type, layout)
+    return v | changed | {"var_type": KINDS[v["kind"]], "version": VARIABLE_VERSION[layout], "ts_data_type": int(tick_type == "<i8"), "cont_frag_index_type": 0}, body
+
+
+def assemble(session: dict, last: float, encoded: list[tuple[dict, bytes]], o: WriteOptions) -> bytes:
+    """A file's bytes: headers, payloads without gaps, and metadata."""
     wide, f = o.layout == "wide", float(session["timestamp_frequency_hz"])
-    if not f > 0:
-        raise InvalidFrequency(str(f))
-    last = max([0.0, *(_last_time(v, payloads[v["var_name"]]) for v in variables)])
-    top = math.floor(last * f + 0.5)
-    long_ticks = top >= 2**31
-    if long_ticks and not wide:
-        raise TickOverflow(f"{last} s at {f} Hz")
-    tick_type = "<i8" if wide and long_ticks else "<i4"
+    tick_type = tick_type_of(last, f, o.layout)
     kind = VARIABLE_HEADER[o.layout]
-    at = FILE_HEADER[o.layout].itemsize + len(variables) * kind.itemsize
-    heads, bodies = np.zeros(len(variables), kind), []
-    for head, v in zip(heads, variables):
-        p = payloads[v["var_name"]]
-        v = DEFAULTS | v
-        if not v["var_name"]:
-            raise InvalidValues("a variable needs a name")
-        body, changed = _encode(v, p, f, tick_type, o.layout)
-        v |= changed
-        v |= {"var_type": KINDS[v["kind"]], "version": VARIABLE_VERSION[o.layout], "data_offset": at, "ts_data_type": int(tick_type == "<i8"), "cont_frag_index_type": 0}
+    at = FILE_HEADER[o.layout].itemsize + len(encoded) * kind.itemsize
+    heads = np.zeros(len(encoded), kind)
+    for head, (v, body) in zip(heads, encoded):
         for n in kind.names:
             if n not in ("pad", "name", "units"):
-                head[n] = v[n]
+                head[n] = at if n == "data_offset" else v[n]
         head["name"] = padded(v["var_name"], 64)
         if wide:
             head["units"] = padded(v["units"] or "", 32)
         at += len(body)
-        bodies.append(body)
     h = np.zeros(1, FILE_HEADER[o.layout])
-    h["magic"], h["version"], h["comment"], h["frequency"], h["n_vars"] = MAGIC[o.layout], FILE_VERSION["wide64" if tick_type == "<i8" else o.layout], padded(session.get("comment") or "", 256), f, len(variables)
-    h["beg"], h["end"] = to_ticks([session.get("beg_seconds") or 0.0], f, "<i8" if wide else "<i4")[0], top
+    h["magic"], h["version"], h["comment"], h["frequency"], h["n_vars"] = MAGIC[o.layout], FILE_VERSION["wide64" if tick_type == "<i8" else o.layout], padded(session.get("comment") or "", 256), f, len(encoded)
+    h["beg"], h["end"] = to_ticks([session.get("beg_seconds") or 0.0], f, "<i8" if wide else "<i4")[0], math.floor(last * f + 0.5)
     meta = b""
     if wide and o.embed_metadata:
         entries = []
-        for v in variables:
+        for v, _ in encoded:
             m: dict = {"name": v["var_name"]}
             if v["kind"] in ("neuron", "waveform"):
                 m |= {"unitNumber": v.get("unit", 0), "probe": {"wireNumber": v.get("wire", 0), "position": {"x": v.get("x_pos", 0.0), "y": v.get("y_pos", 0.0)}}}
             entries.append(m)
         meta = json.dumps({"file": {"writerSoftware": {"name": o.writer_name, "version": o.writer_version}}, "variables": entries}).encode()
         h["meta_offset"] = at
-    return b"".join([h.tobytes(), heads.tobytes(), *bodies, meta])
+    return b"".join([h.tobytes(), heads.tobytes(), *(body for _, body in encoded), meta])
+
+
+def encode_session(session: dict, variables: list[dict], payloads: dict[str, dict], options: WriteOptions | None = None) -> bytes:
+    """A file's bytes from all its variables' arrays."""
+    o, f = options or WriteOptions(), float(session["timestamp_frequency_hz"])
+    if not f > 0:
+        raise InvalidFrequency(str(f))
+    last = max([0.0, *(_last_time(v, payloads[v["var_name"]]) for v in variables)])
+    tick_type = tick_type_of(last, f, o.layout)
+    return assemble(session, last, [encode_variable(v, payloads[v["var_name"]], f, tick_type, o.layout) for v in variables], o)
 
 
 def _last_time(v: dict, p: dict) -> float:
@@ -375,13 +409,13 @@ def _encode(v: dict, p: dict, f: float, tick_type: str, layout: str) -> tuple[by
         numeric = all(isinstance(c, int) for c in cells)
         if not numeric and any(isinstance(c, int) for c in cells):
             raise InvalidValues(f"{v['var_name']}: numbers and texts together")
-        text = [f"{c:05d}" if numeric else c for c in cells]
+        text = [cell_text(c) for c in cells]
         length = max(LEAST_CELL, max((len(c.encode()) for c in text), default=0) + 1)
         as_number = numeric and layout == "wide"
         body = [ticks(p["t"])]
         for name, column in p["fields"]:
             body.append(padded(name, FIELD_NAME_BYTES))
-            body.append(np.array(column, "<u4").tobytes() if as_number else b"".join(padded(f"{c:05d}" if numeric else c, length) for c in column))
+            body.append(np.array(column, "<u4").tobytes() if as_number else b"".join(padded(cell_text(c), length) for c in column))
         return b"".join(body) if len(p["t"]) else b"", {"count": len(p["t"]), "n_markers": len(p["fields"]), "marker_length": LEAST_CELL if as_number else length, "marker_data_type": int(as_number)}
     values = np.asarray(p["samples"] if kind == "waveform" else p["values"], np.float64)
     sample_type, scale, offset = _scaling(v, values.ravel(), layout)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import IncompleteRead
-from ..session import Session, all_timestamps
-from .codec import WriteOptions, encode_session
+from ..errors import IncompleteRead, InvalidFrequency
+from ..session import Session, all_timestamps, maximum_timestamps
+from .codec import TABLE_OF, WriteOptions, assemble, encode_variable, tick_type_of
 
 PAYLOAD_COLUMNS = {
     "points": ("idx", "t"), "intervals": ("idx", "t_start", "t_end"), "markers": ("idx", "t", "field_index", "field_name", "num", "str"),
@@ -22,51 +24,70 @@ PAYLOAD_COLUMNS = {
 
 
 def encode_files(s: Session, options: WriteOptions | None = None) -> DataFrame:
-    """(session_id, content): the bytes of each session's file. A session is one file, so it is encoded in one group."""
-    head = s.sessions.select("session_id", F.to_json(F.struct("comment", "timestamp_frequency_hz", "beg_seconds")).alias("head"))
-    variables = s.variables.groupBy("session_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*[c for c in s.variables.columns if c != "session_id"])))).alias("variables"))
-    every = head.join(variables, "session_id", "left").select("session_id", F.lit("").alias("var_name"), F.lit("head").alias("part"), F.to_json(F.struct("head", "variables")).alias("json"))
-    for table, cols in PAYLOAD_COLUMNS.items():
-        rows = getattr(s, table)
-        every = every.unionByName(rows.select("session_id", "var_name", F.lit(table).alias("part"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json")))
-
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = json.loads(pdf.loc[pdf["part"] == "head", "json"].iloc[0])
-        variables = sorted(json.loads(top.get("variables") or "[]"), key=lambda v: v["var_index"])
-        rows: dict[str, list] = {}
-        for name, text in pdf.loc[pdf["part"] != "head", ["var_name", "json"]].itertuples(index=False):
-            rows.setdefault(name, []).append(json.loads(text))
-        content = encode_session(json.loads(top["head"]), variables, {v["var_name"]: _arrays(v, rows.get(v["var_name"], [])) for v in variables}, options)
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "content": [content]})
-
-    return every.groupBy("session_id").applyInPandas(encode, "session_id string, content binary")
-
-
-def _arrays(v: dict, rows: list[dict]) -> dict:
+    """(session_id, content): the bytes of each session's file.
+
+    Every variable is encoded by a task of its own from Arrow columns; a file is put together by one task, as it is one value.
+    """
+    o, key = options or WriteOptions(), ["session_id", "var_name"]
+    ends = maximum_timestamps(s).groupBy("session_id").agg(F.max("max_t").alias("last"))
+    head = F.to_json(F.struct("comment", "timestamp_frequency_hz", "beg_seconds"))
+    sessions = s.sessions.join(ends, "session_id", "left").select("session_id", head.alias("head"), F.coalesce("last", F.lit(0.0)).alias("last"))
+    fields = F.to_json(F.struct(*[c for c in s.variables.columns if c != "session_id"]))
+    variables = s.variables.join(sessions, "session_id").select(*key, "kind", fields.alias("variable"), "head", "last")
+
+    def encode(rows: pa.Table, about: pa.Table) -> pa.Table:
+        found = about.to_pylist()
+        if not found:
+            return pa.table({"session_id": pa.array([], pa.string()), "var_index": pa.array([], pa.int32()), "variable": pa.array([], pa.string()), "body": pa.array([], pa.binary())})
+        v, f = json.loads(found[0]["variable"]), float(json.loads(found[0]["head"])["timestamp_frequency_hz"])
+        if not f > 0:
+            raise InvalidFrequency(str(f))
+        done, body = encode_variable(v, _arrays(v, rows), f, tick_type_of(found[0]["last"], f, o.layout), o.layout)
+        return pa.table({"session_id": [found[0]["session_id"]], "var_index": pa.array([v["var_index"]], pa.int32()), "variable": [json.dumps(done)], "body": pa.array([body], pa.binary())})
+
+    bodies = None
+    for table, columns in PAYLOAD_COLUMNS.items():
+        rows = getattr(s, table).select(*key, *columns).groupBy(*key)
+        mine = variables.where(F.col("kind").isin([k for k, t in TABLE_OF.items() if t == table])).groupBy(*key)
+        made = rows.cogroup(mine).applyInArrow(encode, "session_id string, var_index int, variable string, body binary")
+        bodies = made if bodies is None else bodies.unionByName(made)
+
+    def put_together(encoded: pa.Table, about: pa.Table) -> pa.Table:
+        if not about.num_rows:
+            return pa.table({"session_id": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
+        top, rows = about.to_pylist()[0], encoded.sort_by("var_index").to_pylist()
+        content = assemble(json.loads(top["head"]), top["last"], [(json.loads(r["variable"]), r["body"]) for r in rows], o)
+        return pa.table({"session_id": [top["session_id"]], "content": pa.array([content], pa.binary())})
+
+    return bodies.groupBy("session_id").cogroup(sessions.groupBy("session_id")).applyInArrow(put_together, "session_id string, content binary")
+
+
+def _arrays(v: dict, rows: pa.Table) -> dict:
     kind = v["kind"]
-    column = lambda name: np.array([r[name] for r in rows], np.float64)
+    column = lambda name: rows.column(name).to_numpy().astype(np.float64)
     if kind == "continuous":
-        rows = sorted(rows, key=lambda r: r["first_sample"])
-        starts = {}
-        for r in rows:
-            starts.setdefault(r["fragment"], r)
-        values = [x for r in rows for x in r["values"]]
-        return {"t": np.array([r["t0"] for r in starts.values()], np.float64), "first": np.array([r["first_sample"] for r in starts.values()], np.int64), "values": np.array(values, np.float64)}
+        rows = rows.sort_by("first_sample")
+        fragment = rows.column("fragment").to_numpy()
+        new = np.flatnonzero(np.concatenate([np.ones(min(len(fragment), 1), bool), fragment[1:] != fragment[:-1]]))
+        values = rows.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64) if len(fragment) else np.zeros(0)
+        return {"t": column("t0")[new], "first": rows.column("first_sample").to_numpy()[new].astype(np.int64), "values": values}
     if kind == "marker":
-        fields: dict[int, list] = {}
-        for r in sorted(rows, key=lambda r: (r["field_index"], r["idx"])):
-            fields.setdefault(r["field_index"], []).append(r)
-        first = next(iter(fields.values()), [])
-        return {"t": np.array([r["t"] for r in first], np.float64), "fields": [(f[0]["field_name"], [r["num"] if r["num"] is not None else r["str"] for r in f]) for f in fields.values()]}
-    rows = sorted(rows, key=lambda r: r["idx"])
-    if len(rows) != v.get("count", len(rows)) and v.get("count"):
-        raise IncompleteRead(f"{v['var_name']}: {len(rows)} of {v['count']} rows; load the whole variable before writing")
+        rows = rows.sort_by([("field_index", "ascending"), ("idx", "ascending")])
+        field, names = rows.column("field_index").to_numpy(), rows.column("field_name")
+        cells = [a if a is not None else b for a, b in zip(rows.column("num").to_pylist(), rows.column("str").to_pylist())]
+        cuts = [*np.flatnonzero(np.concatenate([np.ones(min(len(field), 1), bool), field[1:] != field[:-1]])).tolist(), len(field)]
+        t = column("t")[: cuts[1]] if len(cuts) > 1 else np.zeros(0)
+        return {"t": t, "fields": [(names[a].as_py(), cells[a:b]) for a, b in zip(cuts, cuts[1:])]}
+    rows = rows.sort_by("idx")
+    if v.get("count") and rows.num_rows != v["count"]:
+        raise IncompleteRead(f"{v['var_name']}: {rows.num_rows} of {v['count']} rows; load the whole variable before writing")
     if kind == "interval":
         return {"t_start": column("t_start"), "t_end": column("t_end")}
     if kind == "population":
         return {"weight": column("weight")}
     if kind == "waveform":
-        return {"t": column("t"), "samples": np.array([r["samples"] for r in rows], np.float32).reshape(len(rows), -1)}
+        samples = rows.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0)
+        return {"t": column("t"), "samples": samples.astype(np.float32).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0), np.float32)}
     return {"t": column("t")}
 
 
@@ -79,17 +100,24 @@ def write_session(s: Session, path: str, options: WriteOptions | None = None) ->
 
 
 def write_sessions(s: Session, folder: str, suffix: str, options: WriteOptions | None = None) -> DataFrame:
-    """(session_id, path, bytes): each session to a file of its own in a folder that all executors share."""
+    """(session_id, path, bytes): each session to a file of its own in a folder that all executors share.
+
+    A file has the last part of the session's id as its name, with a digest of the id where several share that.
+    """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            paths = [str(Path(folder) / (Path(sid).stem + suffix)) for sid in pdf["session_id"]]
+            paths = [str(Path(folder) / (Path(sid).stem + ("" if alone else "-" + hashlib.md5(sid.encode()).hexdigest()[:12]) + suffix)) for sid, alone in zip(pdf["session_id"], pdf["alone"])]
             for p, raw in zip(paths, pdf["content"]):
                 Path(p).parent.mkdir(parents=True, exist_ok=True)
                 Path(p).write_bytes(bytes(raw))
             yield pd.DataFrame({"session_id": pdf["session_id"], "path": paths, "bytes": [len(x) for x in pdf["content"]]})
 
-    return encode_files(s, options).mapInPandas(put, "session_id string, path string, bytes long")
+    stem = F.regexp_replace(F.regexp_extract("session_id", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    names = s.sessions.select("session_id", stem.alias("stem"))
+    alone = names.groupBy("stem").agg(F.count("*").alias("n"))
+    files = encode_files(s, options).join(names.join(alone, "stem").select("session_id", (F.col("n") == 1).alias("alone")), "session_id")
+    return files.mapInPandas(put, "session_id string, path string, bytes long")
 
 
 def format_seconds(t: float) -> str:

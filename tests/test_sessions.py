@@ -201,3 +201,66 @@ def test_columns(spark):
         sanitize_name(F.lit(" a/b ")).alias("name"), sanitize_name(F.lit("  ")).alias("none"), marker_number(F.lit("+007")).alias("m"), marker_number(F.lit("4294967296")).alias("m2"), marker_number(F.lit("x")).alias("m3")).first()
     assert [row[f"r{i}"] for i in range(6)] == [1.0, -1.0, 2.0, 3.0, -3.0, 0.0]
     assert (row["big"], row["nan"], row["tick"], row["name"], row["none"], row["m"], row["m2"], row["m3"]) == (32767, 0, 100, "a_b", "unnamed", 7, None, None)
+
+
+def test_two_sessions_in_one(spark):
+    a = SessionBuilder(spark, 1000, session_id="one").neuron("u", [1.0, 2.0], wire=3).event("e", [0.5]).build()
+    b = SessionBuilder(spark, 1000, session_id="two").neuron("u", [5.0, 6.0, 7.0], wire=4).event("e", [0.25, 9.0]).build()
+    both = a.union(b)
+    assert {(r["session_id"], r["var_name"], r["count"], r["max_t"]) for r in maximum_timestamps(both).collect()} == {("one", "u", 2, 2.0), ("one", "e", 1, 0.5), ("two", "u", 3, 7.0), ("two", "e", 2, 9.0)}
+    assert both.names() == ["u", "e"]
+    assert {(r["session_id"], r["end_seconds"]) for r in both.subset(["u"]).sessions.collect()} == {("one", 2.0), ("two", 7.0)}
+    assert {(r["session_id"], r["wire"]) for r in both.metadata().where("var_name = 'u'").collect()} == {("one", 3), ("two", 4)}
+    assert {(r["session_id"], r["n_neuron"], r["n_event"]) for r in both.info().collect()} == {("one", 1, 1), ("two", 1, 1)}
+    assert both.timestamps("u").count() == 5 and both.timestamp_range("u", 0, 2).count() == 4
+    assert {(r["session_id"], r["var_name"], r["status"]) for r in diff(both, both.delete("e")).collect()} == {("one", "e", "only_in_a"), ("two", "e", "only_in_a")}
+    assert len(encode_files(both).collect()) == 2
+    for f, e in ((lambda: both.merge(a), InvalidValues), (lambda: both.union(a), DuplicateVariable), (lambda: both.timestamp_range("u", 1, 2), IncompleteRead), (lambda: a.union(SessionBuilder(spark, 1, session_id="x").build()).payload("u", "neuron"), VariableNotFound)):
+        with pytest.raises(e):
+            f()
+
+
+def test_markers_cell_by_cell(spark, tmp_path):
+    path = str(tmp_path / "m.bin")
+    write_session(SessionBuilder(spark, 1000).marker("m", [0, 1, 2], {"n": ["7", "+12", "4294967295"], "s": ["a", "4294967296", "8"]}).build(), path)
+    rows = read_session(spark, path).payload("m", "marker").orderBy("field_index", "idx").collect()
+    assert [(r["num"], r["str"]) for r in rows] == [(7, None), (12, None), (4294967295, None), (None, "a"), (None, "4294967296"), (8, None)]
+    kept = read_session(spark, path, numeric_strings=False).payload("m", "marker").orderBy("field_index", "idx").collect()
+    assert [r["str"] for r in kept] == ["7", "+12", "4294967295", "a", "4294967296", "8"]
+
+
+def test_parts_of_variables(spark, tmp_path, monkeypatch):
+    from spikeframe.sources import datasource
+
+    path = str(tmp_path / "p.bin")
+    times = [k / 1000 for k in range(500)]
+    s = SessionBuilder(spark, 1000).event("e", times).neuron("u", times).continuous("lfp", 1000, 0.5, [float(k) for k in range(700)]).waveform("w", 1000, times, [[k, k + 1] for k in range(500)], cont_data_type=1)
+    write_session(s.marker("m", times, {"k": list(range(500))}).interval("i", [(t, t + 1) for t in times]).population("p", times).build(), path)
+    monkeypatch.setattr(datasource, "UNIT_BYTES", 256)
+    raw = open(path, "rb").read()
+    for table, n in (("points", 1000), ("waveforms", 500), ("markers", 500), ("intervals", 500), ("population", 500)):
+        parts = [b for k in range(5) for b in datasource.table_batches(Reader.of_bytes(raw), path, table, None, k, 5)]
+        whole = list(datasource.table_batches(Reader.of_bytes(raw), path, table))
+        assert sum(b.num_rows for b in parts) == n and sorted(map(str, (r for b in parts for r in b.to_pylist()))) == sorted(map(str, (r for b in whole for r in b.to_pylist())))
+    parts = sorted((r["first_sample"], r["t0"], r["values"]) for k in range(3) for b in datasource.table_batches(Reader.of_bytes(raw), path, "continuous", None, k, 3) for r in b.to_pylist())
+    assert [v for *_, values in parts for v in values] == pytest.approx([float(k) for k in range(700)], abs=0.02) and all(t == pytest.approx(0.5 + a / 1000) for a, t, _ in parts)
+    back = read_session(spark, path)
+    assert [r["t"] for r in back.timestamp_range("e", 100, 3).orderBy("idx").collect()] == [0.1, 0.101, 0.102]
+    with pytest.raises(IncompleteRead):
+        back.timestamp_range("e", 499, 2)
+    # two variables of one file in one query
+    a, b = back.payload("e", "event"), back.payload("u", "neuron").select(F.col("t").alias("u"))
+    assert a.join(b, a.t == b.u).count() == 500
+    some = read_session(spark, path, names=["e"])
+    assert some.is_loaded("e") and not some.is_loaded("u") and some.event("e").count() == 500
+    with pytest.raises(IncompleteRead):
+        some.neuron("u")
+
+
+def test_files_of_one_name(spark, tmp_path):
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        write_session(SessionBuilder(spark, 1000, k).event("e", [1.0]).build(), str(tmp_path / k / "same.bin"))
+    s = read_session(spark, str(tmp_path / "*" / "same.bin"))
+    out = write_sessions(s, str(tmp_path / "copy"), ".bin").collect()
+    assert len({r["path"] for r in out}) == 2 and read_session(spark, str(tmp_path / "copy" / "*.bin")).sessions.count() == 2

@@ -155,3 +155,37 @@ def test_sorting_finds_bumps(spark, rate, centres, width):
     for c in centres:
         assert any(abs(r["t"] - c - 15 / rate) < 0.002 for r in found)
     assert sorting.sort_trace(np.zeros(10), sorting.SortOptions())[0].size == 0
+
+
+def test_refractory_fold_over_long_trains(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    at = np.unique(rng.integers(0, 60_000, 20_000)).tolist() + list(range(100_000, 100_500))
+    kept = []
+    for i in at:
+        if not kept or i >= kept[-1] + 7:
+            kept.append(i)
+    df = spark.createDataFrame([("u", i) for i in at] + [("v", 3)], "unit string, sample long")
+    got = signals.suppress_refractory(df, 7)
+    assert sorted(r["sample"] for r in got.where("unit = 'u'").collect()) == kept and got.where("unit = 'v'").count() == 1
+    assert sorted(r["sample"] for r in signals.suppress_refractory(df.where("unit = 'u'"), 7, most=5).collect()) == kept[:5]
+
+
+def test_numbers_without_a_single_task(spark):
+    rows = spark.range(1000).selectExpr("id % 3 AS g", "(id * 7919) % 1000 AS x")
+    got = signals.numbered(rows, [], ["x"], "i").collect()
+    assert {(r["x"], r["i"]) for r in got} == {(i, i) for i in range(1000)}
+    by = signals.numbered(rows, ["g"], ["x"], "i").collect()
+    assert all(sorted(r["i"] for r in by if r["g"] == g) == list(range(len([1 for r in by if r["g"] == g]))) for g in range(3))
+
+
+def test_channels_must_have_one_length(spark):
+    import pytest
+
+    from spikeframe.errors import InvalidValues
+    from spikeframe.operators.sorting import SortOptions, sort_channels
+
+    rows = [("s", c, i, float(i % 5)) for c in range(2) for i in range(100 + c)]
+    with pytest.raises(InvalidValues):
+        sort_channels(spark.createDataFrame(rows, "session_id string, channel int, pos long, value double"), SortOptions())
