@@ -35,7 +35,7 @@ STEM = 5
 BLOCK, NEIGHBOURS, PRIOR, FLOOR = 64, 25, 0.05, 0.1
 #: Text bytes handled at once; terms in a row of document frequencies; queries multiplied at once; words that a process keeps;
 #: share of the entries, as one in so many, from which a term has a row.
-CHUNK, SLICE, TOGETHER, KEPT_WORDS, OFTEN = 4 << 20, 1 << 13, 64, 1_000_000, 32
+CHUNK, SLICE, TOGETHER, KEPT_WORDS, OFTEN = 4 << 20, 1 << 13, 64, 150_000, 16
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -320,7 +320,7 @@ def _scored(model, kept: list[str]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         own = model.value
         shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
-        for batch in batches:
+        for batch in (whole.slice(lo, 16 * TOGETHER) for whole in batches for lo in range(0, whole.num_rows, 16 * TOGETHER)):
             found = [_terms(blob) for blob in batch.column("_terms").to_pylist()]
             out = list(own.scores([(t, unit((1 + np.log(n)) * own.term_weight[t])) for t, n in found]))
             evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e, _ in out], shape)
