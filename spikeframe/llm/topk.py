@@ -1,16 +1,19 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Rows are dealt into candidate blocks and queries into query blocks; each pair of blocks is one task's work. There,
-candidates are sorted by length and cut into buckets, longest first. A query's k-th best score so far and the bucket's
-longest vector give the cosine that a candidate must reach in this bucket. If it is above 1, the query is done with the
-bucket and all after it. If it is low, candidates are pruned by length alone; if it is high, by the coordinates in which
-the bucket varies most, with the Cauchy-Schwarz bound for the rest. What remains is verified by whole products.
+1. Candidates are grouped by length over the whole table: classes by quantiles of the length, each cut into blocks. Every
+   query gets a first threshold, its k-th best product with the longest candidates (a bounded number, broadcast), and is sent
+   only to the blocks whose longest vector can reach it.
+2. A pair of a query block and a candidate block is one task's work. There, candidates are cut into buckets by length,
+   longest first. A query's threshold so far and the bucket's longest vector give the cosine that a candidate must reach in
+   this bucket. If it is above 1, the query is done with the bucket and all after it. If it is low, candidates are pruned
+   by length alone; if it is high, by the coordinates in which the query is largest, with the Cauchy-Schwarz bound for the
+   rest. What remains is verified by whole products.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 BUCKET, FOCUS, HIGH = 1024, 16, 0.5
 QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCKS = 20_000, 50_000, 16
+#: Classes of length; longest candidates that give the first thresholds.
+CLASSES, SEEDS = 256, 2_048
 #: Numbers in a block of products.
 PRODUCTS = 4_000_000
 #: A length from which squares may overflow.
@@ -76,28 +83,44 @@ class Best:
         self.least[q[last]] = s[last]
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.minimum(np.linalg.norm(x, axis=1), LONGEST)
+
+
+def _high_bounds(q: np.ndarray, vec: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Bounds of the products of each query with each vector: FOCUS coordinates of the query exactly, the rest by lengths."""
+    out = np.empty((len(q), len(vec)))
+    squares, total = vec**2, length**2
+    for i, x in enumerate(q):
+        focus = np.argsort(-np.abs(x), kind="stable")[:FOCUS]
+        rest = np.sqrt(np.maximum(total - squares[:, focus].sum(axis=1), 0))
+        out[i] = vec[:, focus] @ x[focus] + math.sqrt(max(float(x @ x - x[focus] @ x[focus]), 0.0)) * rest
+    return out
+
+
 def _search(k: int, scale: float) -> Callable[[pa.Table], pa.Table]:
+    """(query_id, vec_id, score, verified): each query's best of a block; `verified`, products computed for it, stands in one row of each query."""
+
     def run(group: pa.Table) -> pa.Table:
         asked = group.column("asked").to_numpy(zero_copy_only=False).astype(bool)
         queries, candidates = group.filter(pa.array(asked)), group.filter(pa.array(~asked))
         q, rows = quantized(queries.column("vec"), scale)
-        q_id = queries.column("id").to_numpy()[rows]
+        q_id, seed = queries.column("id").to_numpy()[rows], queries.column("least").to_numpy(zero_copy_only=False)[rows]
         p, rows = quantized(candidates.column("vec"), scale)
         p_id = candidates.column("id").to_numpy()[rows]
         width = max(q.shape[1], p.shape[1])
         q, p = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, p))
-        with np.errstate(over="ignore"):
-            p_len, q_len = np.minimum(np.linalg.norm(p, axis=1), LONGEST), np.minimum(np.linalg.norm(q, axis=1), LONGEST)
+        p_len, q_len = _lengths(p), _lengths(q)
         by = np.argsort(-p_len, kind="stable")
         p, p_id, p_len = p[by], p_id[by], p_len[by]
-        best, slack = Best(len(q), k), 1 + 1e-9
+        best, slack, verified = Best(len(q), k), 1 + 1e-9, np.zeros(len(q), np.int64)
+        best.least[:] = seed
         for lo in range(0, len(p), BUCKET):
             vec, ident, length = p[lo : lo + BUCKET], p_id[lo : lo + BUCKET], p_len[lo : lo + BUCKET]
             reach = q_len * length[0] * slack
             # beyond what doubles can square, nothing is pruned
             prune = length[0] < LONGEST
-            focus = np.argsort(-vec.var(axis=0), kind="stable")[:FOCUS] if prune else np.arange(min(FOCUS, width))
-            rest = np.sqrt(np.maximum(length**2 - (vec[:, focus] ** 2).sum(axis=1), 0)) if prune else length
             live = np.flatnonzero((reach >= best.least) | (q_len == LONGEST) | (not prune))
             for some in np.array_split(live, max(1, math.ceil(len(live) * len(vec) / PRODUCTS))):
                 if not len(some):
@@ -105,29 +128,95 @@ def _search(k: int, scale: float) -> Callable[[pa.Table], pa.Table]:
                 least = best.least[some]
                 cosine = np.where(reach[some] > 0, least / np.maximum(reach[some], 1e-300), -np.inf)
                 bound = np.outer(q_len[some], length) * slack
-                high = (cosine >= HIGH) & (q_len[some] < LONGEST) & prune
                 bound[(q_len[some] == LONGEST) | (not prune)] = np.inf
+                high = (cosine >= HIGH) & (q_len[some] < LONGEST) & prune
                 if high.any():
-                    qh = q[some[high]]
-                    q_rest = np.sqrt(np.maximum(q_len[some[high]] ** 2 - (qh[:, focus] ** 2).sum(axis=1), 0))
-                    bound[high] = qh[:, focus] @ vec[:, focus].T + np.outer(q_rest, rest) * slack + 1e-6 * reach[some[high]][:, None]
+                    bound[high] = _high_bounds(q[some[high]], vec, length) + 1e-6 * reach[some[high]][:, None]
                 may = (bound >= least[:, None]) & (ident[None, :] != q_id[some][:, None])
                 if may.sum() > may.size // 8:
                     score = exact_product(q[some], vec.T)
+                    verified[some] += len(vec)
                     at, which = np.nonzero(may & (score >= least[:, None]))
                     score = score[at, which]
                 else:
+                    verified[some] += may.sum(axis=1)
                     at, which = np.nonzero(may)
                     if small(q[some], vec.T):
                         score = np.einsum("ij,ij->i", q[some][at], vec[which]).astype(np.int64)
                     else:
                         score = np.array([exact_product(q[some[a]][None], vec[w][:, None])[0, 0] for a, w in zip(at, which)], np.int64)
                 best.add(some[at], score, ident[which])
-        return pa.table({"query_id": q_id[best.query], "vec_id": best.id, "score": best.score})
+        none = np.flatnonzero(~np.isin(np.arange(len(q)), best.query))  # queries that found nothing here, but whose products count
+        first = np.concatenate([np.ones(min(len(best.query), 1), bool), best.query[1:] != best.query[:-1]])
+        return pa.table({
+            "query_id": np.concatenate([q_id[best.query], q_id[none]]), "vec_id": pa.array([*best.id.tolist(), *[None] * len(none)], pa.int64()), "score": pa.array([*best.score.tolist(), *[None] * len(none)], pa.int64()),
+            "verified": np.concatenate([np.where(first, verified[best.query], 0), verified[none]]),
+        })
 
     return run
 
 
+def _first_thresholds(seeds, k: int, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries with `least`, their k-th best product with the seeds that are not their own id (-inf: fewer), and their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p_id, p = seeds.value
+        for batch in batches:
+            q, rows = quantized(batch.column("vec"), scale)
+            q_id = batch.column("id").to_numpy()[rows]
+            width = max(q.shape[1], p.shape[1])
+            x, y = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, p))
+            best = Best(len(x), k)
+            for lo in range(0, len(x), 1024):
+                score = exact_product(x[lo : lo + 1024], y.T)
+                at, which = np.nonzero(p_id[None, :] != q_id[lo : lo + 1024, None])
+                best.add(at + lo, score[at, which], p_id[which])
+            yield pa.RecordBatch.from_arrays([pa.array(q_id, pa.int64()), batch.column("vec").take(pa.array(rows)), pa.array(best.least), pa.array(_lengths(x))], ["id", "vec", "least", "length"])
+
+    return run
+
+
+def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_col: str, vec_col: str) -> DataFrame:
+    """(query_id, vec_id, score, verified) of all pairs of blocks: every query's k best are among its rows."""
+    spark = vectors.sparkSession
+    valid = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # beyond what a long holds, a little more than the component
+    whole = F.transform("vec", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.abs(F.floor(x * scale)).cast("double")).otherwise(F.least(F.abs(x * scale) * (1 + 1e-9), F.lit(LONGEST))))
+    sized = F.least(F.sqrt(F.aggregate(whole, F.lit(0.0), lambda a, x: a + x * x)), F.lit(LONGEST))
+    finite = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    p = cut(valid(vectors).where(finite).withColumn("length", sized))
+    q = valid(queries).where(finite).dropDuplicates(["id"])
+    longest = p.orderBy(F.desc("length"), "id").limit(SEEDS).select("id", "vec").toArrow()
+    seeds, rows = quantized(longest.column("vec"), scale) if longest.num_rows else (np.zeros((0, 1)), np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast((longest.column("id").to_numpy()[rows], seeds))  # at most SEEDS vectors
+    q = cut(q.mapInArrow(_first_thresholds(shared, k, scale), "id long, vec array<double>, least double, length double"))
+    n, m = p.count(), q.count()
+    cuts = sorted(set(p.agg(F.percentile_approx("length", [i / CLASSES for i in range(1, CLASSES)], 10_000).alias("c")).first()["c"] or []))
+    kind = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c <= F.col("length"))) if cuts else F.lit(0)
+    p = p.withColumn("kind", kind)
+    # a class of many rows, such as copies of one vector, has as many blocks as it needs; one of few rows, one
+    per_block = max(1, min(CANDIDATE_BLOCK, -(-n // LEAST_BLOCKS)))
+    classes = p.groupBy("kind").agg(F.count("*").alias("n"), F.max("length").alias("top")).orderBy("kind").collect()  # at most CLASSES rows
+    blocks, first, filled = [], {}, 0
+    for r in classes:
+        if not blocks or filled + r["n"] > per_block:
+            blocks += [r["top"]] * max(1, -(-r["n"] // per_block))
+            first[r["kind"]] = (len(blocks) - max(1, -(-r["n"] // per_block)), max(1, -(-r["n"] // per_block)))
+            filled = r["n"]
+        else:  # short classes of neighbouring lengths share a block
+            first[r["kind"]] = (len(blocks) - 1, 1)
+            blocks[-1], filled = max(blocks[-1], r["top"]), filled + r["n"]
+    cols = max(1, -(-m // QUERY_BLOCK))
+    place = spark.createDataFrame([(c, a, b) for c, (a, b) in first.items()], "kind int, first int, some int")
+    tops = spark.createDataFrame(list(enumerate(blocks)), "row int, top double")
+    every = F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
+    row = (F.col("first") + F.pmod(F.monotonically_increasing_id(), F.col("some"))).cast("int")
+    cand = p.join(F.broadcast(place), "kind").select(row.alias("row"), every.alias("col"), F.lit(False).alias("asked"), "id", "vec", F.lit(0.0).alias("least"))  # place: at most CLASSES rows
+    can = (F.col("length") * F.col("top") * (1 + 1e-9) >= F.col("least")) | (F.col("length") >= LONGEST) | (F.col("top") >= LONGEST)
+    ask = q.join(F.broadcast(tops), can).select("row", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int").alias("col"), F.lit(True).alias("asked"), "id", "vec", "least")  # tops: one number a block
+    return cand.union(ask).groupBy("row", "col").applyInArrow(_search(k, scale), "query_id long, vec_id long, score long, verified long")
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the highest inner product, for each row of `queries`.
 
@@ -136,14 +225,6 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scal
     without an id, take no part; shorter vectors count as padded with zeros. Repeated candidate rows count as often as
     they occur; repeated query rows once. Scores beyond a long are held at its ends.
     """
-    valid = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    p, q = valid(vectors), valid(queries).dropDuplicates(["id"])
-    n, m = p.count(), q.count()
-    rows, cols = max(LEAST_BLOCKS, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    salt = F.xxhash64("id", "vec")
-    cand = p.select(F.pmod(F.monotonically_increasing_id(), F.lit(rows)).cast("int").alias("row"), every(cols).alias("col"), F.lit(False).alias("asked"), "id", "vec")
-    ask = q.select(every(rows).alias("row"), F.pmod(salt, F.lit(cols)).cast("int").alias("col"), F.lit(True).alias("asked"), "id", "vec")
-    found = cand.union(ask).groupBy("row", "col").applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
+    found = searched(vectors, queries, k, scale, id_col, vec_col).where("vec_id IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

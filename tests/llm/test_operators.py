@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, queries, substring_dedup, toxicity
+from spikeframe.llm import line_dedup, queries, substring_dedup, topk, toxicity
 from spikeframe.llm.bpe import Encoder, Vocabulary, encode_decode, merge_many, merge_one
 from spikeframe.llm.components import connected_components
 from spikeframe.llm.line_dedup import PerfectHash, dedup_lines
@@ -399,6 +399,23 @@ def test_top_k(spark):
     assert top_inner_products(df.limit(0), queries_.limit(0)).count() == 0
 
 
+def test_lengths_and_coordinates_prune(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * rng.lognormal(0, 1.5, 4000)[:, None]
+    x[:400] = x[7] * 1.5 + rng.normal(size=(400, 32)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)] + [(9, [0.0] * 32, 1, 2)], "vec_id long, embedding array<double>, id int, row int")
+    ask = df.where("vec_id % 20 = 0")
+    got = topk.searched(df, ask, 20, 64.0, "vec_id", "embedding").groupBy("query_id").agg(F.sum("verified").alias("n")).collect()
+    assert len(got) == 200 and sum(r["n"] for r in got) < 0.3 * 200 * 4000
+    v = np.floor(64 * x)
+    want = {q: sorted(((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q))[:20] for q in range(0, 4000, 20)}
+    found = collections.defaultdict(list)
+    for r in top_inner_products(df, ask, 20).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    assert found == want
+
+
 # op8 -------------------------------------------------------------------------------------------------------------------
 
 
