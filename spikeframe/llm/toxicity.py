@@ -374,8 +374,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     kept = [f"c{k}" for k in range(len(columns))]
     schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(columns, kept))
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)), text.alias("_text"))
-    # texts are read once; counts of terms are what the two passes after it read
-    counted = cut(rows.mapInArrow(_counted(spark.sparkContext.broadcast(Vocabulary(names)), kept), f"{schema}, _terms binary"))
+    counted = rows.mapInArrow(_counted(spark.sparkContext.broadcast(Vocabulary(names)), kept), f"{schema}, _terms binary")
+    if text_col not in columns:  # then the counts of terms, not the texts, are what the two passes read; texts are not written anew
+        counted = cut(counted)
     total, df = document_frequencies(counted, len(names))
     z = label_z(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.repeat(toxic, [len(t) for t, _ in found]), len(names), took)
     weight = (np.log((1 + total) / (1 + df)) + 1) * (np.abs(z) + FLOOR)
