@@ -23,9 +23,9 @@ from .common import pieces
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = np.int64(2**62)
 #: Pieces of up to this many bytes share trees; a worker's cache holds this many pieces of up to 64 bytes.
-SHORT, CACHE = 64, 400_000
+SHORT, CACHE = 64, 200_000
 #: Text bytes encoded at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def byte_symbols() -> dict[int, str]:

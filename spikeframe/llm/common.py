@@ -127,6 +127,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right")))
+            pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
             yield batch.slice(lo, hi - lo)
             lo = hi
 

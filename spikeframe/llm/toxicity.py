@@ -33,9 +33,9 @@ WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
 #: Entries of an index block; neighbours; weight of the prior in a vote; weight of a term that says nothing.
 BLOCK, NEIGHBOURS, PRIOR, FLOOR = 64, 25, 0.05, 0.1
-#: Text bytes handled at once; terms in a row of document frequencies; queries multiplied at once; words that a process keeps;
+#: Text bytes handled at once; terms in a row of document frequencies; queries multiplied at once; words that a task keeps;
 #: share of the entries, as one in so many, from which a term has a row.
-CHUNK, SLICE, TOGETHER, KEPT_WORDS, OFTEN = 4 << 20, 1 << 13, 64, 150_000, 16
+CHUNK, SLICE, TOGETHER, KEPT_WORDS, OFTEN = 4 << 20, 1 << 13, 64, 100_000, 16
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -52,28 +52,11 @@ def _terms_of(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["_id", "toxic", "terms"])
 
 
-class Vocabulary:
-    """The terms by number. A process looks words up in one table, which it makes once and keeps."""
-
-    def __init__(self, names: pa.Array):
-        self.names, self.table = names, None
-
-    def __len__(self) -> int:
-        return len(self.names)
-
-    def __getstate__(self) -> dict:
-        return {"names": self.names, "table": None}
-
-    def lookup(self) -> Lookup:
-        if self.table is None:
-            self.table = Lookup(self.names.to_pylist())
-        return self.table
-
-
 class Lookup(dict):
     """Numbers of terms: of a word, its own and its stem's, each from 1 (0: no term), in one number. Keeps what it has looked up."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, vocabulary: pa.Array):
+        names = vocabulary.to_pylist()
         self.words = {w: i + 1 for i, w in enumerate(names) if w[0] != "^"}
         self.stems = {w[1:]: i + 1 for i, w in enumerate(names) if w[0] == "^"}
 
@@ -103,7 +86,7 @@ def _counted(vocabulary, kept: list[str]) -> Callable[[Batches], Batches]:
     """The rows' columns `kept`, and the terms of their texts, packed."""
 
     def run(batches: Batches) -> Batches:
-        lookup = vocabulary.value.lookup()
+        lookup = Lookup(vocabulary.value)
         for piece in pieces(batches, "_text", CHUNK):
             found = [lookup(t) for t in piece.column("_text").to_pylist()]
             packed = [pack(t=np.diff(t, prepend=0).astype(np.uint32), n=n.astype(np.uint32)) for t, n in found]
@@ -374,7 +357,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     kept = [f"c{k}" for k in range(len(columns))]
     schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(columns, kept))
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)), text.alias("_text"))
-    counted = rows.mapInArrow(_counted(spark.sparkContext.broadcast(Vocabulary(names)), kept), f"{schema}, _terms binary")
+    counted = rows.mapInArrow(_counted(spark.sparkContext.broadcast(names), kept), f"{schema}, _terms binary")
     if text_col not in columns:  # then the counts of terms, not the texts, are what the two passes read; texts are not written anew
         counted = cut(counted)
     total, df = document_frequencies(counted, len(names))
