@@ -123,9 +123,9 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([pack(n=total)], pa.binary())})
 
 
-def document_frequencies(counted: DataFrame, size: int) -> tuple[int, np.ndarray]:
+def document_frequencies(rows: DataFrame, frequencies: Callable[[Batches], Batches], size: int) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many of them each of `size` terms occurs. The driver gets as many numbers as there are terms."""
-    found = counted.select("_terms").mapInArrow(_frequencies(size), "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
+    found = rows.mapInArrow(frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
     out = np.zeros(size + 1, np.int64)
     for r in found.collect():
         part = unpack(r["counts"])["n"]
@@ -340,7 +340,7 @@ def take_examples(rows: DataFrame, labels: DataFrame, id_col: str, max_examples:
     return cut(chosen.withColumn("_filled", filled).where((F.col("_filled") == 0) | (F.col("_filled") + F.octet_length("_text") <= max_bytes // 2)).drop("_filled")), n
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_examples: int = 1_600, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of `docs`, `columns` of it under the names c0, c1, ... with _score, _evidence and _blocks (scored for it)."""
     spark = docs.sparkSession
     ident, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -357,10 +357,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     kept = [f"c{k}" for k in range(len(columns))]
     schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(columns, kept))
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)), text.alias("_text"))
-    counted = rows.mapInArrow(_counted(spark.sparkContext.broadcast(names), kept), f"{schema}, _terms binary")
-    if text_col not in columns:  # then the counts of terms, not the texts, are what the two passes read; texts are not written anew
-        counted = cut(counted)
-    total, df = document_frequencies(counted, len(names))
+    count = _counted(spark.sparkContext.broadcast(names), kept)
+    once = text_col not in columns
+    if once:  # then both passes read the counts of terms; else they read the texts, which are not written anew
+        rows = cut(rows.mapInArrow(count, f"{schema}, _terms binary"))
+    of = (lambda f: f) if once else (lambda f: lambda batches: f(count(batches)))  # one Python worker does both
+    total, df = document_frequencies(rows, of(_frequencies(len(names))), len(names))
     z = label_z(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.repeat(toxic, [len(t) for t, _ in found]), len(names), took)
     weight = (np.log((1 + total) / (1 + df)) + 1) * (np.abs(z) + FLOOR)
     scale = sum(took.values()) / max(sum(n.values()), 1)
@@ -370,10 +372,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     votes = spark.range(len(model.groups)).repartition(16).mapInArrow(_voted(first), "x double, y double, w double").collect()  # at most two an example
     model.calibrate([tuple(v) for v in votes])
     first.unpersist()
-    return counted.mapInArrow(_scored(spark.sparkContext.broadcast(model), kept), f"{schema}, _score double, _evidence {EVIDENCE}, _blocks int")
+    return rows.mapInArrow(of(_scored(spark.sparkContext.broadcast(model), kept)), f"{schema}, _score double, _evidence {EVIDENCE}, _blocks int")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 2_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 1_600, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`id_col`, score, evidence) of every row.
 
     `labels` has `id_col` and toxic (0 or 1; anything else says nothing); all of it may be learned from. At most
