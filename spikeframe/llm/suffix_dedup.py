@@ -85,7 +85,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         new[1:] = (at[ok][1:] != at[ok][:-1]) | (ok[1:] != ok[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ok)) - 1
-        out.append((g[at[ok[first]]], at[ok[first]] + b, ok[first] + b, ok[last] + b))
+        out.append((mix(g[at[ok[first]]]), at[ok[first]] + b, ok[first] + b, ok[last] + b))  # least hashes are small: mixed anew, they fill all parts alike
     if not out:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out))
