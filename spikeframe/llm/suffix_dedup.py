@@ -4,14 +4,16 @@ Sorting the suffixes of all texts would write many times the input, so the texts
 sorted apart. Of the 32-byte grams in a 200-byte string, the one of the least hash is its anchor; equal strings have equal
 anchors, so only pieces around the same gram can share a string. Each start of a string belongs to one anchor.
 
-1. Grams are counted; strings of grams that occur once occur once.
+1. Grams are counted; strings of grams that occur once occur once. A task sends a gram once for each chunk of its texts,
+   with its count there and its first place; the chunk's other places are known to be repeated and go to their documents.
 2. Documents with repeated grams send, for each such anchor, the piece of text that holds the strings it anchors. Pieces are
    dealt by gram. In a part, equal pieces are one; where a gram has several different pieces, these are concatenated and
    their suffixes sorted (sorted triples, recursion on names, merge of the remaining suffixes), and neighbours in that
    order are compared over the whole length of a string.
    What repeats within the texts that a task holds is covered there, and one of its places stands for all.
 3. A gram with very many occurrences (a passage in a third of the documents) would fill one part. Its strings are hashed
-   one by one instead, and repeats found by hash range, every task sending a hash once.
+   one by one instead, and repeats found by hash range, every chunk sending a hash once. At most HOT_GRAMS grams are told to
+   all tasks; if more are hot, those of the highest counts by powers of two, and the others go the common way.
 4. Covered bytes go back to their documents, where they merge into maximal runs.
 """
 
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, byte_column, cut, has_copies, keyed, mix, only_marked, pack, pieces, shown_id, span_hash, text_bytes, unpack
+from .common import BASE, byte_column, cut, deal, dealt, has_copies, keyed, mix, only_marked, pack, pieces, shown_id, span_hash, text_bytes, unpack
 from .suffix_array import suffix_array
 
 GRAM = 32
 #: Occurrences from which a gram's strings are hashed one by one; text bytes handled at once; starts in a block.
 HOT, CHUNK, BLOCK = 1000, 2 << 20, 1 << 19
+#: Hot grams that are broadcast at most, eight bytes each.
+HOT_GRAMS = 1 << 20
 #: Text bytes for each part of grams; parts of pieces for each of these; bytes whose suffixes are sorted at once.
 PART, FINER, SORTED = 16 << 20, 8, 200_000
 
@@ -91,51 +95,41 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _send(h: np.ndarray, at: np.ndarray, ids: np.ndarray, th: np.ndarray, first: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """One entry for each hash range: the distinct hashes with their places and counts, and the places of the others."""
+def _firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct hash, in the order of the hashes, and how often it occurs."""
     by = np.argsort(h, kind="stable")
-    h, at = h[by], at[by]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[by][1:] != h[by][:-1]]))
+    return by[new], np.diff(np.append(new, len(h)))
+
+
+def _send(h: np.ndarray, n: np.ndarray, at: np.ndarray, ids: np.ndarray, th: np.ndarray, first: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """One entry for each hash range: distinct hashes, in order, with their counts and first places."""
     doc = np.searchsorted(first, at, "right") - 1  # of empty texts at one place, the last, which is the one that has the byte
     at = at - first[doc]
     cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)])):
-        if lo == hi:
-            continue
-        fresh = new[lo:hi]
-        of = np.cumsum(fresh) - 1
-        used, own = np.unique(doc[lo:hi], return_inverse=True)
-        yield b, pack(
-            h=np.diff(h[lo:hi][fresh], prepend=np.uint64(0)), at=at[lo:hi][fresh].astype(np.uint32), n=np.bincount(of).astype(np.uint32),
-            more=at[lo:hi][~fresh].astype(np.uint32), of=of[~fresh].astype(np.uint32), ids=np.diff(ids[used], prepend=0), th=th[used],
-            doc=own[fresh].astype(np.uint32), doc_more=own[~fresh].astype(np.uint32),
-        )
+        if lo < hi:
+            used, own = np.unique(doc[lo:hi], return_inverse=True)
+            yield b, pack(
+                h=np.diff(h[lo:hi], prepend=np.uint64(0)), at=at[lo:hi].astype(np.uint32), n=n[lo:hi].astype(np.uint32),
+                doc=own.astype(np.uint32), ids=np.diff(ids[used], prepend=0), th=th[used],
+            )
 
 
 def _met(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(id, th, place in the text, occurrences of the hash) of every place whose hash occurs at least twice."""
-    hs, ns, kept = [], [], []
-    for blob in blobs:
-        x = unpack(blob)
-        hs.append(np.cumsum(x["h"]))
-        ns.append(x["n"].astype(np.int64))
-        kept.append(x)
-    h, n = np.concatenate(hs), np.concatenate(ns)
-    by = np.argsort(h)
-    new = np.ones(len(h), bool)
-    new[1:] = h[by][1:] != h[by][:-1]
-    group = np.cumsum(new) - 1
-    total = np.empty(len(h), np.int64)
-    total[by] = np.bincount(group, weights=n[by]).astype(np.int64)[group]
+    """(id, th, place in the text, hash, occurrences of the hash) of every place sent whose hash occurs at least twice."""
+    kept = [unpack(blob) for blob in blobs]
+    hs = [np.cumsum(x["h"]) for x in kept]
+    h, n = np.concatenate(hs), np.concatenate([x["n"] for x in kept]).astype(np.int64)
+    kind = np.unique(h, return_inverse=True)[1]
+    total = np.bincount(kind, weights=n).astype(np.int64)[kind]
     out, lo = [], 0
     for x, own in zip(kept, hs):
         count = total[lo : lo + len(own)]
         lo += len(own)
-        at = np.concatenate([x["at"][count > 1], x["more"]]).astype(np.int64)
-        doc = np.concatenate([x["doc"][count > 1], x["doc_more"]])
-        count = np.concatenate([count[count > 1], count[x["of"]]])
-        out.append((np.cumsum(x["ids"])[doc], x["th"][doc].astype(np.int64), at, count))
+        many = count > 1
+        doc = x["doc"][many]
+        out.append((np.cumsum(x["ids"])[doc], x["th"][doc].astype(np.int64), x["at"][many].astype(np.int64), own[many], count[many]))
     return tuple(np.concatenate(a) for a in zip(*out))
 
 
@@ -170,24 +164,63 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _grams(length: int, bits: int) -> Callable[[Batches], Batches]:
+def _grams(length: int, bits: int, docs: int) -> Callable[[Batches], Batches]:
+    """Grams by hash range (kind 0), and by document the places of those that a chunk holds already (kind 1)."""
+
     def run(batches: Batches) -> Batches:
         for _, ids, th, data, offsets in _chunks(batches):
             gram, at, _, _ = anchors(data, offsets, length)
-            if len(gram):
-                yield _rows(list(_send(gram, at, ids, th, offsets[:-1], bits)), ["part", "entries"])
+            if not len(gram):
+                continue
+            first, n = _firsts(gram)
+            rows = [(0, b, blob) for b, blob in _send(gram[first], n, at[first], ids, th, offsets[:-1], bits)]
+            rest = np.ones(len(gram), bool)
+            rest[first] = False
+            doc = np.searchsorted(offsets, at[rest], "right") - 1
+            rows += [(1, p, blob) for p, blob in deal(ids[doc], th[doc], at[rest] - offsets[doc], docs)]
+            yield _rows(rows, ["kind", "part", "entries"])
 
     return run
 
 
-def _repeated_grams(hot: int) -> Callable[[pa.Table], pa.Table]:
+def _repeated_grams(hot: int, docs: int) -> Callable[[pa.Table], pa.Table]:
+    """Places of repeated grams by document (kind 1); hot grams (kind 2), `part` being the power of two of their counts."""
+
     def run(group: pa.Table) -> pa.Table:
-        ids, th, at, count = _met(group.column("entries").to_pylist())
-        return _by_document(ids, th, at, count >= hot)
+        if group.column("kind")[0].as_py() == 1:
+            return group.append_column("n", pa.array([0] * group.num_rows, pa.int64()))
+        ids, th, at, gram, count = _met(group.column("entries").to_pylist())
+        rows = [(1, p, blob, 0) for p, blob in deal(ids, th, at, docs)]
+        often, which = np.unique(gram[count >= hot], return_index=True)
+        power = np.log2(count[count >= hot][which] / hot).astype(np.int64)
+        rows += [(2, p, pack(gram=often[power == p]), int((power == p).sum())) for p in np.unique(power).tolist()]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(("kind", "part", "entries", "n"), kinds))})
 
     return run
 
 
+def hot_grams(told: DataFrame, most: int) -> np.ndarray:
+    """The hot grams in order; of more than `most`, those of the highest powers of two that fit."""
+    hot, least, n = told.where("kind = 2"), None, 0
+    for r in sorted(hot.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["part"]):  # at most 64 rows
+        n += r["n"]
+        if n > most:
+            break
+        least = r["part"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.concatenate([unpack(r["entries"])["gram"] for r in hot.where(F.col("part") >= least).select("entries").collect()]))  # at most `most` grams
+
+
+def _places(group: pa.Table) -> pa.Table:
+    """(_id, _th, places): where repeated grams stand in the documents of one part."""
+    ids, th, at = (np.concatenate(x) for x in zip(*(dealt(b) for b in group.column("entries").to_pylist())))
+    found = _by_document(ids, th.astype(np.int64), at, at)
+    places = found.column("found").combine_chunks()
+    return found.select(["_id", "_th"]).append_column("places", pa.ListArray.from_arrays(places.offsets, places.flatten().field("x")))
+
+
 def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each set of entries equal in all keys, in the order of the last key, and whether an entry has an equal one."""
     by = np.lexsort(keys)
@@ -209,7 +242,7 @@ def _spans_by_part(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarr
         yield int(to[k[0]]), pack(ids=ids[k], th=th[k].astype(np.uint32), lo=lo[k].astype(np.uint32), hi=hi[k].astype(np.uint32))
 
 
-def _cut_pieces(length: int, bits: int, docs: int) -> Callable[[Batches], Batches]:
+def _cut_pieces(length: int, bits: int, docs: int, hot) -> Callable[[Batches], Batches]:
     """Pieces around repeated grams by gram (kind 0), string hashes of hot grams by hash (kind 1), covered intervals (kind 2).
 
     What repeats within the texts at hand is covered at once, and one of the equal pieces or hashes stands for all.
@@ -217,22 +250,20 @@ def _cut_pieces(length: int, bits: int, docs: int) -> Callable[[Batches], Batche
 
     def run(batches: Batches) -> Batches:
         for piece, ids, th, data, offsets in _chunks(batches):
-            told, hot, size = _found(piece.column("found"))
-            told += np.repeat(offsets[:-1], size)
-            by = np.argsort(told, kind="stable")
-            told, hot = told[by], hot[by]
+            places = piece.column("places")
+            told = np.sort(places.flatten().to_numpy() + np.repeat(offsets[:-1], places.value_lengths().to_numpy(zero_copy_only=False)))
             gram, at, lo, hi = anchors(data, offsets, length)
             if not len(at):
                 continue
             where = np.minimum(np.searchsorted(told, at), len(told) - 1)
             known = told[where] == at
-            often = known & (hot[where] > 0)
+            often = known & np.isin(gram, hot.value)
             rows, seen = [], []
             if often.any():
                 some = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[often], hi[often])])
                 h = np.concatenate([string_hash(data[a : b + length], length) for a, b in zip(lo[often], hi[often])])
                 first, twice = _equal(h)
-                rows += [(1, b, blob) for b, blob in _send(h[first], some[first], ids, th, offsets[:-1], bits)]
+                rows += [(1, b, blob) for b, blob in _send(h[first], np.ones(len(first)), some[first], ids, th, offsets[:-1], bits)]
                 doc = np.searchsorted(offsets, some[twice], "right") - 1
                 seen.append((ids[doc], th[doc], some[twice] - offsets[doc], some[twice] - offsets[doc] + length))
             sel = np.flatnonzero(known & ~often)
@@ -291,7 +322,7 @@ def _covered(length: int, docs: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         blobs = group.column("entries").to_pylist()
         if group.column("kind")[0].as_py() == 1:
-            ids, th, at, _ = _met(blobs)
+            ids, th, at, *_ = _met(blobs)
             return sent(ids, th, at, at + length)
         xs = [unpack(b) for b in blobs]
         if group.column("kind")[0].as_py() == 2:
@@ -390,11 +421,12 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = keyed(docs, id_col, text_col)
     bits = min(24, max(6, math.ceil(math.log2(max(1, text_bytes(docs, text_col) / PART)))))
     grams = rows.dropDuplicates(["_id", "_th"]) if has_copies(docs, id_col) else rows
-    sent = grams.mapInArrow(_grams(length, bits), "part int, entries binary")
-    told = sent.groupBy("part").applyInArrow(_repeated_grams(hot), FOUND)
-    anchored = cut(told.groupBy("_id", "_th").agg(F.flatten(F.collect_list("found")).alias("found")))
+    sent = grams.mapInArrow(_grams(length, bits, 1 << bits), "kind int, part int, entries binary")
+    told = cut(sent.groupBy("kind", "part").applyInArrow(_repeated_grams(hot, 1 << bits), "kind int, part int, entries binary, n long"))
+    often = docs.sparkSession.sparkContext.broadcast(hot_grams(told, HOT_GRAMS))
+    anchored = cut(told.where("kind = 1").groupBy("part").applyInArrow(_places, "_id long, _th long, places array<int>"))
     finer = min(24, bits + FINER.bit_length() - 1)
-    cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, finer, 1 << bits), "kind int, part int, entries binary")
+    cut_up = only_marked(grams, anchored).join(anchored, ["_id", "_th"]).mapInArrow(_cut_pieces(length, finer, 1 << bits, often), "kind int, part int, entries binary")
     covered = cut_up.groupBy("kind", "part").applyInArrow(_covered(length, 1 << bits), "part int, entries binary")
     spans = cut(covered.groupBy("part").applyInArrow(_joined, FOUND))
     cleaned = only_marked(grams, spans).join(spans, ["_id", "_th"]).mapInArrow(_remove, "_id long, _th long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

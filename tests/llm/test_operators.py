@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, queries, substring_dedup, topk, toxicity
+from spikeframe.llm import line_dedup, queries, substring_dedup, suffix_dedup, topk, toxicity
 from spikeframe.llm.bpe import Encoder, Vocabulary, encode_decode, merge_many, merge_one
 from spikeframe.llm.components import connected_components
 from spikeframe.llm.line_dedup import PerfectHash, dedup_lines
@@ -120,6 +120,19 @@ def test_suffixes(docs, texts, length, hot):
     assert rows(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(list(enumerate(texts)), length)
 
 
+def test_hot_grams_are_bounded(docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_GRAMS", 3)
+    found = dedup_suffixes(docs, 64, hot=2).withColumn("n_spans", F.size("spans"))
+    assert rows(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(list(enumerate(texts)), 64)
+
+
+def test_grams_fill_their_parts_alike():
+    data = np.random.default_rng(5).integers(97, 123, 1 << 20).astype(np.uint8)
+    gram, *_ = suffix_dedup.anchors(data, np.array([0, len(data)]), 200)
+    share = np.bincount((gram >> np.uint64(58)).astype(np.int64), minlength=64) / len(gram)
+    assert share.max() < 1.5 / 64
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for n in [*range(30), 100, 1001]:
