@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +17,7 @@ from spikeframe.llm.bpe import Encoder, Vocabulary, encode_decode, merge_many, m
 from spikeframe.llm.components import connected_components
 from spikeframe.llm.line_dedup import PerfectHash, dedup_lines
 from spikeframe.llm.mixing import mix_sources
-from spikeframe.llm.quality import STRATA, binomial_tail, certified, judge_quality, text_counts
+from spikeframe.llm.quality import RULES, STRATA, binomial_tail, certified, judge_quality, text_counts
 from spikeframe.llm.simhash import simhash_components
 from spikeframe.llm.substring_dedup import dedup_substrings
 from spikeframe.llm.suffix_array import suffix_array
@@ -504,6 +506,48 @@ def test_quality_limits_false_rejections(spark):
     assert kept.where("kept = base_failed").count() == 0 and STRATA[0] == 20
 
 
+def brute_verdicts(data, good, risk=0.02, delta=0.05):
+    """kept of (id, text), the cutoffs being refitted by plain loops and whole numbers."""
+    ratios = {"symbols": lambda c: (c[2], c[0]), "dup_lines": lambda c: (c[4], c[3]), "repeats": lambda c: (c[5], c[0]), "long_words": lambda c: (c[1], c[0])}
+    counts = {i: brute_counts(t) for i, t in data}
+    passes = {i: c[0] >= 20 and 100 * c[5] <= 30 * c[0] for i, c in counts.items()}
+    stratum = {i: sum(c[0] >= s for s in STRATA[1:]) for i, c in counts.items()}
+    share, level = Fraction(str(risk)) / len(ratios), Fraction(str(delta)) / (len(ratios) * len(STRATA))
+    kept = dict(passes)
+    for s in range(len(STRATA)):
+        held = [i for i in good if passes[i] and stratum[i] == s]
+        n = len(held)
+        for name, ratio in ratios.items():
+            cut = None
+            for c in RULES[name][1]:
+                k = sum(a / b > c for a, b in (ratio(counts[i]) for i in held))
+                p, q = share.numerator, share.denominator
+                tail = Fraction(sum(math.comb(n, j) * p**j * (q - p) ** (n - j) for j in range(k + 1)), q**n)
+                if not n or k >= n * share or tail > level:
+                    break
+                cut = c
+            for i in data if cut is not None else ():
+                if stratum[i[0]] == s and passes[i[0]]:
+                    a, b = ratio(counts[i[0]])
+                    kept[i[0]] &= a / b <= cut
+    return kept
+
+
+def test_verdicts_against_refitted_cutoffs(spark):
+    rng = random.Random(8)
+    data = []
+    for i in range(3600):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) + "#" * (rng.random() < 0.02) for _ in range(25 if i % 2 else 110)]
+        at = rng.randrange(len(words))
+        again = words[at : at + 8] if rng.random() < 0.05 else []
+        data.append((i, " ".join([*words, *again]) + "\nsame line\nsame line" * (rng.random() < 0.01)))
+    labels = [(i, int(rng.random() < 0.95)) for i in range(3600) if i % 9]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(judge_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")), "kept")
+    expected = brute_verdicts(data, [i for i, q in labels if q])
+    assert {i: k for i, (k,) in got.items()} == expected and 0 < sum(not k for k in expected.values()) < 1800
+
+
 def test_quality_odd(odd, nothing, spark):
     labels = spark.createDataFrame([(2, 1), (2, None), (None, 1)], "doc_id long, quality int")
     got = collections.Counter((r["doc_id"], r["base_failed"], r["kept"]) for r in judge_quality(odd, labels).collect())
