@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .common import table
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .piece_bpe import encode_decode_pieces
 from .quality import judge_quality
 from .simhash import simhash_components
 from .substring_dedup import dedup_substrings
@@ -85,9 +86,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash)
+    for f in (op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash, op12_pieces)
 }
 
 ORACLE_SQL: dict[str, str] = {
