@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .collocations import collocations
 from .common import table
+from .divergence import audit_sources
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .piece_bpe import encode_decode_pieces
@@ -86,15 +88,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, covered=50, most=2000)
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"), min_docs=30, k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash, op12_pieces)
+    for f in (op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_url_rules, op5_mixing, op6_line_dedup, op7_topk, op8_bpe, op9_quality, op10_simhash, op11_collocations, op12_pieces, op13_divergence)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +164,44 @@ ORACLE_SQL: dict[str, str] = {
             FROM vectors q JOIN vectors p ON q.vec_id % 20 = 0 AND p.vec_id <> q.vec_id)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20""",
+    "op11_collocations": r"""
+        WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+            FROM words, (VALUES (1), (2), (3)) sizes(m) WHERE len(w) >= m),
+        counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+        cuts AS (SELECT lang, m, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM counts, (VALUES (1), (2)) ks(k) WHERE k < m),
+        scores AS (
+            SELECT c.lang, c.m, c.phrase, c.a, l.f AS l, r.f AS r, c.k, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:c.k], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+        best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS part, max(f) AS f FROM counts, (VALUES (1), (2)) parts(i) WHERE m = 3 GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * b.a)
+        SELECT * FROM (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::INTEGER AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang))
+        WHERE rank <= 2000""",
+    "op13_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        terms AS (SELECT d, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        often AS (SELECT lang, term, count(*) AS c FROM terms GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+        langs AS (SELECT lang, sum(c)::BIGINT AS n, count(*) AS v FROM often GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS c FROM terms SEMI JOIN often USING (lang, term) GROUP BY ALL),
+        sizes AS (SELECT lang, source, sum(c)::BIGINT AS n FROM counts GROUP BY ALL),
+        groups AS (SELECT lang, source, coalesce(s.n, 0) AS n, coalesce(l.n, 0) AS lang_n, coalesce(l.v, 0) AS v
+            FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sizes s USING (lang, source) LEFT JOIN langs l USING (lang)),
+        shares AS (SELECT g.lang, g.source, o.term, coalesce(c.c, 0) AS c,
+                1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * g.v) AS p, 1 + (1000000000::HUGEINT * (o.c + 5)) // (g.lang_n + 5 * g.v) AS q
+            FROM groups g JOIN often o USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = o.term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        rows AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE c > 0 AND p > q)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM rows)
+        WHERE part = 'pair' OR rank <= 50""",
 }
