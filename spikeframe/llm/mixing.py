@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, has_copies
 
 #: The plan (one row a block, under 100 bytes each) is broadcast up to so many rows.
 PLAN_ROWS = 100_000
@@ -60,6 +61,13 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
 
 
+def _hashable(kind: DataType) -> bool:
+    """Whether values of the type have a hash: no map in them."""
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType)
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, slots: int = 2000, most: float | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents of the mix, all columns of `docs` and block, slot, position (replaced if there were such).
 
@@ -67,7 +75,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, slots: int =
     Without it, sources are weighted by size and every document is placed; only if the caller gives `most`, no source
     takes more than that many times the median size. Within a source, the
     order is that of the ids' MD5. `position` counts from 0 over the whole mix; sorting by it gives the interleaved order.
-    Rows without a source form one source; rows that share an id are rows of their own, in the order of their hashes.
+    Rows without a source form one source; rows that share an id are rows of their own, in the order
+    of the hashes of their columns, but for those with maps (only then are rows hashed); columns may be of any type.
     An empty table gives an empty result. Tables of sources, buckets and slots are held small: their size depends on the
     number of sources and on `slots`, not on the number of documents.
     """
@@ -81,7 +90,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, slots: int =
     plan = cut(schedule(targets, slots))
     small = (lambda df: F.broadcast(df)) if plan.count() <= PLAN_ROWS else (lambda df: df)
     share = plan.groupBy("_src").agg(F.first("k").alias("k"), F.first("m").alias("m"))
-    within = Window.partitionBy("_src", "_b").orderBy("_o", F.xxhash64("_row"))
+    hashed = [F.col(f"_row.`{c}`") for c in kept if _hashable(docs.schema[c].dataType)]
+    ties = [F.xxhash64(*hashed)] if hashed and has_copies(docs, id_col) else []
+    within = Window.partitionBy("_src", "_b").orderBy("_o", *ties)
     ranked = rows.withColumn("_r", F.row_number().over(within) - 1).join(offsets, ["_src", "_b"]).withColumn("_r", F.col("_r") + F.col("offset"))
     taken = ranked.join(small(share), "_src").where("_r < k").withColumn("j", F.expr("(_r * m) div k"))
     placed = taken.join(small(plan.select("_src", "j", "slot", "begin", "start")), ["_src", "j"])

@@ -63,7 +63,9 @@ def odd_documents(spark):
     rows = [(i, ("awful nasty vile " if i % 2 else "") + f"{clean} {i}word", "s", 5) for i in range(40)]
     rows += [(None, clean, None, 1), (None, bad + " awful nasty vile", "s", 1), (None, None, None, None), (70, clean + " more", "s", 1), (70, bad + " awful nasty vile", "s", 1), (71, "", "t", 1), (72, " \n\n", "t", 1), (73, "x" * 100_000, "t", None), (73, "x" * 100_000, "t", None)]
     schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
-    return spark.createDataFrame([r + tuple(range(len(CLASHES))) for r in rows], schema)
+    made = spark.createDataFrame([r + tuple(range(len(CLASHES))) for r in rows], schema)
+    nested = F.struct(F.array("n_chars").alias("x"), F.create_map(F.lit("k"), "text").alias("y"))
+    return made.withColumns({"a map": F.create_map(F.lit("k"), F.col("n_chars")), "list": F.array(F.col("text"), F.lit(None)), "nested": nested})
 
 
 @pytest.mark.parametrize("name", NAMES[:-1])
