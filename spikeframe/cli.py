@@ -83,7 +83,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         spikes = sort_channels(samples, SortOptions(sampling_rate=rate, threshold=a.threshold))
         if a.phy:
             write_phy(spikes, a.phy)
-        write_session(session_of(spark, units(spikes), max(rate, EPSILON), "sorted"), a.output)
+        write_session(session_of(spark, units(spikes, by=["session_id"]), max(rate, EPSILON), "sorted"), a.output)
         print(f"spikes: {spikes.count()}")
     else:
         trains = read_phy(spark, a.folder, a.rate, skip_noise=not a.keep_noise)

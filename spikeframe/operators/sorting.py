@@ -214,7 +214,11 @@ def sort_channels(channels: DataFrame, options: SortOptions, by: Sequence[str] =
     return _grouped(referenced, [*by, channel], ["sample"], "value", run, "sample long, t double, unit long", {"sample": pa.int64(), "t": pa.float64(), "unit": pa.int64()})
 
 
-def units(spikes: DataFrame, prefix: str = "unit_") -> DataFrame:
-    """(var_name, idx, t): sorted spikes as neurons, one for each unit."""
+def units(spikes: DataFrame, prefix: str = "unit_", by: Sequence[str] | None = None) -> DataFrame:
+    """(by, var_name, idx, t): sorted spikes as neurons, one for each unit of each recording.
+
+    `by` names the recording's columns; without it, all columns of `spikes` beside sample, t and unit.
+    """
+    by = [c for c in spikes.columns if c not in ("sample", "t", "unit")] if by is None else list(by)
     name = F.concat(F.lit(prefix), F.col("unit").cast("string"))
-    return spikes.select(name.alias("var_name"), (F.row_number().over(Window.partitionBy("unit").orderBy("t")) - 1).cast("long").alias("idx"), "t")
+    return spikes.select(*by, name.alias("var_name"), (F.row_number().over(Window.partitionBy(*by, "unit").orderBy("t")) - 1).cast("long").alias("idx"), "t")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import EPSILON, bin_index
+from .parts import PART, cut_trains, longest, with_halo
 from .range_join import dense_bins, positive, window_join
 
 
@@ -60,10 +61,10 @@ def raster(spikes: DataFrame, events: DataFrame, start: float = -0.5, end: float
     return asked.select(*by, event_key).join(trials, [*by, event_key], "left").withColumn("trial", F.coalesce("trial", F.array().cast("array<double>")))
 
 
-def intervals_between(points: DataFrame, by: Sequence[str] = ("unit",), order: Sequence[str] = ("t",)) -> DataFrame:
-    """The rows that have a predecessor in their train, with `isi`, the time since it."""
-    train = Window.partitionBy(*by).orderBy(*order)
-    return points.withColumn("isi", F.col("t") - F.lag("t").over(train)).where(F.col("isi").isNotNull())
+def intervals_between(points: DataFrame, by: Sequence[str] = ("unit",), order: Sequence[str] = ("t",), part_rows: int | None = None) -> DataFrame:
+    """The rows that have a predecessor in their train, with `isi`, the time since it. A long train is cut in parts."""
+    cut = cut_trains(points, by, order, before=1, part_rows=part_rows)
+    return cut.own(cut.rows.withColumn("isi", F.col("t") - F.lag("t").over(cut.window)).where(F.col("isi").isNotNull()))
 
 
 def isi_histogram(points: DataFrame, bin_width: float, by: Sequence[str] = ("unit",), order: Sequence[str] = ("t",)) -> DataFrame:
@@ -97,26 +98,36 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / total for x in w]
 
 
-def smooth_rate(bins: DataFrame, bin_width: float, sigma: float, by: Sequence[str] = ()) -> DataFrame:
+def smooth_rate(bins: DataFrame, bin_width: float, sigma: float, by: Sequence[str] = (), part_rows: int | None = None) -> DataFrame:
     """`bins` (by, bin, count), dense, with `rate`: counts under a Gaussian of `sigma` bins, over the bin width.
 
     Bins beyond the ends count as nothing and the weights are not made up for them. Terms are added in the order of bins.
+    Where a group has more than `part_rows` bins, it is cut in parts that hold copies of the bins around them.
     """
     if bin_width <= 0:
         return bins.withColumn("rate", F.lit(None).cast("double")).limit(0)
     w = gaussian_weights(sigma)
     r = len(w) // 2
-    train = Window.partitionBy(*by).orderBy("bin")
+    part_rows = max(r, PART if part_rows is None else part_rows)
+    cut = longest(bins, by) > part_rows
+    train = Window.partitionBy(*by, *(["_part"] if cut else [])).orderBy("bin")
+    if cut:
+        first = bins.agg(F.min("bin")).first()[0]
+        bins = with_halo(bins, F.col("bin") - F.lit(first), r, r, part_rows)
     total: Column = F.lit(0.0)
     for k, x in enumerate(w):
         total = total + F.lag("count", r - k, 0).over(train) * F.lit(x) if k < r else total + (F.col("count") if k == r else F.lead("count", k - r, 0).over(train)) * F.lit(x)
-    return bins.withColumn("rate", total / F.lit(bin_width))
+    out = bins.withColumn("rate", total / F.lit(bin_width))
+    return out.where("_own").drop("_part", "_own") if cut else out
 
 
 def units_by_rate(variables: DataFrame, points: DataFrame, beg: float, end: float) -> DataFrame:
-    """(var_name, n_spikes, rate_hz, rank): neurons by mean rate, highest first; equal rates in file order, silent units too."""
-    n = points.groupBy("var_name").agg(F.count("*").alias("n"))
+    """(session_id, var_name, n_spikes, rate_hz, rank): a session's neurons by mean rate, highest first; equal rates in file
+    order, silent units too. Tables without session_id are one session.
+    """
+    by = ["session_id"] if "session_id" in variables.columns else []
+    n = points.groupBy(*by, "var_name").agg(F.count("*").alias("n"))
     rate = F.col("n_spikes") / F.lit(max(end - beg, EPSILON))
-    units = variables.where("kind = 'neuron'").join(n, "var_name", "left").select("var_name", "var_index", F.coalesce("n", F.lit(0).cast("long")).alias("n_spikes"))
-    order = Window.orderBy(F.desc("rate_hz"), "var_index")  # one row a unit
+    units = variables.where("kind = 'neuron'").join(n, [*by, "var_name"], "left").select(*by, "var_name", "var_index", F.coalesce("n", F.lit(0).cast("long")).alias("n_spikes"))
+    order = Window.partitionBy(*by).orderBy(F.desc("rate_hz"), "var_index")  # one row a unit
     return units.withColumn("rate_hz", rate).withColumn("rank", F.row_number().over(order)).drop("var_index")

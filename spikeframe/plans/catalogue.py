@@ -173,6 +173,24 @@ def q_units_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.units_by_rate(variables, points, 0.0, 2592000.0)
 
 
+@query(P + """,
+    r AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS session_id, event_type AS var_name, count(*) AS n_spikes, count(*) / 2592000e0 AS rate_hz FROM p GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rate_hz DESC, var_name)::INTEGER AS rank FROM r""")
+def q_units_by_rate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recordings with units of the same names."""
+    points = trains(spark, sf_dir).select(F.when(F.col("user_id") % 3 == 0, "a").otherwise("b").alias("session_id"), F.col("event_type").alias("var_name"))
+    variables = points.distinct().withColumn("var_index", F.row_number().over(Window.partitionBy("session_id").orderBy("var_name"))).withColumn("kind", F.lit("neuron"))
+    return spikes.units_by_rate(variables, points, 0.0, 2592000.0)
+
+
+@query("""SELECT session_id, 'unit_' || label AS var_name, row_number() OVER (PARTITION BY session_id, label ORDER BY vec_id)::BIGINT - 1 AS idx, vec_id / 30000e0 AS t
+    FROM (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS session_id FROM embeddings)""")
+def q_units_of_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted spikes of two recordings as neurons."""
+    spikes_ = table(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("session_id"), F.col("label").alias("unit"), (F.col("vec_id") / 30000.0).alias("t"))
+    return spike_sorting.units(spikes_, by=["session_id"])
+
+
 # Filters and ranges ----------------------------------------------------------------------------------------------------
 
 
@@ -417,7 +435,7 @@ def q_file_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WAVES_SQL + """, s AS (SELECT var_name, max(abs(x::DOUBLE)) / 32767 AS scale FROM x GROUP BY var_name),
     q AS (SELECT var_name, idx, t, pos, scale, x::DOUBLE / scale AS y FROM x JOIN s USING (var_name))
-    SELECT var_name, idx, t, pos, (greatest(-32768, least(32767, trunc(y + CASE WHEN y >= 0 THEN 0.5e0 ELSE -0.5e0 END))) * scale)::FLOAT AS x FROM q""")
+    SELECT var_name, idx, t, pos, (greatest(-32768, least(32767, trunc(y + CASE WHEN y >= 0 THEN 0.5e0 ELSE -0.5e0 END)))::SMALLINT * scale)::FLOAT AS x FROM q""")
 def q_file_waveforms_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of 16 bits, scaled by the range of each variable."""
     return decode_files(files_of(waves_session(spark, sf_dir), "narrow"), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..storage import shared_folder
+
 
 def running_intervals(points: DataFrame, unit: str, order: str = "event_id") -> DataFrame:
     """(unit, order, t, isi): the time since the unit's last point; the state is that point's time.
@@ -58,8 +59,7 @@ def for_each_chunk(stream: DataFrame, callback: Callable[[DataFrame, int], None]
 
 def run_to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of a stream over what is there now, through files in the session's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spikeframe-")
-    where = f"{base}/stream-{uuid.uuid4()}"
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     query = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")

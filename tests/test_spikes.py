@@ -172,14 +172,6 @@ def test_refractory_fold_over_long_trains(spark):
     assert sorted(r["sample"] for r in signals.suppress_refractory(df.where("unit = 'u'"), 7, most=5).collect()) == kept[:5]
 
 
-def test_numbers_without_a_single_task(spark):
-    rows = spark.range(1000).selectExpr("id % 3 AS g", "(id * 7919) % 1000 AS x")
-    got = signals.numbered(rows, [], ["x"], "i").collect()
-    assert {(r["x"], r["i"]) for r in got} == {(i, i) for i in range(1000)}
-    by = signals.numbered(rows, ["g"], ["x"], "i").collect()
-    assert all(sorted(r["i"] for r in by if r["g"] == g) == list(range(len([1 for r in by if r["g"] == g]))) for g in range(3))
-
-
 def test_channels_must_have_one_length(spark):
     import pytest
 
