@@ -1,7 +1,8 @@
 """Spike sorting in grouped Arrow functions: one electrode's recording in one group.
 
-Filters, greedy suppression and Lloyd's iterations are sequential by nature; a group is one recording of one electrode
-(or one chunk of it, if `by` has a chunk column), so its size is set by the recording and not by the table.
+Filters over a long recording run in parts (`bandpass`). Lloyd's iterations of `sort_signals` take one recording of one
+electrode (or one chunk of it, if `by` has a chunk column), so a group's size is set by the recording and not by the table;
+`clustering.py` has the rounds as jobs over all spikes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InvalidValues
+from ..storage import checkpointed
+from .parts import PART, cut_trains, same, with_halo
 
 
 @dataclass(frozen=True)
@@ -37,29 +40,35 @@ class SortOptions:
     pca: str = "compat"
 
 
+def filter_factors(rate: float, low: float, high: float) -> tuple[float, float]:
+    """Of the first-order high pass at `low` and low pass at `high`."""
+    dt = 1.0 / rate
+    rc_low, rc_high = (1.0 / (2 * math.pi * max(f, 1.0)) for f in (low, high))
+    return rc_low / (rc_low + dt), dt / (rc_high + dt)
+
+
+def filter_from(x: np.ndarray, before: float, y: float, z: float, factors: tuple[float, float]) -> tuple[list[float], float, float]:
+    """Filtered samples behind one of value `before`, from the filters' states y and z there; and the states at the end.
+
+    Double arithmetic, state in single precision.
+    """
+    up, down = factors
+    single, out = np.float32, []
+    for now in x.astype(np.float32).astype(np.float64).tolist():
+        y = float(single(up * (y + now - before)))
+        z = float(single(z + down * (y - z)))
+        before = now
+        out.append(z)
+    return out, y, z
+
+
 def filter_samples(x: np.ndarray, rate: float, low: float, high: float) -> np.ndarray:
-    """First-order high pass at `low`, then low pass at `high`; double arithmetic, state in single precision."""
+    """First-order high pass at `low`, then low pass at `high`, over a whole recording: both begin at its first sample."""
     x = x.astype(np.float32)
     if not len(x):
         return x
-    dt = 1.0 / rate
-    rc = 1.0 / (2 * math.pi * max(low, 1.0))
-    alpha = rc / (rc + dt)
-    single = np.float32
-    y = float(x[0])
-    values = x.astype(np.float64).tolist()
-    out = [y]
-    for before, now in zip(values, values[1:]):
-        y = float(single(alpha * (y + now - before)))
-        out.append(y)
-    rc = 1.0 / (2 * math.pi * max(high, 1.0))
-    alpha = dt / (rc + dt)
-    y = out[0]
-    low_out = [y]
-    for now in out[1:]:
-        y = float(single(y + alpha * (now - y)))
-        low_out.append(y)
-    return np.array(low_out, np.float32)
+    first = float(x[0])
+    return np.array([first, *filter_from(x[1:], first, first, first, filter_factors(rate, low, high))[0]], np.float32)
 
 
 def refractory_samples(seconds: float, rate: float) -> int:
@@ -176,13 +185,69 @@ def _grouped(signal: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return signal.select(*keep).groupBy(*by).applyInArrow(each, f"{kinds}, {extra}")
 
 
-def bandpass(signal: DataFrame, rate: float, low: float, high: float, by: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
-    """(by, sample, filtered) of every recording."""
-
-    def run(x: np.ndarray) -> dict:
-        return {"sample": np.arange(len(x)), "filtered": filter_samples(x, rate, low, high)}
+def bandpass(signal: DataFrame, rate: float, low: float, high: float, by: Sequence[str], order: Sequence[str], value: str = "value", part_rows: int | None = None, warm_up: int = 4_096) -> DataFrame:
+    """(by, sample, filtered) of every recording.
 
-    return _grouped(signal, by, order, value, run, "sample long, filtered float", {"sample": pa.int64(), "filtered": pa.float32()})
+    A long recording is cut in parts. Each part guesses the filters' state at its border by running over the `warm_up`
+    samples before it, and says its state at its end. Where a guess is not, to the bit, the end of the part before, that
+    part is run again from there, until no border differs: filters forget, so this seldom goes on beyond one part. Then
+    all parts run from known states, which gives the samples of one long run.
+    """
+    cut = cut_trains(signal.select(*by, *order, F.col(value).cast("float").alias(value)), by, order, before=0, part_rows=part_rows)
+    if cut.whole:
+
+        def run(x: np.ndarray) -> dict:
+            return {"sample": np.arange(len(x)), "filtered": filter_samples(x, rate, low, high)}
+
+        return _grouped(signal, by, order, value, run, "sample long, filtered float", {"sample": pa.int64(), "filtered": pa.float32()})
+    part_rows = PART if part_rows is None else part_rows
+    halo = min(max(warm_up, 1), part_rows)
+    numbers = checkpointed(cut.rows.select(*by, "_i", F.col(value).alias("_x")))
+    rows = with_halo(numbers, F.col("_i"), halo, 0, part_rows)
+    states = checkpointed(_by_part(rows, by, low, high, rate, None, part_rows).where("_in_y IS NOT NULL OR _part = 0"))
+    train = Window.partitionBy(*by).orderBy("_part")  # one row a part
+    while True:
+        borders = states.withColumns({"_y": F.lag("_out_y").over(train), "_z": F.lag("_out_z").over(train)})
+        off = checkpointed(borders.where("_part > 0 AND NOT (_in_y <=> _y AND _in_z <=> _z)").select(*by, "_part", "_y", "_z"))
+        if off.isEmpty():
+            break
+        # of parts in a row, the first has its true beginning; the next ones may be right again by then
+        redone = _by_part(same(rows, off, [*by, "_part"]), by, low, high, rate, "states", part_rows)
+        states = checkpointed(same(states, off.select(*by, "_part"), [*by, "_part"], "left_anti").unionByName(redone))
+    known = states.select(*by, "_part", F.col("_in_y").alias("_y"), F.col("_in_z").alias("_z"))
+    return _by_part(same(rows, known, [*by, "_part"]), by, low, high, rate, "samples", part_rows)
+
+
+def _by_part(rows: DataFrame, by: Sequence[str], low: float, high: float, rate: float, given: str | None, part_rows: int) -> DataFrame:
+    """Runs the filters over each part: from a guess or from the states given in _y and _z; gives (by, _part, states) or the samples."""
+    factors = filter_factors(rate, low, high)
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_i")
+        i, x, part = group.column("_i").to_numpy(), group.column("_x").to_numpy().astype(np.float32), group.column("_part")[0].as_py()
+        own = int(np.searchsorted(i, part * part_rows))  # what stands before is the halo
+        first = float(x[0])
+        if own == len(x):  # a halo behind the last part
+            y = z = end_y = end_z = None
+            out = []
+        elif own == 0:
+            y = z = first
+            out, end_y, end_z = filter_from(x[1:], first, first, first, factors)
+            out = [first, *out]
+        else:
+            if given:
+                y, z = group.column("_y")[0].as_py(), group.column("_z")[0].as_py()
+            else:
+                _, y, z = filter_from(x[1:own], first, first, first, factors)
+            out, end_y, end_z = filter_from(x[own:], float(x[own - 1]), y, z, factors)
+        keys = lambda n: {c: pa.array([group.column(c)[0].as_py()] * n, group.schema.field(c).type) for c in by}
+        if given == "samples":
+            return pa.table(keys(len(out)) | {"sample": pa.array(i[own:], pa.int64()), "filtered": pa.array(out, pa.float32())})
+        return pa.table(keys(1) | {"_part": pa.array([part], pa.int64())} | {c: pa.array([v], pa.float64()) for c, v in (("_in_y", y), ("_in_z", z), ("_out_y", end_y), ("_out_z", end_z))})
+
+    shape = "sample long, filtered float" if given == "samples" else "_part long, _in_y double, _in_z double, _out_y double, _out_z double"
+    return rows.groupBy(*by, "_part").applyInArrow(run, f"{kinds}{shape}")
 
 
 def sort_signals(signal: DataFrame, options: SortOptions, by: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import EPSILON, bin_index
 from .parts import PART, cut_trains, longest, with_halo
-from .range_join import dense_bins, positive, window_join
+from .range_join import Bins, dense_bins, positive, window_counts, window_join
 
 
 def in_range(points: DataFrame, start: float, end: float) -> DataFrame:
@@ -41,10 +42,11 @@ def psth(spikes: DataFrame, events: DataFrame, start: float = -0.5, end: float =
     if end <= start:
         raise ValueError("the window's end must lie after its start")
     n = max(1, math.ceil((end - start) / bin_width))
-    pairs = window_join(spikes.select(*by, F.col("t").alias("_s")), events.select(*by, F.col("t").alias("_e")), "_s", "_e", start, end, by)
-    rel = F.col("_s") - F.col("_e")
-    bins = pairs.where((rel >= start) & (rel < end)).withColumn("bin", bin_index(rel, start, bin_width)).where(F.col("bin") < n)
-    counts = bins.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    bins = Bins(
+        n, lambda s, e: (s >= e + start) & (s - e >= start), lambda s, e: (s > e + end) | (s - e >= end),
+        lambda s, e: np.floor((s - e - start) / bin_width),
+    )
+    counts = window_counts(spikes.select(*by, F.col("t").alias("_s")), events.select(*by, F.col("t").alias("_e")), "_s", "_e", start, end, bins, by)
     groups = events.groupBy(*by).agg(F.count("*").alias("n_events"))
     count = F.coalesce("n", F.lit(0).cast("long"))
     return dense_bins(groups, n).join(counts, [*by, "bin"], "left").select(
@@ -81,10 +83,10 @@ def cross_correlogram(a: DataFrame, b: DataFrame, max_lag: float, bin_width: flo
     positive(max_lag, "max_lag")
     positive(bin_width, "bin_width")
     n = math.ceil(2 * max_lag / bin_width)
+    bins = Bins(n, lambda s, e: s - e >= -max_lag, lambda s, e: s - e > max_lag, lambda s, e: np.floor((s - e + max_lag) / bin_width))
     # the bucket's window is a little wider, so that rounding loses no pair; the exact test follows
-    pairs = window_join(a.select(*by, F.col("t").alias("_s")), b.select(*by, F.col("t").alias("_e")), "_s", "_e", -max_lag * (1 + 1e-9) - 1e-9, max_lag * (1 + 1e-9) + 1e-9, by)
-    lag = F.col("_s") - F.col("_e")
-    counts = pairs.where(F.abs(lag) <= max_lag).groupBy(*by, F.floor((lag + F.lit(max_lag)) / F.lit(bin_width)).alias("bin")).agg(F.count("*").alias("n"))
+    wide = max_lag * (1 + 1e-9) + 1e-9
+    counts = window_counts(a.select(*by, F.col("t").alias("_s")), b.select(*by, F.col("t").alias("_e")), "_s", "_e", -wide, wide, bins, by)
     groups = a.select(*by).distinct() if by else a.sparkSession.range(1).select()
     return dense_bins(groups, n).join(counts, [*by, "bin"], "left").select(*by, "bin", (F.lit(-max_lag) + F.col("bin") * F.lit(bin_width)).alias("bin_start"), F.coalesce("n", F.lit(0).cast("long")).alias("count"))
 

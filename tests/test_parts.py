@@ -146,3 +146,19 @@ def test_smoothing_over_parts(spark):
     assert rows_of(spikes.smooth_rate(bins, 0.5, 2.0, ["unit"], part_rows=10), *names) == rows_of(spikes.smooth_rate(bins, 0.5, 2.0, ["unit"]), *names)
     one = bins.where("unit = 'a'").drop("unit")
     assert rows_of(spikes.smooth_rate(one, 0.5, 2.0, part_rows=10), *names[1:]) == rows_of(spikes.smooth_rate(one, 0.5, 2.0), *names[1:])
+
+
+@pytest.mark.parametrize(("part", "warm_up"), [(1000, 200), (1000, 1), (97, 97), (2000, 4096)])
+def test_filters_over_parts_are_bit_equal(spark, part, warm_up):
+    from spikeframe.operators import sorting
+
+    data, want = [], {}
+    for g, n in (("a", 5000), (None, 2311), ("c", 1)):
+        rng = np.random.default_rng(n)
+        x = (rng.normal(size=n) * 40 + 20 * np.sin(np.arange(n) / 9)).astype(np.float32)
+        data += [(g, i, float(v)) for i, v in enumerate(x)]
+        want |= {(g, i): float(v) for i, v in enumerate(sorting.filter_samples(x, 1000.0, 10.0, 300.0))}
+    signal = spark.createDataFrame(data, "unit string, t int, value double").repartition(5)
+    got = sorting.bandpass(signal, 1000.0, 10.0, 300.0, ["unit"], ["t"], part_rows=part, warm_up=warm_up)
+    assert got.columns == ["unit", "sample", "filtered"]
+    assert {(r["unit"], r["sample"]): r["filtered"] for r in got.collect()} == want

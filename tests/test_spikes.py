@@ -181,3 +181,35 @@ def test_channels_must_have_one_length(spark):
     rows = [("s", c, i, float(i % 5)) for c in range(2) for i in range(100 + c)]
     with pytest.raises(InvalidValues):
         sort_channels(spark.createDataFrame(rows, "session_id string, channel int, pos long, value double"), SortOptions())
+
+
+def test_bins_are_counted_without_pairs(spark, monkeypatch):
+    """Ties, bursts and edges, against all pairs; with small limits, so that bursts are dealt out and slices are many."""
+    import numpy as np
+
+    from spikeframe.operators import range_join
+
+    rng = random.Random(8)
+    s = [round(rng.uniform(0, 30), rng.choice([1, 2, 6])) for _ in range(900)] + [7.3] * 200 + [7.0 + i / 1000 for i in range(800)]
+    e = [round(rng.uniform(0, 30), 1) for _ in range(90)] + [7.3] * 5 + [7.2 + i / 500 for i in range(100)]
+    a, b = (spark.createDataFrame([(x,) for x in v], "t double").repartition(3) for v in (s, e))
+    rel = np.array(s)[:, None] - np.array(e)[None, :]
+
+    def want(start, end, n, width, closed):
+        at = np.floor((rel - start) / width)
+        ok = (rel >= start) & ((rel <= end) if closed else (rel < end)) & (at < n)
+        if not closed:  # a window is also tested from the event's side
+            ok &= (np.array(s)[:, None] >= np.array(e)[None, :] + start) & (np.array(s)[:, None] <= np.array(e)[None, :] + end)
+        return np.bincount(at[ok].astype(int), minlength=n).tolist()
+
+    for dense, at_once in ((50_000, 1 << 20), (60, 500)):
+        monkeypatch.setattr(range_join, "DENSE", dense)
+        monkeypatch.setattr(range_join, "AT_ONCE", at_once)
+        for start, end, width in ((-0.5, 1.0, 0.01), (-2.0, 2.0, 0.1), (0.1, 0.7, 0.25)):
+            n = math.ceil((end - start) / width)
+            got = spikes.psth(a, b, start, end, width)
+            assert column(got, "count") == want(start, end, n, width, False)
+        assert column(spikes.cross_correlogram(a, b, 1.0, 0.1), "count") == want(-1.0, 1.0, 20, 0.1, True)
+    monkeypatch.undo()
+    plan = spikes.cross_correlogram(a, b, 1.0, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[1]
