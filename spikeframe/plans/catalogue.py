@@ -24,6 +24,7 @@ from ..session import Session, diff, export_names, invalid_intervals, maximum_ti
 from ..sources.codec import WriteOptions
 from ..sources.datasource import decode_files
 from ..sources.detected import channel_neurons
+from ..sources.interchange import Interchange, all_paths, decode_descriptions, descriptions_of, intervals_of, markers_of, plain_series, series_of, waveforms_of
 from ..sources.writers import encode_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,17 +453,24 @@ def q_file_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("var_name", "fragment", "first_sample", F.posexplode("values").alias("p", "value")).select("var_name", (F.col("first_sample") + F.col("p")).alias("sample"), "value", "fragment")
 
 
-@query("""
-    WITH i AS (SELECT 'line_' || l_linenumber AS var_name, l_orderkey, l_linenumber, datediff('second', TIMESTAMP '1990-01-01', o_orderdate)::DOUBLE AS a, datediff('second', TIMESTAMP '1990-01-01', l_shipdate)::DOUBLE AS b
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate)
-    SELECT var_name, row_number() OVER (PARTITION BY var_name ORDER BY a, l_orderkey, l_linenumber, b)::BIGINT - 1 AS idx, a AS t_start, b AS t_end FROM i""")
-def q_file_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def intervals_session(spark: SparkSession, sf_dir: str) -> Session:
+    """From an order to the shipping of its lines, by line number."""
     since = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1990-01-01 00:00:00', cast({c} as timestamp_ntz))").cast("double")
     both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
     rows = both.select(F.concat(F.lit("line_"), "l_linenumber").alias("var_name"), "l_orderkey", "l_linenumber", since("o_orderdate").alias("t_start"), since("l_shipdate").alias("t_end"))
     intervals = rows.withColumn("idx", F.row_number().over(Window.partitionBy("var_name").orderBy("t_start", "l_orderkey", "l_linenumber", "t_end")).cast("long") - 1)
-    s = session(spark, 1.0, variables=counted(intervals).withColumn("kind", F.lit("interval")), intervals=intervals)
-    return decode_files(files_of(s), "intervals").drop("session_id")
+    return session(spark, 1.0, variables=counted(intervals).withColumn("kind", F.lit("interval")), intervals=intervals)
+
+
+INTERVALS_SQL = """
+    WITH i AS (SELECT 'line_' || l_linenumber AS var_name, l_orderkey, l_linenumber, datediff('second', TIMESTAMP '1990-01-01', o_orderdate)::DOUBLE AS a, datediff('second', TIMESTAMP '1990-01-01', l_shipdate)::DOUBLE AS b
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate)
+    SELECT var_name, row_number() OVER (PARTITION BY var_name ORDER BY a, l_orderkey, l_linenumber, b)::BIGINT - 1 AS idx, a AS t_start, b AS t_end FROM i"""
+
+
+@query(INTERVALS_SQL)
+def q_file_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(files_of(intervals_session(spark, sf_dir)), "intervals").drop("session_id")
 
 
 @query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx, value AS weight FROM p")
@@ -710,3 +718,116 @@ def q_streaming_isi(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     points = stream.select("user_id", "event_id", F.expr(SECONDS).alias("t"))
     return run_to_end(running_intervals(points, "user_id"), spark).select("user_id", "event_id", "isi")
+
+
+# Series of an interchange file, and back ---------------------------------------------------------------------------------
+
+
+@query(SESSION_SQL + " SELECT var_name AS path, idx, t, 1e0::DOUBLE AS value FROM points WHERE kind = 'event'")
+def q_interchange_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are series of ones; neurons have none."""
+    return series_of(recording(spark, sf_dir)).samples.drop("session_id")
+
+
+@query(SESSION_SQL + " SELECT 'events' AS comment, (SELECT list(var_name ORDER BY var_name) FROM vars WHERE kind = 'neuron') AS neuron_names")
+def q_interchange_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_descriptions(descriptions_of(recording(spark, sf_dir))).select("comment", "neuron_names")
+
+
+@query(INTERVALS_SQL)
+def q_interchange_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of starts and of ends, paired again by name and number."""
+    return intervals_of(series_of(intervals_session(spark, sf_dir))).drop("session_id")
+
+
+@query(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx FROM p)
+    SELECT event_type AS var_name, idx, t, 0 AS field_index, 'k' AS field_name, (props->>'$.k')::BIGINT AS num, NULL::VARCHAR AS str FROM i
+    UNION ALL SELECT event_type, idx, t, 1, 'user', NULL, 'u' || user_id FROM i""")
+def q_interchange_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of numbers, which is a series, and one of texts, which stand in the description."""
+    rows = indexed(spark, sf_dir, "props", "user_id").select(F.col("event_type").alias("var_name"), "idx", "t", F.get_json_object("props", "$.k").cast("long").alias("k"), F.concat(F.lit("u"), "user_id").alias("u"))
+    cells = F.explode(F.array(F.struct(F.lit(0).alias("f"), F.lit("k").alias("n"), F.col("k").alias("x"), F.lit(None).cast("string").alias("s")), F.struct(F.lit(1).alias("f"), F.lit("user").alias("n"), F.lit(None).cast("long").alias("x"), F.col("u").alias("s"))))
+    markers = rows.select("var_name", "idx", "t", cells.alias("c")).select("var_name", "idx", "t", F.col("c.f").alias("field_index"), F.col("c.n").alias("field_name"), F.col("c.x").alias("num"), F.col("c.s").alias("str"))
+    variables = counted(rows).select("var_name", "count", F.lit("marker").alias("kind"), F.lit(2).alias("n_markers"))
+    return markers_of(series_of(session(spark, 1e6, variables=variables, markers=markers))).drop("session_id")
+
+
+@query(WAVES_SQL + " SELECT * FROM x")
+def q_interchange_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat samples, cut into snippets again."""
+    back = waveforms_of(series_of(waves_session(spark, sf_dir)))
+    return back.select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
+
+
+@query(P + """,
+    s AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM p),
+    u AS (SELECT user_id, bool_and(abs(value - 1) < 1e-9) AS ones, max(t) FILTER (i = 0) AS t0, max(t) FILTER (i = 1) AS t1 FROM s GROUP BY user_id)
+    SELECT 'acquisition/user_' || user_id AS path, 'user_' || user_id AS var_name, CASE WHEN ones THEN 'event' ELSE 'continuous' END AS kind,
+        CASE WHEN ones THEN NULL WHEN t1 > t0 THEN 1e0 / (t1 - t0) ELSE 1e0 END AS sampling_rate, t0 FROM u""")
+def q_interchange_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's values with their times as a series without a rate."""
+    path = F.concat(F.lit("acquisition/user_"), F.col("user_id"))
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).cast("long") - 1
+    samples = trains(spark, sf_dir).select(F.lit("rec").alias("session_id"), path.alias("path"), idx.alias("idx"), "t", "value")
+    number = F.row_number().over(Window.orderBy("path")).cast("long") - 1  # one row a series
+    series = samples.select("session_id", "path").distinct().select("session_id", "path", number.alias("place"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("double").alias("starting_time"))
+    nothing = spark.createDataFrame([], "session_id string, description string")
+    return plain_series(Interchange(series, samples, nothing)).drop("session_id")
+
+
+@query(P + """,
+    a AS (SELECT event_type || '_' || (user_id % 2) AS path FROM p GROUP BY ALL), r AS (SELECT event_type || '_' || (user_id % 3) AS path FROM p GROUP BY ALL),
+    b AS (SELECT path, 0 AS root FROM a UNION ALL SELECT path, 1 FROM r WHERE path NOT IN (SELECT path FROM a))
+    SELECT path, row_number() OVER (ORDER BY root, path)::BIGINT - 1 AS place FROM b""")
+def q_interchange_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of the acquisition group, then those of the root that are not among them."""
+
+    def named(parts: int) -> DataFrame:
+        paths = trains(spark, sf_dir).select(F.lit("rec").alias("session_id"), F.concat("event_type", F.lit("_"), F.col("user_id") % parts).alias("path")).distinct()
+        return paths.withColumn("place", F.row_number().over(Window.orderBy("path")).cast("long"))  # one row a series
+
+    return all_paths(named(2), named(3)).drop("session_id")
+
+
+# Long trains and exact order statistics ----------------------------------------------------------------------------------
+
+
+@query(P + """,
+    r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM p),
+    m AS (SELECT event_type, value AS median FROM r WHERE i = n // 2),
+    d AS (SELECT event_type, median, abs(value - median) AS d FROM p JOIN m USING (event_type)),
+    e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d)
+    SELECT event_type, median, greatest(d, 1e-9::DOUBLE) * 1.4826e0 AS sigma FROM e WHERE i = n // 2""")
+def q_robust_std_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all samples of each type, by radix selection."""
+    return signals.robust_sigma(trains(spark, sf_dir), ["event_type"], "value", most=None)
+
+
+@query(P + """,
+    h AS (SELECT DISTINCT floor(t / 60e0)::BIGINT AS tick FROM p),
+    m AS (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN lag(tick) OVER w IS NULL OR tick <> lag(tick) OVER w + 1 THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (ORDER BY tick)),
+    r AS (SELECT *, sum(new) OVER (ORDER BY tick) - 1 AS fragment FROM m)
+    SELECT fragment::BIGINT AS fragment, min(tick) AS first_tick, min(i)::BIGINT AS first_index, count(*) AS count FROM r GROUP BY fragment""")
+def q_fragments_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one train of minutes, in parts of 1,000."""
+    ticks = trains(spark, sf_dir).select(F.floor(F.col("t") / 60.0).alias("tick")).distinct()
+    return signals.fragments(ticks, 1, [], part_rows=1000)
+
+
+@query("WITH RECURSIVE" + P.removeprefix("WITH") + """,
+    k AS (SELECT event_id, row_number() OVER w - 1 AS sample, abs(value) AS x, abs(lag(value) OVER w) AS b, abs(lead(value) OVER w) AS a FROM p WINDOW w AS (ORDER BY t, event_id)),
+    peaks AS (SELECT sample FROM k WHERE x > 10e0 AND x >= b AND x >= a),
+    nxt AS MATERIALIZED (SELECT sample, min(sample) OVER (ORDER BY sample RANGE BETWEEN 9 FOLLOWING AND UNBOUNDED FOLLOWING) AS follow FROM peaks),
+    g(sample) AS (SELECT min(sample) FROM peaks UNION ALL SELECT follow FROM g JOIN nxt USING (sample) WHERE follow IS NOT NULL)
+    SELECT sample::BIGINT AS sample FROM g""")
+def q_refractory_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of the whole table as one signal, in parts of 2,000 samples and 500 peaks."""
+    peaks = signals.local_peaks(trains(spark, sf_dir), 10.0, [], ["t", "event_id"], part_rows=2000)
+    return signals.suppress_refractory(peaks, 9, [], part_rows=500)
+
+
+@query(_bandpass_sql(1000.0, 10.0, 300.0).replace("user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id)", "event_type AS user_id, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)").replace("SELECT user_id, sample, z", "SELECT user_id AS event_type, sample, z"))
+def q_iir_bandpass_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's values as one recording, filtered in parts of 1,000 samples."""
+    signal = trains(spark, sf_dir).select("event_type", "t", "event_id", "value")
+    return spike_sorting.bandpass(signal, 1000.0, 10.0, 300.0, ["event_type"], ["t", "event_id"], part_rows=1000, warm_up=300)
