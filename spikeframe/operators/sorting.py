@@ -261,7 +261,12 @@ def sort_signals(signal: DataFrame, options: SortOptions, by: Sequence[str], ord
 
 
 def sort_channels(channels: DataFrame, options: SortOptions, by: Sequence[str] = ("session_id",), channel: str = "channel", pos: str = "pos", value: str = "value", per_channel: bool = False) -> DataFrame:
-    """Sorts several channels: the first less the mean of all, or each for itself less that mean."""
+    """Sorts several channels: the first less the mean of all, or each for itself less that mean.
+
+    Channels of one recording must be of one length and, if `channels` has a column sampling_rate, of the options' rate.
+    """
+    if "sampling_rate" in channels.columns and not channels.where(~F.col("sampling_rate").eqNullSafe(F.lit(float(options.sampling_rate)))).isEmpty():
+        raise InvalidValues("channels of one recording differ in sampling rate")
     filtered = bandpass(channels, options.sampling_rate, options.highpass, options.lowpass, [*by, channel], [pos], value)
     lengths = filtered.groupBy(*by, channel).agg(F.count("*").alias("_n")).groupBy(*by).agg(F.min("_n").alias("least"), F.max("_n").alias("most"))
     if not lengths.where("least <> most").isEmpty():

@@ -442,17 +442,31 @@ def q_file_waveforms_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_files(files_of(waves_session(spark, sf_dir), "narrow"), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
 
 
-@query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS value, 0 AS fragment FROM p")
-def q_file_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each type's values as a signal of one fragment, given in rows of 1,000 samples."""
+def signals_session(spark: SparkSession, sf_dir: str) -> Session:
     rows = indexed(spark, sf_dir, "value").withColumn("_c", F.floor(F.col("idx") / 1000))
     chunks = rows.groupBy(F.col("event_type").alias("var_name"), "_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda v: v["value"]).alias("values"))
     signal = chunks.select("var_name", F.lit(0).alias("fragment"), (F.col("_c") * 1000 / 1000.0).alias("t0"), (F.col("_c") * 1000).alias("first_sample"), F.lit(1000.0).alias("sampling_rate"), "values")
     variables = rows.groupBy(F.col("event_type").alias("var_name")).agg(F.count("*").alias("n_points_wave")).select("var_name", "n_points_wave", F.lit(1).alias("count"), F.lit("continuous").alias("kind"), F.lit(1000.0).alias("sampling_rate"))
-    back = decode_files(files_of(session(spark, 1e6, variables=variables, continuous=signal)), "continuous")
+    return session(spark, 1e6, variables=variables, continuous=signal)
+
+
+@query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS value, 0 AS fragment FROM p")
+def q_file_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's values as a signal of one fragment, given in rows of 1,000 samples."""
+    back = decode_files(files_of(signals_session(spark, sf_dir)), "continuous")
     return back.select("var_name", "fragment", "first_sample", F.posexplode("values").alias("p", "value")).select("var_name", (F.col("first_sample") + F.col("p")).alias("sample"), "value", "fragment")
 
 
+@query("""
+    SELECT row_number() OVER (ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS value FROM (SELECT event_id, value, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE AS t FROM events WHERE event_type = 'view')
+    QUALIFY sample BETWEEN 150 AND 1249""")
+def q_file_samples_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled samples 150 to 1,249 of one signal; the rest of it, and the other signals, are passed over."""
+    files = files_of(signals_session(spark, sf_dir))
+    back = decode_files(files, "continuous", names=["view"], from_row=150, before_row=1250).select("first_sample", F.posexplode("values").alias("p", "value"))
+    return back.select((F.col("first_sample") + F.col("p")).alias("sample"), "value").where("sample BETWEEN 150 AND 1249")
+
+
 def intervals_session(spark: SparkSession, sf_dir: str) -> Session:
     """From an order to the shipping of its lines, by line number."""
     since = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1990-01-01 00:00:00', cast({c} as timestamp_ntz))").cast("double")

@@ -72,8 +72,8 @@ class Session:
         return found.where(F.col("var_name") == name)
 
     def is_loaded(self, name: str) -> bool:
-        """Whether the variable's payload is in the tables, and not its header alone."""
-        return self.loaded is None or name in self.loaded
+        """Whether the variable's payload is in the tables, and not its header alone; a variable without rows has all it needs."""
+        return self.loaded is None or name in self.loaded or self.variables.where((F.col("var_name") == name) & (F.col("count") > 0)).isEmpty()
 
     def neuron(self, name: str) -> DataFrame:
         return self.payload(name, "neuron")

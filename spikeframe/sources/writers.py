@@ -62,6 +62,12 @@ def encode_files(s: Session, options: WriteOptions | None = None) -> DataFrame:
     return bodies.groupBy("session_id").cogroup(sessions.groupBy("session_id")).applyInArrow(put_together, "session_id string, content binary")
 
 
+def _complete(v: dict, found: int, said: int | None) -> None:
+    """A header without a number says nothing."""
+    if said and found != said:
+        raise IncompleteRead(f"{v['var_name']}: {found} of {said} rows; load the whole variable before writing")
+
+
 def _arrays(v: dict, rows: pa.Table) -> dict:
     kind = v["kind"]
     column = lambda name: rows.column(name).to_numpy().astype(np.float64)
@@ -70,17 +76,20 @@ def _arrays(v: dict, rows: pa.Table) -> dict:
         fragment = rows.column("fragment").to_numpy()
         new = np.flatnonzero(np.concatenate([np.ones(min(len(fragment), 1), bool), fragment[1:] != fragment[:-1]]))
         values = rows.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64) if len(fragment) else np.zeros(0)
+        _complete(v, len(new), v.get("count"))
+        _complete(v, len(values), v.get("n_points_wave"))
         return {"t": column("t0")[new], "first": rows.column("first_sample").to_numpy()[new].astype(np.int64), "values": values}
     if kind == "marker":
         rows = rows.sort_by([("field_index", "ascending"), ("idx", "ascending")])
         field, names = rows.column("field_index").to_numpy(), rows.column("field_name")
         cells = [a if a is not None else b for a, b in zip(rows.column("num").to_pylist(), rows.column("str").to_pylist())]
         cuts = [*np.flatnonzero(np.concatenate([np.ones(min(len(field), 1), bool), field[1:] != field[:-1]])).tolist(), len(field)]
+        for a, b in zip(cuts, cuts[1:]):
+            _complete(v, b - a, v.get("count"))
         t = column("t")[: cuts[1]] if len(cuts) > 1 else np.zeros(0)
         return {"t": t, "fields": [(names[a].as_py(), cells[a:b]) for a, b in zip(cuts, cuts[1:])]}
     rows = rows.sort_by("idx")
-    if v.get("count") and rows.num_rows != v["count"]:
-        raise IncompleteRead(f"{v['var_name']}: {rows.num_rows} of {v['count']} rows; load the whole variable before writing")
+    _complete(v, rows.num_rows, v.get("count"))
     if kind == "interval":
         return {"t_start": column("t_start"), "t_end": column("t_end")}
     if kind == "population":

@@ -264,3 +264,30 @@ def test_files_of_one_name(spark, tmp_path):
     s = read_session(spark, str(tmp_path / "*" / "same.bin"))
     out = write_sessions(s, str(tmp_path / "copy"), ".bin").collect()
     assert len({r["path"] for r in out}) == 2 and read_session(spark, str(tmp_path / "copy" / "*.bin")).sessions.count() == 2
+
+
+def test_writing_needs_whole_variables(spark):
+    """Signals and markers whose tables lack rows that the header counts are not written."""
+    from dataclasses import replace
+
+    s = full(spark).build()
+    for short in (replace(s, continuous=s.continuous.where("NOT (var_name = 'gaps' AND fragment = 1)")), replace(s, markers=s.markers.where("NOT (var_name = 'note' AND idx = 1)"))):
+        with pytest.raises(Exception, match="load the whole variable"):
+            encode_files(short).collect()
+
+
+def test_a_variable_without_rows_is_loaded(spark):
+    from dataclasses import replace
+
+    s = replace(SessionBuilder(spark, 1000, "").event("none", []).event("some", [1.0]).build(), loaded=frozenset())
+    assert s.is_loaded("none") and not s.is_loaded("some") and s.event("none").count() == 0
+    with pytest.raises(IncompleteRead):
+        s.event("some")
+
+
+def test_channels_of_two_rates(spark):
+    from spikeframe.operators.sorting import SortOptions, sort_channels
+
+    rows = spark.createDataFrame([("s", 0, 0, 1.0, 1000.0), ("s", 1, 0, 1.0, 2000.0)], "session_id string, channel int, pos long, value double, sampling_rate double")
+    with pytest.raises(InvalidValues, match="rate"):
+        sort_channels(rows, SortOptions(sampling_rate=1000.0))
