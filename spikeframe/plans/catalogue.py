@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import EPSILON, dequantise_i16, l2, marker_fields, marker_number, quantise_i16, seconds_to_ticks, ticks_to_seconds
-from ..operators import signals, spikes
+from ..operators import clustering, signals, spikes
 from ..operators import sorting as spike_sorting
 from ..operators.analysis import analyse
 from ..schema import TABLES, VARIABLES
@@ -845,3 +845,23 @@ def q_iir_bandpass_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each type's values as one recording, filtered in parts of 1,000 samples."""
     signal = trains(spark, sf_dir).select("event_type", "t", "event_id", "value")
     return spike_sorting.bandpass(signal, 1000.0, 10.0, 300.0, ["event_type"], ["t", "event_id"], part_rows=1000, warm_up=300)
+
+
+def _kmeans_sql(clusters: int, rounds: int) -> str:
+    """Rounds one after the other: distances added up in order, means of coordinates in steps of 2**-24."""
+    parts = [f"""WITH n AS (SELECT count(*) AS n, least({clusters}, count(*)) AS k FROM embeddings),
+        x AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, list_transform(embedding, lambda v: v::DOUBLE) AS f FROM embeddings),
+        c0 AS MATERIALIZED (SELECT c, f AS v FROM x JOIN (SELECT c, least(c * (n // k), n - 1) AS i FROM n, range(n.k) r(c)) USING (i))"""]
+    for r in range(rounds):
+        parts.append(f"""d{r} AS (SELECT vec_id, f, c, list_reduce(list_prepend(0e0, list_transform(list_zip(f, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), lambda a, b: a + b) AS d FROM x, c{r}),
+            l{r} AS MATERIALIZED (SELECT vec_id, f, c AS label FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        parts.append(f"""m{r} AS (SELECT label, pos, sum(floor(e * 16777216e0 + 0.5e0)::HUGEINT)::DOUBLE / count(*) / 16777216e0 AS m FROM (SELECT label, unnest(f) AS e, generate_subscripts(f, 1) AS pos FROM l{r}) GROUP BY ALL),
+            c{r + 1} AS MATERIALIZED (SELECT c, coalesce(v, list_transform(range(64), lambda i: 0e0)) AS v FROM (SELECT c FROM c0) LEFT JOIN (SELECT label, list(m ORDER BY pos) AS v FROM m{r} GROUP BY label) ON label = c)""")
+    return ", ".join(parts) + f" SELECT vec_id AS idx, label::BIGINT AS label FROM l{rounds - 1}"
+
+
+@query(_kmeans_sql(6, 5))
+def q_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All waveforms in six clusters, by five rounds over all tasks."""
+    rows = waveforms(spark, sf_dir).select("idx", "samples")
+    return clustering.kmeans(rows, 6, [], ["idx"], "samples", rounds=5).select("idx", "label")
