@@ -25,11 +25,35 @@ def bucketed(points: DataFrame, centres: DataFrame, t: str, c: str, low: float,
 def window_join(points: DataFrame, centres: DataFrame, t: str, c: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of rows with c + low <= t <= c + high and equal `by` columns.
 
-    The join is linear in points, centres and pairs, hashes on (by, bucket), and a long recording spreads over its buckets.
+    The join is linear in points, centres and pairs, hashes on (by, bucket), and a long recording spreads over its buckets;
+    buckets of more than CROWDED rows on a side are dealt out.
     """
+    keys = [*by, "_bucket"]
     left, right = bucketed(points, centres, t, c, low, high)
+    left, right, salts = dealt_out(left, right, keys, CROWDED, points.columns, centres.columns)
     inside = (F.col(t) >= F.col(c) + F.lit(low)) & (F.col(t) <= F.col(c) + F.lit(high))
-    return left.join(right, [*by, "_bucket"]).where(inside).drop("_bucket")
+    return left.join(right, [*keys, *salts]).where(inside).drop("_bucket", *salts)
+
+
+#: Rows of a bucket, on either side, that one task joins.
+CROWDED = 1_000_000
+
+
+def dealt_out(left: DataFrame, right: DataFrame, keys: Sequence[str], most: int, left_by: Sequence[str], right_by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides, and the columns to join by beside the keys; none if no key has more than `most` rows on a side.
+
+    Else the rows of such keys, bursts, are dealt out by the hash of the columns given, and copied for every share of the
+    other side, so that two rows of a key meet once.
+    """
+    if max(longest(left, keys), longest(right, keys)) <= most:
+        return left, right, []
+    share = F.ceil(F.count("*") / most)
+    a, b = left.groupBy(*keys).agg(share.alias("_a")), right.groupBy(*keys).agg(share.alias("_b"))
+    both = same(a, b, keys)
+    # a row of most keys has one share on each side: as good as no salt
+    left = same(left, both, keys).withColumn("_i", F.pmod(F.xxhash64(*left_by), F.col("_a"))).withColumn("_j", F.explode(F.expr("sequence(0L, _b - 1)"))).drop("_a", "_b")
+    right = same(right, both, keys).withColumn("_j", F.pmod(F.xxhash64(*right_by), F.col("_b"))).withColumn("_i", F.explode(F.expr("sequence(0L, _a - 1)"))).drop("_a", "_b")
+    return left, right, ["_i", "_j"]
 
 
 @dataclass(frozen=True)
@@ -92,14 +116,7 @@ def window_counts(points: DataFrame, centres: DataFrame, t: str, c: str, low: fl
     keys = [*by, "_bucket"]
     left, right = bucketed(points, centres, t, c, low, high)
     left, right = (rows.groupBy(*keys, F.col(x).cast("double").alias("_t")).agg(F.count("*").alias("_n")) for rows, x in ((left, t), (right, c)))
-    salts = []
-    if max(longest(left, keys), longest(right, keys)) > DENSE:
-        share = F.ceil(F.count("*") / DENSE)
-        sizes = [rows.groupBy(*keys).agg(share.alias(name)) for rows, name in ((left, "_a"), (right, "_b"))]
-        both = sizes[0].join(sizes[1], [sizes[0][k].eqNullSafe(sizes[1][k]) for k in keys]).select(*(sizes[0][k] for k in keys), "_a", "_b")
-        salts = ["_i", "_j"]
-        left = same(left, both, keys).withColumn("_i", F.pmod(F.xxhash64("_t"), F.col("_a"))).withColumn("_j", F.explode(F.expr("sequence(0L, _b - 1)"))).drop("_a", "_b")
-        right = same(right, both, keys).withColumn("_j", F.pmod(F.xxhash64("_t"), F.col("_b"))).withColumn("_i", F.explode(F.expr("sequence(0L, _a - 1)"))).drop("_a", "_b")
+    left, right, salts = dealt_out(left, right, keys, DENSE, ["_t"], ["_t"])
     time = F.struct("_t", "_n")
     sides = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
     lists = [F.sort_array(F.collect_list(F.when(F.col("_side") == k, time))).alias(f"_x{k}") for k in (0, 1)]

@@ -34,6 +34,11 @@ class Session:
     loaded: frozenset[str] | None = None
     #: For tables that still stand for files: (table, variable, first row, row behind the last) opened on its own.
     reopen: Callable[[str, str, int, int | None], DataFrame] | None = None
+    #: The sessions without what is computed from payloads (their ends), to count them by.
+    heads: DataFrame | None = None
+
+    def _sessions(self) -> int:
+        return (self.sessions if self.heads is None else self.heads).count()
 
     def variable_names(self, kind: str | None = None) -> DataFrame:
         """(session_id, kind, var_name, place): the variables of each session, `place` counting those of the kind in file order."""
@@ -51,7 +56,7 @@ class Session:
         have: dict[str, dict[str, str]] = {}
         for r in self.variables.where(F.col("var_name").isin(*names)).select("session_id", "var_name", "kind").collect():
             have.setdefault(r["var_name"], {})[r["session_id"]] = r["kind"]
-        sessions = self.sessions.count()
+        sessions = self._sessions()
         for name in names:
             if len(have.get(name, {})) < max(sessions, 1):
                 raise VariableNotFound(name)
@@ -156,7 +161,7 @@ class Session:
         mine = other._map(lambda df: df.withColumn("session_id", F.lit(sid)))
         moved = mine.variables.withColumn("var_index", (F.col("var_index") + n).cast("int"))
         head = self.sessions.withColumn("beg_seconds", F.lit(min(a["beg_seconds"], b["beg_seconds"]))).withColumn("end_seconds", F.lit(max(a["end_seconds"], b["end_seconds"]))).withColumn("comment", F.lit(a["comment"] or b["comment"]))
-        return replace(self, sessions=head, variables=self.variables.unionByName(moved), **{p: getattr(self, p).unionByName(getattr(mine, p)) for p in PAYLOADS}, reopen=None)
+        return replace(self, sessions=head, variables=self.variables.unionByName(moved), **{p: getattr(self, p).unionByName(getattr(mine, p)) for p in PAYLOADS}, reopen=None, heads=None)
 
     def _only(self):
         rows = self.sessions.limit(2).collect()
@@ -168,13 +173,14 @@ class Session:
         """The sessions of both, whose ids must differ."""
         if not self.sessions.join(other.sessions, "session_id", "left_semi").isEmpty():
             raise DuplicateVariable("a session is on both sides")
-        return replace(self, **{name: getattr(self, name).unionByName(getattr(other, name)) for name in TABLES}, reopen=None)
+        return replace(self, **{name: getattr(self, name).unionByName(getattr(other, name)) for name in TABLES}, reopen=None, heads=None)
 
     def with_end(self) -> Session:
         """Each session's end set to the latest time in its variables."""
         ends = maximum_timestamps(self).groupBy("session_id").agg(F.max("max_t").alias("_end"))
         end = F.greatest(F.lit(0.0), F.coalesce("_end", F.lit(0.0)))
-        return replace(self, sessions=self.sessions.join(ends, "session_id", "left").withColumn("end_seconds", end).select(*self.sessions.columns))
+        heads = self.sessions if self.heads is None else self.heads
+        return replace(self, sessions=heads.join(ends, "session_id", "left").withColumn("end_seconds", end).select(*heads.columns), heads=heads)
 
     def info(self) -> DataFrame:
         """One row a session: header fields and the number of neurons, events, continuous signals and intervals."""
@@ -229,7 +235,7 @@ def diff(a: Session, b: Session) -> DataFrame:
     Two single sessions are compared whatever their ids; of several, those of equal ids, and session_id comes first.
     """
     x, y = maximum_timestamps(a), maximum_timestamps(b)
-    if max(a.sessions.count(), b.sessions.count()) <= 1:
+    if max(a._sessions(), b._sessions()) <= 1:
         return diff_summaries(x, y)
     return diff_summaries(x, y, ("session_id", "var_name"))
 

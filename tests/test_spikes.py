@@ -213,3 +213,20 @@ def test_bins_are_counted_without_pairs(spark, monkeypatch):
     monkeypatch.undo()
     plan = spikes.cross_correlogram(a, b, 1.0, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("MapInArrow")[1]
+
+
+def test_a_burst_is_dealt_out(spark, monkeypatch):
+    """A third of all spikes in one window: no share of a bucket has many more rows than the limit, and no pair is lost."""
+    from spikeframe.operators import range_join
+    from spikeframe.operators.range_join import bucketed, dealt_out, window_join
+
+    rng = random.Random(3)
+    s = [rng.uniform(0, 100) for _ in range(2000)] + [50 + rng.random() / 2 for _ in range(1000)]
+    e = [float(i) for i in range(100)] + [50 + i / 100 for i in range(60)]
+    a = spark.createDataFrame([(i, x) for i, x in enumerate(s)], "i int, s double").repartition(3)
+    b = spark.createDataFrame([(k, x) for k, x in enumerate(e)], "k int, e double").repartition(3)
+    monkeypatch.setattr(range_join, "CROWDED", 80)
+    want = sorted((i, k) for i, x in enumerate(s) for k, y in enumerate(e) if y + -0.5 <= x <= y + 0.5)
+    assert sorted((r["i"], r["k"]) for r in window_join(a, b, "s", "e", -0.5, 0.5).collect()) == want
+    left, right, salts = dealt_out(*bucketed(a, b, "s", "e", -0.5, 0.5), ["_bucket"], 80, ["i", "s"], ["k", "e"])
+    assert salts and max(r["count"] for r in left.groupBy("_bucket", *salts).count().collect()) <= 120
