@@ -8,6 +8,7 @@ so that files of other programs can be read and written.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,24 +47,14 @@ def named_parts(series: DataFrame, prefix: str = PREFIX) -> DataFrame:
 
     A tagged name without a known part is an ordinary name.
     """
-    short = short_name(F.col("path"))
-    body = lambda kind: F.expr(f"substring(_short, {len(prefix) + len(kind) + 3})")
-    tagged = lambda kind: F.startswith(F.col("_short"), F.lit(f"{prefix}_{kind}:"))
-    cut = lambda kind, end: F.expr(f"left(_rest, length(_rest) - {len(end)})")
-    rows = series.withColumn("_short", short)
-    rows = rows.withColumn("_rest", F.when(tagged("interval"), body("interval")).when(tagged("marker"), body("marker")).when(tagged("waveform"), body("waveform")))
-    rows = rows.withColumn("_kind", F.when(tagged("interval"), "interval").when(tagged("marker"), "marker").when(tagged("waveform"), "waveform"))
-    field = F.regexp_extract("_rest", "(?s)^(.*)__f\\+?([0-9]{1,9})$", 2)
-    known = [("interval", "__start", "start"), ("interval", "__end", "end"), ("marker", "__ts", "ts"), ("waveform", "__ts", "ts"), ("waveform", "__samples", "samples")]
-    found = F.lit(None).cast("struct<base:string,part:string,field:int>")
-    for kind, end, part in reversed(known):
-        hit = (F.col("_kind") == kind) & F.endswith("_rest", F.lit(end))
-        found = F.when(hit, F.struct(cut(kind, end).alias("base"), F.lit(part).alias("part"), F.lit(None).cast("int").alias("field"))).otherwise(found)
-    is_field = (F.col("_kind") == "marker") & ~F.endswith("_rest", F.lit("__ts")) & (field != "")
-    found = F.when(is_field, F.struct(F.regexp_extract("_rest", "(?s)^(.*)__f\\+?([0-9]{1,9})$", 1).alias("base"), F.lit("field").alias("part"), F.try_to_number(field, F.lit("999999999")).cast("int").alias("field"))).otherwise(found)
-    rows = rows.withColumn("_found", found)
-    kind = F.when(F.col("_found").isNotNull(), F.col("_kind"))
-    return rows.withColumns({"kind": kind, "base": F.col("_found.base"), "part": F.col("_found.part"), "field": F.col("_found.field")}).drop("_short", "_rest", "_kind", "_found")
+    # each alternative is bound to the name's end, so the base is all before the last ending
+    pattern = f"(?s)^{re.escape(prefix)}_(?:(interval):(.*)__(start|end)|(marker):(.*)__(?:(ts)|f\\+?([0-9]{{1,9}}))|(waveform):(.*)__(ts|samples))\\z"
+    group = lambda *at: F.concat(*(F.regexp_extract("_short", pattern, i) for i in at))
+    rows = series.withColumn("_short", short_name(F.col("path"))).withColumns({"kind": F.nullif(group(1, 4, 8), F.lit("")), "_field": group(7), "_part": group(3, 6, 10), "_base": group(2, 5, 9)})
+    known, is_field = F.col("kind").isNotNull(), F.col("_field") != ""
+    return rows.withColumns({
+        "base": F.when(known, F.col("_base")), "part": F.when(is_field, "field").when(known, F.col("_part")), "field": F.when(is_field, F.col("_field")).cast("int"),
+    }).drop("_short", "_field", "_part", "_base")
 
 
 def all_paths(acquisition: DataFrame, root: DataFrame) -> DataFrame:
