@@ -8,6 +8,7 @@ their line items are intervals.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -734,6 +735,27 @@ def q_streaming_isi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(running_intervals(points, "user_id"), spark).select("user_id", "event_id", "isi")
 
 
+@query(ISI_SQL)
+def q_streaming_isi_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals of a stream of mixed files: rows come up to six hours late, in four waves, and are put in order by the watermark."""
+    from ..storage import shared_folder
+    from ..streaming.in_order import intervals_in_order, run_closed
+
+    where = f"{shared_folder(spark)}/late-{uuid.uuid4()}"
+    points = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(SECONDS).alias("t"))
+    delay, span = 6 * 3600, points.agg((F.max("t") - F.min("t")).alias("span"), F.min("t").alias("first")).first()
+    if span["span"] is None:
+        span = {"span": 0.0, "first": 0.0}
+    wide = span["span"] / 4 + 1
+    arrival = F.col("t") - span["first"] + F.pmod(F.xxhash64("event_id"), F.lit(delay))
+    wave = F.least(F.floor(arrival / wide), F.lit(3))
+    for k in range(4):
+        points.where(wave == k).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(where)
+    # Files of one wave come in any order, so rows are late by a wave and the delay at most.
+    return run_closed(stream, lambda p: intervals_in_order(p, "user_id", "event_id", f"{int(wide) + 2 * delay + 60} seconds")).select("user_id", "event_id", "isi")
+
+
 # Series of an interchange file, and back ---------------------------------------------------------------------------------
 
 
