@@ -23,7 +23,7 @@ from ..operators.analysis import analyse
 from ..schema import TABLES, VARIABLES
 from ..session import Session, diff, export_names, invalid_intervals, maximum_timestamps
 from ..sources.codec import WriteOptions
-from ..sources.datasource import decode_files
+from ..sources.datasource import decode_files, read_session
 from ..sources.detected import channel_neurons
 from ..sources.interchange import Interchange, all_paths, decode_descriptions, descriptions_of, intervals_of, markers_of, plain_series, series_of, waveforms_of
 from ..sources.writers import encode_files
@@ -435,9 +435,12 @@ def q_file_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_files(files_of(waves_session(spark, sf_dir)), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
 
 
-@query(WAVES_SQL + """, s AS (SELECT var_name, max(abs(x::DOUBLE)) / 32767 AS scale FROM x GROUP BY var_name),
+WAVES_I16_SQL = WAVES_SQL + """, s AS (SELECT var_name, max(abs(x::DOUBLE)) / 32767 AS scale FROM x GROUP BY var_name),
     q AS (SELECT var_name, idx, t, pos, scale, x::DOUBLE / scale AS y FROM x JOIN s USING (var_name))
-    SELECT var_name, idx, t, pos, (greatest(-32768, least(32767, trunc(y + CASE WHEN y >= 0 THEN 0.5e0 ELSE -0.5e0 END)))::SMALLINT * scale)::FLOAT AS x FROM q""")
+    SELECT var_name, idx, t, pos, (greatest(-32768, least(32767, trunc(y + CASE WHEN y >= 0 THEN 0.5e0 ELSE -0.5e0 END)))::SMALLINT * scale)::FLOAT AS x FROM q"""
+
+
+@query(WAVES_I16_SQL)
 def q_file_waveforms_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of 16 bits, scaled by the range of each variable."""
     return decode_files(files_of(waves_session(spark, sf_dir), "narrow"), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
@@ -495,6 +498,36 @@ def q_file_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_files(files_of(s), "population").drop("session_id")
 
 
+# Session files written by all tasks, and read by several ------------------------------------------------------------------
+
+
+def written(s: Session, layout: str = "wide") -> Session:
+    from ..sources.sink import write_files
+    from ..storage import shared_folder
+
+    spark = s.sessions.sparkSession
+    folder = f"{shared_folder(spark).removeprefix('file:')}/files-{uuid.uuid4()}"
+    write_files(s, folder, ".bin", WriteOptions(layout=layout))
+    return read_session(spark, f"{folder}/*.bin")
+
+
+@query(SESSION_SQL + " SELECT var_name, kind, idx, round(t * 1e6)::BIGINT AS tick, t FROM points")
+def q_written_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(recording(spark, sf_dir)).points.drop("session_id")
+
+
+@query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS value, 0 AS fragment FROM p")
+def q_written_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = written(signals_session(spark, sf_dir)).continuous
+    return back.select("var_name", "fragment", "first_sample", F.posexplode("values").alias("p", "value")).select("var_name", (F.col("first_sample") + F.col("p")).alias("sample"), "value", "fragment")
+
+
+@query(WAVES_I16_SQL)
+def q_written_waveforms_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 16 bits: the range of each variable is known before its rows are written."""
+    return written(waves_session(spark, sf_dir), "narrow").waveforms.select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
+
+
 @query("""
     SELECT l_orderkey, l_linenumber, datediff('second', o_orderdate, l_shipdate)::BIGINT AS seconds
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")

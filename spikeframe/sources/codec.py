@@ -103,6 +103,16 @@ def marker_value(cell: int | str) -> int | str:
     return cell
 
 
+def payload_size(v: dict) -> int:
+    """The bytes that a variable's payload takes, by its header fields."""
+    n, tick, cell = v["count"], 8 if v["ts_data_type"] else 4, 4 if v["cont_data_type"] else 2
+    return {
+        "neuron": n * tick, "event": n * tick, "interval": 2 * n * tick, "population": 8 * n,
+        "waveform": n * (tick + v["n_points_wave"] * cell), "continuous": n * (tick + 4) + v["n_points_wave"] * cell,
+        "marker": n * tick + v["n_markers"] * (FIELD_NAME_BYTES + n * (4 if v["marker_data_type"] else v["marker_length"])) if n else 0,
+    }[v["kind"]]
+
+
 class Reader:
     """Reads parts of one file through `read(offset, size)`."""
 
@@ -156,12 +166,7 @@ class Reader:
             raise InvalidHeader(f"{v['var_name']}: a count, length or rate that can't be")
 
     def payload_bytes(self, v: dict) -> int:
-        n, tick, cell = v["count"], 8 if v["ts_data_type"] else 4, 4 if v["cont_data_type"] else 2
-        return {
-            "neuron": n * tick, "event": n * tick, "interval": 2 * n * tick, "population": 8 * n,
-            "waveform": n * (tick + v["n_points_wave"] * cell), "continuous": n * (tick + 4) + v["n_points_wave"] * cell,
-            "marker": n * tick + v["n_markers"] * (FIELD_NAME_BYTES + n * (4 if v["marker_data_type"] else v["marker_length"])) if n else 0,
-        }[v["kind"]]
+        return payload_size(v)
 
     def wanted(self, v: dict) -> bool:
         return self.options.names is None or v["var_name"] in self.options.names
@@ -312,18 +317,33 @@ def cell_text(cell: int | str) -> str:
     return f"{cell:05d}" if isinstance(cell, int) else cell
 
 
-def _scaling(v: dict, values: np.ndarray, layout: str) -> tuple[int, float, float]:
-    """Sample type, scale and offset to write with; float data made 16-bit get the scale of their range."""
-    if layout == "wide" and v["cont_data_type"] == 1 or not len(values):
+def scaling_of(v: dict, n: int, fits: bool, top: float, layout: str) -> tuple[int, float, float]:
+    """Sample type, scale and offset to write with; float data made 16-bit get the scale of their range.
+
+    `n` values, whether all stand on the variable's own 16-bit steps, and the largest without its sign.
+    """
+    if layout == "wide" and v["cont_data_type"] == 1 or not n:
         return (v["cont_data_type"] if layout == "wide" else 0), 1.0, 0.0
-    if v["cont_data_type"] == 0 and v["ad_to_mv"] not in (0.0,):
-        raw = round_half_away((values - v["mv_offset"]) / v["ad_to_mv"])
-        if np.abs(raw).max() <= 32767 and np.allclose(raw * v["ad_to_mv"] + v["mv_offset"], values, rtol=1e-6, atol=abs(v["ad_to_mv"]) * 1e-3):
-            return 0, v["ad_to_mv"], v["mv_offset"]
-    top = float(np.abs(values).max())
+    if v["cont_data_type"] == 0 and v["ad_to_mv"] not in (0.0,) and fits:
+        return 0, v["ad_to_mv"], v["mv_offset"]
     return 0, top / 32767 if top else 1.0, 0.0
 
 
+def _scaling(v: dict, values: np.ndarray, layout: str) -> tuple[int, float, float]:
+    fits = False
+    if v["cont_data_type"] == 0 and v["ad_to_mv"] not in (0.0,) and len(values):
+        raw = round_half_away((values - v["mv_offset"]) / v["ad_to_mv"])
+        fits = bool(np.abs(raw).max() <= 32767 and np.allclose(raw * v["ad_to_mv"] + v["mv_offset"], values, rtol=1e-6, atol=abs(v["ad_to_mv"]) * 1e-3))
+    return scaling_of(v, len(values), fits, float(np.abs(values).max()) if len(values) else 0.0, layout)
+
+
+def raw_samples(values: np.ndarray, sample_type: int, scale: float, offset: float) -> np.ndarray:
+    """Samples as they stand in a file."""
+    if sample_type:
+        return values.astype("<f4")
+    return np.clip(np.nan_to_num(round_half_away((values - offset) / scale)), -32768, 32767).astype("<i2")
+
+
 def tick_type_of(last: float, frequency: float, layout: str) -> str:
     """The type of ticks in a file whose latest time is `last`."""
     if math.floor(last * frequency + 0.5) < 2**31:
@@ -342,21 +362,22 @@ def encode_variable(v: dict, p: dict, frequency: float, tick_type: str, layout:
     return v | changed | {"var_type": KINDS[v["kind"]], "version": VARIABLE_VERSION[layout], "ts_data_type": int(tick_type == "<i8"), "cont_frag_index_type": 0}, body
 
 
-def assemble(session: dict, last: float, encoded: list[tuple[dict, bytes]], o: WriteOptions) -> bytes:
-    """A file's bytes: headers, payloads without gaps, and metadata."""
+def frame(session: dict, last: float, encoded: list[tuple[dict, int]], o: WriteOptions) -> tuple[bytes, list[int], bytes, int]:
+    """A file but for its payloads, by header fields and payload sizes: headers, each payload's place, metadata, and their place."""
     wide, f = o.layout == "wide", float(session["timestamp_frequency_hz"])
     tick_type = tick_type_of(last, f, o.layout)
     kind = VARIABLE_HEADER[o.layout]
     at = FILE_HEADER[o.layout].itemsize + len(encoded) * kind.itemsize
-    heads = np.zeros(len(encoded), kind)
-    for head, (v, body) in zip(heads, encoded):
+    heads, places = np.zeros(len(encoded), kind), []
+    for head, (v, size) in zip(heads, encoded):
         for n in kind.names:
             if n not in ("pad", "name", "units"):
                 head[n] = at if n == "data_offset" else v[n]
         head["name"] = padded(v["var_name"], 64)
         if wide:
             head["units"] = padded(v["units"] or "", 32)
-        at += len(body)
+        places.append(at)
+        at += size
     h = np.zeros(1, FILE_HEADER[o.layout])
     h["magic"], h["version"], h["comment"], h["frequency"], h["n_vars"] = MAGIC[o.layout], FILE_VERSION["wide64" if tick_type == "<i8" else o.layout], padded(session.get("comment") or "", 256), f, len(encoded)
     h["beg"], h["end"] = to_ticks([session.get("beg_seconds") or 0.0], f, "<i8" if wide else "<i4")[0], math.floor(last * f + 0.5)
@@ -370,7 +391,13 @@ def assemble(session: dict, last: float, encoded: list[tuple[dict, bytes]], o: W
             entries.append(m)
         meta = json.dumps({"file": {"writerSoftware": {"name": o.writer_name, "version": o.writer_version}}, "variables": entries}).encode()
         h["meta_offset"] = at
-    return b"".join([h.tobytes(), heads.tobytes(), *(body for _, body in encoded), meta])
+    return h.tobytes() + heads.tobytes(), places, meta, at
+
+
+def assemble(session: dict, last: float, encoded: list[tuple[dict, bytes]], o: WriteOptions) -> bytes:
+    """A file's bytes: headers, payloads without gaps, and metadata."""
+    head, _, meta, _ = frame(session, last, [(v, len(body)) for v, body in encoded], o)
+    return b"".join([head, *(body for _, body in encoded), meta])
 
 
 def encode_session(session: dict, variables: list[dict], payloads: dict[str, dict], options: WriteOptions | None = None) -> bytes:
@@ -419,10 +446,7 @@ def _encode(v: dict, p: dict, f: float, tick_type: str, layout: str) -> tuple[by
         return b"".join(body) if len(p["t"]) else b"", {"count": len(p["t"]), "n_markers": len(p["fields"]), "marker_length": LEAST_CELL if as_number else length, "marker_data_type": int(as_number)}
     values = np.asarray(p["samples"] if kind == "waveform" else p["values"], np.float64)
     sample_type, scale, offset = _scaling(v, values.ravel(), layout)
-    if sample_type:
-        raw = values.astype("<f4")
-    else:
-        raw = np.clip(np.nan_to_num(round_half_away((values - offset) / scale)), -32768, 32767).astype("<i2")
+    raw = raw_samples(values, sample_type, scale, offset)
     head = {"count": len(p["t"]), "cont_data_type": sample_type, "ad_to_mv": scale, "mv_offset": offset}
     if kind == "waveform":
         return ticks(p["t"]) + raw.tobytes(), head | {"n_points_wave": values.shape[1] if len(values) else v["n_points_wave"]}
