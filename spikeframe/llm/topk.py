@@ -190,7 +190,7 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
     seeds, rows = quantized(longest.column("vec"), scale) if longest.num_rows else (np.zeros((0, 1)), np.zeros(0, np.int64))
     shared = spark.sparkContext.broadcast((longest.column("id").to_numpy()[rows], seeds))  # at most SEEDS vectors
     q = cut(q.mapInArrow(_first_thresholds(shared, k, scale), "id long, vec array<double>, least double, length double"))
-    n, m = p.count(), q.count()
+    n = p.count()
     cuts = sorted(set(p.agg(F.percentile_approx("length", [i / CLASSES for i in range(1, CLASSES)], 10_000).alias("c")).first()["c"] or []))
     kind = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c <= F.col("length"))) if cuts else F.lit(0)
     p = p.withColumn("kind", kind)
@@ -206,14 +206,32 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
         else:  # short classes of neighbouring lengths share a block
             first[r["kind"]] = (len(blocks) - 1, 1)
             blocks[-1], filled = max(blocks[-1], r["top"]), filled + r["n"]
-    cols = max(1, -(-m // QUERY_BLOCK))
-    place = spark.createDataFrame([(c, a, b) for c, (a, b) in first.items()], "kind int, first int, some int")
-    tops = spark.createDataFrame(list(enumerate(blocks)), "row int, top double")
-    every = F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
+    # Blocks stand in the order of their longest vectors, so a query asks for all blocks from one on. `steps` are blocks of one bound.
+    steps = [row for row, top in enumerate(blocks) if row == 0 or top != blocks[row - 1]]  # at most CLASSES
+    step_of = {kind: sum(row <= at for row in steps) - 1 for kind, (at, _) in first.items()}
+    tops = F.array(*(F.lit(blocks[row]) for row in steps)).cast("array<double>")
+    can = lambda top: (F.col("length") * top * (1 + 1e-9) >= F.col("least")) | (F.col("length") >= LONGEST) | (top >= LONGEST)
+    q = q.withColumn("step", F.size(F.filter(tops, lambda top: ~can(top)))).where(F.col("step") < len(steps))
+    asking = q.groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect()  # at most CLASSES rows
+    # Columns of queries in the order of their first blocks; those of few queries share one. A block goes to the columns that ask for it.
+    cols, dealt, filled = [], {}, 0
+    for r in asking:
+        if not cols or filled + r["n"] > QUERY_BLOCK:
+            some = max(1, -(-r["n"] // QUERY_BLOCK))
+            dealt[r["step"]] = (len(cols), some)
+            cols += [r["step"]] * some
+            filled = r["n"] if some == 1 else QUERY_BLOCK
+        else:
+            dealt[r["step"]] = (len(cols) - 1, 1)
+            filled += r["n"]
+    place = spark.createDataFrame([(c, a, b, sum(step <= step_of[c] for step in cols)) for c, (a, b) in first.items()], "kind int, first int, some int, asked_by int")
     row = (F.col("first") + F.pmod(F.monotonically_increasing_id(), F.col("some"))).cast("int")
-    cand = p.join(F.broadcast(place), "kind").select(row.alias("row"), every.alias("col"), F.lit(False).alias("asked"), "id", "vec", F.lit(0.0).alias("least"))  # place: at most CLASSES rows
-    can = (F.col("length") * F.col("top") * (1 + 1e-9) >= F.col("least")) | (F.col("length") >= LONGEST) | (F.col("top") >= LONGEST)
-    ask = q.join(F.broadcast(tops), can).select("row", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int").alias("col"), F.lit(True).alias("asked"), "id", "vec", "least")  # tops: one number a block
+    wanted = p.join(F.broadcast(place), "kind").where("asked_by > 0")  # place: at most CLASSES rows
+    cand = wanted.select(row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("asked_by") - 1)).alias("col"), F.lit(False).alias("asked"), "id", "vec", F.lit(0.0).alias("least"))
+    columns = spark.createDataFrame([(step, steps[step], a, b) for step, (a, b) in dealt.items()], "step int, from_row int, first int, some int")
+    col = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("some"))).cast("int")
+    asks = q.join(F.broadcast(columns), "step")  # columns: at most CLASSES rows
+    ask = asks.select(F.explode(F.sequence(F.col("from_row"), F.lit(len(blocks) - 1))).alias("row"), col.alias("col"), F.lit(True).alias("asked"), "id", "vec", "least")
     return cand.union(ask).groupBy("row", "col").applyInArrow(_search(k, scale), "query_id long, vec_id long, score long, verified long")
 
 
