@@ -34,7 +34,7 @@ KEY = ["session_id", "var_name"]
 #: Rows of one variable in a part; of samples, values.
 ROWS, SAMPLES = 1 << 18, 1 << 18
 RANGES = "session_id string, at long, raw binary"
-_LAYOUT = RANGES + ", var_name string, count long, tick_bytes int, frequency double, cont_data_type int, scale double, shift double, n_points_wave long, marker_length int, as_number boolean"
+_LAYOUT = RANGES + ", var_name string, kind string, count long, tick_bytes int, frequency double, cont_data_type int, scale double, shift double, n_points_wave long, marker_length int, as_number boolean"
 _MEASURES = {"rows": "long", "samples": "long", "least": "long", "top": "double", "fits": "boolean", "fields": "array<struct<field_index:int,n:long,name:string,least:long,most:long,length:int,numbers:long>>"}
 
 
@@ -85,7 +85,7 @@ def laid_out(s: Session, o: WriteOptions) -> DataFrame:
     fields = F.to_json(F.struct(*[c for c in s.variables.columns if c != "session_id"])).alias("variable")
     facts = measured(s).select(*KEY, F.to_json(F.struct(*_MEASURES)).alias("facts"))
     variables = s.variables.select(*KEY, fields).join(facts, KEY, "left").select("session_id", "variable", "facts")
-    schema = pa.schema([("session_id", pa.string()), ("at", pa.int64()), ("raw", pa.binary()), ("var_name", pa.string()), ("count", pa.int64()), ("tick_bytes", pa.int32()), ("frequency", pa.float64()), ("cont_data_type", pa.int32()),
+    schema = pa.schema([("session_id", pa.string()), ("at", pa.int64()), ("raw", pa.binary()), ("var_name", pa.string()), ("kind", pa.string()), ("count", pa.int64()), ("tick_bytes", pa.int32()), ("frequency", pa.float64()), ("cont_data_type", pa.int32()),
                         ("scale", pa.float64()), ("shift", pa.float64()), ("n_points_wave", pa.int64()), ("marker_length", pa.int32()), ("as_number", pa.bool_())])
 
     def lay(about: pa.Table, rows: pa.Table) -> pa.Table:
@@ -102,7 +102,7 @@ def laid_out(s: Session, o: WriteOptions) -> DataFrame:
             done.append(_header(v, m, tick_type, o.layout))
         head, places, meta, end = frame(session, top["last"], [(v, payload_size(v)) for v in done], o)
         for v, at in zip(done, places):
-            out.append({"at": at, "var_name": v["var_name"], "count": v["count"], "tick_bytes": np.dtype(tick_type).itemsize, "frequency": f, "cont_data_type": v["cont_data_type"], "scale": v["ad_to_mv"], "shift": v["mv_offset"],
+            out.append({"at": at, "var_name": v["var_name"], "kind": v["kind"], "count": v["count"], "tick_bytes": np.dtype(tick_type).itemsize, "frequency": f, "cont_data_type": v["cont_data_type"], "scale": v["ad_to_mv"], "shift": v["mv_offset"],
                         "n_points_wave": v["n_points_wave"], "marker_length": v["marker_length"], "as_number": bool(v["marker_data_type"])})
             if v["kind"] == "marker" and v["count"]:
                 at += v["count"] * np.dtype(tick_type).itemsize
@@ -224,19 +224,22 @@ def byte_ranges(s: Session, options: WriteOptions | None = None, rows: int = ROW
     """
     o = options or WriteOptions()
     plan = checkpointed(laid_out(s, o))  # one row a variable, asked for by each table
-    how = plan.where("var_name IS NOT NULL").drop("raw")
+    how = plan.where("var_name IS NOT NULL").drop("raw", "kind")
+    present = {TABLE_OF[r["kind"]] for r in plan.where("kind IS NOT NULL").select("kind").distinct().collect()}  # kinds, seven at most
     wave_rows = F.greatest(F.lit(1), F.floor(samples / F.greatest(F.col("n_points_wave"), F.lit(1))))
     fragments = s.continuous.groupBy(*KEY, "fragment").agg(F.min_by("t0", "first_sample").alias("t0"), F.min("first_sample").alias("first_sample"))
     made = [plan.where("var_name IS NULL").select("session_id", "at", "raw")]
-    for table, columns, part, order, encode in (
-        (s.points, ["idx", "t"], F.floor(F.col("idx") / rows), "idx", _points),
-        (s.intervals, ["idx", "t_start", "t_end"], F.floor(F.col("idx") / rows), "idx", _intervals),
-        (s.population, ["idx", "weight"], F.floor(F.col("idx") / rows), "idx", _weights),
-        (s.waveforms, ["idx", "t", "samples"], F.floor(F.col("idx") / wave_rows), "idx", _waves),
-        (fragments, ["fragment", "t0", "first_sample"], F.floor(F.col("fragment") / rows), "fragment", _fragments),
-        (s.continuous, ["first_sample", "values", F.size("values").alias("n")], F.floor(F.col("first_sample") / samples), "first_sample", _samples),
-        (s.markers, ["idx", "t", "field_index", "num", "str"], F.struct("field_index", F.floor(F.col("idx") / rows)), "idx", _cells),
+    for name, table, columns, part, order, encode in (
+        ("points", s.points, ["idx", "t"], F.floor(F.col("idx") / rows), "idx", _points),
+        ("intervals", s.intervals, ["idx", "t_start", "t_end"], F.floor(F.col("idx") / rows), "idx", _intervals),
+        ("population", s.population, ["idx", "weight"], F.floor(F.col("idx") / rows), "idx", _weights),
+        ("waveforms", s.waveforms, ["idx", "t", "samples"], F.floor(F.col("idx") / wave_rows), "idx", _waves),
+        ("continuous", fragments, ["fragment", "t0", "first_sample"], F.floor(F.col("fragment") / rows), "fragment", _fragments),
+        ("continuous", s.continuous, ["first_sample", "values", F.size("values").alias("n")], F.floor(F.col("first_sample") / samples), "first_sample", _samples),
+        ("markers", s.markers, ["idx", "t", "field_index", "num", "str"], F.struct("field_index", F.floor(F.col("idx") / rows)), "idx", _cells),
     ):
+        if name not in present:
+            continue
         mine = table.select(*KEY, *columns).join(how, KEY).groupBy(*KEY, part.alias("part"))
         made.append(mine.applyInArrow(_ranges_of(encode, order), RANGES))
     every = made[0]
