@@ -45,6 +45,17 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str
     return placed.withColumn(name, (F.col("_w") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_p", "_u", "_w", "_before")
 
 
+#: Rows of the longest train up to which a plain window numbers it.
+SHORT = 1 << 17
+
+
+def numbered_once(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """The rows of `numbered`, written once with their numbers where a train is long, so that all that is made of them reads them there."""
+    if longest(rows, by) > SHORT:
+        return checkpointed(numbered(rows, by, order, name))
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
+
+
 @dataclass(frozen=True)
 class Trains:
     """`rows` with their number `_i`, part `_part` and whether they are the part's own (`_own`), not its halo's; `window` goes over a part in order."""

@@ -20,6 +20,7 @@ from ..functions import EPSILON, dequantise_i16, l2, marker_fields, marker_numbe
 from ..operators import clustering, signals, spikes
 from ..operators import sorting as spike_sorting
 from ..operators.analysis import analyse
+from ..operators.parts import numbered_once
 from ..schema import TABLES, VARIABLES
 from ..session import Session, diff, export_names, invalid_intervals, maximum_timestamps
 from ..sources.codec import WriteOptions
@@ -216,7 +217,7 @@ INDEXED = P + ", i AS (SELECT event_type, event_id, t, row_number() OVER (PARTIT
 
 
 def indexed(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
-    return trains(spark, sf_dir).select("event_type", "event_id", "t", *also).withColumn("idx", F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")).cast("long") - 1)
+    return numbered_once(trains(spark, sf_dir).select("event_type", "event_id", "t", *also), ["event_type"], ["t", "event_id"], "idx")
 
 
 @query(INDEXED + " SELECT event_type, idx, t FROM i WHERE idx < 25")
@@ -250,8 +251,7 @@ SESSION_SQL = P + """,
 def session_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("user_id") % 2 == 0, "neuron").otherwise("event")
     name = F.concat("event_type", F.lit("_"), F.col("user_id") % 2)
-    idx = F.row_number().over(Window.partitionBy("var_name").orderBy("t", "event_id")).cast("long") - 1
-    return trains(spark, sf_dir).select(name.alias("var_name"), kind.alias("kind"), "t", "event_id", "user_id").withColumn("idx", idx)
+    return numbered_once(trains(spark, sf_dir).select(name.alias("var_name"), kind.alias("kind"), "t", "event_id", "user_id"), ["var_name"], ["t", "event_id"], "idx")
 
 
 def session(spark: SparkSession, frequency: float, **tables: DataFrame) -> Session:
@@ -476,7 +476,7 @@ def intervals_session(spark: SparkSession, sf_dir: str) -> Session:
     since = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1990-01-01 00:00:00', cast({c} as timestamp_ntz))").cast("double")
     both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
     rows = both.select(F.concat(F.lit("line_"), "l_linenumber").alias("var_name"), "l_orderkey", "l_linenumber", since("o_orderdate").alias("t_start"), since("l_shipdate").alias("t_end"))
-    intervals = rows.withColumn("idx", F.row_number().over(Window.partitionBy("var_name").orderBy("t_start", "l_orderkey", "l_linenumber", "t_end")).cast("long") - 1)
+    intervals = numbered_once(rows, ["var_name"], ["t_start", "l_orderkey", "l_linenumber", "t_end"], "idx")
     return session(spark, 1.0, variables=counted(intervals).withColumn("kind", F.lit("interval")), intervals=intervals)
 
 
