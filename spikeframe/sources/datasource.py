@@ -23,8 +23,8 @@ from ..schema import TABLES
 from ..session import Session
 from .codec import TABLE_OF, Reader, ReadOptions, payload_batches, session_row, variable_row
 
-#: Bytes of files that one partition reads; payload bytes read at once.
-PARTITION_BYTES, UNIT_BYTES = 64 << 20, 8 << 20
+#: Bytes of files that one partition reads; payload bytes read at once, and markers, as their cells are Python values.
+PARTITION_BYTES, UNIT_BYTES, UNIT_MARKERS = 64 << 20, 8 << 20, 1 << 15
 
 
 def read_options(options: dict[str, str]) -> ReadOptions:
@@ -60,7 +60,7 @@ def ranges(reader: Reader, table: str, wanted: Wanted) -> list[tuple[dict, int,
         n = reader.units(v)
         lo, hi = max(0, wanted.low), n if wanted.high is None else min(n, wanted.high)
         each = max(1, reader.payload_bytes(v) // max(n, 1))
-        step = max(1, UNIT_BYTES // each)
+        step = max(1, min(UNIT_BYTES // each, UNIT_MARKERS if v["kind"] == "marker" else UNIT_BYTES))
         out += [(v, a, min(hi, a + step), (min(hi, a + step) - a) * each) for a in range(lo, hi, step)]
     return out
 

@@ -32,7 +32,9 @@ from .codec import DEFAULTS, FIELD_NAME_BYTES, LEAST_CELL, TABLE_OF, VARIABLE_VE
 
 KEY = ["session_id", "var_name"]
 #: Rows of one variable in a part; of samples, values.
-ROWS, SAMPLES = 1 << 18, 1 << 18
+ROWS, SAMPLES = 1 << 16, 1 << 16
+#: Variables, or sessions, whose layout or name is told to all tasks; of more, rows are shuffled to them.
+MOST_TOLD = 1 << 16
 RANGES = "session_id string, at long, raw binary"
 _LAYOUT = RANGES + ", var_name string, kind string, count long, tick_bytes int, frequency double, cont_data_type int, scale double, shift double, n_points_wave long, marker_length int, as_number boolean"
 _MEASURES = {"rows": "long", "samples": "long", "least": "long", "top": "double", "fits": "boolean", "fields": "array<struct<field_index:int,n:long,name:string,least:long,most:long,length:int,numbers:long>>"}
@@ -215,6 +217,11 @@ def _cells(rows: pa.Table, v: dict) -> list[tuple[int, bytes]]:
     return [*ticks, (v["at"] + n * tick + field * (FIELD_NAME_BYTES + n * size) + FIELD_NAME_BYTES + lo * size, raw)]
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """A written table of a row a variable or session, for a join: one session's rows must not all go to one task for it."""
+    return rows if rows.count() > MOST_TOLD else F.broadcast(rows)
+
+
 def byte_ranges(s: Session, options: WriteOptions | None = None, rows: int = ROWS, samples: int = SAMPLES) -> DataFrame:
     """(session_id, at, raw): all bytes of each session's file as ranges that neither overlap nor leave gaps; one empty range at its end.
 
@@ -224,7 +231,7 @@ def byte_ranges(s: Session, options: WriteOptions | None = None, rows: int = ROW
     """
     o = options or WriteOptions()
     plan = checkpointed(laid_out(s, o))  # one row a variable, asked for by each table
-    how = plan.where("var_name IS NOT NULL").drop("raw", "kind")
+    how = _told(plan.where("var_name IS NOT NULL").drop("raw", "kind"))
     present = {TABLE_OF[r["kind"]] for r in plan.where("kind IS NOT NULL").select("kind").distinct().collect()}  # kinds, seven at most
     wave_rows = F.greatest(F.lit(1), F.floor(samples / F.greatest(F.col("n_points_wave"), F.lit(1))))
     fragments = s.continuous.groupBy(*KEY, "fragment").agg(F.min_by("t0", "first_sample").alias("t0"), F.min("first_sample").alias("first_sample"))
@@ -337,5 +344,5 @@ def write_files(s: Session, folder: str, suffix: str, options: WriteOptions | No
     """
     spark = s.sessions.sparkSession
     spark.dataSource.register(RangeSink)
-    rows = byte_ranges(s, options, **parts).join(file_names(s, folder, suffix), "session_id").select("path", "at", "raw")
+    rows = byte_ranges(s, options, **parts).join(_told(checkpointed(file_names(s, folder, suffix))), "session_id").select("path", "at", "raw")
     rows.write.format("spikeranges").option("folder", folder.rstrip("/")).mode("overwrite" if overwrite else "append").save()

@@ -53,3 +53,20 @@ def test_several_sessions_missing_rows_and_files_that_stand(spark, tmp_path):
     with pytest.raises(Exception, match="IncompleteRead|rows"):
         write_files(replace(s, points=s.points.where("t > 1")), str(tmp_path / "short"), ".bin")
     assert list(tmp_path.glob("short/*")) == []
+
+
+def test_no_part_is_a_whole_long_variable(spark, tmp_path):
+    from spikeframe.plans import catalogue
+    from spikeframe.sources.datasource import Wanted, open_reader, ranges, read_options
+
+    n = 70_000
+    times = spark.range(n).select(F.lit("many").alias("var_name"), F.col("id").alias("idx"), (F.col("id") / 100).alias("t"))
+    one = lambda kind, **more: spark.range(1).select(F.lit("many").alias("var_name"), F.lit(n).alias("count"), F.lit(kind).alias("kind"), *(F.lit(x).alias(c) for c, x in more.items()))
+    s = catalogue.session(spark, 1000.0, variables=one("event"), points=times.withColumn("kind", F.lit("event")))
+    assert byte_ranges(s).agg(F.max(F.length("raw")).alias("n")).first()["n"] < n * 4
+    cells = times.select("*", F.lit(0).alias("field_index"), F.lit("f").alias("field_name"), F.concat(F.lit("c"), "idx").alias("str"))
+    marked = catalogue.session(spark, 1000.0, variables=one("marker", n_markers=1), markers=cells.withColumn("num", F.lit(None).cast("long")))
+    write_files(marked, str(tmp_path / "m"), ".bin")
+    (path,) = (tmp_path / "m").iterdir()
+    found = ranges(open_reader(str(path), read_options({})), "markers", Wanted())
+    assert [lo for _, lo, _, _ in found] == [0, 32768, 65536]
