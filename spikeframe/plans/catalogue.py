@@ -24,10 +24,9 @@ from ..operators.parts import numbered_once
 from ..schema import TABLES, VARIABLES
 from ..session import Session, diff, export_names, invalid_intervals, maximum_timestamps
 from ..sources.codec import WriteOptions
-from ..sources.datasource import decode_files, read_session
+from ..sources.datasource import read_session
 from ..sources.detected import channel_neurons
 from ..sources.interchange import Interchange, all_paths, decode_descriptions, descriptions_of, intervals_of, markers_of, plain_series, series_of, waveforms_of
-from ..sources.writers import encode_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -373,45 +372,56 @@ def q_detected_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel_neurons(table(spark, sf_dir, "events").select((F.col("user_id") % 8).cast("int").alias("channel"), ms.alias("time_ms"))).select("var_name", "idx", "t")
 
 
-# Session files: written to bytes and read back -----------------------------------------------------------------------------
+# Session files: written by all tasks, and read back by several -----------------------------------------------------------------------------
 
 
-def files_of(s: Session, layout: str = "wide") -> DataFrame:
-    return encode_files(s, WriteOptions(layout=layout)).select(F.col("session_id").alias("path"), "content")
+def written(s: Session, layout: str = "wide", **options) -> Session:
+    """The session from files that all tasks have written, no task a whole variable or file, and that several tasks read."""
+    from ..sources.sink import write_files
+    from ..storage import shared_folder
+
+    spark = s.sessions.sparkSession
+    folder = f"{shared_folder(spark).removeprefix('file:')}/files-{uuid.uuid4()}"
+    write_files(s, folder, ".bin", WriteOptions(layout=layout))
+    return read_session(spark, f"{folder}/*.bin", **options)
+
+
+def read_back(s: Session, table: str, layout: str = "wide", **options) -> DataFrame:
+    return getattr(written(s, layout, **options), table)
 
 
 @query(SESSION_SQL + " SELECT var_name, kind, idx, round(t * 1e6)::BIGINT AS tick, round(t * 1e6)::BIGINT / 1e6::DOUBLE AS t FROM points")
 def q_file_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_files(files_of(recording(spark, sf_dir)), "points").drop("session_id")
+    return read_back(recording(spark, sf_dir), "points").drop("session_id")
 
 
 @query(SESSION_SQL + " SELECT var_name, kind, idx, floor(t * 100e0 + 0.5e0)::BIGINT AS tick, floor(t * 100e0 + 0.5e0)::BIGINT / 100e0 AS t FROM points")
 def q_file_points_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_files(files_of(recording(spark, sf_dir, 100.0), "narrow"), "points").drop("session_id")
+    return read_back(recording(spark, sf_dir, 100.0), "points", "narrow").drop("session_id")
 
 
 @query(SESSION_SQL + " SELECT idx, round(t * 1e6)::BIGINT / 1e6::DOUBLE AS t FROM points WHERE var_name = 'view_0' AND idx BETWEEN 10 AND 39")
 def q_file_some_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One variable's rows 10 to 39; payload of others, and its other rows, are passed over."""
-    return decode_files(files_of(recording(spark, sf_dir)), "points", names=["view_0"], from_row=10, before_row=40).select("idx", "t")
+    return read_back(recording(spark, sf_dir), "points", names=["view_0"], from_row=10, before_row=40).select("idx", "t")
 
 
 @query(SESSION_SQL + """
     SELECT var_index, var_name, kind, count, 1 AS ts_data_type, 500 AS version,
         (356 + 244 * (SELECT count(*) FROM vars) + 8 * coalesce(sum(count) OVER (ORDER BY var_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS data_offset FROM vars""")
 def q_file_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_files(files_of(recording(spark, sf_dir)), "variables").select("var_index", "var_name", "kind", "count", "ts_data_type", "version", "data_offset")
+    return read_back(recording(spark, sf_dir), "variables").select("var_index", "var_name", "kind", "count", "ts_data_type", "version", "data_offset")
 
 
 @query(SESSION_SQL + " SELECT 'wide' AS format, 502 AS file_version, 'events' AS comment, 1e6::DOUBLE AS timestamp_frequency_hz, 0e0 AS beg_seconds, max(max_t) AS end_seconds FROM vars")
 def q_file_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_files(files_of(recording(spark, sf_dir)), "sessions").drop("session_id", "path", "metadata")
+    return read_back(recording(spark, sf_dir), "sessions").drop("session_id", "path", "metadata")
 
 
 @query(SESSION_SQL + " SELECT var_name, 0 AS unit, 0 AS wire, 0e0 AS x, 0e0 AS y FROM vars WHERE kind = 'neuron' UNION ALL SELECT var_name, NULL, NULL, NULL, NULL FROM vars WHERE kind = 'event'")
 def q_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = recording(spark, sf_dir)
-    return replace(s, variables=decode_files(files_of(s), "variables")).metadata().drop("session_id", "raw")
+    return replace(s, variables=read_back(s, "variables")).metadata().drop("session_id", "raw")
 
 
 @query(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx FROM p)
@@ -423,7 +433,7 @@ def q_file_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.explode(F.array(F.struct(F.lit(0).alias("f"), F.lit("k").alias("n"), F.col("k").alias("s")), F.struct(F.lit(1).alias("f"), F.lit("user").alias("n"), F.col("u").alias("s"))))
     markers = rows.select("var_name", "idx", "t", cells.alias("c")).select("var_name", "idx", "t", F.col("c.f").alias("field_index"), F.col("c.n").alias("field_name"), F.lit(None).cast("long").alias("num"), F.col("c.s").alias("str"))
     variables = counted(rows).select("var_name", "count", F.lit("marker").alias("kind"), F.lit(2).alias("n_markers"))
-    return decode_files(files_of(session(spark, 1e6, variables=variables, markers=markers)), "markers").drop("session_id")
+    return read_back(session(spark, 1e6, variables=variables, markers=markers), "markers").drop("session_id")
 
 
 WAVES_SQL = """WITH w AS (SELECT 'wave_' || label AS var_name, row_number() OVER (PARTITION BY label ORDER BY vec_id)::BIGINT - 1 AS idx, vec_id / 1000e0 AS t, embedding FROM embeddings),
@@ -432,7 +442,7 @@ WAVES_SQL = """WITH w AS (SELECT 'wave_' || label AS var_name, row_number() OVER
 
 @query(WAVES_SQL + " SELECT * FROM x")
 def q_file_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_files(files_of(waves_session(spark, sf_dir)), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
+    return read_back(waves_session(spark, sf_dir), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
 
 
 WAVES_I16_SQL = WAVES_SQL + """, s AS (SELECT var_name, max(abs(x::DOUBLE)) / 32767 AS scale FROM x GROUP BY var_name),
@@ -443,7 +453,7 @@ WAVES_I16_SQL = WAVES_SQL + """, s AS (SELECT var_name, max(abs(x::DOUBLE)) / 32
 @query(WAVES_I16_SQL)
 def q_file_waveforms_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of 16 bits, scaled by the range of each variable."""
-    return decode_files(files_of(waves_session(spark, sf_dir), "narrow"), "waveforms").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
+    return read_back(waves_session(spark, sf_dir), "waveforms", "narrow").select("var_name", "idx", "t", F.posexplode("samples").alias("pos", "x"))
 
 
 def signals_session(spark: SparkSession, sf_dir: str) -> Session:
@@ -457,7 +467,7 @@ def signals_session(spark: SparkSession, sf_dir: str) -> Session:
 @query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS sample, value::FLOAT::DOUBLE AS value, 0 AS fragment FROM p")
 def q_file_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each type's values as a signal of one fragment, given in rows of 1,000 samples."""
-    back = decode_files(files_of(signals_session(spark, sf_dir)), "continuous")
+    back = read_back(signals_session(spark, sf_dir), "continuous")
     return back.select("var_name", "fragment", "first_sample", F.posexplode("values").alias("p", "value")).select("var_name", (F.col("first_sample") + F.col("p")).alias("sample"), "value", "fragment")
 
 
@@ -466,8 +476,7 @@ def q_file_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     QUALIFY sample BETWEEN 150 AND 1249""")
 def q_file_samples_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled samples 150 to 1,249 of one signal; the rest of it, and the other signals, are passed over."""
-    files = files_of(signals_session(spark, sf_dir))
-    back = decode_files(files, "continuous", names=["view"], from_row=150, before_row=1250).select("first_sample", F.posexplode("values").alias("p", "value"))
+    back = read_back(signals_session(spark, sf_dir), "continuous", names=["view"], from_row=150, before_row=1250).select("first_sample", F.posexplode("values").alias("p", "value"))
     return back.select((F.col("first_sample") + F.col("p")).alias("sample"), "value").where("sample BETWEEN 150 AND 1249")
 
 
@@ -488,29 +497,19 @@ INTERVALS_SQL = """
 
 @query(INTERVALS_SQL)
 def q_file_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_files(files_of(intervals_session(spark, sf_dir)), "intervals").drop("session_id")
+    return read_back(intervals_session(spark, sf_dir), "intervals").drop("session_id")
 
 
 @query(P + " SELECT event_type AS var_name, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id)::BIGINT - 1 AS idx, value AS weight FROM p")
 def q_file_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = indexed(spark, sf_dir, "value").select(F.col("event_type").alias("var_name"), "idx", F.col("value").alias("weight"))
     s = session(spark, 1.0, variables=counted(weights).withColumn("kind", F.lit("population")), population=weights)
-    return decode_files(files_of(s), "population").drop("session_id")
+    return read_back(s, "population").drop("session_id")
 
 
 # Session files written by all tasks, and read by several ------------------------------------------------------------------
 
 
-def written(s: Session, layout: str = "wide") -> Session:
-    from ..sources.sink import write_files
-    from ..storage import shared_folder
-
-    spark = s.sessions.sparkSession
-    folder = f"{shared_folder(spark).removeprefix('file:')}/files-{uuid.uuid4()}"
-    write_files(s, folder, ".bin", WriteOptions(layout=layout))
-    return read_session(spark, f"{folder}/*.bin")
-
-
 @query(SESSION_SQL + " SELECT var_name, kind, idx, round(t * 1e6)::BIGINT AS tick, t FROM points")
 def q_written_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(recording(spark, sf_dir)).points.drop("session_id")
