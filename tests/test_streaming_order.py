@@ -47,3 +47,16 @@ def test_rows_within_the_delay_are_in_order_and_later_ones_go(spark, tmp_path):
 
 def test_an_empty_stream(spark, tmp_path):
     assert streamed(spark, str(tmp_path / "in"), [[]], "1 second") == []
+
+
+def test_units_of_a_bucket_are_kept_apart(spark, tmp_path, monkeypatch):
+    from spikeframe.streaming import in_order
+
+    monkeypatch.setattr(in_order, "CHUNK", 7)
+    rng = random.Random(8)
+    rows = [(rng.choice([*range(20), None]), k, rng.randrange(4000) / 8) for k in range(300)]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    points = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = run_closed(points, lambda p: intervals_in_order(p, "unit", "event_id", "1 hour", buckets=3))
+    assert sorted(((r["unit"], r["event_id"], r["isi"]) for r in found.collect()), key=repr) == by_loop(rows)
